@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from spanloom.llm import exact_dedup, topk_search
+from spanloom.llm import byte_bpe, exact_dedup, token_files, topk_search
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (topk_search, exact_dedup):
+for _module in (topk_search, exact_dedup, byte_bpe, token_files):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
