@@ -52,6 +52,11 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
     return mix((total[ends] - total[starts]) * _power(_INV, n + 1)[starts] + lengths * U(0xA24BAED4963EE407))
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of data[s:e] for each range of bytes."""
+    return range_hashes(_BYTE[data], starts, ends, seed)
+
+
 @dataclass
 class Words:
     """The words of some texts: words of text i are [ptr[i], ptr[i+1]); start and end are byte offsets into data."""
@@ -63,7 +68,7 @@ class Words:
     ptr: np.ndarray
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return range_hashes(_BYTE[self.data], self.start, self.end, seed)
+        return byte_hashes(self.data, self.start, self.end, seed)
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))
