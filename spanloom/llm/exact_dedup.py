@@ -18,11 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.shared import written
+from spanloom.llm.skew import join_unique
 
 #: Runs that one merge joins.
 FAN_IN = 8
-#: A digest with more than 1 / HOT_SHARE of all rows is resolved by broadcast: at most HOT_SHARE such digests exist.
-HOT_SHARE = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -65,10 +64,7 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows = written(digests(docs, id_column, text_column), "digests")
     total, last = rows.agg(F.count("*"), F.max("run")).first()
     merged = written(tree_merge(rows, (last or 0) + 1), "merged").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size"))
-    hot = F.col("group_size") > total // HOT_SHARE + 1
-    few = F.broadcast(merged.filter(hot))
-    own = rows.select("id", "digest")
-    out = own.join(few, "digest").unionByName(own.join(F.broadcast(merged.filter(hot).select("digest")), "digest", "left_anti").join(merged.filter(~hot), "digest"))
+    out = join_unique(rows.select("id", "digest"), merged, ["digest"], "group_size", total)
     return out.select(
         F.col("id").alias(id_column),
         "keep_id",
