@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from spanloom.llm import byte_bpe, exact_dedup, line_dedup, pfair_mix, quality_gam, secret_scan, token_files, topk_search
+from spanloom.llm import byte_bpe, exact_dedup, line_dedup, near_dedup, pfair_mix, quality_gam, secret_scan, token_files, topk_search
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (topk_search, exact_dedup, quality_gam, byte_bpe, line_dedup, token_files, pfair_mix, secret_scan):
+for _module in (topk_search, near_dedup, exact_dedup, quality_gam, byte_bpe, line_dedup, token_files, pfair_mix, secret_scan):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
