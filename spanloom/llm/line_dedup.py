@@ -11,7 +11,7 @@ every passage stays. Lines of fewer than MIN_TOKENS tokens are left alone.
 
 Defined cases: a null text stays null and has no lines, an empty one stays empty; if all lines of a text go, it becomes empty; rows with the same
 id and text are one document and decided alike; a null id is an id of its own, before all others; an empty table gives an
-empty result; other columns pass through.
+empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -105,18 +105,30 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with text without the dropped lines, and dedup_lines: the numbers of those (null if none)."""
-    keyed = docs.withColumn("dedup_key", F.xxhash64(F.col(id_column), F.col(text_column)))
-    gone = written(dropped_lines(keyed.select("dedup_key", F.col(id_column).alias("id"), F.col(text_column).alias("text"))), "gone")
-    joined = keyed.join(gone.hint("shuffle_hash"), "dedup_key", "left").drop("dedup_key")
-    kept = F.array_join(F.filter(F.split(F.col(text_column), "\n", -1), lambda x, i: ~F.array_contains("dedup_lines", i)), "\n")
-    return joined.withColumn(text_column, F.when(F.col("dedup_lines").isNull(), F.col(text_column)).otherwise(kept))
+    """row (a struct of the columns of docs), text without the dropped lines, and lines: the numbers of those (null if none)."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    keyed = docs.select(row, F.xxhash64(F.col(id_column), F.col(text_column)).alias("dedup_key"))
+    id_, text = F.col(f"row.`{id_column}`"), F.col(f"row.`{text_column}`")
+    gone = written(dropped_lines(keyed.select("dedup_key", id_.alias("id"), text.alias("text"))), "gone")
+    joined = keyed.join(gone.hint("shuffle_hash"), "dedup_key", "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("dedup_lines", i)), "\n")
+    return joined.select("row", F.when(F.col("dedup_lines").isNull(), text).otherwise(kept).alias("text"), F.col("dedup_lines").alias("lines"))
+
+
+def without_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """docs with the same columns, the text without the dropped lines, and its length in length_column if there is one."""
+    out = line_dedup(docs, id_column, text_column)
+    new = {text_column: F.col("text")}
+    if length_column in docs.columns:
+        new[length_column] = F.length("text").cast(dict(docs.dtypes)[length_column])
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines"))
-    out = line_dedup(docs)
-    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.when(F.col("dedup_lines").isNull(), 0).otherwise(F.size("dedup_lines")).cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    n_lines = F.when(F.coalesce("row.text", F.lit("")) == "", 0).otherwise(F.size(F.split("row.text", "\n", -1))).cast("long")
+    n_dropped = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    return out.select("row.doc_id", n_lines.alias("n_lines"), n_dropped.alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 QUERIES = {"op7_line_dedup": op7_line_dedup}

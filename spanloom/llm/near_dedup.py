@@ -17,7 +17,7 @@ their weighted Jaccard similarity.
 Verification compares 32-bit shingle ids: the chance of a wrong common shingle is below n * n / 2**32 for texts of n shingles.
 
 Defined cases: words are runs outside [\\x20\\x09-\\x0D], unchanged; a text of fewer words than a shingle has one shingle, all its words; texts without words
-(null, empty, blank) are copies of each other; repeated rows are copies; a class is named by its smallest id (nulls last); an empty table gives an
+(null, empty, blank) are copies of each other; repeated rows are copies, and rows with the same id and text are one document, kept or not alike; a class is named by its smallest id (nulls last); an empty table gives an
 empty result; other columns are not read.
 """
 
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.shared import written
@@ -187,8 +187,8 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row per input row: id, class_id (smallest id of its class), class_size, kept (one row of each class), copies (rows with the same words)."""
     texts = docs.select(F.xxhash64(F.col(id_column), F.col(text_column)).alias("key"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     rows = written(node_rows(texts), "rows")
-    nodes = rows.groupBy("digest").agg(F.min("key").alias("key"), F.min("id").alias("first_id"), F.count("*").alias("size"), F.first("bands").alias("bands"))
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("lead"), F.count("*").alias("size"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("digest", F.col("lead.key").alias("key"), F.col("lead.id").alias("first_id"), "size", "bands", F.monotonically_increasing_id().alias("node")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
     buckets = written(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "buckets")
     total = nodes.count() * BANDS
@@ -224,15 +224,24 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         if fresh.limit(1).count():
             links = links.unionByName(fresh)
             label = components(links)
-    named = nodes.select("node", "digest", "first_id", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = nodes.select("node", "digest", "key", "first_id", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("best"))
-    classed = written(named.join(classes, "component").select("digest", "size", "class_id", "class_size", (F.col("best.node") == F.col("node")).alias("leads")), "classes")
+    classed = written(named.join(classes, "component").select("digest", "size", "class_id", "class_size", F.when(F.col("best.node") == F.col("node"), F.col("key")).alias("lead_key")), "classes")
     out = join_unique(rows.select("key", "id", "digest"), classed, ["digest"], "size", rows.count())
     return out.select(
-        F.col("id").alias(id_column), "class_id", "class_size", (F.col("leads") & F.col("id").eqNullSafe(F.col("class_id"))).alias("kept"), F.col("size").alias("copies"), F.col("key").alias("dedup_key")
+        F.col("id").alias(id_column), "class_id", "class_size", F.col("key").eqNullSafe(F.col("lead_key")).alias("kept"), F.col("size").alias("copies"), F.col("key").alias("dedup_key")
     )
 
 
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay: one of each class."""
+    keep = near_classes(docs, id_column, text_column).filter("kept").select("dedup_key").distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_column), F.col(text_column)).alias("dedup_key"))
+    alike = Window.partitionBy("dedup_key").orderBy(F.monotonically_increasing_id())
+    first = packed.join(keep, "dedup_key", "left_semi").withColumn("nth", F.row_number().over(alike)).filter("nth = 1")
+    return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("dedup_key")
 

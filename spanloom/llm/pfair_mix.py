@@ -13,7 +13,7 @@ Running totals never gather a source in one task: documents are dealt over hash
 totals before each bucket are added to those within it.
 
 Defined cases: a null text has length 0; a null source is a source of its own; repeated rows are all placed, in adjoining places of either order; a
-source without a given weight gets one slot of a cycle; a weight for an absent source is left out; an empty table gives an empty result; other columns pass through.
+source without a given weight gets one slot of a cycle; a weight for an absent source is left out; an empty table gives an empty result; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -77,18 +77,20 @@ def given_weights(docs: DataFrame, weights: Mapping[str | None, float], source_c
 
 
 def scheduled(docs: DataFrame, weights: DataFrame | None = None, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", block_size: int = BLOCK_CHARS) -> DataFrame:
-    """docs with mix_block (from 1, within its source), mix_slot and mix_order: sorting by slot, order and id gives the mixture."""
+    """row (a struct of the columns of docs), mix_block (from 1, within its source), mix_slot, mix_order, mix_id and mix_size: sorting by the last four gives the mixture."""
     weights = root_weights(docs, source_column, text_column) if weights is None else weights
     digits = max(1, math.ceil(math.log(max(docs.count() / BUCKET_ROWS, 1), 16)))
-    keyed = docs.withColumns({
-        "mix_key": _key(source_column),
-        "mix_size": _size(docs, text_column),
-        "mix_order": F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")),
-    }).withColumn("mix_bucket", F.substring("mix_order", 1, digits))
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        _key(source_column).alias("mix_key"),
+        _size(docs, text_column).alias("mix_size"),
+        F.col(id_column).alias("mix_id"),
+        F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")).alias("mix_order"),
+    ).withColumn("mix_bucket", F.substring("mix_order", 1, digits))
     sums = keyed.groupBy("mix_key", "mix_bucket").agg(F.sum("mix_size").alias("mix_sum"))
     earlier = Window.partitionBy("mix_key").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("mix_key", "mix_bucket", F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0).cast("long")).alias("mix_base"))
-    within = Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_order", id_column, "mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_order", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("mix_before", F.coalesce(F.sum("mix_size").over(within), F.lit(0).cast("long"))).join(bases, ["mix_key", "mix_bucket"])
     blocks = placed.withColumn("mix_block", F.floor((F.col("mix_base") + F.col("mix_before")) / F.lit(block_size)).cast("long"))
     table = cycle(weights)  # a row for each slot of a cycle
@@ -96,32 +98,32 @@ def scheduled(docs: DataFrame, weights: DataFrame | None = None, id_column: str
     slots = blocks.join(F.broadcast(share), "mix_key").withColumn("mix_i", F.col("mix_block") % F.col("mix_n"))
     slots = slots.join(F.broadcast(table.select("mix_key", F.col("i").alias("mix_i"), F.col("at").alias("mix_at"))), ["mix_key", "mix_i"])
     slots = slots.withColumn("mix_slot", F.expr("mix_block div mix_n") * F.col("mix_total") + F.col("mix_at"))
-    return slots.select(*docs.columns, (F.col("mix_block") + 1).alias("mix_block"), "mix_slot", "mix_order", "mix_size", (F.expr("mix_block div mix_n")).alias("mix_cycle"))
+    return slots.select("row", (F.col("mix_block") + 1).alias("mix_block"), "mix_slot", "mix_order", "mix_id", "mix_size", F.expr("mix_block div mix_n").alias("mix_cycle"))
 
 
-def positions(placed: DataFrame, id_column: str = "doc_id") -> DataFrame:
+def positions(placed: DataFrame) -> DataFrame:
     """scheduled() rows with mix_position, from 0: totals of cycles, then of slots, then places within a slot."""
     slots = placed.groupBy("mix_cycle", "mix_slot").agg(F.count("*").alias("c"))
     cycles = slots.groupBy("mix_cycle").agg(F.sum("c").alias("cc"))
     first = cycles.select("mix_cycle", F.coalesce(F.sum("cc").over(Window.orderBy("mix_cycle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("b0"))
     inner = Window.partitionBy("mix_cycle").orderBy("mix_slot").rowsBetween(Window.unboundedPreceding, -1)
     bases = slots.withColumn("b1", F.coalesce(F.sum("c").over(inner), F.lit(0).cast("long"))).join(first, "mix_cycle").select("mix_slot", (F.col("b0") + F.col("b1")).alias("b"))
-    place = F.row_number().over(Window.partitionBy("mix_slot").orderBy("mix_order", id_column, "mix_size"))
+    place = F.row_number().over(Window.partitionBy("mix_slot").orderBy("mix_order", "mix_id", "mix_size"))
     return placed.withColumn("place", place).join(bases, "mix_slot").withColumn("mix_position", (F.col("b") + F.col("place") - 1).cast("long")).drop("b", "place")
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, **columns) -> DataFrame:
     """docs in the order of the mixture: partitions are ranges of it, sorted within."""
     placed = scheduled(docs, weights, **columns)
-    id_column = columns.get("id_column", "doc_id")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartitionByRange(n, "mix_slot", "mix_order").sortWithinPartitions("mix_slot", "mix_order", id_column, "mix_size").select(*docs.columns)
+    ordered = placed.repartitionByRange(n, "mix_slot", "mix_order").sortWithinPartitions("mix_slot", "mix_order", "mix_id", "mix_size")
+    return ordered.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.length("text").alias("size"))
     placed = positions(scheduled(written(docs, "sizes"), text_column="size"))
-    return placed.select("doc_id", "source", F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_position").alias("position"))
+    return placed.select("row.doc_id", "row.source", F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_position").alias("position"))
 
 
 QUERIES = {"op9_pfair_mix": op9_pfair_mix}

@@ -229,6 +229,19 @@ def score(docs: DataFrame, model: AdditiveModel, id_column: str = "doc_id", text
     return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {dict(docs.dtypes)[id_column]}, score double")
 
 
+def accepted(docs: DataFrame, model: AdditiveModel, threshold: float, text_column: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is threshold or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, data, ptr in chunks(batch, batch.schema.names[at]):
+                yield rows.filter(pa.array(shared.value.score(features(data, ptr)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_column: str = "doc_id"):
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0
 
