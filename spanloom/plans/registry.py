@@ -1,6 +1,6 @@
 """Queries by name, and the equivalent SQL by the same name."""
 
-from __future__ import annotations
+from spanloom.plans.oracles import ORACLES
+from spanloom.plans.queries import QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]
