@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "spanloom") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "spanloom", config: dict[str, str] | None = None) -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -14,6 +14,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config(map=config or {})
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 def numbered_lines(spark: SparkSession, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
     """path, line_num (from 1) and line of every physical line. A file is read by one task, so files should stay of a moderate size."""
-    reader = spark.read.option("wholetext", True)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", True)
-    whole = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
     bare = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", "")
     lines = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.split(bare, "\n", -1))
     return whole.select("path", F.posexplode(lines).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_num"), "line")
