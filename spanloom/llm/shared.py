@@ -8,17 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of our own only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    master = spark.sparkContext.master
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
     if not master.startswith("local[") and master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="spanloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spanloom-")
+    return _own[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
