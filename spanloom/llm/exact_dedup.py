@@ -37,12 +37,15 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def _merge(runs: DataFrame) -> DataFrame:
-    """One merge of the runs that share (run, digest); fails where equal digests hide different texts."""
+    """One merge of the runs that share (run, digest); fails where equal digests hide different texts.
+
+    The check stands on the identifier, which every plan needs, so that no optimizer can leave it out.
+    """
     agreed = (F.min("low_check") == F.max("high_check")) & (F.min("low_size") == F.max("high_size"))
     return runs.groupBy("run", "digest").agg(
-        F.min("id").alias("id"),
+        F.when(agreed, F.min("id")).otherwise(F.raise_error(F.lit("equal digests of different texts")).cast(dict(runs.dtypes)["id"])).alias("id"),
         F.sum("n").alias("n"),
-        F.when(agreed, F.min("low_check")).otherwise(F.raise_error(F.lit("equal digests of different texts")).cast("long")).alias("low_check"),
+        F.min("low_check").alias("low_check"),
         F.max("high_check").alias("high_check"),
         F.min("low_size").alias("low_size"),
         F.max("high_size").alias("high_size"),
