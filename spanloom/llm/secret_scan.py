@@ -102,12 +102,20 @@ def random_strings(n: int = 3000, seed: int = 7) -> list[str]:
     return ["".join(pick.choices(kinds[i % len(kinds)], k=pick.randint(16, 48))) for i in range(n)]
 
 
-def joined_words(words: list[str], n: int = 3000, seed: int = 11) -> list[str]:
+#: Words of everyday code and prose, so that a small or foreign corpus still knows ordinary names.
+ORDINARY = (
+    "get set user account settings name value index count list item file path data time date type size text line word page model class method object error "
+    "message request response client server handler factory builder service manager config option default result status state event action update create "
+    "delete insert select table column record number string length buffer stream reader writer parser format version release build test check report "
+    "source target input output parameter function module package library document section chapter example project directory folder image color width height"
+).split()
+
+
+def joined_words(words: list[str], n: int = 6000, seed: int = 11) -> list[str]:
     """Words joined as identifiers join them: snake_case, kebab-case, camelCase, paths, and a number now and then."""
     pick = random.Random(seed)
-    words = words or ["value", "index", "count", "name", "list", "item"]
     out = []
-    for i in range(n):
+    for i in range(n if words else 0):
         parts = pick.choices(words, k=pick.randint(1, 4))
         joined = ("_".join(parts), "-".join(parts), "".join(p.capitalize() for p in parts), "/".join(parts), "_".join(parts).upper())[i % 5]
         out.append(joined + (str(pick.randint(0, 2030)) if i % 7 == 0 else ""))
@@ -130,7 +138,7 @@ def strings_of(data: np.ndarray, text_ptr: np.ndarray) -> tuple[set[str], set[st
 def labelled_samples(secrets: list[str], words: list[str]) -> tuple[list[str], list[int]]:
     """Strings and labels: 1 random, 0 ordinary."""
     rules = [sign * n for sign in "-=_+/" for n in (20, 40, 80)] * 10  # drawn lines
-    positive, negative = random_strings() + sorted(secrets), sorted(words) + joined_words(sorted(words)) + rules
+    positive, negative = random_strings() + sorted(secrets), sorted(words) + joined_words(sorted(words)) + joined_words(ORDINARY) + rules
     return positive + negative, [1] * len(positive) + [0] * len(negative)
 
 
