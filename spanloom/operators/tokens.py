@@ -11,8 +11,11 @@ from spanloom.functions.text import SPACE_CLASS, TILES, begin_id, inside_id, tok
 
 
 def tiles(records: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """keys, at, start, end, piece, blank: runs of word characters, runs of white space, and other single characters, over the whole text."""
-    pieces = records.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TILES), 0)).alias("at", "piece"))
+    """keys, at, start, end, piece, blank: runs of word characters, runs of white space, and other single characters, over the whole text.
+
+    Texts are dealt out by key before they are cut, so that the running lengths need no shuffle of the pieces.
+    """
+    pieces = records.repartition(*keys).select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TILES), 0)).alias("at", "piece"))
     end = F.sum(F.length("piece")).over(Window.partitionBy(*keys).orderBy("at")).cast("int")
     return pieces.withColumn("end", end).select(*keys, "at", (F.col("end") - F.length("piece")).alias("start"), "end", "piece", F.rlike("piece", F.lit(f"^[{SPACE_CLASS}]")).alias("blank"))
 
