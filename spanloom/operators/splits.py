@@ -44,19 +44,21 @@ def split_search(documents: DataFrame, labels: DataFrame, targets: Mapping[str,
     documents: doc_id, sentences, nested, same_span (sentence counts). labels: doc_id, label. Each candidate ranks documents by a hash of
     candidate and id and fills the splits by running sentence totals. The score is the sum of the absolute deviations of the shares of
     sentences, nested and same-span sentences from the targets, plus 1 for each label that a split lacks; the lowest wins, the first of equals.
-    The rule is our own; a published score cannot be reproduced from it. Candidates spread over tasks, documents within one are ordered there.
+    The rule is our own; a published score cannot be reproduced from it. Running totals are taken within ranges of ranks and over the ranges'
+    sums, so that no task orders all documents of a candidate.
     """
-    spark = documents.sparkSession
     # Integer arithmetic, so that any engine can follow it: a different permutation of ids for each candidate.
     order = (F.col("doc_id") * (2 * F.col("candidate") + 1) * 7919 + F.col("candidate") * 104729) % 1000003
-    grid = spark.range(candidates).select(F.col("id").cast("int").alias("candidate")).join(F.broadcast(documents) if documents.limit(100_001).count() <= 100_000 else documents)
-    run = F.sum("sentences").over(Window.partitionBy("candidate").orderBy("rank", "doc_id"))
-    whole = F.sum("sentences").over(Window.partitionBy("candidate"))
+    grid = documents.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn("rank", order).withColumn("range", F.floor(F.col("rank") / 1024))
+    sums_ = grid.groupBy("candidate", "range").agg(F.sum("sentences").alias("n"))
+    earlier = Window.partitionBy("candidate").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums_.select("candidate", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("candidate")).alias("whole"))
+    within = Window.partitionBy("candidate", "range").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     bounds, so_far = [], 0.0
     for name, share in targets.items():
         so_far += share
         bounds.append((name, so_far))
-    placed = grid.withColumn("rank", order).withColumn("upto", run - F.col("sentences")).withColumn("whole", whole)
+    placed = grid.withColumn("inner", F.coalesce(F.sum("sentences").over(within), F.lit(0))).join(bases, ["candidate", "range"]).withColumn("upto", F.col("base") + F.col("inner"))
     split = F.lit(bounds[-1][0])
     for name, bound in reversed(bounds[:-1]):
         split = F.when(F.col("upto") < bound * F.col("whole"), name).otherwise(split)

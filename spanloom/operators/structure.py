@@ -36,5 +36,5 @@ def to_document_offsets(mentions: DataFrame, sentences: DataFrame, keys: Sequenc
 
 
 def mapped_labels(mentions: DataFrame, mapping: DataFrame, drop: str = "0.0") -> DataFrame:
-    """Mentions with source_type replaced by its target label; those mapped to drop, or not mapped, go. The mapping is a small list of types."""
-    return mentions.join(F.broadcast(mapping), "source_type").filter(F.col("target_label") != drop).withColumnRenamed("target_label", "label")
+    """Mentions with source_type replaced by its target label; those mapped to drop, or not mapped, go."""
+    return mentions.join(mapping, "source_type").filter(F.col("target_label") != drop).withColumnRenamed("target_label", "label")

@@ -77,7 +77,7 @@ def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical records, one for each document: the first tokens as entities, with planted errors and leaks."""
+    """Canonical records, one for each document: every third token as an entity, with planted errors and leaks."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     entity = F.struct(
         "start",
@@ -86,7 +86,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 29 == 0, F.concat("token", F.lit("?"))).otherwise(F.col("token")).alias("text"),
         F.lit(None).cast("array<array<int>>").alias("spans"),
     )
-    found = doc_tokens(spark, sf_dir).filter("pos < 4").groupBy("doc_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
+    found = doc_tokens(spark, sf_dir).filter("pos % 3 = 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
     flag = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("out"))
     joined = docs.join(found, "doc_id", "left").join(flag, "doc_id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
     leak = F.col("doc_id") % 17 == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from spanloom.functions.text import SPACE_CLASS
 from spanloom.operators.release import EXCLUDED, INCLUDED
 from spanloom.plans.fixtures import N_LABELS, TOKENS_PER_RECORD
-from spanloom.plans.queries import COVERAGE, HEAD_GRID, MAX_LENGTH, NEXT_GRID
+from spanloom.plans.queries import CANDIDATES, COVERAGE, HEAD_GRID, MAX_LENGTH, NEXT_GRID
 
 
 def _re2(java_class: str) -> str:
@@ -139,7 +139,7 @@ rec0 AS (
 records AS (
   SELECT *, doc_id || '_0' AS id, CASE WHEN NOT hidden THEN full_text END AS text, sha256(CASE WHEN doc_id % 23 = 0 THEN full_text || 'x' ELSE full_text END) AS text_sha256,
     length(full_text) + CASE WHEN doc_id % 31 = 0 THEN 1 ELSE 0 END AS text_length, {SPLIT} AS split FROM rec0),
-ents AS (SELECT t.doc_id, pos, s, e + CASE WHEN t.doc_id % 19 = 0 THEN 100000 ELSE 0 END AS e, CASE WHEN NOT hidden THEN CASE WHEN t.doc_id % 29 = 0 THEN token || '?' ELSE token END END AS etext FROM tok t JOIN records r USING (doc_id) WHERE pos < 4),
+ents AS (SELECT t.doc_id, pos, s, e + CASE WHEN t.doc_id % 19 = 0 THEN 100000 ELSE 0 END AS e, CASE WHEN NOT hidden THEN CASE WHEN t.doc_id % 29 = 0 THEN token || '?' ELSE token END END AS etext FROM tok t JOIN records r USING (doc_id) WHERE pos % 3 = 0),
 errors AS (
   SELECT id, split, 'text is not reconstructed' AS error FROM records WHERE text IS NULL
   UNION ALL SELECT id, split, 'text_sha256 mismatch' FROM records WHERE text IS NOT NULL AND text_sha256 <> sha256(text)
@@ -212,7 +212,7 @@ ORACLES: dict[str, str] = {
     "text_digests_and_slices": "SELECT doc_id, sha256(text) AS text_sha256, substring(text, 3, 5) AS piece, substring(text, 5, 5) || ' ' || substring(text, 1, 3) AS joined FROM documents",
     "tags_as_entities": f'WITH {SENTENCES} SELECT doc_id, sent_idx, s AS start, e AS "end", tag AS label FROM spans',
     "index_codec": "SELECT doc_id, array_to_string(range(0, doc_id % 5 + 1), '-') || '-#-' || (doc_id % 3 + 2) AS packed, array_to_string(range(0, doc_id % 5 + 1), ',') AS index_list, CAST(doc_id % 3 + 2 AS INTEGER) AS type FROM documents",
-    "token_roles": f"""WITH {TOKENS} SELECT doc_id, s AS ts, e AS te, ss, se, CASE WHEN e <= s THEN 'N' WHEN s < ss OR e > se THEN 'O' WHEN s > ss THEN 'I' ELSE 'B' END AS role FROM tok, (VALUES (0, 5), (2, 4), (0, 100)) x(ss, se) WHERE pos < 3""",
+    "token_roles": f"""WITH {TOKENS} SELECT doc_id, ss, se, CASE WHEN e <= s THEN 'N' WHEN s < ss OR e > se THEN 'O' WHEN s > ss THEN 'I' ELSE 'B' END AS role, count(*) AS n FROM tok, (VALUES (0, 5), (2, 400), (100, 100000)) x(ss, se) GROUP BY ALL""",
     "number_lists": "SELECT doc_id, 0 AS at, CAST(0.5 AS DOUBLE) AS number FROM documents UNION ALL SELECT doc_id, 1, CAST(doc_id % 7 AS DOUBLE) FROM documents",
     "plain_names": f"WITH {MAPPING} SELECT source_type, replace(translate(replace(source_type, ',', ''), '_-', '  '), ' ', '') AS plain FROM mapping",
     "f1_of_counts": f"SELECT doc_id, {_prf('(doc_id % 5)', '(doc_id % 7)', '(doc_id % 11)').replace('WHEN (doc_id % 5) > 0 THEN 2', 'WHEN (doc_id % 5) > 0 AND (doc_id % 7) > 0 AND (doc_id % 11) > 0 THEN 2')} FROM documents",
@@ -242,8 +242,8 @@ ORACLES: dict[str, str] = {
     "split_overlaps": f"SELECT doc_id, count(DISTINCT split) AS n_splits FROM ({TWICE}) GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "missing_split_labels": f"""WITH {GOLD}, m AS (SELECT DISTINCT label, {SPLIT} AS split FROM gold), wanted AS (SELECT split, label FROM (VALUES ('train'), ('eval'), ('test')) s(split), (SELECT 'L' || i AS label FROM range({L + 1}) t(i)))
         SELECT split, label FROM wanted ANTI JOIN (SELECT * FROM m WHERE label <> 'L3' OR split <> 'eval') x USING (split, label)""",
-    "split_search": """WITH d AS (SELECT doc_id, 1 + doc_id % 9 AS sentences, doc_id % 4 AS nested, doc_id % 3 AS same_span FROM documents),
-        g AS (SELECT c AS candidate, d.*, sum(sentences) OVER (PARTITION BY c ORDER BY (doc_id * (2 * c + 1) * 7919 + c * 104729) % 1000003, doc_id) - sentences AS upto, sum(sentences) OVER (PARTITION BY c) AS whole FROM range(50) t(c), d),
+    "split_search": f"""WITH d AS (SELECT doc_id, 1 + doc_id % 9 AS sentences, doc_id % 4 AS nested, doc_id % 3 AS same_span FROM documents),
+        g AS (SELECT c AS candidate, d.*, sum(sentences) OVER (PARTITION BY c ORDER BY (doc_id * (2 * c + 1) * 7919 + c * 104729) % 1000003, doc_id) - sentences AS upto, sum(sentences) OVER (PARTITION BY c) AS whole FROM range({CANDIDATES}) t(c), d),
         p AS (SELECT *, CASE WHEN upto < 0.7 * whole THEN 'train' WHEN upto < (0.7::DOUBLE + 0.1::DOUBLE) * whole THEN 'eval' ELSE 'test' END AS split FROM g),
         s AS (SELECT candidate, split, sum(sentences) AS a, sum(nested) AS b, sum(same_span) AS c FROM p GROUP BY ALL),
         o AS (SELECT candidate, sum(off) AS off FROM (SELECT candidate, abs(a / CAST(greatest(sum(a) OVER w, 1) AS DOUBLE) - goal) + abs(b / CAST(greatest(sum(b) OVER w, 1) AS DOUBLE) - goal) + abs(c / CAST(greatest(sum(c) OVER w, 1) AS DOUBLE) - goal) AS off

@@ -13,6 +13,7 @@ from spanloom.session import table
 QUERIES: dict = {}
 MAX_LENGTH = 48
 COVERAGE = (128, 256, 384, 512)
+CANDIDATES = 500
 NEXT_GRID, HEAD_GRID = (30, 40, 50, 60, 70), (30, 40, 50, 60, 70)
 
 
@@ -132,10 +133,11 @@ def index_codec(spark, sf_dir):
 
 @query
 def token_roles(spark, sf_dir):
-    t = fx.doc_tokens(spark, sf_dir).filter("pos < 3").select("doc_id", F.col("start").alias("ts"), F.col("end").alias("te"))
-    spans = F.explode(F.array(*[F.struct(F.lit(a).alias("ss"), F.lit(b).alias("se")) for a, b in ((0, 5), (2, 4), (0, 100))]))
+    t = fx.doc_tokens(spark, sf_dir).select("doc_id", F.col("start").alias("ts"), F.col("end").alias("te"))
+    spans = F.explode(F.array(*[F.struct(F.lit(a).alias("ss"), F.lit(b).alias("se")) for a, b in ((0, 5), (2, 400), (100, 100000))]))
     both = t.select("doc_id", "ts", "te", spans.alias("x")).select("doc_id", "ts", "te", "x.*")
-    return both.withColumn("role", fn.token_role(F.col("ts"), F.col("te"), F.col("ss"), F.col("se")))
+    role = fn.token_role(F.col("ts"), F.col("te"), F.col("ss"), F.col("se"))
+    return both.withColumn("role", role).groupBy("doc_id", "ss", "se", "role").agg(F.count("*").alias("n"))
 
 
 @query
@@ -282,7 +284,7 @@ def missing_split_labels(spark, sf_dir):
 def split_search(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", (1 + F.col("doc_id") % 9).alias("sentences"), (F.col("doc_id") % 4).alias("nested"), (F.col("doc_id") % 3).alias("same_span"))
     l = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("L"), (F.col("doc_id") % 5).cast("string")).alias("label"))
-    return splits.split_search(d, l, {"train": 0.7, "eval": 0.1, "test": 0.2}, 50).withColumn("score", F.round("score", 6))
+    return splits.split_search(d, l, {"train": 0.7, "eval": 0.1, "test": 0.2}, CANDIDATES).withColumn("score", F.round("score", 6))
 
 
 @query
