@@ -10,9 +10,10 @@ their weighted Jaccard similarity.
 1. Texts with the same sequence of words are one node. Copies cost one row each and never meet again.
 2. BANDS bands of ROWS coordinates make buckets. In each bucket every node is paired with one hub, not with every other node.
 3. Pairs are verified against the shingles of both whole texts, and verified links joined into components.
-4. A bucket whose nodes lie in several components still may hide links. More hubs are tried there; then all remaining pairs
-   between different components of a bucket, apart from those that the triangle inequality of Jaccard distance rules out by
-   the distances to a common hub. So no link between candidates is lost, and a bucket whose nodes are joined already costs nothing.
+4. A bucket whose nodes lie in several components still may hide links. Another hub is tried there; then the nodes of different
+   components of a bucket are compared: pair by pair in small buckets, apart from pairs that the triangle inequality of Jaccard distance
+   rules out by the distances to a common hub; block against block in large ones, where one link for each two components comes out, never
+   the pairs. So no link between candidates is lost, and a bucket whose nodes are joined already costs nothing.
 
 Verification compares 32-bit shingle ids: the chance of a wrong common shingle is below n * n / 2**32 for texts of n shingles.
 
@@ -34,7 +35,9 @@ from spanloom.llm.shared import written
 from spanloom.llm.skew import join_unique
 from spanloom.llm.words import U, Words, chunks, mix, range_hashes, split_words
 
-SHINGLE, SIMILAR, BANDS, ROWS, DARTS_PER_COORDINATE, HUB_ROUNDS = 5, 0.8, 20, 5, 8, 3
+SHINGLE, SIMILAR, BANDS, ROWS, DARTS_PER_COORDINATE, HUB_ROUNDS = 5, 0.8, 20, 5, 8, 1
+#: Buckets of up to LIGHT nodes are compared pair by pair, larger ones in blocks of about BLOCK nodes.
+LIGHT, BLOCK = 32, 1024
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, i + 1, dtype=float)) for i in range(18)])
 
 
@@ -156,7 +159,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     degree = pairs.groupBy("b").agg(F.count("*").alias("degree"))
     total = pairs.count()
     salts = F.ceil(F.col("degree") * 1000 / F.lit(max(total, 1))).cast("int")
-    known = written(degree.select("b", "degree", salts.alias("salts")), "degree")
+    known = written(degree.select("b", "degree", salts.alias("salts")), "degree", narrow=True)
     spread = join_unique(pairs, known, ["b"], "degree", total).withColumn("salt", F.pmod(F.hash("a"), F.col("salts")))
     left = spread.join(sets.select(F.col("node").alias("a"), F.col("ids").alias("of_a")), "a").select("a", "b", "salt", "of_a")
     right = sets.withColumnRenamed("node", "b").join(known, "b").select("b", F.col("ids").alias("of_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
@@ -169,15 +172,68 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(left.join(right, ["b", "salt"]).select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, similarity double"), "verified")
 
 
+def block_links(node: np.ndarray, component: np.ndarray, side: np.ndarray, ids: list[bytes]) -> list[tuple[int, int]]:
+    """One link for each two components that have any, among the nodes of one block (side all 0) or between two (sides 0 and 1)."""
+    sets = [np.frombuffer(x, np.uint32) for x in ids]
+    size = np.array([len(x) for x in sets])
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = times[at] > 1  # what only one node has is in no intersection
+    owner, column = owner[shared], number[at[shared]]
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if side.any() else a
+    both = np.zeros((len(a), len(b)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        x, y = np.searchsorted(column, (first, first + 2048))
+        part = np.zeros((len(sets), 2048), dtype=np.float32)
+        part[owner[x:y], column[x:y] - first] = 1
+        both += part[a] @ part[b].T
+    near = both >= SIMILAR * np.maximum(size[a][:, None] + size[b][None, :] - both, 1)
+    known, label = np.unique(component, return_inverse=True)
+    i, j = np.nonzero(near & (label[a][:, None] != label[b][None, :]))
+    _, pick = np.unique(np.minimum(label[a[i]], label[b[j]]) * len(known) + np.maximum(label[a[i]], label[b[j]]), return_index=True)
+    return list(zip(node[a[i[pick]]].tolist(), node[b[j[pick]]].tolist(), strict=True))
+
+
+def heavy_links(unresolved: DataFrame, sets: DataFrame) -> DataFrame:
+    """a and b: links between the components of large buckets, found block against block."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = unresolved.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), (F.col("own") > o).cast("int").alias("side")))
+    spread = own.select("band", "node", "component", F.explode(tasks).alias("t")).select("band", "node", "component", "t.*").join(sets, "node")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list) -> pa.RecordBatch:
+            found = block_links(np.array([h[1] for h in held]), np.array([h[2] for h in held]), np.array([h[3] for h in held]), [h[4] for h in held])
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+
+        held: list = []
+        for batch in batches:
+            c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            for row in zip(zip(c["band"], c["i"], c["j"], strict=True), c["node"], c["component"], c["side"], c["ids"], strict=True):
+                if held and held[0][0] != row[0]:
+                    yield out(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield out(held)
+
+    return spread.repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of links (a, b): smallest label of all neighbours, then label of the label."""
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", narrow=True)
+    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels", narrow=True)
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         pulled = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("low"))
         jumped = pulled.join(labels.select(F.col("node").alias("low"), F.col("label").alias("above")), "low").select("node", F.least("low", "above").alias("label"), F.col("label").alias("old"))
-        now = written(jumped, "labels")
+        now = written(jumped, "labels", narrow=True)
         labels = now.select("node", "label")
         if now.filter("label <> old").limit(1).count() == 0:
             return labels.withColumnRenamed("label", "component")
@@ -190,39 +246,36 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     nodes = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("lead"), F.count("*").alias("size"), F.first("bands").alias("bands"))
     nodes = written(nodes.select("digest", F.col("lead.key").alias("key"), F.col("lead.id").alias("first_id"), "size", "bands", F.monotonically_increasing_id().alias("node")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = written(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    buckets = written(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "buckets", narrow=True)
     total = nodes.count() * BANDS
-    inside = written(join_unique(members, buckets, ["band"], "n", total), "inside")
+    inside = written(join_unique(members, buckets, ["band"], "n", total), "inside", narrow=True)
     involved = inside.select("node").distinct().join(nodes.select("node", "key", "digest"), "node")
     sets = written(shingle_ids(texts.select("key", "text").join(involved.hint("shuffle_hash"), "key")).dropDuplicates(["node"]), "sets")
-    tested = verified(written(inside.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs"), sets)
+    tested = verified(written(inside.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs", narrow=True), sets)
     links = tested.filter(F.col("similarity") >= SIMILAR)
     label = components(links)
     for step in range(HUB_ROUNDS + 1):
         placed = inside.select("node", "band", "hub").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", F.hash(F.col("node"), F.lit(step))).alias("next"), F.count("*").alias("n")).filter("low <> high")
-        open_bands = written(open_bands, "open")
-        unresolved = written(join_unique(placed, open_bands.select("band", "next", "n"), ["band"], "n", total), "unresolved")
+        unresolved = written(join_unique(placed, written(open_bands.select("band", "next", "n"), "open", narrow=True), ["band"], "n", total), "unresolved", narrow=True)
         if step < HUB_ROUNDS:
             pairs = unresolved.filter("node <> next").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b"))
+            fresh = unresolved.limit(0).select(F.col("node").alias("a"), F.col("hub").alias("b"))
         else:
+            light = F.col("n") <= LIGHT
             near = tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("far"))
-            side = unresolved.join(near, ["node", "hub"], "left").withColumn("far", F.coalesce("far", F.when(F.col("node") == F.col("hub"), 0.0)))
+            side = unresolved.filter(light).join(near, ["node", "hub"], "left").withColumn("far", F.coalesce("far", F.when(F.col("node") == F.col("hub"), 0.0)))
             x, y = side.alias("x"), side.alias("y")
             apart = F.col("x.far").isNull() | F.col("y.far").isNull() | (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - SIMILAR + 1e-3)
             joined = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & apart)
             pairs = joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            fresh = written(heavy_links(unresolved.filter(~light), sets), "heavy")
         done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
-        if pairs.limit(1).count() == 0:
-            if step < HUB_ROUNDS:
-                continue
-            break
-        found = verified(pairs, sets)
+        found = verified(written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs", narrow=True), sets)
         tested = tested.unionByName(found)
-        fresh = found.filter(F.col("similarity") >= SIMILAR)
+        fresh = fresh.unionByName(found.filter(F.col("similarity") >= SIMILAR).select("a", "b"))
         if fresh.limit(1).count():
-            links = links.unionByName(fresh)
+            links = links.select("a", "b").unionByName(fresh)
             label = components(links)
     named = nodes.select("node", "digest", "key", "first_id", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("best"))
