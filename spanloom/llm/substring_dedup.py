@@ -34,6 +34,8 @@ from spanloom.llm.words import U, Words, chunks, mix, range_hashes, split_words
 
 WINDOW, GRAM = 35, 4
 GRAMS = WINDOW - GRAM + 1
+#: Bits of a word's place beside the 40 bits of its hash; longer texts count places anew.
+PLACE_BITS = 24
 #: Keys that may be broadcast at once: 16 MB of longs; beyond it the texts are joined by a shuffle.
 BROADCAST_KEYS = 2_000_000
 
@@ -51,7 +53,9 @@ def segments(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         return none
     at = np.arange(n - GRAM + 1)
     gram = range_hashes(key, at, at + GRAM, 5)
-    low = (gram >> U(24) << U(24)) | at.astype(U)  # ties go to the first; a chunk has fewer than 2**24 words
+    bits, places = U(PLACE_BITS), (1 << PLACE_BITS) - 1
+    high = gram >> U(24)
+    low = (high << bits) | (at & places).astype(U)  # ties go to the first
     step = 1
     while step < GRAMS:  # GRAMS is a power of two
         low = np.minimum(low[:-step], low[step:])
@@ -62,7 +66,9 @@ def segments(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     first = first[owner[first] == owner[first + WINDOW - 1]]
     if not len(first):
         return none
-    anchor = (low[first] & U((1 << 24) - 1)).astype(np.int64)
+    anchor = first + ((low[first] & U(places)).astype(np.int64) - first & places)
+    for i in np.flatnonzero(first >> PLACE_BITS != first + GRAMS - 1 >> PLACE_BITS).tolist():  # places begin anew within the window
+        anchor[i] = first[i] + np.argmin(high[first[i] : first[i] + GRAMS])
     new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1] + 1)))
     count = np.diff(np.append(new, len(first)))
     begin = first[new]

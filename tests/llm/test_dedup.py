@@ -110,6 +110,15 @@ def test_substring_dedup_equals_brute_force(spark, documents):
     assert substring_dedup.substring_dedup(documents([])).count() == 0
 
 
+def test_anchors_do_not_depend_on_the_place_in_a_text(monkeypatch):
+    rng = random.Random(2)
+    data = np.frombuffer(" ".join(rng.choices(["a", "b", "c", "dd"], k=3000)).encode(), np.uint8)
+    words = substring_dedup.split_words(data, np.array([0, len(data)]))
+    whole = [x.tolist() for x in substring_dedup.segments(words)]
+    monkeypatch.setattr(substring_dedup, "PLACE_BITS", 6)
+    assert [x.tolist() for x in substring_dedup.segments(words)] == whole
+
+
 def brute_lines(rows):
     """Lines that go, by the rules of the template tree on Python strings."""
     parsed = []
