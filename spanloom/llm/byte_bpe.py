@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.llm.piece_cache import PieceCache, distinct, gather
 from spanloom.llm.words import chunks
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Pre-tokens of up to SHORT bytes are merged together, BATCH at once; buckets of up to FEW positions without arrays.
 SHORT, BATCH, FEW = 64, 200_000, 6
 NONE = (1 << 31) - 1
