@@ -93,7 +93,7 @@ def scheduled(docs: DataFrame, weights: DataFrame | None = None, id_column: str
     within = Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_order", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("mix_before", F.coalesce(F.sum("mix_size").over(within), F.lit(0).cast("long"))).join(bases, ["mix_key", "mix_bucket"])
     blocks = placed.withColumn("mix_block", F.floor((F.col("mix_base") + F.col("mix_before")) / F.lit(block_size)).cast("long"))
-    table = cycle(weights)  # a row for each slot of a cycle
+    table = written(cycle(weights), "cycle", narrow=True)  # a row for each slot of a cycle
     share = table.select("mix_key", F.col("n").alias("mix_n"), F.col("total").alias("mix_total")).distinct()
     slots = blocks.join(F.broadcast(share), "mix_key").withColumn("mix_i", F.col("mix_block") % F.col("mix_n"))
     slots = slots.join(F.broadcast(table.select("mix_key", F.col("i").alias("mix_i"), F.col("at").alias("mix_at"))), ["mix_key", "mix_i"])
