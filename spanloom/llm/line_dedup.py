@@ -1,10 +1,14 @@
 """Line deduplication by a log-template tree.
 
 A line is parsed down a tree of fixed depth: by its number of tokens, then by its first DEPTH tokens, where a token that holds a digit or
-an at sign is a variable <*>. In a leaf the rest of the line is cut into at most FIELDS fields. A field is constant if more than half of
-the leaf's distinct lines agree on it, else variable; lines that agree with at least SIMILAR of the leaf's fields have the leaf's
-template, any other line has itself (with its variables) as template. A line of variables only is its own template, unmasked.
-The outcome does not depend on the order of lines, and no leaf is gathered in a task: it is counted field by field.
+an at sign is a variable <*>. A leaf holds any number of templates. Its distinct lines are taken in the order of their first places: a line
+that agrees with no founder so far in at least SIMILAR of all its tokens, one by one and leading tokens included, founds a template.
+Every other line has the template of the founder it agrees with in most tokens (of equal ones, the earliest). A line of variables only
+is its own template, unmasked. The outcome depends on ids and texts alone, not on the order of rows.
+
+Tokens are read again for lines whose leaf holds several distinct ones, by way of a bitmap of leaf hashes of fixed size; what it lets
+through besides falls out in the join. The distinct lines of a leaf meet in one task; large leaves compare a founder only with lines that share
+a part of the line with it, of which there is one more than tokens may differ, so that no similar line is passed over.
 
 A template that recurs across documents is dropped everywhere but at its first place (smallest id, then first line), so that one copy of
 every passage stays. Lines of fewer than MIN_TOKENS tokens are left alone.
@@ -16,6 +20,7 @@ empty result; other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +32,16 @@ from spanloom.llm.shared import written
 from spanloom.llm.skew import join_unique
 from spanloom.llm.words import U, chunks, mix, range_hashes, split_words
 
-DEPTH, FIELDS, SIMILAR, MIN_TOKENS = 3, 8, 0.75, 3
+DEPTH, FIELDS, SIMILAR, MIN_TOKENS = 3, 8, 0.75, 3  # FIELDS: for the brute force of the tests alone
+#: Words of 64 bits in the bitmap of leaves; distinct lines from which on a leaf is searched by parts.
+BITMAP_WORDS, LARGE = 1 << 19, 512
 _VARIABLE = np.zeros(256, dtype=bool)
 _VARIABLE[[*range(0x30, 0x3A), 0x40]] = True
 _STAR = U(0x5851F42D4C957F2D)
 
 
 def parse_lines(data: np.ndarray, text_ptr: np.ndarray) -> dict[str, np.ndarray]:
-    """text, line, tokens, leaf, exact and fields (with their bounds) of each line that has MIN_TOKENS or more."""
+    """text, line, tokens, leaf, exact and place (begin, among the hashes masked of all words) of each line that has MIN_TOKENS or more."""
     words = split_words(data, text_ptr)
     plain = words.hashes()
     marks = np.concatenate([[0], np.cumsum(_VARIABLE[data])])
@@ -54,16 +61,11 @@ def parse_lines(data: np.ndarray, text_ptr: np.ndarray) -> dict[str, np.ndarray]
     head = new + np.minimum(n, DEPTH)
     leaf = mix(range_hashes(masked, new, head) + n.astype(U) * U(0x9E3779B97F4A7C15))
     leaf = np.where(only, exact, leaf)
-    count = np.minimum(n - np.minimum(n, DEPTH), FIELDS)
-    bounds = np.concatenate([[0], np.cumsum(count)])
-    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], count)
-    rest, of, a = np.repeat(end - head, count), np.repeat(count, count), np.repeat(head, count)
-    fields = range_hashes(masked, a + at * rest // np.maximum(of, 1), a + (at + 1) * rest // np.maximum(of, 1))
-    return {"text": text, "line": line[new] - np.searchsorted(breaks, text_ptr[text]), "tokens": n, "leaf": leaf, "exact": exact, "bounds": bounds, "fields": fields}
+    return {"text": text, "line": line[new] - np.searchsorted(breaks, text_ptr[text]), "tokens": n, "leaf": leaf, "exact": exact, "begin": new, "masked": masked}
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """key, id, line, leaf, exact and fields of each line; docs has dedup_key, id and text."""
+    """key, id, line, leaf and exact of each line; docs has dedup_key, id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -71,31 +73,116 @@ def line_rows(docs: DataFrame) -> DataFrame:
                 x = parse_lines(data, ptr)
                 at = pa.array(x["text"])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        rows.column("dedup_key").take(at), rows.column("id").take(at), pa.array(x["line"].astype(np.int32)), pa.array(x["leaf"].view(np.int64)), pa.array(x["exact"].view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(x["bounds"].astype(np.int32)), pa.array(x["fields"].view(np.int64).astype(np.int32))),
-                    ],
-                    names=["dedup_key", "id", "line", "leaf", "exact", "fields"],
-                )
+                    [rows.column("dedup_key").take(at), rows.column("id").take(at), pa.array(x["line"].astype(np.int32)), pa.array(x["leaf"].view(np.int64)), pa.array(x["exact"].view(np.int64))],
+                    names=["dedup_key", "id", "line", "leaf", "exact"],
+                )
+
+    return docs.mapInArrow(run, f"dedup_key long, id {dict(docs.dtypes)['id']}, line int, leaf long, exact long")
+
+
+def leaf_bitmap(leaves: DataFrame) -> np.ndarray:
+    """BITMAP_WORDS words with the bits of the leaves set."""
+    word, bit = F.shiftrightunsigned("leaf", 6).bitwiseAND(F.lit(BITMAP_WORDS - 1)), F.expr("shiftleft(1L, cast(leaf & 63 as int))")
+    found = leaves.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP_WORDS, dtype=U)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy().view(U)
+    return bitmap
 
-    return docs.mapInArrow(run, f"dedup_key long, id {dict(docs.dtypes)['id']}, line int, leaf long, exact long, fields array<int>")
 
+def token_rows(docs: DataFrame, leaves: DataFrame) -> DataFrame:
+    """leaf, exact and tokens (hashes) of the distinct lines of each slice of text that fall into the leaves, and of a few others."""
+    bitmap = docs.sparkSession.sparkContext.broadcast(leaf_bitmap(leaves))
 
-def templates(lines: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, ptr in chunks(batch, "text"):
+                x = parse_lines(data, ptr)
+                leaf = x["leaf"]
+                at = np.flatnonzero((bitmap.value[(leaf >> U(6)) & U(BITMAP_WORDS - 1)] >> (leaf & U(63))) & U(1))
+                at = at[np.unique(x["exact"][at], return_index=True)[1]]
+                n = x["tokens"][at]
+                bounds = np.concatenate([[0], np.cumsum(n)])
+                tokens = x["masked"][np.arange(bounds[-1]) + np.repeat(x["begin"][at] - bounds[:-1], n)]
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[at].view(np.int64)), pa.array(x["exact"][at].view(np.int64)), lists], names=["leaf", "exact", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "leaf long, exact long, tokens array<long>")
+
+
+def founders(tokens: np.ndarray) -> np.ndarray:
+    """For each line (a row of token hashes; rows in order of their first places) the row whose template it has."""
+    m, n = tokens.shape
+    need = math.ceil(SIMILAR * n)
+    cuts = DEPTH + np.arange(n - need + 2) * (n - DEPTH) // (n - need + 1)
+    parts = []
+    if m >= LARGE and n - DEPTH > n - need:  # else every line agrees with the first in its leading tokens alone
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            h = range_hashes(tokens[:, a:b].reshape(-1), np.arange(m) * (b - a), np.arange(1, m + 1) * (b - a))
+            order = np.argsort(h, kind="stable")
+            parts.append((h, h[order], order))
+    of, most, rows = np.zeros(m, np.int64), np.zeros(m, np.int64), np.arange(m)
+    for i in range(m):
+        if most[i]:
+            continue
+        if parts:
+            rows = np.unique(np.concatenate([order[np.searchsorted(ranked, h[i]) : np.searchsorted(ranked, h[i], "right")] for h, ranked, order in parts]))
+        agree = (tokens[rows] == tokens[i]).sum(1)
+        better = (agree >= need) & (agree > most[rows])
+        of[rows[better]], most[rows[better]] = i, agree[better]
+    return of
+
+
+def joined_lines(batch: pa.Table) -> pa.RecordBatch:
+    """leaf, exact and founder (its exact) of the lines that have another's template; batch holds whole leaves, in order."""
+    leaf, exact, lists = batch["leaf"].to_numpy(), batch["exact"].to_numpy(), batch["tokens"].combine_chunks()
+    flat, ptr = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    begin = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
+    size = np.diff(np.append(begin, len(leaf)))
+    of = np.arange(len(leaf))
+    two = begin[size == 2]
+    if len(two):  # most leaves
+        n = ptr[two + 1] - ptr[two]
+        at = np.concatenate([[0], np.cumsum(n)])
+        first = np.arange(at[-1]) + np.repeat(ptr[two] - at[:-1], n)
+        alike = np.add.reduceat((flat[first] == flat[first + np.repeat(n, n)]).astype(np.int64), at[:-1]) >= SIMILAR * n
+        of[two[alike] + 1] = two[alike]
+    for a, m in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        of[a : a + m] = a + founders(flat[ptr[a] : ptr[a + m]].reshape(m, -1).view(U))
+    moved = of != np.arange(len(of))
+    return pa.RecordBatch.from_arrays([pa.array(leaf[moved]), pa.array(exact[moved]), pa.array(exact[of[moved]])], names=["leaf", "exact", "founder"])
+
+
+def _join_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []  # of the last leaf
+    for batch in (b for b in batches if b.num_rows):
+        leaf = batch["leaf"].to_numpy()
+        cut = int(np.flatnonzero(leaf != leaf[-1])[-1]) + 1 if leaf[0] != leaf[-1] else 0
+        if held and (cut or held[-1]["leaf"][0].as_py() != leaf[0]):
+            yield joined_lines(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        elif cut:
+            yield joined_lines(pa.Table.from_batches([batch.slice(0, cut)]))
+        held.append(batch.slice(cut))
+    if held:
+        yield joined_lines(pa.Table.from_batches(held))
+
+
+def templates(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """leaf, exact, template, first (place), last and size of each distinct line."""
     place = F.struct("id", "dedup_key", "line")
-    distinct = written(lines.groupBy("leaf", "exact").agg(F.min(place).alias("first"), F.min("dedup_key").alias("low"), F.max("dedup_key").alias("high"), F.count("*").alias("size"), F.first("fields").alias("fields")), "lines")
-    several = distinct.groupBy("leaf").agg(F.count("*").alias("members")).filter("members > 1")
-    parts = distinct.join(several, "leaf").select("leaf", "exact", "members", F.size("fields").alias("n"), F.posexplode("fields").alias("at", "field"))
-    constant = parts.groupBy("leaf", "at", "field").agg(F.count("*").alias("c"), F.max("members").alias("m")).filter("c * 2 > m").select("leaf", "at", "field")
-    alike = parts.join(constant, ["leaf", "at", "field"]).groupBy("leaf", "exact").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= SIMILAR * F.col("n")).select("leaf", "exact", F.lit(True).alias("joined"))
-    return distinct.drop("fields").join(alike, ["leaf", "exact"], "left").withColumn("template", F.when(F.col("joined"), F.struct("leaf", F.lit(0).cast("long").alias("exact"))).otherwise(F.struct("leaf", "exact")))
+    distinct = written(lines.groupBy("leaf", "exact").agg(F.min(place).alias("first"), F.min("dedup_key").alias("low"), F.max("dedup_key").alias("high"), F.count("*").alias("size")), "lines")
+    several = distinct.groupBy("leaf").agg(F.count("*").alias("members")).filter("members > 1").select("leaf")
+    wanted = written(distinct.join(several, "leaf").select("leaf", "exact", "first"), "leaves")
+    tokens = token_rows(docs, wanted.select("leaf")).groupBy("leaf", "exact").agg(F.first("tokens").alias("tokens"))
+    whole = wanted.join(tokens, ["leaf", "exact"]).repartition("leaf").sortWithinPartitions("leaf", "first", "exact").select("leaf", "exact", "tokens")
+    joined = whole.mapInArrow(_join_leaves, "leaf long, exact long, founder long")
+    return distinct.join(joined, ["leaf", "exact"], "left").withColumn("template", F.struct("leaf", F.coalesce("founder", "exact").alias("exact"))).drop("founder")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """dedup_key and the array of line numbers (from 0) that go."""
     lines = written(line_rows(docs), "lines")
-    found = written(templates(lines), "templates")
+    found = written(templates(lines, docs), "templates")
     recurring = found.groupBy("template").agg(F.min("first").alias("place"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("template", "place")
     places = found.join(recurring, "template").select("leaf", "exact", "size", "place")
     total = lines.count()

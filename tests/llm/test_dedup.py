@@ -173,6 +173,60 @@ def test_line_dedup_equals_brute_force(spark, documents):
     assert sorted((str(r.row.doc_id), r.text) for r in again) == [("1", ""), ("1", ""), ("None", "a b c d")]
 
 
+def brute_templates(rows, similar=0.75):
+    """Lines that go when a leaf keeps any number of templates: token by token on Python strings, without fields or majorities."""
+    places = {}
+    for doc, text in rows:
+        for at, line in enumerate((text or "").split("\n")):
+            masked = tuple("<*>" if re.search(r"[0-9@]", t) else t for t in WORD.findall(line))
+            if len(masked) >= 3 and set(masked) != {"<*>"}:
+                places.setdefault(masked, []).append((doc, at))
+    agree = lambda a, b: sum(x == y for x, y in zip(a, b))
+    near = lambda a, b: len(a) == len(b) and a[:3] == b[:3] and agree(a, b) >= similar * len(a)
+    order, kept = sorted(places, key=lambda m: min(places[m])), []
+    for m in order:
+        if not any(near(m, f) for f in kept):
+            kept.append(m)
+    groups = {}
+    for m in order:
+        groups.setdefault(max((f for f in kept if near(m, f)), key=lambda f: agree(m, f)), []).extend(places[m])
+    return {p for g in groups.values() if len({d for d, _ in g}) > 1 for p in g if p != min(g)}
+
+
+def test_a_leaf_keeps_several_templates(spark, documents, monkeypatch):
+    rng = random.Random(11)
+    made = lambda n: ["the page was", *prose(rng, n)]
+    bases = [made(n) for n in (1, 2, 5, 5, 5, 9, 9, 27, 97)] + [["the page was", *rng.choices("ab", k=9)] for _ in range(4)]
+    rows = []
+    for i in range(60):
+        lines = []
+        for base in rng.sample(bases, 6):
+            line = list(base)
+            for _ in range(rng.randint(0, 3)):
+                line[rng.randrange(1, len(line))] = rng.choice([*prose(rng, 1), "a", "7"])
+            lines.append(" ".join(line))
+        rows.append((i, "\n".join([*lines, " ".join(made(9))])))
+    long = prose(rng, 100)
+    rows += [(100 + i, " ".join(f"w{'xyz'[i]}" if k in (20, 50, 80) else w for k, w in enumerate(long))) for i in range(3)]  # 97 of 100 tokens agree
+    expected = brute_templates(rows)
+    assert {(101, 0), (102, 0)} < expected
+    for large in (line_dedup.LARGE, 3):
+        monkeypatch.setattr(line_dedup, "LARGE", large)
+        out = line_dedup.line_dedup(documents(rows)).select("row.doc_id", "lines").collect()
+        assert {(r.doc_id, at) for r in out for at in r.lines or []} == expected
+
+
+def test_founders_do_not_depend_on_the_search_by_parts(monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (4, 5, 8, 13, 40):
+        tokens = rng.integers(0, 3, (300, n)).astype(np.uint64)
+        tokens[:, :3] = 7
+        whole = line_dedup.founders(tokens).tolist()
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup, "LARGE", 1)
+            assert line_dedup.founders(tokens).tolist() == whole
+
+
 def test_kept_digest_of_op5(spark):
     out = substring_dedup.op5_substring_dedup(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
