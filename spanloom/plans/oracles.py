@@ -288,3 +288,10 @@ ORACLES: dict[str, str] = {
     "threshold_sweep": f"WITH {SWEEP} SELECT * FROM scored",
     "best_threshold": f"WITH {SWEEP} SELECT * FROM scored ORDER BY f1 DESC, precision DESC, recall DESC, cell LIMIT 1",
 }
+
+# The reference's 25 cells: the SQL of the nine-cell sweep over the cells of threshold_grid.
+SWEEP_25 = SWEEP.replace(NINE, ORACLES["threshold_grid"].replace("n AS next_threshold, h AS head_threshold", "n AS nt, h AS ht"))
+ORACLES |= {
+    "threshold_sweep_25": f"WITH {SWEEP_25} SELECT * FROM scored",
+    "best_threshold_25": f"WITH {SWEEP_25} SELECT * FROM scored ORDER BY f1 DESC, precision DESC, recall DESC, cell LIMIT 1",
+}

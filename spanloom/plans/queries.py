@@ -468,3 +468,14 @@ def threshold_sweep(spark, sf_dir):
 @query
 def best_threshold(spark, sf_dir):
     return metrics.best_setting(threshold_sweep(spark, sf_dir), "cell")
+
+
+@query
+def threshold_sweep_25(spark, sf_dir):
+    """Over all cells of the reference's sweep."""
+    return decode.sweep(fx.grid(spark, sf_dir), fx.grid_gold(spark, sf_dir), threshold_grid(spark, sf_dir), ["doc_id"])
+
+
+@query
+def best_threshold_25(spark, sf_dir):
+    return metrics.best_setting(threshold_sweep_25(spark, sf_dir), "cell")

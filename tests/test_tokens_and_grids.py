@@ -69,6 +69,26 @@ def test_decode_random_grids(spark):
     assert found == expected
 
 
+def test_sweep_over_the_cells_of_the_reference(spark, tmp_path):
+    from spanloom.plans import queries
+
+    docs = list(range(0, 60, 7))
+    spark.createDataFrame([(d,) for d in docs], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    score = lambda d, r, c, ch: (d * 31 + r * 17 + c * 13 + ch * 7) % 100
+    gold = {(d, (d % 6, d % 6 + 1), 2) for d in docs} | {(d, (d % 6,), 3) for d in docs}
+    expected = {}
+    for n in (30, 40, 50, 60, 70):
+        links = {d: [(i, j) for i in range(8) for j in range(i + 1, 8) if score(d, i, j, 1) > n] for d in docs}
+        for h in (30, 40, 50, 60, 70):
+            found = {(d, p, c) for d in docs for t in range(8) for a in range(t + 1) for c in (2, 3) if score(d, t, a, c) > h for p in paths(links[d], a, t) if p[-1] == t}
+            expected[n, h] = (len(found & gold), len(found), len(gold))
+    out = queries.QUERIES["threshold_sweep_25"](spark, str(tmp_path)).collect()
+    assert {(r.next_threshold, r.head_threshold): (r.correct, r.predicted, r.relevant) for r in out} == expected and len(out) == 25
+    f1 = lambda c, p, r: 2 * c / (p + r)
+    best = queries.QUERIES["best_threshold_25"](spark, str(tmp_path)).first()
+    assert abs(best.f1 - max(f1(*v) for v in expected.values())) < 1e-12 and abs(f1(*expected[best.next_threshold, best.head_threshold]) - best.f1) < 1e-12
+
+
 def test_structure_flags(spark):
     m = spark.createDataFrame([(1, 0, 9, "A"), (1, 0, 9, "B"), (1, 2, 4, "A"), (1, 0, 3, "A"), (1, 20, 22, "A"), (1, 2, 4, "A")], "id int, start int, end int, label string")
     flags = {(r.start, r.end): (r.same_span, r.nested, r.flat) for r in structure.structure(m, ["id"]).collect()}
