@@ -31,8 +31,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of what they decode to."""
-    return byte_bpe.round_trip(docs, *byte_bpe.multilingual_50k())
+    """Token counts and digests of the ids and of what they decode to, and the place of each document in the mixture."""
+    placed = pfair_mix.in_mixture(docs).select(F.struct("doc_id", "mix_position").alias("doc"), "text")
+    return byte_bpe.round_trip(placed, *byte_bpe.multilingual_50k(), id_column="doc").select("doc.doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "doc.mix_position")
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_dedup", near_copies), ("mixing", mixture), ("byte_bpe", encoding)]

@@ -113,13 +113,26 @@ def positions(placed: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None, **columns) -> DataFrame:
-    """docs in the order of the mixture: partitions are ranges of it, sorted within."""
+    """docs in the order of the mixture: partitions are ranges of it, sorted within; in_mixture() finds the order of a written table again."""
     placed = scheduled(docs, weights, **columns)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = placed.repartitionByRange(n, "mix_slot", "mix_order").sortWithinPartitions("mix_slot", "mix_order", "mix_id", "mix_size")
     return ordered.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
+def in_mixture(table: DataFrame) -> DataFrame:
+    """table, read from the Parquet files of mixed(), with mix_position from 0.
+
+    Spark reads files and their parts in any order, so places come from the files: each is a range of the mixture, numbered in its name by its
+    partition (and by a counter where a partition was cut), with its rows in order.
+    """
+    rows = table.select("*", F.col("_metadata.file_path").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    number = lambda pattern: F.regexp_extract("mix_file", pattern, 1).cast("long")
+    order = Window.orderBy(number(r"/part-(\d+)-[^/]*$"), number(r"-c(\d+)\.[^/]*$"))
+    bases = rows.groupBy("mix_file").agg(F.count("*").alias("c")).select("mix_file", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("mix_base"))
+    return rows.join(F.broadcast(bases), "mix_file").select(*[F.col(f"`{c}`") for c in table.columns], (F.col("mix_base") + F.col("mix_row")).alias("mix_position"))
+
+
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", F.length("text").alias("size"))
     placed = positions(scheduled(written(docs, "sizes"), text_column="size"))

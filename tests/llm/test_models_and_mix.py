@@ -124,3 +124,22 @@ def test_pipeline_stages_keep_the_columns(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert last.count() == before > 100
     assert docs.groupBy("text").agg(F.count("*").alias("n")).filter("n > 1").count() == 0
+
+
+def test_the_mixture_reaches_the_result_of_the_pipeline(spark, monkeypatch):
+    import corpus_pipeline
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    monkeypatch.setattr(pfair_mix.scheduled, "__defaults__", (*pfair_mix.scheduled.__defaults__[:-1], 2000))  # enough blocks on this few documents
+    sources = [r.source for r in docs.select("source").distinct().orderBy("source").collect()]
+    found = []
+    for heavy in sources[:2]:
+        weights = lambda d, *_, heavy=heavy: pfair_mix.given_weights(d, {s: 50.0 if s == heavy else 1.0 for s in sources})
+        monkeypatch.setattr(pfair_mix, "root_weights", weights)
+        at = {r.doc_id: r.mix_position for r in corpus_pipeline.run(spark, sf_dir).collect()}
+        assert at == {r.doc_id: r.mix_position for r in pfair_mix.positions(pfair_mix.scheduled(docs)).select("row.doc_id", "mix_position").collect()}
+        assert sorted(at.values()) == list(range(docs.count()))
+        found.append(at)
+    assert found[0] != found[1]
