@@ -16,11 +16,11 @@ from spanloom.functions.text import count_scores
 NEXT = 1
 
 
-def decode(grid: DataFrame, keys: Sequence[str], next_threshold, head_threshold, max_length: int = 100) -> DataFrame:
+def decode(grid: DataFrame, keys: Sequence[str], next_threshold, head_threshold) -> DataFrame:
     """keys, index array<int>, type: the distinct entities.
 
     Chains grow from the head, each only within the span of a marked (tail, head) and only over links from which the tail can still be reached,
-    so no dead end is carried on. The number of steps is the longest chain, at most max_length.
+    so no dead end is carried on. The number of steps is the number of tokens in the span.
     """
     keys = list(keys)
     marks = grid.filter((F.col("channel") > NEXT) & (F.col("score") > head_threshold) & (F.col("col") <= F.col("row"))).select(*keys, F.col("row").alias("tail"), F.col("col").alias("head"), F.col("channel").alias("type"))
@@ -37,7 +37,7 @@ def decode(grid: DataFrame, keys: Sequence[str], next_threshold, head_threshold,
     )
     useful = start.withColumn("links", inside).withColumn("reach", reach).withColumn("links", F.filter("links", lambda e: F.array_contains("reach", e["to"])))
     grown = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.col("tail") - F.col("head") + 1, F.lit(max_length))),
+        F.sequence(F.lit(1), F.col("tail") - F.col("head") + 1),
         F.struct(F.array(F.array("head")).alias("open"), F.array().cast("array<array<int>>").alias("done")),
         lambda s, _: F.struct(
             F.flatten(F.transform(F.filter(s["open"], lambda c: F.element_at(c, -1) != F.col("tail")), lambda c: F.transform(F.filter("links", lambda e: e["from"] == F.element_at(c, -1)), lambda e: F.concat(c, F.array(e["to"]))))).alias("open"),

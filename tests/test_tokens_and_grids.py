@@ -69,6 +69,12 @@ def test_decode_random_grids(spark):
     assert found == expected
 
 
+def test_decode_keeps_entities_of_any_length(spark):
+    n = 130
+    grid = spark.createDataFrame([(1, i, i + 1, 1, 0.9) for i in range(n - 1)] + [(1, n - 1, 0, 2, 0.9)], "rec int, row int, col int, channel int, score double")
+    assert [(list(r["index"]), r.type) for r in decode.decode(grid, ["rec"], F.lit(0.5), F.lit(0.5)).collect()] == [(list(range(n)), 2)]
+
+
 def test_sweep_over_the_cells_of_the_reference(spark, tmp_path):
     from spanloom.plans import queries
 
