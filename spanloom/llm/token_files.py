@@ -10,14 +10,16 @@ runs again after a lost executor replaces what it wrote before. Readers map the
 a file system, and read ranges of them elsewhere.
 
 Words are encoded once for each chunk and kept in a bounded cache: white space and the boundaries between ASCII or Latin-1 letters and other ASCII
-characters (apart from the apostrophe) always part tokens here, and ASCII letters are lowered by the tokenizer anyway.
+characters (apart from the apostrophe) always part tokens here, and ASCII letters are lowered by the tokenizer anyway. That holds for files with the
+normaliser and splitter below only; any other file is refused.
 
-Defined cases: a null or empty text has the end id only; texts of any length are encoded whole; repeated ids each keep a document,
+Defined cases: strings of the file's special tokens in a text become the special ids, as the library has it by default; a null or empty text has the end id only; texts of any length are encoded whole; repeated ids each keep a document,
 in the order of their texts; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -58,6 +60,31 @@ _SIGN[0x27] = False
 #: A sign that can take a combining mark in NFC is no safe boundary before other bytes; only letters may follow a cut.
 
 
+# What a tokenizer file must say about normalising and splitting for the cuts above to be safe.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+END_OF_WORD = "</w>"
+
+
+def special_tokens(tokenizer_file: str) -> list[str]:
+    """The special strings of a tokenizer file; fails if the file is not one that WordEncoder can cut."""
+    with open(tokenizer_file, encoding="utf-8") as lines:
+        spec = json.load(lines)
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    cut, model = parts[0], spec.get("model", {})
+    same = (
+        (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+        and (cut.get("pattern"), cut.get("behavior"), cut.get("invert")) == ({"Regex": SPLIT}, "Removed", True)
+        and not parts[1].get("use_regex") and not parts[1].get("add_prefix_space")
+        and (model.get("type"), model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", END_OF_WORD, None)
+    )
+    added = spec.get("added_tokens", [])
+    if not same or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(r"\s", t["content"]) for t in added):
+        raise ValueError(f"{tokenizer_file}: words cannot be encoded one by one under this normaliser, splitter, model or these added tokens")
+    return [t["content"] for t in added]
+
+
 class WordEncoder:
     """Encodes chunks of texts with a tokenizers file, word by word."""
 
@@ -65,14 +92,15 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.special = [t.encode() for t in sorted(special_tokens(tokenizer_file), key=len, reverse=True)]
+        self._special = re.compile(b"|".join(map(re.escape, self.special))) if self.special else None
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.cache = PieceCache(self._encode)
 
         self._last = np.zeros(self.size, dtype=bool)  # ids that end a word
         for token, i in self.tokenizer.get_vocab().items():
-            self._last[i] = token.endswith("</w>")
+            self._last[i] = token.endswith(END_OF_WORD)
 
     def _encode(self, pieces: Sequence[bytes]) -> list[bytes]:
         """Letters-only pieces are one word each: they are encoded many in a text and parted after each word's last id."""
@@ -92,6 +120,14 @@ class WordEncoder:
                 out[i] = packed[b:c]
         return out
 
+    def _specials(self, data: np.ndarray, text_ptr: np.ndarray) -> list[tuple[int, int]]:
+        """Where special tokens stand; none runs from one text into another."""
+        raw = data.tobytes()
+        if not any(t in raw for t in self.special):
+            return []
+        bounds = text_ptr.tolist()
+        return [m.span() for a, b in zip(bounds[:-1], bounds[1:], strict=True) for m in self._special.finditer(raw, a, b)]
+
     def chunk(self, data: np.ndarray, text_ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, and each text's bounds among them."""
         n = len(data)
@@ -108,12 +144,17 @@ class WordEncoder:
         begin = np.ones(n + 1, dtype=bool)
         begin[1:-1] = blank[:-1] | ((alpha[:-1] | tail[:-1]) & sign[1:]) | (sign[:-1] & (alpha[1:] | head[1:]))
         begin[text_ptr] = True
+        lowered = _LOWER[data]
+        for a, b in self._specials(data, text_ptr):
+            begin[a:b] = False
+            begin[[a, b]] = True
+            lowered[a:b] = data[a:b]
         keep = ~blank
         place = np.zeros(n + 1, dtype=np.int64)
         np.cumsum(keep, out=place[1:])
         starts = np.flatnonzero(begin[:-1] & keep)
         bounds = np.append(place[starts], place[-1])
-        codes, pieces = distinct(_LOWER[data[keep]], bounds)
+        codes, pieces = distinct(lowered[keep], bounds)
         ids, ends = gather(codes, self.cache(pieces))
         return ids, ends[np.searchsorted(starts, text_ptr)]
 
@@ -222,7 +263,7 @@ def read_token_files(manifest: DataFrame, folder: str, id_type: str = "long") ->
                     })
                     i = j
 
-    spread = manifest.select("shard", "width", "base").repartition(F.col("shard"))
+    spread = manifest.select("shard", "width", "base").repartitionByRange(max(1, manifest.count()), "shard")  # a task for each shard
     return spread.mapInPandas(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 

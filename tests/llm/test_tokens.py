@@ -6,7 +6,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
+from tokenizers import Tokenizer
 
 from spanloom.llm import byte_bpe, token_files
 
@@ -50,15 +52,16 @@ def test_token_files(spark, documents, tmp_path):
     rows = [(100 - i, t) for i, t in enumerate(texts(60, 3))] + [(500, None), (7, "twice"), (7, "again")]
     folder = str(tmp_path / "files")
     manifest = token_files.write_token_files(documents(rows), folder, path, 1, shards=3)
-    tokenizer = token_files.encoder(path).tokenizer
+    tokenizer = Tokenizer.from_file(path)
     ordered = sorted(rows, key=lambda r: (r[0], r[1] or ""))
     expected, start = [], 0
     for i, t in ordered:
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
         expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    found = token_files.read_token_files(manifest, folder).orderBy("start").collect()
-    assert [tuple(r) for r in found] == expected
+    read = token_files.read_token_files(manifest, folder)
+    assert read.rdd.getNumPartitions() == manifest.count() > 1
+    assert [tuple(r) for r in read.orderBy("start").collect()] == expected
     first = token_files.Shard(folder, manifest.orderBy("base").first()["shard"], 2)
     assert first.document(0)[-1] == 1
     empty = token_files.write_token_files(documents([]), str(tmp_path / "none"), path, 1)
@@ -66,8 +69,21 @@ def test_token_files(spark, documents, tmp_path):
 
 
 def test_word_encoder_equals_the_library():
-    encoder = token_files.encoder(public_tokenizers.path("word_bpe_49k.json"))
-    for t in texts(1500, 5):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, library = token_files.encoder(path), Tokenizer.from_file(path)
+    special = ["hi <|endoftext|> there", "<|endoftext|><|startoftext|>", "<|ENDOFTEXT|>", "A<|endoftext|>B", "<|endoftext|>\u0338x", "<|endoftext|", "é<|startoftext|>é", "<<|endoftext|>>"]
+    assert library.encode(special[0], add_special_tokens=False).ids == [1883, 49407, 997]
+    rng = random.Random(6)
+    mixed = ["".join(rng.choices([*PIECES, *special], k=rng.randint(0, 8))) for _ in range(400)]
+    for t in special + mixed + texts(1500, 5):
         data = np.frombuffer(t.encode(), np.uint8)
         ids, bounds = encoder.chunk(data, np.array([0, len(data)]))
-        assert ids[bounds[0] : bounds[1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, t
+        assert ids[bounds[0] : bounds[1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+    halves = np.frombuffer(b"<|endoftext|>", np.uint8)  # a special string over two texts is none
+    ids, bounds = encoder.chunk(halves, np.array([0, 5, 13]))
+    assert ids.tolist() == sum((library.encode(t, add_special_tokens=False).ids for t in ("<|end", "oftext|>")), [])
+
+
+def test_foreign_tokenizer_files_are_refused():
+    with pytest.raises(ValueError, match="one by one"):
+        token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
