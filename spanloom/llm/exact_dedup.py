@@ -1,9 +1,11 @@
 """Exact deduplication by a tree-merge of sorted digest runs (DataFrame functions only).
 
 Every input partition is one run of (digest, smallest id, count). Runs are merged in rounds as in a binomial tree, FAN_IN
-at a time: run r of one round goes to run r div FAN_IN of the next, and each merge keeps the smallest identifier per
-digest. The digest space is dealt out by hash within each round, so no task ever holds a whole run, and a digest costs
-at most one row for each task and round however many copies it has. Each level verifies what it merges: rows of one
+at a time: run r of one round goes to run r div FAN_IN of the next. A merge has two passes over sorted rows: each task sorts what it holds by
+(run, digest) and folds equal neighbours, sends the sorted rest on, dealt out by run and digest so that no task ever holds a whole run, and the receiver sorts
+what comes from the FAN_IN runs together and folds neighbours again. The states are structs, for which Spark aggregates over sorted input and not by hash.
+(Spark has no operator that interleaves sorted streams without a sort of its own; its external sort merges the sorted spills.) Folding before sending leaves a digest one row for
+each task and round, however many copies it has. Each level verifies what it merges: rows of one
 SHA-256 must agree on a second hash and on the length of the text, or the job fails.
 
 Defined cases: a null text counts as empty; texts are equal when identical after replacing each run of
@@ -37,29 +39,24 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
 
 
 def _merge(runs: DataFrame) -> DataFrame:
-    """One merge of the runs that share (run, digest); fails where equal digests hide different texts.
+    """One merge of the sorted runs that share run; fails where equal digests hide different texts.
 
     The check stands on the identifier, which every plan needs, so that no optimizer can leave it out.
     """
-    agreed = (F.min("low_check") == F.max("high_check")) & (F.min("low_size") == F.max("high_size"))
-    return runs.groupBy("run", "digest").agg(
-        F.when(agreed, F.min("id")).otherwise(F.raise_error(F.lit("equal digests of different texts")).cast(dict(runs.dtypes)["id"])).alias("id"),
-        F.sum("n").alias("n"),
-        F.min("low_check").alias("low_check"),
-        F.max("high_check").alias("high_check"),
-        F.min("low_size").alias("low_size"),
-        F.max("high_size").alias("high_size"),
-    )
+    merged = runs.groupBy("run", "digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    fails = F.raise_error(F.lit("equal digests of different texts")).cast(runs.schema["first"].dataType)
+    return merged.withColumn("first", F.when(F.col("low") == F.col("high"), F.col("first")).otherwise(fails))
 
 
 def tree_merge(rows: DataFrame, n_runs: int) -> DataFrame:
     """(digest, id, n): the smallest identifier and number of rows of each digest."""
-    runs = rows.select("run", "digest", "id", F.lit(1).cast("long").alias("n"), F.col("check").alias("low_check"), F.col("check").alias("high_check"), F.col("size").alias("low_size"), F.col("size").alias("high_size"))
+    proof = F.struct("check", "size")
+    runs = rows.select("run", "digest", F.struct(F.col("id").isNull().alias("none"), "id").alias("first"), F.lit(1).cast("long").alias("n"), proof.alias("low"), proof.alias("high"))
     while True:
         n_runs = -(-n_runs // FAN_IN)
         runs = _merge(runs.withColumn("run", F.floor(F.col("run") / FAN_IN).cast("int") if n_runs > 1 else F.lit(0)))
         if n_runs <= 1:
-            return runs.select("digest", "id", "n")
+            return runs.select("digest", F.col("first.id").alias("id"), "n")
 
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -82,6 +82,8 @@ def test_exact_dedup(spark, documents):
 def test_tree_merge_rounds_and_verification(spark):
     rows = spark.range(2000).select((F.col("id") % 90).alias("id"), F.unhex(F.sha2((F.col("id") % 30).cast("string"), 256)).alias("digest"), (F.col("id") % 30).alias("check"), F.lit(1).alias("size"), (F.col("id") % 100).cast("int").alias("run"))
     merged = exact_dedup.tree_merge(rows, 100).collect()
+    plan = exact_dedup.tree_merge(rows, 100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") == 6 and "HashAggregate" not in plan  # three rounds, each folds sorted rows before and after the exchange
     assert len(merged) == 30 and sorted(r.id for r in merged) == list(range(30)) and sum(r.n for r in merged) == 2000
     with pytest.raises(Exception, match="equal digests"):
         exact_dedup.tree_merge(rows.withColumn("check", F.col("id")), 100).collect()
