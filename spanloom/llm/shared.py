@@ -5,8 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -38,4 +38,19 @@ def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     if narrow:
         df = df.coalesce(max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // NARROW))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() from which nothing that is still to run derives."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_key(id_: Column, text: Column) -> Column:
+    """128 bits of a SHA-256 over id and text: rows share it if they have the same id and the same text (null as empty)."""
+    whole = F.concat(F.when(id_.isNull(), "n").otherwise("i"), F.coalesce(id_.cast("string"), F.lit("")), F.lit("\n"), F.coalesce(text, F.lit("")))
+    return F.substring(F.unhex(F.sha2(whole, 256)), 1, 16)

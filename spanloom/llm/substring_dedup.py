@@ -3,15 +3,17 @@
 A window is WINDOW consecutive words of one text. Every word under a window whose words also start anywhere else, in the same text or another, goes.
 
 1. Anchors. The anchor of a window is its smallest-hashing run of GRAM words. Neighbouring windows with the same anchor make a segment, so
-   texts give one row for about every 16 windows. Equal windows have equal anchors: a window recurs only if its anchor does.
-2. Confirmation. Of the distinct segments of recurring anchors one text each is read again, and their windows are counted with the
-   numbers of their segments' occurrences. Segments that are alone with their anchor recur as a whole and need no count.
-3. Automata. The texts with confirmed windows are dealt out with them. Each shard of texts compiles its confirmed passages, as sequences of
-   whole words, into an Aho-Corasick automaton (pyahocorasick) and streams its texts through it; what the automaton finds is removed.
-   Of a run of confirmed windows every WINDOW-th, the first and the last are patterns: together they cover the run.
-Texts without confirmed windows pass without a shuffle while the list of the others is small enough to broadcast (checked), else by a join.
-
-Confirmation compares 64-bit hashes of windows; matching in the automaton compares words.
+   texts give one row for about every 16 windows. Equal windows have equal anchors: a window recurs only if its anchor does. The words of
+   every segment of a recurring anchor are its piece; a piece holds no other windows than its segment.
+2. Confirmation. A segment that is alone with its anchor is a passage as a whole. Where several share an anchor, their windows are counted by hash;
+   windows with the same set of segments make one passage: from the first of them to the last, every window of it recurs.
+3. Automata. The distinct passages are dealt into shards by anchor. Each shard compiles its passages, as sequences of whole words, into one
+   Aho-Corasick automaton (pyahocorasick), and the pieces of all texts are streamed through the shards that their anchors name.
+4. What the automata find decides: a passage located in two places or more goes wherever it was located; one that was located once only (its
+   windows were confirmed by equal hashes of different words) goes nowhere.
+
+An anchor with many passages has them dealt over several shards, each of which meets all of its pieces; an anchor with many pieces has its passages
+copied to several shards, each of which meets a part of them. A task holds the passages of one shard and streams the rest.
 
 Defined cases: words are runs outside [\\x20\\x09-\\x0D], unchanged; a null or empty text has none; texts shorter than a window stay whole; repeated rows
 repeat each other's windows; windows are judged on the input alone; an empty table gives an empty result; other columns are not read.
@@ -24,20 +26,22 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.piece_cache import distinct
-from spanloom.llm.shared import written
+from spanloom.llm.shared import dropped, row_key, written
 from spanloom.llm.skew import join_unique
-from spanloom.llm.words import U, Words, chunks, mix, range_hashes, split_words
+from spanloom.llm.words import U, Words, chunks, mix, pieces_of, range_hashes, split_words, text_column
 
 WINDOW, GRAM = 35, 4
 GRAMS = WINDOW - GRAM + 1
 #: Bits of a word's place beside the 40 bits of its hash; longer texts count places anew.
 PLACE_BITS = 24
-#: Keys that may be broadcast at once: 16 MB of longs; beyond it the texts are joined by a shuffle.
-BROADCAST_KEYS = 2_000_000
+#: Keys of 16 bytes that may be broadcast at once: some 30 MB as a hash table; beyond it the texts are joined by a shuffle.
+BROADCAST_KEYS = 250_000
+#: Passages of a shard, and pieces that one copy of an anchor's passages should meet.
+PASSAGES, PIECES = 8192, 100_000
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -45,10 +49,10 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def segments(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first window, windows, anchor, segment) of each segment, and the hashes of all words."""
+def segments(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, windows, anchor's place, anchor, segment) of each segment; the last two are hashes."""
     key, n = words.hashes(), len(words.start)
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, U),) * 2
     if n < WINDOW:
         return none
     at = np.arange(n - GRAM + 1)
@@ -72,7 +76,7 @@ def segments(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1] + 1)))
     count = np.diff(np.append(new, len(first)))
     begin = first[new]
-    return owner[begin], begin, count, gram[anchor[new]], range_hashes(key, begin, begin + count + WINDOW - 1, 9)
+    return owner[begin], begin, count, anchor[new], gram[anchor[new]], range_hashes(key, begin, begin + count + WINDOW - 1, 9)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -80,148 +84,227 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def anchor_rows(texts: DataFrame) -> DataFrame:
-    """key, anchor, segment and n (its occurrences in the text) of each distinct segment of each text; texts has key and text."""
+    """key, anchor and n (its segments in the text) of each distinct anchor of each text; texts has key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, ptr in chunks(batch, "text"):
-                text, _, _, anchor, segment = segments(split_words(data, ptr))
-                order = np.lexsort((segment, text))
-                text, anchor, segment = text[order], anchor[order], segment[order]
-                new = np.flatnonzero(np.append(True, (segment[1:] != segment[:-1]) | (text[1:] != text[:-1]))) if len(text) else order
+                text, _, _, _, anchor, _ = segments(split_words(data, ptr))
+                order = np.lexsort((anchor, text))
+                text, anchor = text[order], anchor[order]
+                new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))) if len(text) else order
                 n = np.diff(np.append(new, len(text))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column("key").take(pa.array(text[new])), _signed(anchor[new]), _signed(segment[new]), pa.array(n)], names=["key", "anchor", "segment", "n"])
+                yield pa.RecordBatch.from_arrays([rows.column("key").take(pa.array(text[new])), _signed(anchor[new]), pa.array(n)], names=["key", "anchor", "n"])
 
-    return texts.mapInArrow(run, "key long, anchor long, segment long, n int")
+    return texts.select("key", "text").mapInArrow(run, "key binary, anchor long, n int")
 
 
-def window_rows(owners: DataFrame) -> DataFrame:
-    """anchor, segment, at and window (hash) of the windows of the wanted segments; owners has text and wanted array<long> of segments."""
+def piece_rows(asked: DataFrame) -> DataFrame:
+    """key, begin (of the first word in its text), anchor, segment, lead (words before the anchor) and words of each wanted segment; asked has key, text and wanted array<long> of anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, ptr in chunks(batch, "text"):
                 words = split_words(data, ptr)
-                text, begin, count, anchor, segment = segments(words)
-                asked = rows.column("wanted")
-                row = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(asked.offsets)))
-                sought = np.sort(mix(asked.flatten().to_numpy().view(U)) + row.astype(U))
-                own = mix(segment) + text.astype(U)
-                _, once = np.unique(own, return_index=True)
-                hit = once[np.isin(own[once], sought)]
-                at = _within(count[hit])
-                start = np.repeat(begin[hit], count[hit]) + at
-                found = range_hashes(words.hashes(), start, start + WINDOW, 9)
-                yield pa.RecordBatch.from_arrays([_signed(np.repeat(anchor[hit], count[hit])), _signed(np.repeat(segment[hit], count[hit])), pa.array(at.astype(np.int32)), _signed(found)], names=["anchor", "segment", "at", "window"])
-
-    return owners.select("text", "wanted").mapInArrow(run, "anchor long, segment long, at int, window long")
-
-
-def confirmed(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """key and passages array<struct<segment, mask>>: bit i of mask says that window i of the segment recurs."""
-    total = rows.count()
-    recurring = rows.groupBy("anchor").agg(F.sum("n").alias("times"), F.count("*").alias("size"), F.min("segment").alias("low"), F.max("segment").alias("high")).filter("times > 1")
-    again = written(join_unique(rows, written(recurring, "anchors"), ["anchor"], "size", total).select("key", "anchor", "segment", "n", (F.col("low") != F.col("high")).alias("mixed")), "again")
-    each = written(again.groupBy("anchor", "segment").agg(F.sum("n").alias("times"), F.count("*").alias("size"), F.min("key").alias("owner"), F.first("mixed").alias("mixed")), "segments")
-    wanted = written(each.filter("mixed").groupBy(F.col("owner").alias("key")).agg(F.collect_list("segment").alias("wanted")), "wanted")
-    owners = only(texts, wanted.select("key")).join(wanted.hint("shuffle_hash"), "key").dropDuplicates(["key"])
-    windows = written(window_rows(owners).join(each.select("anchor", "segment", "times"), ["anchor", "segment"]), "windows")
-    twice = windows.groupBy("window").agg(F.sum("times").alias("times"), F.count("*").alias("size")).filter("times > 1")
-    hits = join_unique(windows.select("anchor", "segment", "at", "window"), written(twice.select("window", "size"), "twice"), ["window"], "size", windows.count())
-    masks = hits.groupBy("anchor", "segment").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    marked = each.filter("mixed").join(masks, ["anchor", "segment"]).select("anchor", "segment", "size", "mask").unionByName(each.filter("not mixed").select("anchor", "segment", "size", F.lit(-1).cast("long").alias("mask")))
-    found = join_unique(again.select("key", "anchor", "segment"), written(marked, "marked"), ["anchor", "segment"], "size", total)
-    return found.groupBy("key").agg(F.collect_set(F.struct("segment", "mask")).alias("passages"))
+                text, begin, count, place, anchor, segment = segments(words)
+                lists = rows.column("wanted")
+                row = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(lists.offsets)))
+                hit = np.flatnonzero(np.isin(mix(anchor) + text.astype(U), mix(lists.flatten().to_numpy().view(U)) + row.astype(U)))
+                text, begin, place = text[hit], begin[hit], place[hit]
+                last = begin + count[hit] + WINDOW - 2
+                found = pieces_of(data, words.start[begin], words.end[last])
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("key").take(pa.array(text)), pa.array(begin - words.ptr[text]), _signed(anchor[hit]), _signed(segment[hit]), pa.array((place - begin).astype(np.int32)), found],
+                    names=["key", "begin", "anchor", "segment", "lead", "words"],
+                )
 
+    return asked.select("key", "text", "wanted").mapInArrow(run, "key binary, begin long, anchor long, segment long, lead int, words binary")
 
-def _small(keys: DataFrame) -> bool:
-    return keys.count() <= BROADCAST_KEYS
 
+def window_rows(rows: DataFrame, bits: int = 64) -> DataFrame:
+    """segment, times, window (hash of bits bits) and lead (words before the anchor) of each window; rows has segment, anchor, times, lead and words."""
 
-def only(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    return texts.join(F.broadcast(keys), "key", "left_semi") if _small(keys) else texts.join(keys, "key", "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, ptr in chunks(batch, "words"):
+                words = split_words(data, ptr)
+                count = np.diff(words.ptr) - WINDOW + 1
+                row, at = np.repeat(np.arange(part.num_rows), count), _within(count)
+                start = words.ptr[row] + at
+                column = lambda name: part.column(name).to_numpy()[row]
+                lead = (column("lead") - at).astype(np.int32)
+                window = range_hashes(words.hashes(), start, start + WINDOW, 9) >> U(64 - bits) if bits else np.zeros(len(row), U)
+                place = mix(column("anchor").view(U) ^ mix(lead.astype(U) + U(1)))  # equal windows have equal anchors at equal places
+                yield pa.RecordBatch.from_arrays([pa.array(column("segment")), pa.array(column("times")), _signed(mix(window) ^ place), pa.array(lead)], names=["segment", "times", "window", "lead"])
+
+    return rows.select("segment", "anchor", "times", "lead", "words").mapInArrow(run, "segment long, times long, window long, lead int")
+
+
+def passages(pieces: DataFrame, bits: int = 64) -> DataFrame:
+    """anchor, passage (number) and words of the distinct passages that recur, as far as hashes can tell."""
+    each = written(pieces.groupBy("anchor", "segment").agg(F.min(F.struct("words", "lead")).alias("one"), F.count("*").alias("times")).select("anchor", "segment", "one.*", "times"), "segments")
+    shared = each.groupBy("anchor").agg(F.count("*").alias("members"))
+    total = each.count()
+    known = join_unique(each, written(shared.filter("members > 1"), "shared"), ["anchor"], "members", total)
+    windows = window_rows(known, bits).groupBy("window").agg(F.sum("times").alias("times"), F.bit_xor("segment").alias("set"), F.min("segment").alias("segment"), F.first("lead").alias("lead"))
+    # One passage for each set of segments, told by their number, the exclusive or of their hashes and the smallest of them.
+    classes = windows.filter("times > 1").groupBy("segment", "set", "times").agg(F.min("lead").alias("low"), F.max("lead").alias("high"))
+    cut = written(classes.select("segment", "low", "high").distinct(), "cuts")
+    mixed = cut_words(cut.join(each.select("segment", "anchor", "lead", "words"), "segment"))
+    alone = each.join(shared.filter("members = 1").select("anchor"), "anchor").filter("times > 1").select("anchor", "words")
+    out = written(alone.unionByName(mixed).select("anchor", F.monotonically_increasing_id().alias("passage"), "words"), "passages")
+    dropped(each, cut)
+    return out
 
 
-def located(codes: np.ndarray, ptr: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Which words go: the confirmed windows (by first word) of the texts, compiled into an automaton and sought in all of them."""
-    inside = np.zeros(len(codes) + 1, dtype=np.int64)
-    if len(window):
-        breaks = np.flatnonzero(np.diff(window) != 1)
-        a, b = window[np.append(0, breaks + 1)], window[np.append(breaks, len(window) - 1)]
-        picks = np.concatenate([np.concatenate([np.arange(x, y, WINDOW), [y]]) for x, y in zip(a, b, strict=True)])
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        listed = codes.tolist()
-        for i in picks.tolist():
-            automaton.add_word(tuple(listed[i : i + WINDOW]))
-        automaton.make_automaton()
-        for x, y in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True):
-            if y - x >= WINDOW:
-                for end, _ in automaton.iter(tuple(listed[x:y])):
-                    inside[x + end + 1 - WINDOW] += 1
-                    inside[x + end + 1] -= 1
-    return np.cumsum(inside[:-1]) > 0
+def cut_words(rows: DataFrame) -> DataFrame:
+    """anchor and the words from high before the anchor to the end of the window that starts low before it; rows has anchor, lead, low, high and words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, ptr in chunks(batch, "words"):
+                words = split_words(data, ptr)
+                lead, low, high = (part.column(c).to_numpy() for c in ("lead", "low", "high"))
+                start, stop = words.ptr[:-1] + lead - high, words.ptr[:-1] + lead - low + WINDOW - 1
+                yield pa.RecordBatch.from_arrays([part.column("anchor"), pieces_of(data, words.start[start], words.end[stop])], names=["anchor", "words"])
+
+    return rows.select("anchor", "lead", "low", "high", "words").mapInArrow(run, "anchor long, words binary")
+
+
+class Shard:
+    """The automaton of some passages, over the codes of their words."""
+
+    def __init__(self, numbers: np.ndarray, column: pa.Array):
+        words = split_words(*text_column(column))
+        coded = pieces_of(words.data, words.start, words.end).dictionary_encode()
+        self.vocabulary, codes = coded.dictionary, coded.indices.to_pylist()
+        self.numbers, self.size = numbers, np.diff(words.ptr)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, (a, b) in enumerate(zip(words.ptr[:-1].tolist(), words.ptr[1:].tolist(), strict=True)):
+            self.automaton.add_word(tuple(codes[a:b]), i)
+        self.automaton.make_automaton()
+
+    def located(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, passage, first word, end) of every occurrence in the pieces."""
+        words = split_words(*text_column(column))
+        codes = pc.index_in(pieces_of(words.data, words.start, words.end), value_set=self.vocabulary).fill_null(len(self.vocabulary)).to_pylist()
+        found, bounds, scan = [], words.ptr.tolist(), self.automaton.iter
+        for i in range(len(bounds) - 1):
+            found += [(i, which, end) for end, which in scan(tuple(codes[bounds[i] : bounds[i + 1]]))]
+        piece, which, end = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        return piece, self.numbers[which], end + 1 - self.size[which], end + 1
+
+
+def locate(passages_: DataFrame, pieces: DataFrame) -> DataFrame:
+    """key, passage, start and stop (words of the text) of every occurrence of a passage."""
+    weight = pieces.groupBy("anchor").agg(F.count("*").alias("pieces"))
+    held = passages_.groupBy("anchor").agg(F.count("*").alias("passages"))
+    plan = held.join(weight, "anchor").select("anchor", "pieces", "passages", F.ceil(F.col("passages") / PASSAGES).cast("int").alias("parts"), F.ceil(F.col("pieces") / PIECES).cast("int").alias("copies"))
+    plan = written(plan, "plan", narrow=True)
+    size = plan.agg(F.sum(F.col("passages") * F.col("copies")).alias("p"), F.sum("pieces").alias("q"), F.sum("passages").alias("own")).first()
+    shards = max(1, -(-(size["p"] or 0) // PASSAGES), -(-(size["q"] or 0) // PIECES))
+    unit = F.pmod(F.xxhash64("anchor", "part", "copy"), F.lit(shards)).alias("unit")
+    total = max(1, size["q"] or 0)
+    dealt = lambda n, by: F.pmod(F.hash(*by), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    none = F.lit(None)
+    own = join_unique(passages_, plan, ["anchor"], "passages", size["own"] or 0).withColumn("part", dealt("parts", ["passage"])).withColumn("copy", every("copies"))
+    own = own.select(unit, F.lit(0).alias("kind"), "passage", none.cast("binary").alias("key"), none.cast("long").alias("begin"), "words")
+    met = join_unique(pieces, plan, ["anchor"], "pieces", total).withColumn("copy", dealt("copies", ["key", "begin"])).withColumn("part", every("parts"))
+    met = met.select(unit, F.lit(1).alias("kind"), none.cast("long").alias("passage"), "key", "begin", "words")
+    tasks = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, unit, shard = [], None, None
+        for batch in batches:
+            units, kinds = batch.column("unit").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((units[1:] != units[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(units)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if units[a] != unit:
+                    held, unit, shard = [], units[a], None
+                if kinds[a] == 0:
+                    held.append(part)
+                    continue
+                if shard is None and not held:
+                    continue  # no passage of the anchor fell into this part
+                if shard is None:
+                    whole = pa.Table.from_batches(held)
+                    shard, held = Shard(whole["passage"].to_numpy(), whole["words"].combine_chunks()), []
+                piece, passage, start, stop = shard.located(part.column("words"))
+                begin = part.column("begin").to_numpy()[piece]
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(piece)), pa.array(passage), pa.array(begin + start), pa.array(begin + stop)], names=["key", "passage", "start", "stop"])
+
+    both = own.unionByName(met).repartition(tasks, "unit").sortWithinPartitions("unit", "kind")
+    return both.mapInArrow(run, "key binary, passage long, start long, stop long")
 
-def _joined(words: Words, keep: np.ndarray) -> list[bytes]:
-    """The kept words of each text joined by one space."""
-    raw, out = words.data.tobytes(), []
-    start, end = words.start.tolist(), words.end.tolist()
-    for a, b in zip(words.ptr[:-1].tolist(), words.ptr[1:].tolist(), strict=True):
-        out.append(b" ".join([raw[start[i] : end[i]] for i in range(a, b) if keep[i]]))
-    return out
 
+def _small(keys: DataFrame) -> bool:
+    return keys.count() <= BROADCAST_KEYS
 
-def _codes(words: Words) -> np.ndarray:
-    inside = np.zeros(len(words.data) + 1, dtype=np.int8)
-    np.add.at(inside, words.start, 1)
-    np.add.at(inside, words.end, -1)
-    taken = np.cumsum(inside[:-1]) > 0
-    place = np.concatenate([[0], np.cumsum(taken)])
-    return distinct(words.data[taken], np.append(place[words.start], place[-1]))[0]
 
+def _joined(words: Words, keep: np.ndarray) -> pa.Array:
+    """The kept words of each text joined by one space."""
+    which = np.flatnonzero(keep)
+    size = words.end[which] - words.start[which]
+    stop = np.cumsum(size + 1)  # each word and a space after it
+    out = np.full(int(stop[-1]) if len(stop) else 0, 0x20, dtype=np.uint8)
+    within = _within(size)
+    out[within + np.repeat(stop - size - 1, size)] = words.data[within + np.repeat(words.start[which], size)]
+    kept = np.concatenate([[0], np.cumsum(keep)])[words.ptr]
+    bounds = np.concatenate([[0], stop])[kept]
+    return pieces_of(out, bounds[:-1], np.maximum(bounds[:-1], bounds[1:] - 1)).cast(pa.string())
 
-def cleaned(texts: DataFrame, passages: bool) -> DataFrame:
-    """id, n_words, n_removed and text (the kept words) of texts; with passages the confirmed windows go."""
+
+def cleaned(texts: DataFrame) -> DataFrame:
+    """id, n_words, n_removed and text (the kept words) of texts; texts has id, text and gone array<struct<start, stop>> of words that go (null: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, ptr in chunks(batch, "text"):
                 words = split_words(data, ptr)
-                gone = np.zeros(len(words.start), dtype=bool)
-                if passages:
-                    text, begin, count, _, segment = segments(words)
-                    asked = rows.column("passages")
-                    row = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(asked.offsets)))
-                    sought = mix(asked.flatten().field("segment").to_numpy().view(U)) + row.astype(U)
-                    order = np.argsort(sought)
-                    sought, mask = sought[order], asked.flatten().field("mask").to_numpy()[order]
-                    own = mix(segment) + text.astype(U)
-                    spot = np.minimum(np.searchsorted(sought, own), len(sought) - 1)
-                    hit = np.flatnonzero(sought[spot] == own)
-                    at = _within(count[hit])
-                    bits = (np.repeat(mask[spot[hit]], count[hit]) >> at) & 1
-                    window = (np.repeat(begin[hit], count[hit]) + at)[bits == 1]
-                    gone = located(_codes(words), words.ptr, np.unique(window))
+                inside = np.zeros(len(words.start) + 1, dtype=np.int64)
+                lists = rows.column("gone")
+                spans = lists.flatten()
+                base = words.ptr[:-1][np.repeat(np.arange(rows.num_rows), lists.value_lengths().fill_null(0).to_numpy())]
+                np.add.at(inside, base + spans.field("start").to_numpy(), 1)
+                np.add.at(inside, base + spans.field("stop").to_numpy(), -1)
+                gone = np.cumsum(inside[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(gone)])
                 removed = total[words.ptr[1:]] - total[words.ptr[:-1]]
-                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(np.diff(words.ptr)), pa.array(removed), pa.array([b.decode("utf-8") for b in _joined(words, ~gone)], pa.string())], names=["id", "n_words", "n_removed", "text"])
+                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(np.diff(words.ptr)), pa.array(removed), _joined(words, ~gone)], names=["id", "n_words", "n_removed", "text"])
 
-    return texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, n_words long, n_removed long, text string")
+    return texts.select("id", "text", "gone").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, n_words long, n_removed long, text string")
 
 
-def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: id, n_words, n_removed and text (the kept words joined by one space)."""
-    texts = docs.select(F.xxhash64(F.col(id_column), F.col(text_column)).alias("key"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    rows = written(anchor_rows(texts.select("key", "text")), "rows")
-    found = written(confirmed(rows, texts.select("key", "text")), "found")
-    keys = found.select("key")
-    if _small(keys):
-        rest = texts.join(F.broadcast(keys), "key", "left_anti")
-        hit = texts.join(F.broadcast(keys), "key", "left_semi")
+def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = 64) -> DataFrame:
+    """One row per input row: id, n_words, n_removed and text (the kept words joined by one space). bits: of the hashes that confirm windows, for tests."""
+    texts = docs.select(row_key(F.col(id_column), F.col(text_column)).alias("key"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    rows = written(anchor_rows(texts), "rows")
+    total = rows.count()
+    recurring = written(rows.groupBy("anchor").agg(F.sum("n").alias("times"), F.count("*").alias("size")).filter("times > 1"), "anchors")
+    again = join_unique(rows.select("key", "anchor"), recurring.select("anchor", "size"), ["anchor"], "size", total)
+    wanted = written(again.groupBy("key").agg(F.collect_set("anchor").alias("wanted")), "wanted")
+    some = texts.join(F.broadcast(wanted.select("key")), "key", "left_semi") if _small(wanted) else texts
+    pieces = written(piece_rows(some.join(wanted.hint("shuffle_hash"), "key")), "pieces")
+    dropped(rows, recurring, wanted)
+    confirmed = passages(pieces, bits)
+    hits = written(locate(confirmed, pieces), "hits")
+    dropped(pieces, confirmed)
+    once = written(hits.groupBy("passage").agg(F.count("*").alias("places")).filter("places = 1").select("passage"), "once", narrow=True)
+    if once.limit(1).count():
+        hits = hits.join(once, "passage", "left_anti")
+    gone = written(hits.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("gone")), "gone")
+    if _small(gone):
+        few = F.broadcast(gone.select("key"))
+        rest = texts.join(few, "key", "left_anti").withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
+        hit = texts.join(few, "key", "left_semi").join(gone.hint("shuffle_hash"), "key")
+        found = cleaned(hit).unionByName(cleaned(rest))
     else:
-        rest, hit = texts.join(keys, "key", "left_anti"), texts
-    hit = hit.join(found.hint("shuffle_hash"), "key").select("id", "text", "passages")
-    return cleaned(hit, True).unionByName(cleaned(rest.select("id", "text"), False)).withColumnRenamed("id", id_column)
+        found = cleaned(texts.join(gone.hint("shuffle_hash"), "key", "left"))
+    return found.withColumnRenamed("id", id_column)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,12 +75,12 @@ class Words:
 
 
 def text_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; null counts as empty."""
+    """Bytes and offsets of a string or binary column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
+    column = column.cast(pa.large_binary() if pa.types.is_binary(column.type) else pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -100,6 +100,14 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         row = stop
 
 
+def pieces_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """data[s:e] for each range, as a binary column; ranges may overlap."""
+    size = end - start
+    at = np.concatenate([[0], np.cumsum(size)])
+    taken = data[np.arange(at[-1]) + np.repeat(start - at[:-1], size)] if at[-1] else np.zeros(0, np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(taken))]).cast(pa.binary())
+
+
 def split_words(data: np.ndarray, text_ptr: np.ndarray) -> Words:
     n = len(data)
     inside = np.zeros(n + 2, dtype=bool)

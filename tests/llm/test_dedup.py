@@ -87,19 +87,62 @@ def test_signature_agreement_is_weighted_jaccard():
     assert (near_dedup.signatures(np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(0, int), 2) == 0).all()
 
 
-def test_substring_dedup_equals_brute_force(spark, documents):
-    rng = random.Random(1)
-    shared = prose(rng, 90)
-    rows = corpus(4) + [(100 + i, " ".join(prose(rng, 20) + shared[i : i + 30 + i] + prose(rng, 30))) for i in range(12)]
+def brute_windows(rows):
     words = [WORD.findall(t or "") for _, t in rows]
     count = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
-    expected = []
+    out = []
     for (doc, _), w in zip(rows, words):
         gone = [False] * len(w)
         for i in range(len(w) - 34):
             if count[tuple(w[i : i + 35])] > 1:
                 gone[i : i + 35] = [True] * 35
-        expected.append((str(doc), len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+        out.append((str(doc), len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
+    return out
+
+
+def substrings(df, **more):
+    return sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in substring_dedup.substring_dedup(df, **more).collect())
+
+
+def test_automata_undo_false_confirmations(spark, documents):
+    """Under hashes of no bits all windows about a common anchor count as one; what the automata locate once stays."""
+    rng = random.Random(12)
+    middle = prose(rng, 34)
+    rows = [(i, " ".join(prose(rng, 33) + middle + prose(rng, 33))) for i in range(6)]
+    assert substrings(documents(rows), bits=0) == sorted(brute_windows(rows)) and all(n == 0 for _, _, n, _ in brute_windows(rows))
+    rows += [(50, rows[0][1])]  # alone with its anchors where only copies have them
+    assert substrings(documents(rows)) == sorted(brute_windows(rows))
+
+
+def test_anchors_with_many_passages_and_pieces(spark, documents, monkeypatch):
+    rng = random.Random(13)
+    base = prose(rng, 120)
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(120)] = rng.choice("xyz")
+        rows.append((i, " ".join(words)))
+    for n_passages, n_pieces in ((3, 7), (10_000, 5), (2, 10_000)):
+        monkeypatch.setattr(substring_dedup, "PASSAGES", n_passages)
+        monkeypatch.setattr(substring_dedup, "PIECES", n_pieces)
+        assert substrings(documents(rows)) == sorted(brute_windows(rows))
+
+
+def test_substring_dedup_of_texts_beyond_a_slice(spark, documents):
+    rng = random.Random(14)
+    shared = prose(rng, 60)
+    long = prose(rng, 150_000) + shared + prose(rng, 150_000)
+    rows = [(1, " ".join(long)), (2, " ".join(prose(rng, 50) + shared)), (3, " ".join(["same"] * 200_000))]
+    assert all(len(t) > substring_dedup.chunks.__defaults__[0] * 0.75 for i, t in rows if i != 2)
+    assert substrings(documents(rows)) == sorted(brute_windows(rows))
+
+
+def test_substring_dedup_equals_brute_force(spark, documents):
+    rng = random.Random(1)
+    shared = prose(rng, 90)
+    rows = corpus(4) + [(100 + i, " ".join(prose(rng, 20) + shared[i : i + 30 + i] + prose(rng, 30))) for i in range(12)]
+    expected = brute_windows(rows)
     for broadcast in (substring_dedup.BROADCAST_KEYS, 0):
         substring_dedup.BROADCAST_KEYS, before = broadcast, substring_dedup.BROADCAST_KEYS
         try:
