@@ -41,7 +41,7 @@ PLACE_BITS = 24
 #: Keys of 16 bytes that may be broadcast at once: some 30 MB as a hash table; beyond it the texts are joined by a shuffle.
 BROADCAST_KEYS = 250_000
 #: Passages of a shard, and pieces that one copy of an anchor's passages should meet.
-PASSAGES, PIECES = 8192, 100_000
+PASSAGES, PIECES = 4096, 25_000
 
 
 def _within(counts: np.ndarray) -> np.ndarray:
@@ -177,7 +177,7 @@ class Shard:
     def __init__(self, numbers: np.ndarray, column: pa.Array):
         words = split_words(*text_column(column))
         coded = pieces_of(words.data, words.start, words.end).dictionary_encode()
-        self.vocabulary, codes = coded.dictionary, coded.indices.to_pylist()
+        self.vocabulary, codes = coded.dictionary, coded.indices.to_numpy().tolist()
         self.numbers, self.size = numbers, np.diff(words.ptr)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for i, (a, b) in enumerate(zip(words.ptr[:-1].tolist(), words.ptr[1:].tolist(), strict=True)):
@@ -187,7 +187,7 @@ class Shard:
     def located(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(piece, passage, first word, end) of every occurrence in the pieces."""
         words = split_words(*text_column(column))
-        codes = pc.index_in(pieces_of(words.data, words.start, words.end), value_set=self.vocabulary).fill_null(len(self.vocabulary)).to_pylist()
+        codes = pc.index_in(pieces_of(words.data, words.start, words.end), value_set=self.vocabulary).fill_null(len(self.vocabulary)).to_numpy().tolist()
         found, bounds, scan = [], words.ptr.tolist(), self.automaton.iter
         for i in range(len(bounds) - 1):
             found += [(i, which, end) for end, which in scan(tuple(codes[bounds[i] : bounds[i + 1]]))]
