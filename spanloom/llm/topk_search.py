@@ -3,13 +3,15 @@
 1. Cells: median splits of a bounded sample (SAMPLE vectors at most) cut space into cells; every vector is indexed, in
    the shard of its cell. A cell with more rows than a shard should hold is dealt over several shards by row hash.
 2. Trees: in each shard, median splits along the widest side of the tight bounding box, down to LEAF vectors. A node keeps its box.
-3. Each query is searched in its own shard first; its k-th score and id go along to the other shards.
-4. A query visits only the shards whose box bound can still beat its k-th score. Within a tree nodes are popped best
-   first, for a block of queries at once, and each query leaves a branch when the branch's bound falls below its k-th score.
+3. Each query has an order of its own over the shards: its own shard first, then by the bound of their boxes. It goes through it in waves of
+   1, FIRST, FIRST * GROWTH, ... shards; its k-th score and id, as improved so far, go along, and it ends where the next bound cannot beat them.
+4. Within a tree each query visits the leaves best first, by the bounds of their boxes, until its next bound falls below its k-th score. A
+   bound is never above that of the node over it, so this is the order in which a best-first search pops the leaves.
 The bound of a box for query q is the sum over dimensions of max(q*low, q*high): no vector in the box scores higher.
 A box that ties with the k-th score is visited, so ties by smaller id are exact.
 
-Only shard boxes reach all tasks: at most 2 * MAX_SHARDS boxes of 2 * dim numbers. Queries go in blocks of QUERY_BLOCK.
+Only shard boxes reach all tasks: at most 2 * MAX_SHARDS boxes of 2 * dim numbers. A tree goes to the queries that visit its shard, once for each
+QUERY_BLOCK of them, so what is moved grows with the vectors and with the visits and not with their product.
 
 Defined cases: a vector that is null or holds null or a non-finite component takes no part, nor does a null id; vectors of
 different lengths are never compared; repeated rows are all candidates, except those with the query's own id; a query id on several
@@ -19,7 +21,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -28,9 +29,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import written
+from spanloom.llm.shared import dropped, written
 
-SAMPLE, MAX_SHARDS, SHARD_ROWS, LEAF, QUERY_BLOCK = 16384, 4096, 8192, 256, 4096
+SAMPLE, MAX_SHARDS, SHARD_ROWS, LEAF, QUERY_BLOCK, FIRST, GROWTH = 16384, 4096, 8192, 256, 4096, 4, 4
 _LONG = np.iinfo(np.int64)
 
 
@@ -139,32 +140,35 @@ def search_tree(tree: dict, qid: np.ndarray, q: np.ndarray, k: int, kth: np.ndar
     best_s = np.full((n, k), _LONG.min, dtype=np.int64)
     best_r = np.full((n, k), len(tree["ids"]), dtype=np.int64)  # rank of the id in the shard: smaller is better
     floor_s, floor_r = kth.copy(), np.searchsorted(tree["ids"], kth_id)
-    bounds = box_bounds(q, tree["low"], tree["high"])
-    slack = _slack(q, tree["low"], tree["high"])
-    heap = [(-float(bounds[:, 0].max(initial=-np.inf)), 0, np.arange(n))]
-    while heap:
-        _, at, rows = heapq.heappop(heap)
-        rows = rows[bounds[rows, at] + slack[rows] >= floor_s[rows]]
-        if not len(rows):
-            continue
-        if tree["left"][at] >= 0:
-            for child in (tree["left"][at], tree["right"][at]):
-                heapq.heappush(heap, (-float(bounds[rows, child].max()), child, rows))
-            continue
-        a, b = tree["begin"][at], tree["stop"][at]
-        s = products(q[rows], tree["v"][a:b])
-        rank = tree["perm"][a:b]
-        good = ((s > floor_s[rows, None]) | ((s == floor_s[rows, None]) & (rank[None, :] < floor_r[rows, None]))) & (tree["ids"][rank][None, :] != qid[rows, None])
-        some = good.any(1)
-        if not some.any():
-            continue
-        rows, s, good = rows[some], s[some], good[some]
-        all_s = np.concatenate([best_s[rows], np.where(good, s, _LONG.min)], axis=1)
-        all_r = np.concatenate([best_r[rows], np.where(good, rank[None, :], len(tree["ids"]))], axis=1)
-        order = np.lexsort((all_r, ~all_s), axis=1)[:, :k]
-        best_s[rows], best_r[rows] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_r, order, 1)
-        full = best_r[rows, -1] < len(tree["ids"])
-        floor_s[rows[full]], floor_r[rows[full]] = best_s[rows[full], -1], best_r[rows[full], -1]
+    leaves = np.array([at for at, child in enumerate(tree["left"]) if child < 0])
+    low, high = tree["low"][leaves], tree["high"][leaves]
+    bounds = box_bounds(q, low, high) + _slack(q, low, high)[:, None]
+    order = np.argsort(-bounds, axis=1, kind="stable")
+    active = np.arange(n)
+    for step in range(len(leaves)):
+        leaf = order[active, step]
+        still = bounds[active, leaf] >= floor_s[active]
+        active, leaf = active[still], leaf[still]
+        if not len(active):
+            break
+        by_leaf = np.argsort(leaf, kind="stable")
+        cuts = np.flatnonzero(np.diff(leaf[by_leaf])) + 1
+        for rows, which in zip(np.split(active[by_leaf], cuts), leaf[by_leaf][np.append(0, cuts)].tolist(), strict=True):
+            at = leaves[which]
+            a, b = tree["begin"][at], tree["stop"][at]
+            s = products(q[rows], tree["v"][a:b])
+            rank = tree["perm"][a:b]
+            good = ((s > floor_s[rows, None]) | ((s == floor_s[rows, None]) & (rank[None, :] < floor_r[rows, None]))) & (tree["ids"][rank][None, :] != qid[rows, None])
+            some = good.any(1)
+            if not some.any():
+                continue
+            rows, s, good = rows[some], s[some], good[some]
+            all_s = np.concatenate([best_s[rows], np.where(good, s, _LONG.min)], axis=1)
+            all_r = np.concatenate([best_r[rows], np.where(good, rank[None, :], len(tree["ids"]))], axis=1)
+            best = np.lexsort((all_r, ~all_s), axis=1)[:, :k]
+            best_s[rows], best_r[rows] = np.take_along_axis(all_s, best, 1), np.take_along_axis(all_r, best, 1)
+            full = best_r[rows, -1] < len(tree["ids"])
+            floor_s[rows[full]], floor_r[rows[full]] = best_s[rows[full], -1], best_r[rows[full], -1]
     row, place = np.nonzero(best_r < len(tree["ids"]))
     return row, tree["ids"][best_r[row, place]], best_s[row, place]
 
@@ -185,9 +189,10 @@ def topk_search(vectors: DataFrame, is_query: Callable, k: int = 20, id_column:
     total = sum(counts.values())
     cells = {}
     shard_rows = max(SHARD_ROWS, total // MAX_SHARDS)
+    share = min(1.0, SAMPLE / max(total, 1))
+    drawn = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * SAMPLE).select("dim", "v").toPandas()
     for dim, n in counts.items():
-        sample = base.filter(F.col("dim") == dim).orderBy(F.xxhash64("id"), "id").limit(max(1, SAMPLE * n // max(total, 1))).select("v").toPandas()
-        cells[dim] = split_cells(_matrix(sample["v"]), max(1, n // shard_rows))
+        cells[dim] = split_cells(_matrix(drawn["v"][drawn["dim"] == dim]), max(1, n // shard_rows))
     session_cells = cells
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,7 +220,8 @@ def topk_search(vectors: DataFrame, is_query: Callable, k: int = 20, id_column:
     trees = written(sharded.groupBy("shard").applyInPandas(build, "shard string, low array<long>, high array<long>, tree binary"), "trees")
     asked = sharded.filter(is_query(F.col("id"))).groupBy("id").agg(F.min(F.struct("v", "shard")).alias("q")).select(F.col("id").alias("query_id"), F.col("q.v").alias("v"), F.col("q.shard").alias("home"))
     asked = written(asked, "queries")
-    blocks = -(-max(1, asked.count()) // QUERY_BLOCK)
+    boxes = [(r["shard"], np.array(r["low"], np.int64), np.array(r["high"], np.int64)) for r in trees.select("shard", "low", "high").collect()]  # at most 2 * MAX_SHARDS
+    shared_boxes = placed.sparkSession.sparkContext.broadcast(boxes)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = [(np.zeros(0, np.int64),) * 3]
@@ -226,40 +232,54 @@ def topk_search(vectors: DataFrame, is_query: Callable, k: int = 20, id_column:
                 out.append((qid[row], vec, score))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    def visit(queries: DataFrame) -> DataFrame:
-        block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-        there = trees.select("shard", "tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-        return queries.withColumn("block", block).groupBy("shard", "block").cogroup(there.groupBy("shard", "block")).applyInPandas(search, FOUND)
-
-    none, first = F.lit(_LONG.min).cast("long"), F.lit(_LONG.max).cast("long")
-    home = written(visit(asked.select("query_id", "v", F.col("home").alias("shard"), none.alias("kth"), first.alias("kth_id"))), "home")
-    order = F.struct(F.bitwise_not("score").alias("s"), F.col("vec_id").alias("i"))
-    reached = home.groupBy("query_id").agg(F.max(order).alias("last"), F.count("*").alias("n")).filter(F.col("n") >= k)
-    known = asked.join(reached, "query_id", "left").select(
-        "query_id", "v", "home", F.coalesce(F.bitwise_not("last.s"), none).alias("kth"), F.coalesce(F.col("last.i"), first).alias("kth_id")
-    )
-    boxes = [(r["shard"], np.array(r["low"], np.int64), np.array(r["high"], np.int64)) for r in trees.select("shard", "low", "high").collect()]  # at most 2 * MAX_SHARDS
-    shared_boxes = placed.sparkSession.sparkContext.broadcast(boxes)
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        by_dim: dict[int, list] = {}
-        for shard, low, high in shared_boxes.value:
-            by_dim.setdefault(int(shard.split("_")[0]), []).append((shard, low, high))
-        for pdf in batches:
-            lengths = pdf["v"].map(len)
-            for dim, group in pdf.groupby(lengths):
-                names = np.array([b[0] for b in by_dim[dim]], dtype=object)
-                low, high = (np.stack([b[i] for b in by_dim[dim]]) for i in (1, 2))
-                q = _matrix(group["v"])
-                may = box_bounds(q, low, high) + _slack(q, low, high)[:, None] >= group["kth"].to_numpy(np.int64)[:, None]
-                may &= names[None, :] != group["home"].to_numpy(object)[:, None]
-                row, shard = np.nonzero(may)
-                yield group.iloc[row][["query_id", "v", "kth", "kth_id"]].assign(shard=names[shard])
-
-    others = visit(known.mapInPandas(route, "query_id long, v array<long>, kth long, kth_id long, shard string"))
-    found = home.unionByName(others)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def visit(routed: DataFrame) -> DataFrame:
+        """Searches the trees that routed queries name; a tree is copied for each block of them."""
+        blocks = routed.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))  # at most 2 * MAX_SHARDS rows
+        there = trees.select("shard", "tree").join(F.broadcast(blocks), "shard").select("shard", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        here = routed.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.hash("query_id"), F.col("blocks"))).drop("blocks")
+        return here.groupBy("shard", "block").cogroup(there.groupBy("shard", "block")).applyInPandas(search, FOUND)
+
+    def route(first: int, stop: int) -> Callable:
+        """Queries with each shard at places first to stop of their orders whose bound can still beat the k-th score."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            by_dim: dict[int, list] = {}
+            for shard, low, high in shared_boxes.value:
+                by_dim.setdefault(int(shard.split("_")[0]), []).append((shard, low, high))
+            for pdf in batches:
+                for dim, group in pdf.groupby(pdf["v"].map(len)):
+                    names = np.array([b[0] for b in by_dim[dim]], dtype=object)
+                    low, high = (np.stack([b[i] for b in by_dim[dim]]) for i in (1, 2))
+                    q = _matrix(group["v"])
+                    bound = box_bounds(q, low, high) + _slack(q, low, high)[:, None]
+                    bound[names[None, :] == group["home"].to_numpy(object)[:, None]] = np.inf  # its own shard is first
+                    order = np.argsort(-bound, axis=1, kind="stable")[:, first:stop]
+                    row, place = np.nonzero(np.take_along_axis(bound, order, 1) >= group["kth"].to_numpy(np.int64)[:, None])
+                    yield group.iloc[row][["query_id", "v", "kth", "kth_id"]].assign(shard=names[order[row, place]])
+
+        return run
+
+    none, first_id = F.lit(_LONG.min).cast("long"), F.lit(_LONG.max).cast("long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best, begin, width = None, 0, 1
+    longest = max([sum(1 for s, _, _ in boxes if int(s.split("_")[0]) == dim) for dim in counts], default=0)
+    while begin < longest or best is None:
+        known = asked.withColumns({"kth": none, "kth_id": first_id})
+        if best is not None:  # the k-th of each query that has k results
+            reached = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("s"), F.col("vec_id").alias("i"))
+            known = asked.join(reached, "query_id", "left").select("query_id", "v", "home", F.coalesce("s", none).alias("kth"), F.coalesce("i", first_id).alias("kth_id"))
+        routed = written(known.mapInPandas(route(begin, begin + width), "query_id long, v array<long>, kth long, kth_id long, shard string"), "routed")
+        if best is not None and routed.limit(1).count() == 0:  # bounds only fall along an order: nothing further on can be better
+            break
+        found = visit(routed)
+        if best is not None:
+            found = best.drop("rank").unionByName(found)
+        earlier = [best] if best is not None else []
+        best = written(found.withColumn("rank", rank).filter(F.col("rank") <= k), "best")
+        dropped(routed, *earlier)
+        begin, width = begin + width, FIRST if begin == 0 else width * GROWTH
+    dropped(base, placed, trees, asked)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def spark_map(spark: SparkSession, rows: list) -> DataFrame:

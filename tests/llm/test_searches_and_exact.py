@@ -40,6 +40,29 @@ def test_topk_random_ties_and_odd_rows(spark, monkeypatch):
     assert searched(spark, rows) == brute(rows, lambda i: i % 20 == 0, 5)
 
 
+def test_topk_moves_trees_in_proportion(spark, monkeypatch):
+    """Vectors moved with trees grow with the vectors and with the visits of queries, not with their product."""
+    for name, value in (("SHARD_ROWS", 100), ("QUERY_BLOCK", 100)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng = np.random.default_rng(6)
+    moved, keep = {}, topk_search.written
+    for n in (1000, 4000):
+        copies = []
+
+        def seen(df, name, copies=copies):
+            out = keep(df, name)
+            if name == "routed":
+                copies += [-(-r["count"] // 100) for r in out.groupBy("shard").count().collect()]
+            return out
+
+        monkeypatch.setattr(topk_search, "written", seen)
+        centres = rng.normal(size=(8, 3)) * 20
+        rows = [(i, (centres[i % 8] + rng.normal(size=3)).tolist()) for i in range(n)]
+        assert len(searched(spark, rows)) == n // 20 * 5
+        moved[n] = sum(copies)
+    assert moved[4000] <= 6 * moved[1000]  # four times the vectors and queries; the product would be sixteen
+
+
 def test_topk_few_and_none(spark):
     assert searched(spark, [(0, [1.0, 0.0]), (7, [0.0, 1.0])]) == [(0, 1, 7, 0)]
     assert searched(spark, [(0, [1.0])]) == []
