@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import written
+from spanloom.llm.shared import dropped, row_key, written
 from spanloom.llm.skew import join_unique
 from spanloom.llm.words import U, chunks, mix, range_hashes, split_words
 
@@ -77,7 +77,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
                     names=["dedup_key", "id", "line", "leaf", "exact"],
                 )
 
-    return docs.mapInArrow(run, f"dedup_key long, id {dict(docs.dtypes)['id']}, line int, leaf long, exact long")
+    return docs.mapInArrow(run, f"dedup_key binary, id {dict(docs.dtypes)['id']}, line int, leaf long, exact long")
 
 
 def leaf_bitmap(leaves: DataFrame) -> np.ndarray:
@@ -171,8 +171,8 @@ def templates(lines: DataFrame, docs: DataFrame) -> DataFrame:
     """leaf, exact, template, first (place), last and size of each distinct line."""
     place = F.struct("id", "dedup_key", "line")
     distinct = written(lines.groupBy("leaf", "exact").agg(F.min(place).alias("first"), F.min("dedup_key").alias("low"), F.max("dedup_key").alias("high"), F.count("*").alias("size")), "lines")
-    several = distinct.groupBy("leaf").agg(F.count("*").alias("members")).filter("members > 1").select("leaf")
-    wanted = written(distinct.join(several, "leaf").select("leaf", "exact", "first"), "leaves")
+    several = written(distinct.groupBy("leaf").agg(F.count("*").alias("members")).filter("members > 1"), "several", narrow=True)
+    wanted = written(join_unique(distinct, several, ["leaf"], "members", distinct.count()).select("leaf", "exact", "first"), "leaves")
     tokens = token_rows(docs, wanted.select("leaf")).groupBy("leaf", "exact").agg(F.first("tokens").alias("tokens"))
     whole = wanted.join(tokens, ["leaf", "exact"]).repartition("leaf").sortWithinPartitions("leaf", "first", "exact").select("leaf", "exact", "tokens")
     joined = whole.mapInArrow(_join_leaves, "leaf long, exact long, founder long")
@@ -183,8 +183,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     """dedup_key and the array of line numbers (from 0) that go."""
     lines = written(line_rows(docs), "lines")
     found = written(templates(lines, docs), "templates")
-    recurring = found.groupBy("template").agg(F.min("first").alias("place"), F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("template", "place")
-    places = found.join(recurring, "template").select("leaf", "exact", "size", "place")
+    recurring = found.groupBy("template").agg(F.min("first").alias("place"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("members")).filter("low <> high").select("template", "place", "members")
+    places = join_unique(found, written(recurring, "recurring"), ["template"], "members", found.count()).select("leaf", "exact", "size", "place")
     total = lines.count()
     hit = join_unique(lines.select("leaf", "exact", "dedup_key", "id", "line"), written(places, "places"), ["leaf", "exact"], "size", total)
     gone = hit.filter(~((F.col("place.dedup_key") == F.col("dedup_key")) & (F.col("place.line") == F.col("line"))))
@@ -194,11 +194,12 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """row (a struct of the columns of docs), text without the dropped lines, and lines: the numbers of those (null if none)."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    keyed = docs.select(row, F.xxhash64(F.col(id_column), F.col(text_column)).alias("dedup_key"))
+    keyed = docs.select(row, row_key(F.col(id_column), F.col(text_column)).alias("dedup_key"))
     id_, text = F.col(f"row.`{id_column}`"), F.col(f"row.`{text_column}`")
     gone = written(dropped_lines(keyed.select("dedup_key", id_.alias("id"), text.alias("text"))), "gone")
-    joined = keyed.join(gone.hint("shuffle_hash"), "dedup_key", "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("dedup_lines", i)), "\n")
+    joined = keyed.join(gone.hint("shuffle_hash"), "dedup_key", "left").withColumn("all", F.when(F.col("dedup_lines").isNotNull(), F.split(text, "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "dedup_lines")  # by a hash set, in one pass
+    kept = F.array_join(F.transform(stay, lambda i: F.get("all", i)), "\n")
     return joined.select("row", F.when(F.col("dedup_lines").isNull(), text).otherwise(kept).alias("text"), F.col("dedup_lines").alias("lines"))
 
 
