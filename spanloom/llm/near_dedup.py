@@ -7,13 +7,14 @@ a rank bound set so that a text gets about DARTS_PER_COORDINATE darts for each c
 coordinate, which keeps its earliest dart; if a coordinate stays empty the bound is doubled for that text. Two texts agree in a coordinate with a chance equal to
 their weighted Jaccard similarity.
 
-1. Texts with the same sequence of words are one node. Copies cost one row each and never meet again.
+1. Texts with the same sequence of words, by the SHA-256 of the words joined by spaces, are one node. Copies cost one row each and never meet again.
 2. BANDS bands of ROWS coordinates make buckets. In each bucket every node is paired with one hub, not with every other node.
 3. Pairs are verified against the shingles of both whole texts, and verified links joined into components.
 4. A bucket whose nodes lie in several components still may hide links. Another hub is tried there; then the nodes of different
    components of a bucket are compared: pair by pair in small buckets, apart from pairs that the triangle inequality of Jaccard distance
    rules out by the distances to a common hub; block against block in large ones, where one link for each two components comes out, never
    the pairs. So no link between candidates is lost, and a bucket whose nodes are joined already costs nothing.
+Hubs and the labels of large classes are keys of many rows: rows meet them through broadcasts of the few hot ones (llm/skew.py) or over salts.
 
 Verification compares 32-bit shingle ids: the chance of a wrong common shingle is below n * n / 2**32 for texts of n shingles.
 
@@ -24,6 +25,7 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import written
+from spanloom.llm.shared import dropped, row_key, written
 from spanloom.llm.skew import join_unique
-from spanloom.llm.words import U, Words, chunks, mix, range_hashes, split_words
+from spanloom.llm.words import U, Words, chunks, joined, mix, range_hashes, split_words
 
 SHINGLE, SIMILAR, BANDS, ROWS, DARTS_PER_COORDINATE, HUB_ROUNDS = 5, 0.8, 20, 5, 8, 1
-#: Buckets of up to LIGHT nodes are compared pair by pair, larger ones in blocks of about BLOCK nodes.
-LIGHT, BLOCK = 32, 1024
+#: Buckets of up to LIGHT nodes are compared pair by pair, larger ones in blocks of about BLOCK nodes or BLOCK_BYTES of shingle ids.
+LIGHT, BLOCK, BLOCK_BYTES = 32, 1024, 16 << 20
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, i + 1, dtype=float)) for i in range(18)])
 
 
@@ -107,11 +109,10 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def digests(words: Words) -> list[bytes]:
-    """128 bits over the sequence of words of each text."""
-    key = words.hashes()
-    both = np.stack([range_hashes(key, words.ptr[:-1], words.ptr[1:], seed) for seed in (11, 23)], axis=1)
-    raw = both.tobytes()
-    return [raw[i : i + 16] for i in range(0, len(raw), 16)]
+    """SHA-256 of the words of each text, joined by one space."""
+    data, bounds = joined(words)
+    view, ends = memoryview(data), bounds.tolist()
+    return [hashlib.sha256(view[a:b]).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def node_rows(docs: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def node_rows(docs: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(keys[some].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("id"), pa.array(digests(words), pa.binary()), lists], names=["key", "id", "digest", "bands"])
 
-    return docs.mapInArrow(run, f"key long, id {dict(docs.dtypes)['id']}, digest binary, bands array<long>")
+    return docs.mapInArrow(run, f"key binary, id {dict(docs.dtypes)['id']}, digest binary, bands array<long>")
 
 
 def shingle_ids(docs: DataFrame) -> DataFrame:
@@ -200,8 +201,11 @@ def block_links(node: np.ndarray, component: np.ndarray, side: np.ndarray, ids:
 
 def heavy_links(unresolved: DataFrame, sets: DataFrame) -> DataFrame:
     """a and b: links between the components of large buckets, found block against block."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = unresolved.withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    sized = unresolved.join(sets.select("node", F.length("ids").alias("bytes")), "node")
+    needed = sized.groupBy("band").agg(F.count("*").alias("nodes"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    planned = written(needed.select("band", "nodes", blocks.alias("blocks")), "blocks", narrow=True)
+    own = join_unique(unresolved, planned, ["band"], "nodes", unresolved.count()).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), (F.col("own") > o).cast("int").alias("side")))
     spread = own.select("band", "node", "component", F.explode(tasks).alias("t")).select("band", "node", "component", "t.*").join(sets, "node")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -228,20 +232,27 @@ def heavy_links(unresolved: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node of links (a, b): smallest label of all neighbours, then label of the label."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links", narrow=True)
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels", narrow=True)
+    total = both.count()
+    # Links stand in both directions, so the links of a node are its neighbours.
+    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("size")).withColumnRenamed("a", "node"), "labels", narrow=True)
+    nodes = labels.count()
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        pulled = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("low"))
-        jumped = pulled.join(labels.select(F.col("node").alias("low"), F.col("label").alias("above")), "low").select("node", F.least("low", "above").alias("label"), F.col("label").alias("old"))
+        near = join_unique(both, labels.withColumnRenamed("node", "b"), ["b"], "size", total).groupBy("a").agg(F.min("label").alias("near"))
+        pulled = written(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", "size", F.least("label", "near").alias("low")), "pulled", narrow=True)
+        named = pulled.groupBy("low").agg(F.count("*").alias("members"))
+        above = written(labels.select(F.col("node").alias("low"), F.col("label").alias("above")).join(named, "low"), "above", narrow=True)
+        jumped = join_unique(pulled, above, ["low"], "members", nodes).select("node", F.least("low", "above").alias("label"), "size", F.col("label").alias("old"))
         now = written(jumped, "labels", narrow=True)
-        labels = now.select("node", "label")
+        dropped(labels, pulled, above)
+        labels = now
         if now.filter("label <> old").limit(1).count() == 0:
-            return labels.withColumnRenamed("label", "component")
+            dropped(both)
+            return labels.select("node", F.col("label").alias("component"))
 
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: id, class_id (smallest id of its class), class_size, kept (one row of each class), copies (rows with the same words)."""
-    texts = docs.select(F.xxhash64(F.col(id_column), F.col(text_column)).alias("key"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    texts = docs.select(row_key(F.col(id_column), F.col(text_column)).alias("key"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     rows = written(node_rows(texts), "rows")
     nodes = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("lead"), F.count("*").alias("size"), F.first("bands").alias("bands"))
     nodes = written(nodes.select("digest", F.col("lead.key").alias("key"), F.col("lead.id").alias("first_id"), "size", "bands", F.monotonically_increasing_id().alias("node")), "nodes")
@@ -259,7 +270,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", F.hash(F.col("node"), F.lit(step))).alias("next"), F.count("*").alias("n")).filter("low <> high")
         unresolved = written(join_unique(placed, written(open_bands.select("band", "next", "n"), "open", narrow=True), ["band"], "n", total), "unresolved", narrow=True)
         if step < HUB_ROUNDS:
-            pairs = unresolved.filter("node <> next").select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b"))
+            pairs = unresolved.filter("node <> next").select(F.col("node").alias("a"), F.col("next").alias("b"))  # verified() salts hubs, which stand in b
             fresh = unresolved.limit(0).select(F.col("node").alias("a"), F.col("hub").alias("b"))
         else:
             light = F.col("n") <= LIGHT
@@ -270,7 +281,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             joined = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & apart)
             pairs = joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
             fresh = written(heavy_links(unresolved.filter(~light), sets), "heavy")
-        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         found = verified(written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs", narrow=True), sets)
         tested = tested.unionByName(found)
         fresh = fresh.unionByName(found.filter(F.col("similarity") >= SIMILAR).select("a", "b"))
@@ -289,7 +300,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stay: one of each class."""
     keep = near_classes(docs, id_column, text_column).filter("kept").select("dedup_key").distinct()
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_column), F.col(text_column)).alias("dedup_key"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col(id_column), F.col(text_column)).alias("dedup_key"))
     alike = Window.partitionBy("dedup_key").orderBy(F.monotonically_increasing_id())
     first = packed.join(keep, "dedup_key", "left_semi").withColumn("nth", F.row_number().over(alike)).filter("nth = 1")
     return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

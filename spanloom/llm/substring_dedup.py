@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.shared import dropped, row_key, written
 from spanloom.llm.skew import join_unique
-from spanloom.llm.words import U, Words, chunks, mix, pieces_of, range_hashes, split_words, text_column
+from spanloom.llm.words import U, Words, chunks, joined, mix, pieces_of, range_hashes, split_words, text_column
 
 WINDOW, GRAM = 35, 4
 GRAMS = WINDOW - GRAM + 1
@@ -245,19 +245,6 @@ def _small(keys: DataFrame) -> bool:
     return keys.count() <= BROADCAST_KEYS
 
 
-def _joined(words: Words, keep: np.ndarray) -> pa.Array:
-    """The kept words of each text joined by one space."""
-    which = np.flatnonzero(keep)
-    size = words.end[which] - words.start[which]
-    stop = np.cumsum(size + 1)  # each word and a space after it
-    out = np.full(int(stop[-1]) if len(stop) else 0, 0x20, dtype=np.uint8)
-    within = _within(size)
-    out[within + np.repeat(stop - size - 1, size)] = words.data[within + np.repeat(words.start[which], size)]
-    kept = np.concatenate([[0], np.cumsum(keep)])[words.ptr]
-    bounds = np.concatenate([[0], stop])[kept]
-    return pieces_of(out, bounds[:-1], np.maximum(bounds[:-1], bounds[1:] - 1)).cast(pa.string())
-
-
 def cleaned(texts: DataFrame) -> DataFrame:
     """id, n_words, n_removed and text (the kept words) of texts; texts has id, text and gone array<struct<start, stop>> of words that go (null: none)."""
 
@@ -274,7 +261,8 @@ def cleaned(texts: DataFrame) -> DataFrame:
                 gone = np.cumsum(inside[:-1]) > 0
                 total = np.concatenate([[0], np.cumsum(gone)])
                 removed = total[words.ptr[1:]] - total[words.ptr[:-1]]
-                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(np.diff(words.ptr)), pa.array(removed), _joined(words, ~gone)], names=["id", "n_words", "n_removed", "text"])
+                kept, bounds = joined(words, ~gone)
+                yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(np.diff(words.ptr)), pa.array(removed), pieces_of(kept, bounds[:-1], bounds[1:]).cast(pa.string())], names=["id", "n_words", "n_removed", "text"])
 
     return texts.select("id", "text", "gone").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, n_words long, n_removed long, text string")
 

@@ -53,8 +53,16 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hash of data[s:e] for each range of bytes."""
-    return range_hashes(_BYTE[data], starts, ends, seed)
+    """Hash of data[s:e] for each range of bytes, in ascending order and apart. Memory is bounded by CHUNK_BYTES or the longest range, whatever the text."""
+    if len(data) <= CHUNK_BYTES:
+        return range_hashes(_BYTE[data], starts, ends, seed)
+    out, i = np.zeros(len(starts), dtype=U), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, side="right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        out[i:j] = range_hashes(_BYTE[data[a:b]], starts[i:j] - a, ends[i:j] - a, seed)
+        i = j
+    return out
 
 
 @dataclass
@@ -100,6 +108,22 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         row = stop
 
 
+def joined(words: "Words", keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts that are kept, joined by one space within a text: bytes, and the bounds of each text in them."""
+    start, end, owner = words.start, words.end, words.owner()
+    if keep is not None:
+        start, end, owner = start[keep], end[keep], owner[keep]
+    more = np.zeros(len(start), dtype=bool)  # another word of the text follows, so there is a blank to take along
+    more[:-1] = owner[1:] == owner[:-1]
+    data = words.data.copy()
+    data[end[more]] = 0x20
+    edge = np.zeros(len(data) + 1, dtype=np.int8)
+    edge[start] += 1
+    edge[end + more] -= 1
+    sizes = np.concatenate([[0], np.cumsum(end - start + more)])
+    return data[np.cumsum(edge[:-1], dtype=np.int8) > 0], sizes[np.searchsorted(owner, np.arange(len(words.ptr)))]
+
+
 def pieces_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """data[s:e] for each range, as a binary column; ranges may overlap."""
     size = end - start

@@ -74,10 +74,35 @@ def test_large_buckets_lose_no_link(spark, documents, monkeypatch):
     for light in (32, 1):
         monkeypatch.setattr(near_dedup, "LIGHT", light)
         monkeypatch.setattr(near_dedup, "BLOCK", 8)
+        monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000 if light == 1 else 1 << 20)
         out = near_dedup.near_classes(documents(rows)).collect()
         assert {r.class_id for r in out} == {0}
 
 
+def test_texts_that_trick_polynomial_hashes_are_no_copies(spark, documents):
+    """Thue-Morse orders of two words and their complement collide under any polynomial hash modulo 2**64."""
+    order = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(1, " ".join(("alpha", "beta")[b] for b in order)), (2, " ".join(("beta", "alpha")[b] for b in order)), (3, " ".join(("alpha", "beta")[b] for b in order) + " ")]
+    assert {r.doc_id: r.copies for r in near_dedup.near_classes(documents(rows)).collect()} == {1: 2, 2: 1, 3: 2}
+
+
+def test_components_of_a_large_star_and_a_chain(spark, monkeypatch):
+    monkeypatch.setattr("spanloom.llm.skew.HOT_SHARE", 20)
+    links = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 440)] + [(900, 905), (905, 903)]
+    found = {r.node: r.component for r in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {**dict.fromkeys(range(300), 0), **dict.fromkeys(range(400, 441), 400), 900: 900, 903: 900, 905: 900}
+
+
+def test_hashes_of_long_texts_are_made_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    data = np.frombuffer(" ".join(prose(rng, 5000) + ["x" * 700] + prose(rng, 50)).encode(), np.uint8)
+    words = near_dedup.split_words(data, np.array([0, len(data)]))
+    whole, raw = words.hashes().tolist(), data.tobytes()
+    monkeypatch.setattr("spanloom.llm.words.CHUNK_BYTES", 300)
+    assert words.hashes().tolist() == whole
+    assert near_dedup.digests(words) == [hashlib.sha256(b" ".join(raw.split())).digest()]
+
+
 def test_signature_agreement_is_weighted_jaccard():
     rng = np.random.default_rng(0)
     element = near_dedup.mix(rng.integers(1, 1 << 62, 300).astype(np.uint64))
@@ -259,6 +284,17 @@ def test_a_leaf_keeps_several_templates(spark, documents, monkeypatch):
         assert {(r.doc_id, at) for r in out for at in r.lines or []} == expected
 
 
+def test_two_templates_of_equal_share_in_a_leaf(spark, documents):
+    """Each has 45 % of a leaf's lines and varies in a word; neither is a majority."""
+    rng = random.Random(17)
+    a, b = "we are now open for all of our {} guests again".split(), "we are now sorry that the old {} server went down".split()
+    lines = [" ".join(w.replace("{}", prose(rng, 1)[0]) for w in t) for t in [a] * 45 + [b] * 45] + [" ".join(["we are now", *prose(rng, len(a) - 3)]) for _ in range(10)]
+    rng.shuffle(lines)
+    rows = list(enumerate(lines))
+    out = line_dedup.line_dedup(documents(rows)).filter("lines is not null")
+    assert out.count() == 88 and {(r.doc_id, at) for r in out.select("row.doc_id", "lines").collect() for at in r.lines} == brute_templates(rows)
+
+
 def test_founders_do_not_depend_on_the_search_by_parts(monkeypatch):
     rng = np.random.default_rng(3)
     for n in (4, 5, 8, 13, 40):
