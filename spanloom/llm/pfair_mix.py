@@ -9,8 +9,10 @@ sources alone); the slot of any block then follows by arithmetic, without a pass
 When a source has run out, its slots are left out and the others keep their proportions: every document is placed once.
 A document longer than a block uses up as many of its source's blocks, so that shares hold in characters.
 
-Running totals never gather a source in one task: documents are dealt over hash buckets of a source, buckets are summed first, and the
-totals before each bucket are added to those within it.
+Running totals never gather a source in one task: documents are dealt over hash buckets of a source, buckets are summed first, then groups of
+buckets, and the totals before each group and bucket are added to those within. A task orders some BUCKET_ROWS documents, or the root of the number of
+buckets. The cycle is a table of a row a slot, broadcast up to BROADCAST_SLOTS rows and joined beyond. Its fold takes slots times sources steps: sources are meant
+to be collections (thousands at most), not single hosts.
 
 Defined cases: a null text has length 0; a null source is a source of its own; repeated rows are all placed, in adjoining places of either order; a
 source without a given weight gets one slot of a cycle; a weight for an absent source is left out; an empty table gives an empty result; other columns pass through, whatever their names.
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.shared import written
 
-SLOTS, BLOCK_CHARS, BUCKET_ROWS = 1000, 65536, 1000
+SLOTS, BLOCK_CHARS, BUCKET_ROWS, BROADCAST_SLOTS, CYCLES = 1000, 65536, 1000, 100_000, 1024
 
 
 def _edf(shares: str, total: str):
@@ -76,6 +78,16 @@ def given_weights(docs: DataFrame, weights: Mapping[str | None, float], source_c
     return docs.groupBy(_key(source_column).alias("mix_key")).agg(F.max(F.coalesce(*cases, F.lit(1))).cast("long").alias("n"))
 
 
+def _before(sums: DataFrame, group: list[str], coarse: str, fine: str, value: str, out: str) -> DataFrame:
+    """sums with out: the total of value in all rows of the group before this one in the order of fine. coarse goes up with fine; no task orders more than its values or the rows of one of them."""
+    nothing = F.lit(0).cast("long")
+    earlier = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    tops = sums.groupBy(*group, coarse).agg(F.sum(value).alias("mix_top"))
+    tops = tops.select(*group, coarse, F.coalesce(F.sum("mix_top").over(earlier(group, coarse)), nothing).alias("mix_top"))
+    inner = F.coalesce(F.sum(value).over(earlier([*group, coarse], fine)), nothing)
+    return sums.withColumn(out, inner).join(tops, [*group, coarse]).withColumn(out, F.col(out) + F.col("mix_top")).drop("mix_top")
+
+
 def scheduled(docs: DataFrame, weights: DataFrame | None = None, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", block_size: int = BLOCK_CHARS) -> DataFrame:
     """row (a struct of the columns of docs), mix_block (from 1, within its source), mix_slot, mix_order, mix_id and mix_size: sorting by the last four gives the mixture."""
     weights = root_weights(docs, source_column, text_column) if weights is None else weights
@@ -88,24 +100,25 @@ def scheduled(docs: DataFrame, weights: DataFrame | None = None, id_column: str
         F.md5(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")).alias("mix_order"),
     ).withColumn("mix_bucket", F.substring("mix_order", 1, digits))
     sums = keyed.groupBy("mix_key", "mix_bucket").agg(F.sum("mix_size").alias("mix_sum"))
-    earlier = Window.partitionBy("mix_key").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("mix_key", "mix_bucket", F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0).cast("long")).alias("mix_base"))
+    grouped = sums.withColumn("mix_group", F.substring("mix_bucket", 1, (digits + 1) // 2))
+    bases = _before(grouped, ["mix_key"], "mix_group", "mix_bucket", "mix_sum", "mix_base").select("mix_key", "mix_bucket", "mix_base")
     within = Window.partitionBy("mix_key", "mix_bucket").orderBy("mix_order", "mix_id", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.withColumn("mix_before", F.coalesce(F.sum("mix_size").over(within), F.lit(0).cast("long"))).join(bases, ["mix_key", "mix_bucket"])
     blocks = placed.withColumn("mix_block", F.floor((F.col("mix_base") + F.col("mix_before")) / F.lit(block_size)).cast("long"))
     table = written(cycle(weights), "cycle", narrow=True)  # a row for each slot of a cycle
+    known = F.broadcast if table.count() <= BROADCAST_SLOTS else lambda df: df
     share = table.select("mix_key", F.col("n").alias("mix_n"), F.col("total").alias("mix_total")).distinct()
-    slots = blocks.join(F.broadcast(share), "mix_key").withColumn("mix_i", F.col("mix_block") % F.col("mix_n"))
-    slots = slots.join(F.broadcast(table.select("mix_key", F.col("i").alias("mix_i"), F.col("at").alias("mix_at"))), ["mix_key", "mix_i"])
+    slots = blocks.join(known(share), "mix_key").withColumn("mix_i", F.col("mix_block") % F.col("mix_n"))
+    slots = slots.join(known(table.select("mix_key", F.col("i").alias("mix_i"), F.col("at").alias("mix_at"))), ["mix_key", "mix_i"])
     slots = slots.withColumn("mix_slot", F.expr("mix_block div mix_n") * F.col("mix_total") + F.col("mix_at"))
     return slots.select("row", (F.col("mix_block") + 1).alias("mix_block"), "mix_slot", "mix_order", "mix_id", "mix_size", F.expr("mix_block div mix_n").alias("mix_cycle"))
 
 
 def positions(placed: DataFrame) -> DataFrame:
-    """scheduled() rows with mix_position, from 0: totals of cycles, then of slots, then places within a slot."""
+    """scheduled() rows with mix_position, from 0: totals of runs of CYCLES cycles, of cycles, then of slots, then places within a slot."""
     slots = placed.groupBy("mix_cycle", "mix_slot").agg(F.count("*").alias("c"))
-    cycles = slots.groupBy("mix_cycle").agg(F.sum("c").alias("cc"))
-    first = cycles.select("mix_cycle", F.coalesce(F.sum("cc").over(Window.orderBy("mix_cycle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("b0"))
+    cycles = slots.groupBy("mix_cycle").agg(F.sum("c").alias("cc")).withColumn("mix_era", F.expr(f"mix_cycle div {CYCLES}"))
+    first = _before(cycles, [], "mix_era", "mix_cycle", "cc", "b0").select("mix_cycle", "b0")
     inner = Window.partitionBy("mix_cycle").orderBy("mix_slot").rowsBetween(Window.unboundedPreceding, -1)
     bases = slots.withColumn("b1", F.coalesce(F.sum("c").over(inner), F.lit(0).cast("long"))).join(first, "mix_cycle").select("mix_slot", (F.col("b0") + F.col("b1")).alias("b"))
     place = F.row_number().over(Window.partitionBy("mix_slot").orderBy("mix_order", "mix_id", "mix_size"))

@@ -66,7 +66,11 @@ def test_one_cycle_stays_within_a_block(spark, shares):
             assert abs(done[f"s{i}"] - t * n / total) < 1
 
 
-def test_mixture_places_every_document_once(spark, documents):
+@pytest.mark.parametrize("small", [False, True])
+def test_mixture_places_every_document_once(spark, documents, monkeypatch, small):
+    if small:  # many levels, eras and no broadcast
+        for name, value in (("BUCKET_ROWS", 1), ("BROADCAST_SLOTS", 0), ("CYCLES", 2), ("SLOTS", 7)):
+            monkeypatch.setattr(pfair_mix, name, value)
     rng = random.Random(4)
     rows = [(i, "x" * rng.randint(0, 400), rng.choice("aaab")) for i in range(500)] + [(600, None, "a"), (601, "y" * 9000, None), (602, "z", None), (3, "twice", "b"), (3, "twice", "b")]
     docs = documents(rows)
