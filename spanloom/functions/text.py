@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # The white space that Python's str methods and \s know, as regular-expression class contents.
 SPACE_CLASS = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORD_CLASS = r"\p{L}\p{N}_"
-TILES = rf"[{WORD_CLASS}]+|[{SPACE_CLASS}]+|(?s:.)"
 
 
 def blank_to_null(c: Column) -> Column:
@@ -70,6 +68,22 @@ def piece(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
+#: Code points of a block of text, where whole texts would be walked for each of their parts.
+BLOCK = 256
+
+
+def text_blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, for block_piece()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+
+
+def block_piece(blocks: Column, start: Column, end: Column) -> Column:
+    """text[start:end] in code points from text_blocks(): reads the blocks of the piece alone, not the text before them."""
+    first = F.floor(start / BLOCK).cast("int")
+    count = F.greatest(F.floor((end - 1) / BLOCK).cast("int") - first + 1, F.lit(0))
+    return F.substring(F.array_join(F.slice(blocks, first + 1, count), ""), start % BLOCK + 1, end - start)
+
+
 def joined_pieces(text: Column, spans: Column) -> Column:
     """The pieces of (start, end) pairs in the order given, joined by a space."""
     return F.array_join(F.transform(spans, lambda s: piece(text, s[0], s[1])), " ")

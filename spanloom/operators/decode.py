@@ -8,44 +8,54 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import count_scores
+from spanloom.operators.matching import COUNTS, both_sides, outcomes
+from spanloom.operators.metrics import with_scores
 
 NEXT = 1
 
 
-def decode(grid: DataFrame, keys: Sequence[str], next_threshold, head_threshold) -> DataFrame:
-    """keys, index array<int>, type: the distinct entities.
+def chains(grid: DataFrame, keys: Sequence[str], next_threshold, head_threshold) -> DataFrame:
+    """keys, index array<int>, type, link_score and head_score: the distinct entities with the lowest score of their links (infinite for one token) and that of their mark.
 
     Chains grow from the head, each only within the span of a marked (tail, head) and only over links from which the tail can still be reached,
-    so no dead end is carried on. The number of steps is the number of tokens in the span.
+    so no dead end is carried on. The number of steps is the number of tokens in the span. A cell that stands in the grid more than once counts with its highest score.
     """
     keys = list(keys)
-    marks = grid.filter((F.col("channel") > NEXT) & (F.col("score") > head_threshold) & (F.col("col") <= F.col("row"))).select(*keys, F.col("row").alias("tail"), F.col("col").alias("head"), F.col("channel").alias("type"))
-    links = grid.filter((F.col("channel") == NEXT) & (F.col("score") > next_threshold) & (F.col("row") < F.col("col"))).select(*keys, F.col("row").alias("from"), F.col("col").alias("to"))
-    spans = marks.select(*keys, "head", "tail").distinct()
-    adjacent = links.groupBy(*keys).agg(F.collect_list(F.struct("from", "to")).alias("links"))
-    start = spans.join(adjacent, keys, "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<from:int,to:int>>")))
-    inside = F.filter("links", lambda e: (e["from"] >= F.col("head")) & (e["to"] <= F.col("tail")))
+    own = grid.groupBy(*keys, "row", "col", "channel").agg(F.max(F.col("score").cast("double")).alias("score"))
+    marks = own.filter((F.col("channel") > NEXT) & (F.col("score") > head_threshold) & (F.col("col") <= F.col("row"))).select(*keys, F.col("row").alias("tail"), F.col("col").alias("head"), F.col("channel").alias("type"), F.col("score").alias("head_score"))
+    links = own.filter((F.col("channel") == NEXT) & (F.col("score") > next_threshold) & (F.col("row") < F.col("col"))).select(*keys, F.col("row").alias("from"), F.col("col").alias("to"), "score")
+    spans = marks.groupBy(*keys, "head", "tail").agg(F.collect_list(F.struct("type", "head_score")).alias("marks"))
+    between = links.join(spans.drop("marks"), keys).filter((F.col("from") >= F.col("head")) & (F.col("to") <= F.col("tail")))
+    held = between.groupBy(*keys, "head", "tail").agg(F.collect_list(F.struct("from", "to", "score")).alias("links"))
+    start = spans.join(held, [*keys, "head", "tail"], "left").withColumn("links", F.coalesce("links", F.array().cast("array<struct<from:int,to:int,score:double>>")))
     # Links that can reach the tail: the set of such tokens grows backwards by one sweep over descending tokens.
     reach = F.aggregate(
         F.reverse(F.array_sort("links")),
         F.array("tail"),
         lambda seen, e: F.when(F.array_contains(seen, e["to"]), F.array_union(seen, F.array(e["from"]))).otherwise(seen),
     )
-    useful = start.withColumn("links", inside).withColumn("reach", reach).withColumn("links", F.filter("links", lambda e: F.array_contains("reach", e["to"])))
+    useful = start.withColumn("reach", reach).withColumn("links", F.filter("links", lambda e: F.array_contains("reach", e["to"])))
+    last = lambda c: F.element_at(c["index"], -1)
+    longer = lambda c, e: F.struct(F.concat(c["index"], F.array(e["to"])).alias("index"), F.least(c["low"], e["score"]).alias("low"))
     grown = F.aggregate(
         F.sequence(F.lit(1), F.col("tail") - F.col("head") + 1),
-        F.struct(F.array(F.array("head")).alias("open"), F.array().cast("array<array<int>>").alias("done")),
+        F.struct(F.array(F.struct(F.array("head").alias("index"), F.lit(float("inf")).alias("low"))).alias("open"), F.array().cast("array<struct<index:array<int>,low:double>>").alias("done")),
         lambda s, _: F.struct(
-            F.flatten(F.transform(F.filter(s["open"], lambda c: F.element_at(c, -1) != F.col("tail")), lambda c: F.transform(F.filter("links", lambda e: e["from"] == F.element_at(c, -1)), lambda e: F.concat(c, F.array(e["to"]))))).alias("open"),
-            F.concat(s["done"], F.filter(s["open"], lambda c: F.element_at(c, -1) == F.col("tail"))).alias("done"),
+            F.flatten(F.transform(F.filter(s["open"], lambda c: last(c) != F.col("tail")), lambda c: F.transform(F.filter("links", lambda e: e["from"] == last(c)), lambda e: longer(c, e)))).alias("open"),
+            F.concat(s["done"], F.filter(s["open"], lambda c: last(c) == F.col("tail"))).alias("done"),
         ),
     )
-    chains = useful.select(*keys, "head", "tail", F.explode(F.array_distinct(grown["done"])).alias("index"))
-    return marks.join(chains, [*keys, "head", "tail"]).select(*keys, "index", "type").distinct()
+    found = useful.select(*keys, "marks", F.explode(grown["done"]).alias("c")).select(*keys, F.col("c.index").alias("index"), F.col("c.low").alias("link_score"), F.explode("marks").alias("m"))
+    return found.select(*keys, "index", F.col("m.type").alias("type"), "link_score", F.col("m.head_score").alias("head_score"))
+
+
+def decode(grid: DataFrame, keys: Sequence[str], next_threshold, head_threshold) -> DataFrame:
+    """keys, index array<int>, type: the distinct entities."""
+    return chains(grid, keys, next_threshold, head_threshold).select(*keys, "index", "type")
 
 
 def entity_counts(decoded: DataFrame, gold: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -57,22 +67,45 @@ def entity_counts(decoded: DataFrame, gold: DataFrame, keys: Sequence[str]) -> D
     return counts.select("*", *[v.alias(k) for k, v in count_scores(F.col("correct"), F.col("predicted"), F.col("relevant")).items()])
 
 
-def threshold_grid(spark, next_thresholds: Sequence, head_thresholds: Sequence) -> DataFrame:
-    """cell (from 0, in order), next_threshold, head_threshold."""
-    pairs = [(i, *p) for i, p in enumerate((n, h) for n in next_thresholds for h in head_thresholds)]
-    return spark.createDataFrame(pairs, "cell int, next_threshold int, head_threshold int")
+def threshold_grid(spark, first: Sequence[float], second: Sequence[float], names: tuple[str, str] = ("next_threshold", "head_threshold")) -> DataFrame:
+    """cell (from 0, in order) and two thresholds, for all pairs."""
+    pairs = [(i, float(a), float(b)) for i, (a, b) in enumerate((a, b) for a in first for b in second)]
+    return spark.createDataFrame(pairs, f"cell int, {names[0]} double, {names[1]} double")
+
+
+def _scored_cells(cells: DataFrame, outcomes_: DataFrame) -> DataFrame:
+    """cells with the five counts and the scores of the shared evaluator; a cell without mentions has zeros."""
+    counts = outcomes_.groupBy("cell").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return with_scores(cells.join(counts, "cell", "left").na.fill(0, list(COUNTS)))
 
 
 def sweep(grid: DataFrame, gold: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """cell, thresholds, counts and scores of every cell, from one read of the grid. Cells are a small list."""
+    """cell, thresholds, counts of decoded entities and the scores of every cell, from one read of the grid. Cells are a small list.
+
+    The entities of a cell are matched to the reference one by one: an entity's span is that from its first to its last token, its label the type.
+    """
+    keys = list(keys)
+    lowest = cells.agg(F.min("next_threshold"), F.min("head_threshold")).first()  # two numbers
+    entity = [*keys, "index", "type"]
+    true = gold.select(*entity).distinct()
+    # Chains are found once, with the lowest thresholds; a cell lets those pass whose weakest link and mark exceed its own.
+    found = chains(grid, keys, F.lit(lowest[0]), F.lit(lowest[1])).join(true.withColumn("hit", F.lit(1)), entity, "left")
+    of = lambda df, side: df.withColumn("side", F.lit(side)).select(*entity, "side", F.col("index")[0].alias("start"), (F.element_at("index", -1) + 1).alias("end"), F.col("type").cast("string").alias("label"), "link_score", "head_score", "hit")
+    always = true.select("*", F.lit(float("inf")).alias("link_score"), F.lit(float("inf")).alias("head_score"), F.lit(None).cast("int").alias("hit"))
+    place = Window.partitionBy(*keys, "side").orderBy("index", "type")
+    both = of(always, "g").unionByName(of(found, "p")).withColumn("ordinal", F.row_number().over(place)).drop("index", "type")
+    passed = both.join(F.broadcast(cells)).filter((F.col("link_score") > F.col("next_threshold")) & (F.col("head_score") > F.col("head_threshold")))
+    scored = _scored_cells(cells, outcomes(passed.select("cell", *keys, "start", "end", "label", "ordinal", "side"), ["cell", *keys]))
+    own = found.join(F.broadcast(cells)).filter((F.col("link_score") > F.col("next_threshold")) & (F.col("head_score") > F.col("head_threshold")))
+    same = own.groupBy("cell").agg(F.count("hit").alias("same_entities"), F.count("*").alias("predicted"))
+    relevant = true.agg(F.count("*").alias("relevant"))  # one row
+    return scored.join(same, "cell", "left").na.fill(0, ["same_entities", "predicted"]).join(F.broadcast(relevant))
+
+
+def flat_sweep(gold: DataFrame, pred: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """cell, thresholds, counts and scores: predicted mentions (with logit and prob) whose scores exceed both thresholds of a cell, against the reference. One job for all cells."""
     keys = list(keys)
-    lowest = cells.agg(F.least(F.min("next_threshold"), F.min("head_threshold")).alias("low"))
-    used = grid.join(F.broadcast(lowest)).filter(F.col("score") > F.col("low")).drop("low")  # what no cell lets pass goes before the copies
-    each = used.join(F.broadcast(cells))
-    decoded = decode(each, ["cell", *keys], F.col("next_threshold"), F.col("head_threshold"))
-    true = gold.select(*keys, "index", "type").distinct()
-    hit = decoded.join(true.withColumn("hit", F.lit(1)), [*keys, "index", "type"], "left")
-    counts = hit.groupBy("cell").agg(F.count("hit").alias("correct"), F.count("*").alias("predicted"))
-    relevant = true.agg(F.count("*").alias("relevant"))
-    rows = cells.join(counts, "cell", "left").join(F.broadcast(relevant)).na.fill(0, ["correct", "predicted"])
-    return rows.select("*", *[v.alias(k) for k, v in count_scores(F.col("correct"), F.col("predicted"), F.col("relevant")).items()])
+    columns = ["cell", *keys, "start", "end", "label", "ordinal"]
+    passed = pred.join(F.broadcast(cells)).filter((F.col("logit") > F.col("logit_threshold")) & (F.col("prob") > F.col("prob_threshold")))
+    both = both_sides(gold.join(F.broadcast(cells.select("cell"))).select(*columns), passed.select(*columns), ["cell", *keys])
+    return _scored_cells(cells, outcomes(both, ["cell", *keys]))

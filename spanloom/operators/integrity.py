@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import first_filled, joined_pieces, piece, plain_name
+from spanloom.functions.text import block_piece, first_filled, plain_name, text_blocks
 
 #: The shape of a record that these checks read.
 RECORD = (
@@ -41,15 +41,18 @@ def record_errors(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     length = F.coalesce(F.when(F.col("text_length") != 0, F.col("text_length")), F.when(meta["sentence_char_length"] != "", meta["sentence_char_length"]).cast("int"))
     outer = _errors((digest != F.sha2(text, 256), "text_sha256 mismatch"), (length != F.length(text), "text_length mismatch"))
 
+    outer = F.when(text.isNull(), F.array(F.lit("text is not reconstructed"))).otherwise(outer)
+
     def of(e: Column) -> Column:
-        whole = F.array(F.array(e["start"], e["end"]))
-        bad = (e["start"] < 0) | (e["end"] > F.length(text)) | (e["start"] > e["end"])
-        other = e["text"].isNotNull() & (e["text"] != piece(text, e["start"], e["end"])) & (e["text"] != joined_pieces(text, F.coalesce(e["spans"], whole)))
-        return F.when(bad, "invalid entity offsets").when(other, "entity text mismatch")
-
-    inner = F.filter(F.transform(entity_view(F.col("entities"), F.col("tags")), of), lambda x: x.isNotNull())
-    found = F.when(text.isNull(), F.array(F.lit("text is not reconstructed"))).otherwise(F.concat(outer, inner))
-    return records.select(*keys, F.explode(found).alias("error"))
+        cut = lambda a, b: block_piece(F.col("blocks"), a, b)
+        bad = (e["start"] < 0) | (e["end"] > F.col("size")) | (e["start"] > e["end"])
+        fragments = F.when(e["spans"].isNull(), False).otherwise(e["text"] == F.array_join(F.transform(e["spans"], lambda s: cut(s[0], s[1])), " "))
+        return F.when(bad, "invalid entity offsets").when(e["text"] != cut(e["start"], e["end"]), F.when(~fragments, "entity text mismatch"))
+
+    # The length and the blocks are taken once for a text: for each entity they would cost its whole length again.
+    viewed = records.select(*keys, outer.alias("outer"), F.length(text).alias("size"), text_blocks(text).alias("blocks"), entity_view(F.col("entities"), F.col("tags")).alias("viewed"))
+    inner = F.filter(F.transform("viewed", of), lambda x: x.isNotNull())
+    return viewed.select(*keys, F.explode(F.when(F.col("size").isNull(), F.col("outer")).otherwise(F.concat("outer", inner))).alias("error"))
 
 
 def leak_errors(records: DataFrame, excluded: DataFrame, keys: Sequence[str]) -> DataFrame:

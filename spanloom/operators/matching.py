@@ -1,6 +1,6 @@
 """One-to-one matching of reference and predicted mentions.
 
-Both sides are rows of (record keys, start, end, label, ordinal). Per record: exact matches first, then same-label overlaps, where
+Both sides are rows of (record keys, start, end, label, ordinal) and a side, g (reference) or p. Per record: exact matches first, then same-label overlaps, where
 each reference mention in order of (start, label, ordinal) takes the shortest free prediction, ties in the sorted order of predictions, then
 equal spans with different labels. What is left is missed or spurious.
 
@@ -18,19 +18,19 @@ from pyspark.sql import functions as F
 COUNTS = ("correct", "partial", "incorrect", "missed", "spurious")
 
 
-def _sides(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
+def both_sides(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mentions of both sides in one table, with side g or p; callers that make both in one pass need no union."""
     columns = [*keys, "start", "end", "label", "ordinal"]
-    both = gold.select(*columns, F.lit("g").alias("side")).unionByName(pred.select(*columns, F.lit("p").alias("side")))
-    return both.repartition(*keys)
+    return gold.select(*columns, F.lit("g").alias("side")).unionByName(pred.select(*columns, F.lit("p").alias("side")))
 
 
-def exact_matches(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
+def exact_matches(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All mentions of both sides with exact: whether it is among the first k of its (start, end, label), k the smaller count of both sides."""
     mention = [*keys, "start", "end", "label"]
     w = Window.partitionBy(*mention)
     of = lambda side: F.count_if(F.col("side") == side).over(w)
     nth = F.row_number().over(Window.partitionBy(*mention, "side").orderBy("ordinal"))
-    return _sides(gold, pred, keys).withColumn("exact", nth <= F.least(of("g"), of("p")))
+    return sides.repartition(*keys).withColumn("exact", nth <= F.least(of("g"), of("p")))
 
 
 def _fold(golds: Column, preds: Column) -> Column:
@@ -48,31 +48,31 @@ def _fold(golds: Column, preds: Column) -> Column:
     return F.aggregate(golds, start, step)
 
 
-def outcomes(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
+def outcomes(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, label and the five counts for each record and label."""
-    marked = exact_matches(gold, pred, keys)
+    marked = exact_matches(sides, keys)
     g = F.when((F.col("side") == "g") & ~F.col("exact"), F.struct("start", "ordinal", "end"))
     p = F.when((F.col("side") == "p") & ~F.col("exact"), F.struct((F.col("end") - F.col("start")).alias("length"), "start", "ordinal", "end"))
     per_label = marked.groupBy(*keys, "label").agg(
         F.count_if((F.col("side") == "g") & F.col("exact")).cast("int").alias("correct"), F.array_sort(F.collect_list(g)).alias("golds"), F.collect_list(p).alias("preds")
     )
     folded = per_label.withColumn("fold", _fold(F.col("golds"), F.col("preds")))
-    rest = F.concat(
-        F.transform("fold.golds", lambda x: F.struct(F.lit("g").alias("side"), x["start"].alias("start"), x["end"].alias("end"), x["ordinal"].alias("ordinal"))),
-        F.transform("fold.preds", lambda x: F.struct(F.lit("p").alias("side"), x["start"].alias("start"), x["end"].alias("end"), x["ordinal"].alias("ordinal"))),
+    # What is known of a label by now (side e) goes on beside its leftovers, so that nothing is worked out twice.
+    row = lambda side, x, correct, partial: F.struct(
+        F.lit(side).alias("side"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["ordinal"].cast("int").alias("ordinal"), correct.alias("correct"), partial.alias("partial")
     )
+    zero, absent = F.lit(0), {c: F.lit(None) for c in ("start", "end", "ordinal")}
+    known = F.array(row("e", absent, F.col("correct"), F.col("fold.hits")))
+    rest = F.concat(known, F.transform("fold.golds", lambda x: row("g", x, zero, zero)), F.transform("fold.preds", lambda x: row("p", x, zero, zero)))
     left = folded.select(*keys, "label", F.explode(rest).alias("m")).select(*keys, "label", "m.*")
     span = Window.partitionBy(*keys, "start", "end")
     of = lambda side: F.count_if(F.col("side") == side).over(span)
     nth = F.row_number().over(Window.partitionBy(*keys, "start", "end", "side").orderBy("label", "ordinal"))
     wrong = left.withColumn("taken", nth <= F.least(of("g"), of("p")))
-    is_gold, zero = F.col("side") == "g", F.lit(0)
-    late = wrong.select(
-        *keys, "label", zero.alias("correct"), zero.alias("partial"), (is_gold & F.col("taken")).cast("int").alias("incorrect"),
-        (is_gold & ~F.col("taken")).cast("int").alias("missed"), (~is_gold & ~F.col("taken")).cast("int").alias("spurious"),
-    )
-    early = folded.select(*keys, "label", "correct", F.col("fold.hits").alias("partial"), zero.alias("incorrect"), zero.alias("missed"), zero.alias("spurious"))
-    return early.unionByName(late).groupBy(*keys, "label").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    gold, pred, taken = F.col("side") == "g", F.col("side") == "p", F.col("taken")
+    return wrong.groupBy(*keys, "label").agg(
+        F.sum("correct").alias("correct"), F.sum("partial").alias("partial"), F.count_if(gold & taken).alias("incorrect"), F.count_if(gold & ~taken).alias("missed"), F.count_if(pred & ~taken).alias("spurious")
+    )
 
 
 def aligned_records(gold: DataFrame, pred: DataFrame, number: str = "record_no") -> DataFrame:

@@ -40,15 +40,15 @@ def mean_and_spread(runs: DataFrame, group: Sequence[str], metrics: Sequence[str
     return runs.groupBy(*group).agg(*[x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))])
 
 
-def masked_loss(logits: DataFrame, n_labels: int) -> DataFrame:
-    """Binary cross-entropy with weights of positives, over tokens that count: sum(loss * mask) / max(sum(mask) * n_labels, 1).
+def masked_loss(logits: DataFrame) -> DataFrame:
+    """Binary cross-entropy with weights of positives, over tokens that count: sum(loss * mask) / max(sum(mask), 1).
 
-    Rows: logit, target, mask, weight for each token and label; the mask of a token stands on each of its labels.
+    Rows: logit, target, mask, weight for each token and label; the mask of a token stands on each of its labels, so the sum of masks is that of the tokens times the labels.
     """
     softplus = lambda x: F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
     x, y = F.col("logit"), F.col("target")
     loss = F.col("weight") * y * softplus(-x) + (1 - y) * softplus(x)
-    return logits.agg((F.sum(loss * F.col("mask")) / F.greatest(F.sum("mask") / n_labels * n_labels, F.lit(1.0))).alias("loss"))
+    return logits.agg((F.sum(loss * F.col("mask")) / F.greatest(F.sum("mask"), F.lit(1.0))).alias("loss"))
 
 
 def best_setting(sweep: DataFrame, ordinal: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPLITS = ("train", "eval", "test")
@@ -29,47 +29,71 @@ def median_of_minima(table: DataFrame) -> DataFrame:
     return table.agg(F.min("minimum").alias("lowest"), F.percentile("minimum", F.lit(0.5)).alias("median"))
 
 
-def split_totals(records: DataFrame, mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per split: documents, sentences, entities, labels, and sentences with same-span or nested mentions (flags of structure())."""
-    one = records.groupBy("split").agg(F.count_distinct("doc_id").alias("documents"), F.count("*").alias("sentences"))
-    per = mentions.groupBy("split", *keys).agg(F.count("*").alias("n"), F.max("same_span").alias("s"), F.max("nested").alias("d"))
-    two = per.groupBy("split").agg(F.sum("n").alias("entities"), F.count_if("s").alias("same_span_sentences"), F.count_if("d").alias("nested_sentences"))
-    three = mentions.groupBy("split").agg(F.count_distinct("label").alias("labels"))
-    return one.join(two, "split", "left").join(three, "split", "left").na.fill(0)
+def split_totals(mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per split: documents, sentences, entities, labels, and sentences with same-span or nested mentions (flags of structure()).
 
+    A record without mentions is one row without a label, so that records and mentions come from one pass.
+    """
+    per = mentions.groupBy("split", *keys).agg(F.count("label").alias("n"), F.collect_set("label").alias("labels"), F.coalesce(F.max("same_span"), F.lit(False)).alias("s"), F.coalesce(F.max("nested"), F.lit(False)).alias("d"))
+    once = F.struct(F.lit(None).cast("string").alias("label"), F.lit(1).alias("one"), F.col("n").alias("n"), F.col("s").alias("s"), F.col("d").alias("d"))
+    each = F.transform("labels", lambda x: F.struct(x.alias("label"), F.lit(0).alias("one"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("s"), F.lit(False).alias("d")))
+    rows = per.select("split", "doc_id", F.inline(F.concat(F.array(once), each)))
+    return rows.groupBy("split").agg(
+        F.count_distinct("doc_id").alias("documents"), F.sum("one").alias("sentences"), F.sum("n").alias("entities"), F.count_if("s").alias("same_span_sentences"), F.count_if("d").alias("nested_sentences"), F.count_distinct("label").alias("labels")
+    )
+
+
+#: Ranks of the hash that orders the documents of a candidate.
+RANKS, RANGE = 1_000_003, 1024
+#: Documents with the same counts and labels are one row of the search.
+TALLIES = ("sentences", "nested", "same_span")
 
-def split_search(documents: DataFrame, labels: DataFrame, targets: Mapping[str, float], candidates: int = 500) -> DataFrame:
+
+def split_search(documents: DataFrame, targets: Mapping[str, float], candidates: int = 500) -> DataFrame:
     """The best of several deterministic document-level splits: candidate, doc_id, split, score.
 
-    documents: doc_id, sentences, nested, same_span (sentence counts). labels: doc_id, label. Each candidate ranks documents by a hash of
+    documents: doc_id, sentences, nested, same_span (sentence counts), labels array<string>. Each candidate ranks documents by a hash of
     candidate and id and fills the splits by running sentence totals. The score is the sum of the absolute deviations of the shares of
     sentences, nested and same-span sentences from the targets, plus 1 for each label that a split lacks; the lowest wins, the first of equals.
-    The rule is our own; a published score cannot be reproduced from it. Running totals are taken within ranges of ranks and over the ranges'
-    sums, so that no task orders all documents of a candidate.
+    The rule is our own; a published score cannot be reproduced from it.
+
+    Documents are read once for all candidates: each sends its tallies to one range of ranks of each candidate, where they are summed before they
+    are shuffled, so what moves is a row for each candidate and range. Only ranges in which a split ends are looked at document by document.
     """
     # Integer arithmetic, so that any engine can follow it: a different permutation of ids for each candidate.
-    order = (F.col("doc_id") * (2 * F.col("candidate") + 1) * 7919 + F.col("candidate") * 104729) % 1000003
-    grid = documents.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))).withColumn("rank", order).withColumn("range", F.floor(F.col("rank") / 1024))
-    sums_ = grid.groupBy("candidate", "range").agg(F.sum("sentences").alias("n"))
+    order = (F.col("doc_id") * (2 * F.col("candidate") + 1) * 7919 + F.col("candidate") * 104729) % RANKS
+    every = F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))
+    ranked = documents.select("doc_id", *TALLIES, "labels", every.alias("candidate")).withColumn("rank", order.cast("int")).withColumn("range", F.expr(f"rank div {RANGE}").cast("int"))
+    sums = ranked.groupBy("candidate", "range").agg(*[F.sum(c).alias(c) for c in TALLIES], F.array_distinct(F.flatten(F.collect_set("labels"))).alias("labels"))
     earlier = Window.partitionBy("candidate").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums_.select("candidate", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), F.sum("n").over(Window.partitionBy("candidate")).alias("whole"))
-    within = Window.partitionBy("candidate", "range").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("candidate")
+    based = sums.withColumns({"base": F.coalesce(F.sum("sentences").over(earlier), F.lit(0)), **{f"all_{c}": F.sum(c).over(whole) for c in TALLIES}})
     bounds, so_far = [], 0.0
     for name, share in targets.items():
         so_far += share
         bounds.append((name, so_far))
-    placed = grid.withColumn("inner", F.coalesce(F.sum("sentences").over(within), F.lit(0))).join(bases, ["candidate", "range"]).withColumn("upto", F.col("base") + F.col("inner"))
-    split = F.lit(bounds[-1][0])
-    for name, bound in reversed(bounds[:-1]):
-        split = F.when(F.col("upto") < bound * F.col("whole"), name).otherwise(split)
-    placed = placed.withColumn("split", split).select("candidate", "doc_id", "split", "sentences", "nested", "same_span")
-    sums = placed.groupBy("candidate", "split").agg(*[F.sum(c).alias(c) for c in ("sentences", "nested", "same_span")])
+
+    def split(upto: Column) -> Column:
+        out = F.lit(bounds[-1][0])
+        for name, bound in reversed(bounds[:-1]):
+            out = F.when(upto < bound * F.col("all_sentences"), name).otherwise(out)
+        return out
+
+    # The first document of a range starts at base; no document of it starts at or after the base of the next.
+    spread = based.withColumns({"first": split(F.col("base")), "last": split(F.col("base") + F.col("sentences") - 1)})
+    plain = spread.filter("first = last").select("candidate", F.col("first").alias("split"), *TALLIES, "labels")
+    torn = spread.filter("first <> last").select("candidate", "range", "base", "all_sentences")
+    within = Window.partitionBy("candidate", "range").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inner = ranked.join(F.broadcast(torn), ["candidate", "range"])  # at most a range for each candidate and end of a split
+    placed = inner.withColumn("split", split(F.col("base") + F.coalesce(F.sum("sentences").over(within), F.lit(0)))).select("candidate", "split", *TALLIES, "labels")
+    per = plain.unionByName(placed).groupBy("candidate", "split").agg(*[F.sum(c).alias(c) for c in TALLIES], F.array_distinct(F.flatten(F.collect_set("labels"))).alias("labels"))
     goal = F.element_at(F.create_map(*[F.lit(x) for pair in targets.items() for x in pair]), F.col("split"))
-    total = Window.partitionBy("candidate")
-    off = sum(F.abs(F.col(c) / F.greatest(F.sum(c).over(total), F.lit(1)) - goal) for c in ("sentences", "nested", "same_span"))
-    deviation = sums.withColumn("off", off).groupBy("candidate").agg(F.sum("off").alias("off"))
-    present = placed.select("candidate", "doc_id", "split").join(labels, "doc_id").groupBy("candidate").agg(F.count_distinct("split", "label").alias("have"))
-    wanted = labels.agg((F.count_distinct("label") * len(targets)).alias("wanted"))
-    scored = deviation.join(present, "candidate", "left").join(F.broadcast(wanted)).select("candidate", (F.col("off") + F.col("wanted") - F.coalesce("have", F.lit(0))).alias("score"))
+    off = sum(F.abs(F.col(c) / F.greatest(F.sum(c).over(whole), F.lit(1)) - goal) for c in TALLIES)
+    scores = per.withColumn("off", off).groupBy("candidate").agg(F.sum("off").alias("off"), F.sum(F.size("labels")).alias("have"), F.size(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("wanted"))
+    scored = scores.select("candidate", (F.col("off") + F.col("wanted") * len(targets) - F.col("have")).alias("score"))
     best = scored.orderBy(F.round("score", 9), "candidate").limit(1)
-    return placed.join(F.broadcast(best), "candidate").select("candidate", "doc_id", "split", "score")
+    winner = F.broadcast(best)
+    own = documents.select("doc_id", "sentences").join(winner).withColumn("rank", order.cast("int")).withColumn("range", F.expr(f"rank div {RANGE}").cast("int"))
+    bases = based.select("candidate", "range", "base", "all_sentences").join(F.broadcast(best.select("candidate")), "candidate")
+    final = own.join(F.broadcast(bases.drop("candidate")), "range").withColumn("split", split(F.col("base") + F.coalesce(F.sum("sentences").over(within), F.lit(0))))
+    return final.select("candidate", "doc_id", "split", "score")

@@ -11,21 +11,21 @@ from pyspark.sql import functions as F
 def structure(mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The mentions with same_span (another label on the same span), nested (strictly inside another) and flat (neither).
 
-    Spans are counted once for each record, and nesting is read off running maxima in span order, so no pairs are made: a span lies inside
-    an earlier one (sorted by start, longest first) exactly if the furthest end so far reaches its end, and inside one of equal start likewise.
+    Nesting is read off running maxima in span order, so no pairs are made and nothing is joined back: a span lies inside an earlier one (sorted by
+    start, longest first) exactly if the furthest end so far reaches its end. The first mention of a span asks, and the others of the span take its
+    answer. All windows share the partitions of the record keys.
     """
-    spans = mentions.groupBy(*keys, "start", "end").agg(F.count_distinct("label").alias("n_labels"))
-    before = Window.partitionBy(*keys).orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    marked = spans.select(*keys, "start", "end", (F.col("n_labels") > 1).alias("same_span"), (F.coalesce(F.max("end").over(before), F.lit(-1)) >= F.col("end")).alias("nested"))
-    out = mentions.join(marked, [*keys, "start", "end"])
-    return out.withColumn("flat", ~F.col("same_span") & ~F.col("nested"))
+    span = Window.partitionBy(*keys, "start", "end")
+    before = Window.partitionBy(*keys).orderBy("start", F.desc("end"), "label").rowsBetween(Window.unboundedPreceding, -1)
+    asked = mentions.withColumns({"inside": F.coalesce(F.max("end").over(before) >= F.col("end"), F.lit(False)), "nth": F.row_number().over(Window.partitionBy(*keys).orderBy("start", F.desc("end"), "label"))})
+    marked = asked.withColumns({"same_span": F.min("label").over(span) != F.max("label").over(span), "nested": F.min_by("inside", "nth").over(span)}).drop("inside", "nth")
+    return marked.withColumn("flat", ~F.col("same_span") & ~F.col("nested"))
 
 
-def recovery(marked: DataFrame, structured: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """kind, mentions, matched and share of reference mentions that an exact match recovers, for each kind of structure."""
-    gold = marked.filter(F.col("side") == "g").select(*keys, "ordinal", "exact")
+def recovery(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """kind, mentions, matched and share of reference mentions that an exact match recovers, for each kind of structure; marked are rows of exact_matches()."""
     kinds = F.explode(F.filter(F.array(F.when(F.col("flat"), "flat"), F.when(F.col("nested"), "nested"), F.when(F.col("same_span"), "same_span")), lambda x: x.isNotNull()))
-    rows = structured.select(*keys, "ordinal", kinds.alias("kind")).join(gold, [*keys, "ordinal"])
+    rows = structure(marked.filter(F.col("side") == "g"), keys).select(kinds.alias("kind"), "exact")
     return rows.groupBy("kind").agg(F.count("*").alias("mentions"), F.count_if("exact").alias("matched"), F.avg(F.col("exact").cast("double")).alias("share"))
 
 

@@ -2,50 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import SPACE_CLASS, TILES, begin_id, inside_id, token_role
+from spanloom.functions.text import begin_id, block_piece, inside_id, text_blocks, token_role
+from spanloom.functions.tiling import exploded, with_tokens
 
 
-def tiles(records: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """keys, at, start, end, piece, blank: runs of word characters, runs of white space, and other single characters, over the whole text.
+def tokens(records: DataFrame, keys: Sequence[str], text: str = "text", words: bool = True) -> DataFrame:
+    """keys, pos (from 0), start, end, token: runs of word characters and other single characters, without white space. words: whether with their texts."""
+    cut = with_tokens(records.select(*keys, text), text, words=words)
+    return exploded(cut, list(keys), "tokens").drop("next_end")
 
-    Texts are dealt out by key before they are cut, so that the running lengths need no shuffle of the pieces.
-    """
-    pieces = records.repartition(*keys).select(*keys, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TILES), 0)).alias("at", "piece"))
-    end = F.sum(F.length("piece")).over(Window.partitionBy(*keys).orderBy("at")).cast("int")
-    return pieces.withColumn("end", end).select(*keys, "at", (F.col("end") - F.length("piece")).alias("start"), "end", "piece", F.rlike("piece", F.lit(f"^[{SPACE_CLASS}]")).alias("blank"))
+
+def tokens_cut_at_spans(records: DataFrame, spans: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """As tokens(), with cuts at the edges of spans (keys, start, end) too. Chunks of white space alone are left out."""
+    edges = spans.groupBy(*keys).agg(F.collect_set("start").alias("s"), F.collect_set("end").alias("e")).select(*keys, F.array_union("s", "e").alias("edges"))
+    cut = with_tokens(records.select(*keys, text).join(edges, list(keys), "left"), text, "edges")
+    return exploded(cut, list(keys), "tokens").drop("next_end")
 
 
-def tokens(records: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """keys, pos (from 0), start, end, token: the tiles that are not white space."""
-    found = tiles(records, keys, text).filter(~F.col("blank"))
-    pos = F.row_number().over(Window.partitionBy(*keys).orderBy("at")) - 1
-    return found.select(*keys, pos.alias("pos"), "start", "end", F.col("piece").alias("token"))
+#: Code points of a bucket in the join of tokens to the spans around them.
+BUCKET = 64
 
 
-def tokens_cut_at_spans(records: DataFrame, spans: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """As tokens(), with cuts at the edges of spans (keys, start, end) too. Chunks of white space alone are left out."""
-    edges = spans.select(*keys, F.explode(F.array("start", "end")).alias("edge")).distinct()
-    cut = edges.groupBy(*keys).agg(F.array_sort(F.collect_list("edge")).alias("edges"))
-    tile = tiles(records, keys, text).join(cut, list(keys), "left")
-    inner = F.filter(F.coalesce("edges", F.array().cast("array<int>")), lambda e: (e > F.col("start")) & (e < F.col("end")))
-    bounds = F.concat(F.array("start"), inner, F.array("end"))
-    parts = F.arrays_zip(F.slice(bounds, 1, F.size(bounds) - 1).alias("a"), F.slice(bounds, 2, F.size(bounds) - 1).alias("b"))
-    out = tile.filter(~F.col("blank")).select(*keys, "start", "piece", F.explode(parts).alias("p"))
-    out = out.select(*keys, F.col("p.a").alias("from"), F.col("p.b").alias("to"), F.substring("piece", F.col("p.a") - F.col("start") + 1, F.col("p.b") - F.col("p.a")).alias("token"))
-    pos = F.row_number().over(Window.partitionBy(*keys).orderBy("from")) - 1
-    return out.select(*keys, pos.alias("pos"), F.col("from").alias("start"), F.col("to").alias("end"), "token")
+def inside_spans(tokens_: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The columns of spans and of tokens_ (pos, ts, te) for each token inside a span: both meet in buckets of offsets, so a long record is no product of its tokens and spans."""
+    t = tokens_.withColumn("bucket", F.floor(F.col("ts") / BUCKET))
+    widened = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.greatest(F.floor(F.col("start") / BUCKET), F.floor((F.col("end") - 1) / BUCKET)))))
+    return widened.join(t, [*keys, "bucket"]).where((F.col("ts") >= F.col("start")) & (F.col("te") <= F.col("end"))).drop("bucket")
 
 
 def aligned_spans(tokens_: DataFrame, spans: DataFrame, keys: Sequence[str], span_keys: Sequence[str]) -> DataFrame:
     """keys, span_keys, start, end, first, last, n_tokens, aligned: the tokens inside each span and whether their edges are the span's."""
     t = tokens_.select(*keys, "pos", F.col("start").alias("ts"), F.col("end").alias("te"))
-    inside = spans.join(t, list(keys), "left").where((F.col("ts") >= F.col("start")) & (F.col("te") <= F.col("end")))
-    found = inside.groupBy(*keys, *span_keys, "start", "end").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n_tokens"), F.min("ts").alias("low"), F.max("te").alias("high"))
+    found = inside_spans(t, spans, keys).groupBy(*keys, *span_keys, "start", "end").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n_tokens"), F.min("ts").alias("low"), F.max("te").alias("high"))
     out = spans.join(found, [*keys, *span_keys, "start", "end"], "left")
     return out.select(*keys, *span_keys, "start", "end", "first", "last", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce((F.col("low") == F.col("start")) & (F.col("high") == F.col("end")), F.lit(False)).alias("aligned"))
 
@@ -57,6 +51,15 @@ def require_aligned(aligned: DataFrame) -> DataFrame:
     return aligned.withColumn("aligned", F.when(F.col("aligned"), True).otherwise(F.raise_error(where).cast("boolean")))
 
 
+def converted(cut: DataFrame, aligned: DataFrame, keys: Sequence[str], label: str = "tag") -> DataFrame:
+    """keys, tokens array<string> and ner array<struct<index array<int>, type>>, in order of offsets, then type: the training record of each text. Spans that are not aligned fail the job."""
+    held = cut.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
+    item = F.struct("start", "end", F.col(label).alias("type"), F.sequence("first", "last").alias("index"))
+    found = require_aligned(aligned).filter("aligned").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["index"].alias("index"), x["type"].alias("type"))).alias("ner"))
+    out = held.join(found, list(keys), "left")
+    return out.withColumn("ner", F.coalesce("ner", F.array().cast(found.schema["ner"].dataType)))
+
+
 def conversion_stats(records: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: sentences, entities, records with a repeated span, repeated spans, and rows beyond the first of each."""
     groups = spans.groupBy(*keys, "start", "end").agg(F.count("*").alias("n"))
@@ -69,11 +72,38 @@ def bio_labels(tokens_: DataFrame, spans: DataFrame, labels: DataFrame, keys: Se
     """keys, pos, label_id: the B and I labels of each token among the first max_length; a token inside several spans has several."""
     t = tokens_.filter(F.col("pos") < max_length).select(*keys, "pos", F.col("start").alias("ts"), F.col("end").alias("te"))
     role = token_role(F.col("ts"), F.col("te"), F.col("start"), F.col("end"))
-    both = t.join(spans, list(keys)).where((F.col("ts") >= F.col("start")) & (F.col("te") <= F.col("end"))).withColumn("role", role).filter(F.col("role").isin("B", "I"))
+    both = inside_spans(t, spans, keys).withColumn("role", role).filter(F.col("role").isin("B", "I"))
     known = both.join(F.broadcast(labels), "label")
     return known.select(*keys, "pos", F.when(F.col("role") == "B", begin_id(F.col("label_id"))).otherwise(inside_id(F.col("label_id"))).alias("label_id")).distinct()
 
 
+def padded_labels(tokens_: DataFrame, bio: DataFrame, keys: Sequence[str], max_length: int) -> DataFrame:
+    """keys, pos, loss_mask, labels: max_length positions of each record that has tokens. Those beyond its tokens are padding: mask 0, no labels.
+
+    labels are the ids of bio_labels() in order, a sparse row of the multi-hot matrix; a token counts (mask 1) if it is not empty.
+    """
+    real = tokens_.filter(F.col("pos") < max_length).select(*keys, "pos", (F.col("end") > F.col("start")).cast("int").alias("mask"))
+    labels = bio.groupBy(*keys, "pos").agg(F.array_sort(F.collect_set("label_id")).alias("labels"))
+    own = real.join(labels, [*keys, "pos"], "left").select(*keys, F.struct("pos", "mask", "labels").alias("x"))
+    whole = own.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    none = F.array().cast("array<int>")
+    at = whole.select(*keys, "x", F.explode(F.sequence(F.lit(0), F.lit(max_length - 1))).alias("pos"))
+    got = F.get("x", F.col("pos"))
+    return at.select(*keys, "pos", F.coalesce(got["mask"], F.lit(0)).alias("loss_mask"), F.coalesce(got["labels"].cast("array<int>"), none).alias("labels"))
+
+
+def subword_tokens(records: DataFrame, keys: Sequence[str], encode: Callable[[Sequence[str]], Sequence[Sequence[tuple[int, int]]]], text: str = "text") -> DataFrame:
+    """keys, pos, start, end, token by a tokenizer of the caller: encode gives the character offsets of the pieces of each text. It runs over Arrow batches."""
+
+    @F.pandas_udf("array<struct<pos:int,start:int,end:int>>")
+    def pieces(column: pd.Series) -> pd.Series:
+        return pd.Series([[{"pos": i, "start": a, "end": b} for i, (a, b) in enumerate(found)] for found in encode(column.fillna("").tolist())])
+
+    cut = records.select(*keys, text_blocks(F.col(text)).alias("blocks"), pieces(text).alias("pieces"))
+    rows = cut.select(*keys, "blocks", F.inline("pieces"))
+    return rows.select(*keys, "pos", "start", "end", block_piece(F.col("blocks"), F.col("start"), F.col("end")).alias("token"))
+
+
 def tag_inventory(labels: DataFrame) -> DataFrame:
     """label_id and tag: O, then B- and I- of each label in the order of the inventory."""
     pair = F.array(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators.tokens import tokens
+from spanloom.functions.tiling import exploded, with_lines, with_tokens
 from spanloom.session import table
 
 KEYS = ["doc_id", "rec"]
@@ -17,45 +17,50 @@ def _label(shift) -> F.Column:
     return F.concat(F.lit("L"), (F.pmod(F.col("n") + F.col("pos") + shift, F.lit(N_LABELS))).cast("string"))
 
 
-def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, rec, pos, start, end, token, n (length), ne (end of the next token)."""
-    from pyspark.sql import Window
+def doc_tokens(spark: SparkSession, sf_dir: str, words: bool = False) -> DataFrame:
+    """doc_id, rec, pos, start, end, n (length), ne (end of the next token), and token with words."""
+    found = exploded(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=words), ["doc_id"], "tokens")
+    made = [F.expr(f"pos div {TOKENS_PER_RECORD}").cast("int").alias("rec"), (F.col("end") - F.col("start")).alias("n"), F.col("next_end").alias("ne")]
+    return found.select("doc_id", "pos", "start", "end", *made, *(["token"] if words else []))
 
-    found = tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
-    following = F.lead("end").over(Window.partitionBy("doc_id").orderBy("pos"))
-    return found.select("doc_id", F.floor(F.col("pos") / TOKENS_PER_RECORD).cast("int").alias("rec"), "pos", "start", "end", "token", (F.col("end") - F.col("start")).alias("n"), following.alias("ne"))
 
+#: Mentions of a token by number: 0 its own, 1 a second label on the span, 2 over the next token too; 3 to 5 the predictions made of them, 6 a spurious one.
+N_KINDS = 3
 
-def gold_of(t: DataFrame) -> DataFrame:
-    """Mentions of kinds 0 (own), 1 (second label on the span) and 2 (over the next token too)."""
-    kinds = F.filter(
-        F.array(
-            F.when(F.col("pos") % 3 == 0, F.struct(F.lit(0).alias("kind"), F.col("end").alias("to"), _label(0).alias("label"))),
-            F.when(F.col("pos") % 15 == 0, F.struct(F.lit(1).alias("kind"), F.col("end").alias("to"), _label(2).alias("label"))),
-            F.when((F.col("pos") % 6 == 0) & F.col("ne").isNotNull(), F.struct(F.lit(2).alias("kind"), F.col("ne").alias("to"), _label(1).alias("label"))),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    rows = t.select("doc_id", "rec", "pos", "n", "start", F.explode(kinds).alias("k"))
-    return rows.select("doc_id", "rec", "pos", "n", F.col("k.kind").alias("kind"), "start", F.col("k.to").alias("end"), F.col("k.label").alias("label"), (F.col("pos") * 4 + F.col("k.kind")).alias("ordinal"))
 
+def _rules(pred: bool) -> list[F.Column]:
+    """For each mention of a token its number, or null where the token has none."""
+    pos = F.col("pos")
+    gold = [pos % 3 == 0, pos % 15 == 0, (pos % 6 == 0) & F.col("ne").isNotNull()]
+    rules = [*gold, *((g & (pos % 7 != 0)) for g in gold), pos % 13 == 1] if pred else gold
+    return [F.when(rule, F.lit(i)) for i, rule in enumerate(rules)]
 
-def pred_of(t: DataFrame) -> DataFrame:
-    """Gold with some mentions left out, relabelled or shortened, and spurious ones of kind 3."""
-    g = gold_of(t).filter(F.col("pos") % 7 != 0)
-    label = F.when(F.col("pos") % 11 == 0, _label(F.col("kind") + 3)).otherwise(F.col("label"))
-    end = F.when((F.col("pos") % 5 == 0) & (F.col("end") - F.col("start") > 1), F.col("end") - 1).otherwise(F.col("end"))
-    kept = g.select("doc_id", "rec", "pos", "kind", "start", end.alias("end"), label.alias("label"), "ordinal")
-    extra = t.filter(F.col("pos") % 13 == 1).select("doc_id", "rec", "pos", F.lit(3).alias("kind"), "start", "end", _label(0).alias("label"), (F.col("pos") * 4 + 3).alias("ordinal"))
-    return kept.unionByName(extra)
 
+def mentions_of(t: DataFrame, pred: bool = True, records: bool = False) -> DataFrame:
+    """doc_id, rec, start, end, label, ordinal, side of all mentions, of both sides from one pass over the tokens.
+
+    Predictions are gold with some left out, relabelled or shortened, and spurious ones. records: each record opens with a row without label.
+    """
+    opening = [F.when(F.col("pos") % TOKENS_PER_RECORD == 0, F.lit(-1))] if records else []
+    rows = t.withColumn("m", F.explode(F.array(*opening, *_rules(pred)))).filter("m is not null")
+    made, pos = F.col("m") >= N_KINDS, F.col("pos")
+    kind = (F.col("m") % N_KINDS) + F.when(F.col("m") == 6, 3).otherwise(0)
+    shift = F.element_at(F.array(F.lit(0), F.lit(2), F.lit(1), F.lit(0)), kind + 1)
+    label = F.when(made & (kind < 3) & (pos % 11 == 0), _label(kind + 3)).when(F.col("m") >= 0, _label(shift))
+    end = F.when(kind == 2, F.col("ne")).otherwise(F.col("end"))
+    shorter = made & (kind < 3) & (pos % 5 == 0) & (end - F.col("start") > 1)
+    return rows.select(
+        "doc_id", "rec", F.when(F.col("m") >= 0, F.col("start")).alias("start"), F.when(F.col("m") >= 0, F.when(shorter, end - 1).otherwise(end)).alias("end"), label.alias("label"),
+        (pos * 4 + kind).alias("ordinal"), F.when(made, "p").otherwise("g").alias("side"),
+    )
 
-def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold_of(doc_tokens(spark, sf_dir)).select("doc_id", "rec", "start", "end", "label", "ordinal")
 
+def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions_of(doc_tokens(spark, sf_dir))
 
-def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pred_of(doc_tokens(spark, sf_dir)).select("doc_id", "rec", "start", "end", "label", "ordinal")
+
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions_of(doc_tokens(spark, sf_dir), pred=False).drop("side")
 
 
 def split_of(doc_id: str = "doc_id") -> F.Column:
@@ -65,11 +70,8 @@ def split_of(doc_id: str = "doc_id") -> F.Column:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, sent_idx, id, text, document_start, split: the lines of each document."""
-    from pyspark.sql import Window
-
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("sent_idx", "text"))
-    before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("doc_id").orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    return lines.select("doc_id", "sent_idx", F.concat_ws("_", "doc_id", "sent_idx").alias("id"), "text", before.alias("document_start"), split_of().alias("split"))
+    lines = exploded(with_lines(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], "lines")
+    return lines.select("doc_id", F.col("line").alias("sent_idx"), F.concat_ws("_", "doc_id", "line").alias("id"), "text", F.col("start").alias("document_start"), split_of().alias("split"))
 
 
 def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,17 +80,15 @@ def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical records, one for each document: every third token as an entity, with planted errors and leaks."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    entity = F.struct(
-        "start",
-        (F.col("end") + F.when(F.col("doc_id") % 19 == 0, 100000).otherwise(0)).cast("int").alias("end"),
-        F.concat(F.lit("L"), F.pmod(F.col("pos"), F.lit(N_LABELS)).cast("string")).alias("label"),
-        F.when(F.col("doc_id") % 29 == 0, F.concat("token", F.lit("?"))).otherwise(F.col("token")).alias("text"),
-        F.lit(None).cast("array<array<int>>").alias("spans"),
-    )
-    found = doc_tokens(spark, sf_dir).filter("pos % 3 = 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
+    docs = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shift, mark = F.when(F.col("doc_id") % 19 == 0, 100000).otherwise(0), F.when(F.col("doc_id") % 29 == 0, "?").otherwise("")
+    entity = lambda t: F.struct(
+        t["start"].alias("start"), (t["end"] + shift).cast("int").alias("end"), F.concat(F.lit("L"), (t["pos"] % N_LABELS).cast("string")).alias("label"),
+        F.concat(t["token"], mark).alias("text"), F.lit(None).cast("array<array<int>>").alias("spans"),
+    )
+    found = docs.select("doc_id", "text", F.transform(F.filter("tokens", lambda t: t["pos"] % 3 == 0), entity).alias("entities"))
     flag = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("out"))
-    joined = docs.join(found, "doc_id", "left").join(flag, "doc_id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    joined = found.join(flag, "doc_id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
     leak = F.col("doc_id") % 17 == 0
     hidden = F.col("out") & ~leak
     bare = F.transform("entities", lambda e: e.withField("text", F.lit(None).cast("string")))
@@ -130,13 +130,13 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of an 8 by 8 grid of 3 channels for each document, in whole percent."""
+    """Scores of an 8 by 8 grid of 3 channels for each document, in hundredths."""
     cells = spark.range(8 * 8 * 3).select(
         F.expr("cast(id div 24 as int)").alias("row"), F.expr("cast((id div 3) % 8 as int)").alias("col"), F.expr("cast(id % 3 + 1 as int)").alias("channel")
     )
     docs = table(spark, sf_dir, "documents").select("doc_id")
     score = (F.col("doc_id") * 31 + F.col("row") * 17 + F.col("col") * 13 + F.col("channel") * 7) % 100
-    return docs.join(F.broadcast(cells)).select("doc_id", "row", "col", "channel", score.cast("int").alias("score"))
+    return docs.join(F.broadcast(cells)).select("doc_id", "row", "col", "channel", (score / 100).alias("score"))
 
 
 def grid_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,3 +144,15 @@ def grid_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.pmod(F.col("doc_id"), F.lit(6)).cast("int")
     made = F.array(F.struct(F.array(one, one + 1).alias("index"), F.lit(2).alias("type")), F.struct(F.array(one).alias("index"), F.lit(3).alias("type")))
     return table(spark, sf_dir, "documents").select("doc_id", F.inline(made))
+
+
+def flat_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Reference mentions, and predicted ones with a logit and a probability in hundredths: eight places for each document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("ordinal"))
+    label = lambda shift: F.concat(F.lit("L"), ((F.col("doc_id") + F.col("ordinal") + shift) % 3).cast("string"))
+    start = F.col("ordinal") * 4
+    gold = d.filter((F.col("doc_id") + F.col("ordinal")) % 4 != 0).select("doc_id", "ordinal", start.alias("start"), (start + 3).alias("end"), label(0).alias("label"))
+    odd = F.when((F.col("doc_id") * 3 + F.col("ordinal")) % 5 == 0, 1).otherwise(0)
+    score = lambda a, b: ((F.col("doc_id") * a + F.col("ordinal") * b) % 100 / 100)
+    pred = d.select("doc_id", "ordinal", start.alias("start"), (start + 3 - (F.col("doc_id") + F.col("ordinal")) % 2).cast("int").alias("end"), label(odd).alias("label"), score(29, 41).alias("logit"), score(17, 23).alias("prob"))
+    return gold, pred

@@ -5,7 +5,7 @@ from __future__ import annotations
 from spanloom.functions.text import SPACE_CLASS
 from spanloom.operators.release import EXCLUDED, INCLUDED
 from spanloom.plans.fixtures import N_LABELS, TOKENS_PER_RECORD
-from spanloom.plans.queries import CANDIDATES, COVERAGE, HEAD_GRID, MAX_LENGTH, NEXT_GRID
+from spanloom.plans.queries import CANDIDATES, COVERAGE, HEAD_GRID, LOGIT_GRID, MAX_LENGTH, NEXT_GRID, PROB_GRID, RARE
 
 
 def _re2(java_class: str) -> str:
@@ -36,36 +36,51 @@ PRED = rf"""{GOLD},
 pred AS (
   SELECT doc_id, rec, s, CASE WHEN pos % 5 = 0 AND e - s > 1 THEN e - 1 ELSE e END AS e, CASE WHEN pos % 11 = 0 THEN 'L' || ((n + pos + kind + 3) % {L}) ELSE label END AS label, ordinal FROM gold WHERE pos % 7 <> 0
   UNION ALL SELECT doc_id, rec, s, e, 'L' || ((n + pos) % {L}), pos * 4 + 3 FROM tok WHERE pos % 13 = 1),
+both_ AS (SELECT doc_id, rec, s, e, label, ordinal, 'g' AS side FROM gold UNION ALL SELECT doc_id, rec, s, e, label, ordinal, 'p' FROM pred)"""
+
+
+def _marked(keys: str) -> str:
+    """Exact matches of both_."""
+    return f"""
 marked AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, rec, s, e, label, side ORDER BY ordinal) <= least(count(*) FILTER (side = 'g') OVER m, count(*) FILTER (side = 'p') OVER m) AS exact
-  FROM (SELECT doc_id, rec, s, e, label, ordinal, 'g' AS side FROM gold UNION ALL SELECT doc_id, rec, s, e, label, ordinal, 'p' FROM pred)
-  WINDOW m AS (PARTITION BY doc_id, rec, s, e, label))"""
+  SELECT *, row_number() OVER (PARTITION BY {keys}, s, e, label, side ORDER BY ordinal) <= least(count(*) FILTER (side = 'g') OVER m, count(*) FILTER (side = 'p') OVER m) AS exact
+  FROM both_ WINDOW m AS (PARTITION BY {keys}, s, e, label))"""
+
 
 # Greedy overlap by recursion over the left reference mentions of each record and label.
-OUTCOMES = rf"""RECURSIVE {PRED.lstrip()},
+def _outcomes(ctes: str, keys: str) -> str:
+    """The five counts of each record (keys) and label of both_, which the ctes define."""
+    return rf"""RECURSIVE {ctes.lstrip().removeprefix("RECURSIVE")},{_marked(keys)},
 groups AS (
-  SELECT doc_id, rec, label, count(*) FILTER (side = 'g' AND exact) AS correct,
+  SELECT {keys}, label, count(*) FILTER (side = 'g' AND exact) AS correct,
     coalesce(list({{'s': s, 'o': ordinal, 'e': e}} ORDER BY s, ordinal) FILTER (side = 'g' AND NOT exact), []) AS golds,
     coalesce(list({{'l': e - s, 's': s, 'o': ordinal, 'e': e}} ORDER BY e - s, s, ordinal) FILTER (side = 'p' AND NOT exact), []) AS preds
   FROM marked GROUP BY ALL),
-fold(doc_id, rec, label, k, golds, preds, lost, hits) AS (
-  SELECT doc_id, rec, label, 0, golds, preds, golds[1:0], 0 FROM groups
+fold({keys}, label, k, golds, preds, lost, hits) AS (
+  SELECT {keys}, label, 0, golds, preds, golds[1:0], 0 FROM groups
   UNION ALL
-  SELECT doc_id, rec, label, k + 1, golds, CASE WHEN o IS NULL THEN preds ELSE list_filter(preds, lambda p: p.o <> o) END, CASE WHEN o IS NULL THEN list_append(lost, golds[k + 1]) ELSE lost END, hits + CASE WHEN o IS NULL THEN 0 ELSE 1 END
+  SELECT {keys}, label, k + 1, golds, CASE WHEN o IS NULL THEN preds ELSE list_filter(preds, lambda p: p.o <> o) END, CASE WHEN o IS NULL THEN list_append(lost, golds[k + 1]) ELSE lost END, hits + CASE WHEN o IS NULL THEN 0 ELSE 1 END
   FROM (SELECT *, list_filter(preds, lambda p: p.s < golds[k + 1].e AND golds[k + 1].s < p.e)[1].o AS o FROM fold WHERE k < len(golds))),
 folded AS (SELECT * FROM fold WHERE k = len(golds)),
 rest AS (
-  SELECT doc_id, rec, label, 'g' AS side, unnest(lost).s AS s, unnest(lost).e AS e, unnest(lost).o AS o FROM folded
-  UNION ALL SELECT doc_id, rec, label, 'p', unnest(preds).s, unnest(preds).e, unnest(preds).o FROM folded),
+  SELECT {keys}, label, 'g' AS side, unnest(lost).s AS s, unnest(lost).e AS e, unnest(lost).o AS o FROM folded
+  UNION ALL SELECT {keys}, label, 'p', unnest(preds).s, unnest(preds).e, unnest(preds).o FROM folded),
 late AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, rec, s, e, side ORDER BY label, o) <= least(count(*) FILTER (side = 'g') OVER m, count(*) FILTER (side = 'p') OVER m) AS taken
-  FROM rest WINDOW m AS (PARTITION BY doc_id, rec, s, e)),
+  SELECT *, row_number() OVER (PARTITION BY {keys}, s, e, side ORDER BY label, o) <= least(count(*) FILTER (side = 'g') OVER m, count(*) FILTER (side = 'p') OVER m) AS taken
+  FROM rest WINDOW m AS (PARTITION BY {keys}, s, e)),
 outcomes AS (
-  SELECT doc_id, rec, label, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(partial) AS BIGINT) AS partial, CAST(sum(incorrect) AS BIGINT) AS incorrect, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(spurious) AS BIGINT) AS spurious FROM (
-    SELECT doc_id, rec, label, correct, hits AS partial, 0 AS incorrect, 0 AS missed, 0 AS spurious FROM folded JOIN groups USING (doc_id, rec, label)
-    UNION ALL SELECT doc_id, rec, label, 0, 0, CAST(side = 'g' AND taken AS INTEGER), CAST(side = 'g' AND NOT taken AS INTEGER), CAST(side = 'p' AND NOT taken AS INTEGER) FROM late)
+  SELECT {keys}, label, CAST(sum(correct) AS BIGINT) AS correct, CAST(sum(partial) AS BIGINT) AS partial, CAST(sum(incorrect) AS BIGINT) AS incorrect, CAST(sum(missed) AS BIGINT) AS missed, CAST(sum(spurious) AS BIGINT) AS spurious FROM (
+    SELECT {keys}, label, correct, hits AS partial, 0 AS incorrect, 0 AS missed, 0 AS spurious FROM folded JOIN groups USING ({keys}, label)
+    UNION ALL SELECT {keys}, label, 0, 0, CAST(side = 'g' AND taken AS INTEGER), CAST(side = 'g' AND NOT taken AS INTEGER), CAST(side = 'p' AND NOT taken AS INTEGER) FROM late)
   GROUP BY ALL)"""
 
+
+OUTCOMES = _outcomes(PRED, "doc_id, rec")
+MARKED = f"{PRED},{_marked('doc_id, rec')}"
+SEEDS = _outcomes(
+    f"""{PRED.replace('both_ AS', 'all_ AS')}, both_ AS (SELECT * FROM all_, range(3) t(seed) WHERE side = 'g' OR ordinal % (seed + 7) <> 0)""", "seed, doc_id, rec"
+)
+
 COUNTS = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("correct", "partial", "incorrect", "missed", "spurious"))
 
 
@@ -89,10 +104,11 @@ SPLIT = "CASE WHEN (doc_id * 7) % 10 <= 6 THEN 'train' WHEN (doc_id * 7) % 10 =
 SENTENCES = f"""
 lines AS (SELECT doc_id, unnest(t) AS text, generate_subscripts(t, 1) - 1 AS sent_idx FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents)),
 sentences AS (SELECT doc_id, sent_idx, doc_id || '_' || sent_idx AS id, text, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS document_start, {SPLIT} AS split FROM lines),
+at_ AS (SELECT doc_id, sent_idx, CAST((doc_id * 7 + sent_idx * 5) % (length(text) - 3) AS INTEGER) AS a FROM sentences WHERE length(text) >= 4),
 spans AS (
-  SELECT doc_id, sent_idx, 0 AS s, 2 AS e, 'L0' AS tag FROM sentences WHERE length(text) >= 4
-  UNION ALL SELECT doc_id, sent_idx, 0, 2, 'L1' FROM sentences WHERE length(text) >= 4 AND sent_idx % 2 = 0
-  UNION ALL SELECT doc_id, sent_idx, 1, 3, 'L2' FROM sentences WHERE length(text) >= 4 AND sent_idx % 2 = 0)"""
+  SELECT doc_id, sent_idx, a AS s, a + 2 AS e, 'L0' AS tag FROM at_
+  UNION ALL SELECT doc_id, sent_idx, a, a + 2, 'L1' FROM at_ WHERE sent_idx % 2 = 0
+  UNION ALL SELECT doc_id, sent_idx, a + 1, a + 3, 'L2' FROM at_ WHERE sent_idx % 2 = 0)"""
 
 CUT = rf"""{SENTENCES},
 stiles AS (SELECT doc_id, sent_idx, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, sent_idx, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[{SPACE}]+|(?s:.)') AS p FROM sentences)),
@@ -105,10 +121,20 @@ cut AS (
   SELECT doc_id, sent_idx, CAST(row_number() OVER (PARTITION BY doc_id, sent_idx ORDER BY c.s) - 1 AS INTEGER) AS pos, CAST(c.s AS INTEGER) AS s, CAST(c.e AS INTEGER) AS e, substring(x.text, CAST(c.s AS BIGINT) + 1, CAST(c.e - c.s AS BIGINT)) AS token
   FROM chunks c JOIN sentences x USING (doc_id, sent_idx) WHERE c.e IS NOT NULL AND NOT regexp_full_match(substring(x.text, CAST(c.s AS BIGINT) + 1, CAST(c.e - c.s AS BIGINT)), '[{SPACE}]*'))"""
 
-BIO = f"""{GOLD},
+ALIGNED = f"""{CUT},
+fits AS (SELECT p.doc_id, p.sent_idx, p.tag, p.s, p.e, min(c.pos) AS first, max(c.pos) AS last, count(c.pos) AS n, min(c.s) AS lo, max(c.e) AS hi
+  FROM spans p LEFT JOIN cut c ON p.doc_id = c.doc_id AND p.sent_idx = c.sent_idx AND c.s >= p.s AND c.e <= p.e GROUP BY ALL)"""
+
+
+def _bio(limit: int) -> str:
+    """Labels of the first limit tokens of each document; mentions cover their own token and perhaps the next."""
+    return f"""{GOLD},
 bio AS (
-  SELECT DISTINCT t.doc_id, t.rec, t.pos % {TOKENS_PER_RECORD} AS pos, CASE WHEN t.s > g.s THEN 2 ELSE 1 END + 2 * CAST(g.label[2:] AS INTEGER) AS label_id
-  FROM tok t JOIN gold g ON t.doc_id = g.doc_id AND t.rec = g.rec AND t.s >= g.s AND t.e <= g.e WHERE t.pos % {TOKENS_PER_RECORD} < {MAX_LENGTH})"""
+  SELECT DISTINCT t.doc_id, t.pos, CASE WHEN t.s > g.s THEN 2 ELSE 1 END + 2 * CAST(g.label[2:] AS INTEGER) AS label_id
+  FROM tok t JOIN (SELECT *, unnest([pos, pos + 1]) AS near FROM gold) g ON t.doc_id = g.doc_id AND t.pos = g.near AND t.s >= g.s AND t.e <= g.e WHERE t.pos < {limit})"""
+
+
+BIO = _bio(MAX_LENGTH)
 
 TAGS = f"tags AS (SELECT 0 AS label_id, 'O' AS tag UNION ALL SELECT 2 * i + 1, 'B-L' || i FROM range({L}) t(i) UNION ALL SELECT 2 * i + 2, 'I-L' || i FROM range({L}) t(i))"
 
@@ -170,61 +196,90 @@ MAPPING = """mapping AS (
   SELECT p_type AS source_type, CASE WHEN min(p_size) % 10 = 9 THEN '0.0' ELSE 'L' || (min(p_size) % 5) END AS target_label FROM part GROUP BY 1
   UNION ALL SELECT * FROM (VALUES ('Acid, Nucleic-Type', 'L1'), ('Body_Part', 'L9'), ('Cell Line', '0.0')))"""
 
-GRID = """grid AS (SELECT doc_id, r AS row_, c AS col_, ch AS channel, (doc_id * 31 + r * 17 + c * 13 + ch * 7) % 100 AS score FROM documents, range(8) a(r), range(8) b(c), range(1, 4) x(ch))"""
+GRID = """grid AS (SELECT doc_id, r AS row_, c AS col_, ch AS channel, ((doc_id * 31 + r * 17 + c * 13 + ch * 7) % 100) / 100 AS score FROM documents, range(8) a(r), range(8) b(c), range(1, 4) x(ch))"""
 GRID_GOLD = """gg AS (SELECT doc_id, [doc_id % 6, doc_id % 6 + 1] AS index, 2 AS type FROM documents UNION ALL SELECT doc_id, [doc_id % 6], 3 FROM documents)"""
 
 
+def _cells(first: tuple, second: tuple, names: tuple[str, str]) -> str:
+    listed = lambda values: "[" + ", ".join(f"{v}::DOUBLE" for v in values) + "]"
+    return f"SELECT CAST(row_number() OVER (ORDER BY a, b) - 1 AS INTEGER) AS cell, a AS {names[0]}, b AS {names[1]} FROM (SELECT unnest({listed(first)}) AS a), (SELECT unnest({listed(second)}) AS b)"
+
+
 def _decoded(cells: str) -> str:
     """Chains under the thresholds of each cell."""
     return f"""RECURSIVE {GRID}, {GRID_GOLD}, cells AS ({cells}),
-marks AS (SELECT cell, doc_id, row_ AS tail, col_ AS head, channel AS type FROM grid, cells WHERE channel > 1 AND score > ht AND col_ <= row_),
-links AS (SELECT cell, doc_id, row_ AS a, col_ AS b FROM grid, cells WHERE channel = 1 AND score > nt AND row_ < col_),
+marks AS (SELECT cell, doc_id, row_ AS tail, col_ AS head, channel AS type FROM grid, cells WHERE channel > 1 AND score > head_threshold AND col_ <= row_),
+links AS (SELECT cell, doc_id, row_ AS a, col_ AS b FROM grid, cells WHERE channel = 1 AND score > next_threshold AND row_ < col_),
 chain(cell, doc_id, tail, type, index) AS (
   SELECT cell, doc_id, tail, type, [head] FROM marks
   UNION ALL SELECT c.cell, c.doc_id, tail, type, list_append(index, l.b) FROM chain c JOIN links l ON c.cell = l.cell AND c.doc_id = l.doc_id AND l.a = c.index[-1] AND l.b <= c.tail),
 entities AS (SELECT DISTINCT cell, doc_id, index, type FROM chain WHERE index[-1] = tail)"""
 
 
-ONE_CELL = "SELECT 0 AS cell, 70 AS nt, 70 AS ht"
-NINE = "SELECT CAST(row_number() OVER (ORDER BY nt, ht) - 1 AS INTEGER) AS cell, nt, ht FROM (VALUES (60), (70), (80)) a(nt), (VALUES (60), (70), (80)) b(ht)"
-SWEEP = f"""{_decoded(NINE)},
-swept AS (
-  SELECT cell, nt AS next_threshold, ht AS head_threshold, coalesce(c, 0) AS correct, coalesce(p, 0) AS predicted, (SELECT count(*) FROM gg) AS relevant FROM cells
-  LEFT JOIN (SELECT cell, count(*) AS p, count(g.doc_id) AS c FROM entities e LEFT JOIN gg g ON e.doc_id = g.doc_id AND e.index = g.index AND e.type = g.type GROUP BY 1) USING (cell)),
-scored AS (SELECT *, {_prf('correct', 'predicted', 'relevant')} FROM swept)"""
+ONE_CELL = "SELECT 0 AS cell, 0.7::DOUBLE AS next_threshold, 0.7::DOUBLE AS head_threshold"
+GRID_CELLS = _cells(NEXT_GRID, HEAD_GRID, ("next_threshold", "head_threshold"))
+FLAT_CELLS = _cells(LOGIT_GRID, PROB_GRID, ("logit_threshold", "prob_threshold"))
+FIVE = ("correct", "partial", "incorrect", "missed", "spurious")
+PER_CELL = f"per AS (SELECT cell, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in FIVE)} FROM outcomes GROUP BY 1)"
+ALL_CELLS = f"SELECT cells.*, {', '.join(f'coalesce({c}, 0) AS {c}' for c in FIVE)} FROM cells LEFT JOIN per USING (cell)"
+
+SWEPT = _outcomes(
+    f"""{_decoded(GRID_CELLS)},
+found AS (SELECT cell, gg.doc_id, index, type, 'g' AS side FROM gg, cells UNION ALL SELECT cell, doc_id, index, type, 'p' FROM entities),
+both_ AS (SELECT cell, doc_id, index[1] AS s, index[-1] + 1 AS e, CAST(type AS VARCHAR) AS label, row_number() OVER (PARTITION BY cell, doc_id, side ORDER BY index, type) AS ordinal, side FROM found)""",
+    "cell, doc_id",
+)
+SWEEP = f"""{SWEPT}, {PER_CELL},
+same AS (SELECT cell, count(*) FILTER (n = 2) AS same_entities, count(*) FILTER (n = 2 OR one = 'p') AS predicted, count(*) FILTER (n = 2 OR one = 'g') AS relevant
+  FROM (SELECT cell, doc_id, index, type, count(*) AS n, min(side) AS one FROM found GROUP BY ALL) GROUP BY 1)"""
+SWEEP_ROWS = _scored(f"{ALL_CELLS.replace('SELECT cells.*', 'SELECT cells.*, same_entities, predicted, relevant')} LEFT JOIN same USING (cell)", f"cell, next_threshold, head_threshold, {', '.join(FIVE)}, same_entities, predicted, relevant")
+
+FLAT = _outcomes(
+    f"""cells AS ({FLAT_CELLS}), places AS (SELECT doc_id, o FROM documents, range(8) t(o)),
+fg AS (SELECT doc_id, o, o * 4 AS s, o * 4 + 3 AS e, 'L' || ((doc_id + o) % 3) AS label FROM places WHERE (doc_id + o) % 4 <> 0),
+fp AS (SELECT doc_id, o, o * 4 AS s, o * 4 + 3 - (doc_id + o) % 2 AS e, 'L' || ((doc_id + o + CASE WHEN (doc_id * 3 + o) % 5 = 0 THEN 1 ELSE 0 END) % 3) AS label, ((doc_id * 29 + o * 41) % 100) / 100 AS logit, ((doc_id * 17 + o * 23) % 100) / 100 AS prob FROM places),
+both_ AS (SELECT cell, doc_id, s, e, label, o AS ordinal, 'g' AS side FROM fg, cells UNION ALL SELECT cell, doc_id, s, e, label, o, 'p' FROM fp, cells WHERE logit > logit_threshold AND prob > prob_threshold)""",
+    "cell, doc_id",
+)
+FLAT_ROWS = _scored(ALL_CELLS, f"cell, logit_threshold, prob_threshold, {', '.join(FIVE)}")
+BEST = "ORDER BY f1 DESC, precision DESC, recall DESC, cell LIMIT 1"
 
 ORACLES: dict[str, str] = {
     "tokens_with_offsets": f'WITH {TOKENS} SELECT doc_id, pos, s AS start, e AS "end", token FROM plain',
     "tokens_cut_at_tags": f'WITH {CUT} SELECT doc_id, sent_idx, pos, s AS start, e AS "end", token FROM cut',
-    "span_alignment": f"""WITH {CUT}, f AS (SELECT p.doc_id, p.sent_idx, p.tag, p.s, p.e, min(c.pos) AS first, max(c.pos) AS last, count(c.pos) AS n, min(c.s) AS lo, max(c.e) AS hi
-        FROM spans p LEFT JOIN cut c ON p.doc_id = c.doc_id AND p.sent_idx = c.sent_idx AND c.s >= p.s AND c.e <= p.e GROUP BY ALL)
-        SELECT doc_id, sent_idx, tag, s AS start, e AS "end", first, last, n AS n_tokens, coalesce(lo = s AND hi = e, false) AS aligned FROM f""",
+    "span_alignment": f'WITH {ALIGNED} SELECT doc_id, sent_idx, tag, s AS start, e AS "end", first, last, n AS n_tokens, coalesce(lo = s AND hi = e, false) AS aligned FROM fits',
+    "converted_records": f"""WITH {ALIGNED}, t AS (SELECT doc_id, sent_idx, CAST(count(*) AS INTEGER) AS n_tokens, sha256(string_agg(token, ' ' ORDER BY pos)) AS tokens_sha256 FROM cut GROUP BY 1, 2),
+        m AS (SELECT doc_id, sent_idx, string_agg(array_to_string(range(first, last + 1), '-') || ':' || tag, ' ' ORDER BY s, e, tag) AS mentions FROM fits WHERE lo = s AND hi = e GROUP BY 1, 2)
+        SELECT doc_id, sent_idx, n_tokens, tokens_sha256, coalesce(mentions, '') AS mentions FROM t LEFT JOIN m USING (doc_id, sent_idx)""",
     "conversion_stats": f"""WITH {SENTENCES}, g AS (SELECT doc_id, sent_idx, s, e, count(*) AS n FROM spans GROUP BY ALL)
         SELECT (SELECT count(*) FROM sentences) AS sentences, CAST(sum(n) AS BIGINT) AS entities, count(DISTINCT CASE WHEN n > 1 THEN (doc_id, sent_idx) END) AS sentences_with_same_span_multilabel, count(*) FILTER (n > 1) AS same_span_groups, CAST(sum(n - 1) AS BIGINT) AS same_span_extra_labels FROM g""",
     "bio_labels": f"WITH {BIO} SELECT * FROM bio",
     "bio_tag_inventory": f"WITH {TAGS} SELECT * FROM tags",
-    "positive_weights": f"""WITH {BIO}, {TAGS}, n AS (SELECT count(*) AS n FROM tok WHERE pos % {TOKENS_PER_RECORD} < {MAX_LENGTH}), c AS (SELECT label_id, count(*) AS p FROM bio GROUP BY 1)
+    "positive_weights": f"""WITH {BIO}, {TAGS}, n AS (SELECT count(*) AS n FROM tok WHERE pos < {MAX_LENGTH}), c AS (SELECT label_id, count(*) AS p FROM bio GROUP BY 1)
         SELECT label_id, tag, coalesce(p, 0) AS positives, CASE WHEN label_id > 0 AND p > 0 THEN greatest(1.0, least(50.0, (n - p) / CAST(p AS DOUBLE))) ELSE 1.0 END AS weight FROM tags LEFT JOIN c USING (label_id), n""",
+    "padded_labels": f"""WITH {_bio(70)}, r AS (SELECT doc_id, pos FROM tok WHERE pos < 70), l AS (SELECT doc_id, pos, string_agg(CAST(label_id AS VARCHAR), ',' ORDER BY label_id) AS labels FROM bio GROUP BY 1, 2)
+        SELECT d.doc_id, CAST(i AS INTEGER) AS pos, CAST(r.pos IS NOT NULL AS INTEGER) AS loss_mask, coalesce(labels, '') AS labels FROM (SELECT DISTINCT doc_id FROM r) d CROSS JOIN range(70) t(i) LEFT JOIN r ON d.doc_id = r.doc_id AND i = r.pos LEFT JOIN l ON d.doc_id = l.doc_id AND i = l.pos""",
+    "subword_tokens": """SELECT item_id, CAST(i AS INTEGER) AS pos, CAST(i * 4 AS INTEGER) AS start, CAST(least(i * 4 + 4, length(text)) AS INTEGER) AS "end", substring(text, i * 4 + 1, 4) AS token FROM (SELECT item_id, text, unnest(range((length(text) + 3) // 4)) AS i FROM benchmark)""",
     "token_length_summary": f"WITH {LENGTHS} {_summary('lang', 'lengths')}",
     "token_length_coverage": f"WITH {LENGTHS} SELECT lang, threshold, avg(CAST(length <= threshold AS DOUBLE)) AS coverage FROM lengths, (SELECT unnest({list(COVERAGE)}) AS threshold) GROUP BY GROUPING SETS ((lang, threshold), (threshold))",
     "document_names": r"""SELECT doc_id, nullif(regexp_extract(n, 'text(\d+)\.(?:txt|ann)$', 1), '') AS from_name, nullif(regexp_extract(n, 'text(\d+)\.txt', 1), '') AS in_text_name,
         CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id AS VARCHAR) ELSE 'm' || doc_id END AS record_doc_id FROM (SELECT doc_id, '0text' || doc_id || CASE doc_id % 3 WHEN 0 THEN '.txt' WHEN 1 THEN '.ann' ELSE '.md' END AS n FROM documents)""",
-    "text_digests_and_slices": "SELECT doc_id, sha256(text) AS text_sha256, substring(text, 3, 5) AS piece, substring(text, 5, 5) || ' ' || substring(text, 1, 3) AS joined FROM documents",
+    "text_digests_and_slices": "SELECT doc_id, sha256(text) AS text_sha256, substring(text, length(text) // 2 + 1, 9) AS piece, sha256(substring(text, length(text) // 2 + 1) || ' ' || substring(text, 1, length(text) // 3)) AS joined_sha256 FROM documents",
     "tags_as_entities": f'WITH {SENTENCES} SELECT doc_id, sent_idx, s AS start, e AS "end", tag AS label FROM spans',
     "index_codec": "SELECT doc_id, array_to_string(range(0, doc_id % 5 + 1), '-') || '-#-' || (doc_id % 3 + 2) AS packed, array_to_string(range(0, doc_id % 5 + 1), ',') AS index_list, CAST(doc_id % 3 + 2 AS INTEGER) AS type FROM documents",
     "token_roles": f"""WITH {TOKENS} SELECT doc_id, ss, se, CASE WHEN e <= s THEN 'N' WHEN s < ss OR e > se THEN 'O' WHEN s > ss THEN 'I' ELSE 'B' END AS role, count(*) AS n FROM tok, (VALUES (0, 5), (2, 400), (100, 100000)) x(ss, se) GROUP BY ALL""",
     "number_lists": "SELECT doc_id, 0 AS at, CAST(0.5 AS DOUBLE) AS number FROM documents UNION ALL SELECT doc_id, 1, CAST(doc_id % 7 AS DOUBLE) FROM documents",
     "plain_names": f"WITH {MAPPING} SELECT source_type, replace(translate(replace(source_type, ',', ''), '_-', '  '), ' ', '') AS plain FROM mapping",
     "f1_of_counts": f"SELECT doc_id, {_prf('(doc_id % 5)', '(doc_id % 7)', '(doc_id % 11)').replace('WHEN (doc_id % 5) > 0 THEN 2', 'WHEN (doc_id % 5) > 0 AND (doc_id % 7) > 0 AND (doc_id % 11) > 0 THEN 2')} FROM documents",
-    "exact_matches": f"WITH {PRED} SELECT label, side, count(*) FILTER (exact) AS matched, count(*) AS mentions FROM marked GROUP BY ALL",
+    "exact_matches": f"WITH {MARKED} SELECT label, side, count(*) FILTER (exact) AS matched, count(*) AS mentions FROM marked GROUP BY ALL",
     "match_outcomes": f"WITH {OUTCOMES} SELECT * FROM outcomes",
     "score_overlap_per_label": f"WITH {OUTCOMES} {_scored(f'SELECT label, {COUNTS} FROM outcomes GROUP BY GROUPING SETS ((label), ())', 'label, correct, partial, incorrect, missed, spurious')}",
-    "score_exact": f"""WITH {PRED}, per AS (SELECT label, count(*) FILTER (side = 'g' AND exact) AS c, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 'g') AS r FROM marked GROUP BY 1),
+    "score_exact": f"""WITH {MARKED}, per AS (SELECT label, count(*) FILTER (side = 'g' AND exact) AS c, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 'g') AS r FROM marked GROUP BY 1),
         s AS (SELECT c, p, r, {_prf('c', 'p', 'r')} FROM per), t AS (SELECT sum(c) AS c, sum(p) AS p, sum(r) AS r, avg(precision) AS macro_precision, avg(recall) AS macro_recall, avg(f1) AS macro_f1 FROM s)
         SELECT {_prf('c', 'p', 'r', 'micro_')}, macro_precision, macro_recall, macro_f1 FROM t""",
-    "structural_recovery": f"""WITH {PRED}, {STRUCTURE.removeprefix(GOLD)[1:]}, k AS (SELECT doc_id, rec, ordinal, unnest(list_filter([CASE WHEN flat THEN 'flat' END, CASE WHEN nested THEN 'nested' END, CASE WHEN same_span THEN 'same_span' END], lambda x: x IS NOT NULL)) AS kind FROM structured)
+    "structural_recovery": f"""WITH {MARKED}, {STRUCTURE.removeprefix(GOLD)[1:]}, k AS (SELECT doc_id, rec, ordinal, unnest(list_filter([CASE WHEN flat THEN 'flat' END, CASE WHEN nested THEN 'nested' END, CASE WHEN same_span THEN 'same_span' END], lambda x: x IS NOT NULL)) AS kind FROM structured)
         SELECT kind, count(*) AS mentions, count(*) FILTER (exact) AS matched, avg(CAST(exact AS DOUBLE)) AS share FROM k JOIN marked m ON m.side = 'g' AND k.doc_id = m.doc_id AND k.rec = m.rec AND k.ordinal = m.ordinal GROUP BY 1""",
-    "scores_over_seeds": f"""WITH {OUTCOMES}, sc AS ({_scored(f'SELECT doc_id % 3 AS seed, {COUNTS} FROM outcomes GROUP BY 1', 'seed')})
+    "scores_over_seeds": f"""WITH {SEEDS}, sc AS ({_scored(f'SELECT seed, {COUNTS} FROM outcomes GROUP BY 1', 'seed')})
         SELECT 'overlap' AS metric, {', '.join(f'avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std' for m in ('precision', 'recall', 'f1', 'accuracy'))} FROM sc""",
     "positional_alignment": "SELECT doc_id AS record_no, lang, quality FROM documents JOIN labels USING (doc_id)",
     "unaligned_records": "SELECT coalesce(d.doc_id, l.k) AS record_no, d.doc_id IS NOT NULL AS in_gold, l.k IS NOT NULL AS in_pred FROM documents d FULL JOIN (SELECT doc_id + 1 AS k FROM labels) l ON d.doc_id = l.k WHERE d.doc_id IS NULL OR l.k IS NULL",
@@ -232,7 +287,7 @@ ORACLES: dict[str, str] = {
     "mention_structure": f"WITH {STRUCTURE} SELECT doc_id, count(*) AS mentions, count(*) FILTER (same_span) AS same_span, count(*) FILTER (nested) AS nested, count(*) FILTER (flat) AS flat FROM structured GROUP BY 1",
     "rows_per_document": f"WITH {SENTENCES} SELECT doc_id, count(*) AS sentence_count FROM sentences GROUP BY 1",
     "label_split_table": f"WITH {TABLE} SELECT * FROM label_table",
-    "rare_labels": f"WITH {TABLE} SELECT label, minimum FROM label_table WHERE minimum < 100000",
+    "rare_labels": f"WITH {TABLE} SELECT label, minimum FROM label_table WHERE minimum < {RARE}",
     "median_of_label_minima": f"WITH {TABLE} SELECT min(minimum) AS lowest, quantile_cont(minimum, 0.5) AS median FROM label_table",
     "split_totals": f"""WITH {STRUCTURE}, r AS (SELECT DISTINCT doc_id, rec, {SPLIT} AS split FROM tok), a AS (SELECT split, count(DISTINCT doc_id) AS documents, count(*) AS sentences FROM r GROUP BY 1),
         b AS (SELECT split, CAST(sum(n) AS BIGINT) AS entities, count(*) FILTER (s) AS same_span_sentences, count(*) FILTER (d) AS nested_sentences FROM (SELECT split, doc_id, rec, count(*) AS n, bool_or(same_span) AS s, bool_or(nested) AS d FROM structured GROUP BY ALL) GROUP BY 1),
@@ -242,14 +297,15 @@ ORACLES: dict[str, str] = {
     "split_overlaps": f"SELECT doc_id, count(DISTINCT split) AS n_splits FROM ({TWICE}) GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "missing_split_labels": f"""WITH {GOLD}, m AS (SELECT DISTINCT label, {SPLIT} AS split FROM gold), wanted AS (SELECT split, label FROM (VALUES ('train'), ('eval'), ('test')) s(split), (SELECT 'L' || i AS label FROM range({L + 1}) t(i)))
         SELECT split, label FROM wanted ANTI JOIN (SELECT * FROM m WHERE label <> 'L3' OR split <> 'eval') x USING (split, label)""",
-    "split_search": f"""WITH d AS (SELECT doc_id, 1 + doc_id % 9 AS sentences, doc_id % 4 AS nested, doc_id % 3 AS same_span FROM documents),
+    "split_search": f"""WITH {STRUCTURE}, per AS (SELECT doc_id, rec, bool_or(nested) AS d, bool_or(same_span) AS s FROM structured GROUP BY 1, 2), labels_ AS (SELECT DISTINCT doc_id, label FROM structured),
+        d AS (SELECT doc_id, count(*) AS sentences, count(*) FILTER (d) AS nested, count(*) FILTER (s) AS same_span FROM per GROUP BY 1),
         g AS (SELECT c AS candidate, d.*, sum(sentences) OVER (PARTITION BY c ORDER BY (doc_id * (2 * c + 1) * 7919 + c * 104729) % 1000003, doc_id) - sentences AS upto, sum(sentences) OVER (PARTITION BY c) AS whole FROM range({CANDIDATES}) t(c), d),
         p AS (SELECT *, CASE WHEN upto < 0.7 * whole THEN 'train' WHEN upto < (0.7::DOUBLE + 0.1::DOUBLE) * whole THEN 'eval' ELSE 'test' END AS split FROM g),
         s AS (SELECT candidate, split, sum(sentences) AS a, sum(nested) AS b, sum(same_span) AS c FROM p GROUP BY ALL),
         o AS (SELECT candidate, sum(off) AS off FROM (SELECT candidate, abs(a / CAST(greatest(sum(a) OVER w, 1) AS DOUBLE) - goal) + abs(b / CAST(greatest(sum(b) OVER w, 1) AS DOUBLE) - goal) + abs(c / CAST(greatest(sum(c) OVER w, 1) AS DOUBLE) - goal) AS off
             FROM (SELECT *, CASE split WHEN 'train' THEN 0.7 WHEN 'eval' THEN 0.1 ELSE 0.2 END AS goal FROM s) WINDOW w AS (PARTITION BY candidate)) GROUP BY 1),
-        h AS (SELECT candidate, count(DISTINCT (split, doc_id % 5)) AS have FROM p GROUP BY 1),
-        b AS (SELECT candidate, off + (SELECT count(DISTINCT doc_id % 5) FROM d) * 3 - have AS score FROM o JOIN h USING (candidate) ORDER BY round(off + (SELECT count(DISTINCT doc_id % 5) FROM d) * 3 - have, 9), candidate LIMIT 1)
+        h AS (SELECT candidate, count(DISTINCT (split, label)) AS have FROM p JOIN labels_ USING (doc_id) GROUP BY 1),
+        b AS (SELECT candidate, off + (SELECT count(DISTINCT label) FROM labels_) * 3 - have AS score FROM o JOIN h USING (candidate) ORDER BY round(off + (SELECT count(DISTINCT label) FROM labels_) * 3 - have, 9), candidate LIMIT 1)
         SELECT CAST(candidate AS INTEGER) AS candidate, doc_id, split, round(score, 6) AS score FROM p JOIN b USING (candidate)""",
     "document_offsets": f"WITH {SENTENCES} SELECT doc_id, sent_idx, tag, s + document_start AS document_from, e + document_start AS document_to FROM spans JOIN sentences USING (doc_id, sent_idx)",
     "reconstruction_sources": f"""WITH {SENTENCES}, {AUDIT}, c AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, count(*) AS n FROM sentences WHERE doc_id % 10 <> 3 GROUP BY 1),
@@ -284,14 +340,9 @@ ORACLES: dict[str, str] = {
     "grid_entities": f"WITH {_decoded(ONE_CELL)} SELECT doc_id, array_to_string(index, '-') || '-#-' || type AS entity FROM entities",
     "grid_entity_counts": f"""WITH {_decoded(ONE_CELL)}, t AS (SELECT (SELECT count(*) FROM entities e JOIN gg g ON e.doc_id = g.doc_id AND e.index = g.index AND e.type = g.type) AS correct, (SELECT count(*) FROM entities) AS predicted, (SELECT count(*) FROM gg) AS relevant)
         SELECT *, {_prf('correct', 'predicted', 'relevant')} FROM t""",
-    "threshold_grid": f"SELECT CAST(row_number() OVER (ORDER BY n, h) - 1 AS INTEGER) AS cell, n AS next_threshold, h AS head_threshold FROM (SELECT unnest({list(NEXT_GRID)}) AS n), (SELECT unnest({list(HEAD_GRID)}) AS h)",
-    "threshold_sweep": f"WITH {SWEEP} SELECT * FROM scored",
-    "best_threshold": f"WITH {SWEEP} SELECT * FROM scored ORDER BY f1 DESC, precision DESC, recall DESC, cell LIMIT 1",
-}
-
-# The reference's 25 cells: the SQL of the nine-cell sweep over the cells of threshold_grid.
-SWEEP_25 = SWEEP.replace(NINE, ORACLES["threshold_grid"].replace("n AS next_threshold, h AS head_threshold", "n AS nt, h AS ht"))
-ORACLES |= {
-    "threshold_sweep_25": f"WITH {SWEEP_25} SELECT * FROM scored",
-    "best_threshold_25": f"WITH {SWEEP_25} SELECT * FROM scored ORDER BY f1 DESC, precision DESC, recall DESC, cell LIMIT 1",
+    "threshold_grid": GRID_CELLS,
+    "threshold_sweep": f"WITH {SWEEP} {SWEEP_ROWS}",
+    "best_threshold": f"WITH {SWEEP} {SWEEP_ROWS} {BEST}",
+    "flat_sweep": f"WITH {FLAT}, {PER_CELL} {FLAT_ROWS}",
+    "best_flat_threshold": f"WITH {FLAT}, {PER_CELL} {FLAT_ROWS} {BEST}",
 }

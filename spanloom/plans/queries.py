@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as fn
+from spanloom.functions.tiling import with_tokens
 from spanloom.operators import decode, integrity, matching, metrics, release, splits, structure, tokens
 from spanloom.plans import fixtures as fx
 from spanloom.session import table
 
 QUERIES: dict = {}
-MAX_LENGTH = 48
+MAX_LENGTH = 512
 COVERAGE = (128, 256, 384, 512)
 CANDIDATES = 500
-NEXT_GRID, HEAD_GRID = (30, 40, 50, 60, 70), (30, 40, 50, 60, 70)
+RARE = 6310
+# The thresholds of the two sweeps. Scores of the inputs are whole hundredths, compared as numbers of two decimals.
+NEXT_GRID, HEAD_GRID = (0.3, 0.4, 0.5, 0.6, 0.7), (0.3, 0.4, 0.5, 0.6, 0.7)
+LOGIT_GRID, PROB_GRID = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6), (0.3, 0.4, 0.5, 0.6, 0.7)
 
 
 def query(f):
@@ -27,9 +31,11 @@ def _labels(spark: SparkSession) -> DataFrame:
 
 
 def _sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans on the lines of documents: the first character run of each line, and part of it, by integer rules."""
+    """Spans on the lines of documents, anywhere in a line by integer rules; they cut words and begin or end with blanks as it comes."""
     s = fx.sentences(spark, sf_dir).filter(F.length("text") >= 4)
-    made = F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit("L0").alias("tag")), F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit("L1").alias("tag")), F.struct(F.lit(1).alias("start"), F.lit(3).alias("end"), F.lit("L2").alias("tag")))
+    at = ((F.col("doc_id") * 7 + F.col("sent_idx") * 5) % (F.length("text") - 3)).cast("int")
+    span = lambda a, b, tag: F.struct((at + a).alias("start"), (at + b).alias("end"), F.lit(tag).alias("tag"))
+    made = F.array(span(0, 2, "L0"), span(0, 2, "L1"), span(1, 3, "L2"))
     few = F.when(F.col("sent_idx") % 2 == 0, made).otherwise(F.slice(made, 1, 1))
     return s.select("doc_id", "sent_idx", F.inline(few))
 
@@ -56,6 +62,18 @@ def span_alignment(spark, sf_dir):
     return tokens.aligned_spans(cut, spans, keys, ["tag"])
 
 
+@query
+def converted_records(spark, sf_dir):
+    """Training records: tokens, and the index list and type of each aligned mention."""
+    keys = ["doc_id", "sent_idx"]
+    spans = _sentence_spans(spark, sf_dir)
+    cut = tokens.tokens_cut_at_spans(fx.sentences(spark, sf_dir).select(*keys, "text"), spans, keys)
+    fit = tokens.aligned_spans(cut, spans, keys, ["tag"]).filter("aligned")
+    out = tokens.converted(cut, fit, keys)
+    mentions = F.transform("ner", lambda x: F.concat(F.array_join(F.transform(x["index"], lambda i: i.cast("string")), "-"), F.lit(":"), x["type"]))
+    return out.select(*keys, F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"), F.array_join(mentions, " ").alias("mentions"))
+
+
 @query
 def conversion_stats(spark, sf_dir):
     keys = ["doc_id", "sent_idx"]
@@ -64,8 +82,24 @@ def conversion_stats(spark, sf_dir):
 
 @query
 def bio_labels(spark, sf_dir):
-    t = fx.doc_tokens(spark, sf_dir).withColumn("pos", F.col("pos") % fx.TOKENS_PER_RECORD)
-    return tokens.bio_labels(t, fx.gold(spark, sf_dir), _labels(spark), fx.KEYS, MAX_LENGTH)
+    """Whole documents, cut where the reference cuts them."""
+    return tokens.bio_labels(fx.doc_tokens(spark, sf_dir), fx.gold(spark, sf_dir), _labels(spark), ["doc_id"], MAX_LENGTH)
+
+
+@query
+def padded_labels(spark, sf_dir):
+    """The first 70 positions of each document, padded: how many tokens count and which labels stand where."""
+    t, n = fx.doc_tokens(spark, sf_dir), 70
+    bio = tokens.bio_labels(t, fx.gold(spark, sf_dir), _labels(spark), ["doc_id"], n)
+    out = tokens.padded_labels(t, bio, ["doc_id"], n)
+    return out.select("doc_id", "pos", "loss_mask", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+
+
+@query
+def subword_tokens(spark, sf_dir):
+    """A tokenizer of the caller: pieces of four characters."""
+    pieces = lambda texts: [[(i, min(i + 4, len(t))) for i in range(0, len(t), 4)] for t in texts]
+    return tokens.subword_tokens(table(spark, sf_dir, "benchmark"), ["item_id"], pieces)
 
 
 @query
@@ -75,14 +109,13 @@ def bio_tag_inventory(spark, sf_dir):
 
 @query
 def positive_weights(spark, sf_dir):
-    t = fx.doc_tokens(spark, sf_dir).filter(F.col("pos") % fx.TOKENS_PER_RECORD < MAX_LENGTH)
+    t = fx.doc_tokens(spark, sf_dir).filter(F.col("pos") < MAX_LENGTH)
     return tokens.positive_weights(bio_labels(spark, sf_dir), tokens.tag_inventory(_labels(spark)), t.agg(F.count("*").alias("n_tokens")))
 
 
 def _doc_lengths(spark, sf_dir):
-    found = tokens.tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
-    n = found.groupBy("doc_id").agg(F.count("*").alias("length"))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(n, "doc_id", "left").select("lang", F.coalesce("length", F.lit(0)).alias("length"))
+    cut = with_tokens(table(spark, sf_dir, "documents").select("lang", "text"), words=False)
+    return cut.select("lang", F.size("tokens").alias("length"))
 
 
 @query
@@ -111,8 +144,10 @@ def document_names(spark, sf_dir):
 @query
 def text_digests_and_slices(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = F.array(F.array(F.lit(4), F.lit(9)), F.array(F.lit(0), F.lit(3)))
-    return d.select("doc_id", fn.sha256(F.col("text")).alias("text_sha256"), fn.piece(F.col("text"), F.lit(2), F.lit(7)).alias("piece"), fn.joined_pieces(F.col("text"), spans).alias("joined"))
+    # Slices from the middle and the end of whole texts, the later one first.
+    half = F.expr("length(text) div 2")
+    spans = F.array(F.array(half, F.length("text")), F.array(F.lit(0), F.expr("length(text) div 3")))
+    return d.select("doc_id", fn.sha256(F.col("text")).alias("text_sha256"), fn.piece(F.col("text"), half, half + 9).alias("piece"), fn.sha256(fn.joined_pieces(F.col("text"), spans)).alias("joined_sha256"))
 
 
 @query
@@ -163,15 +198,13 @@ def f1_of_counts(spark, sf_dir):
 
 @query
 def exact_matches(spark, sf_dir):
-    t = fx.doc_tokens(spark, sf_dir)
-    marked = matching.exact_matches(fx.gold_of(t), fx.pred_of(t), fx.KEYS)
+    marked = matching.exact_matches(fx.sides(spark, sf_dir), fx.KEYS)
     return marked.groupBy("label", "side").agg(F.count_if("exact").alias("matched"), F.count("*").alias("mentions"))
 
 
 @query
 def match_outcomes(spark, sf_dir):
-    t = fx.doc_tokens(spark, sf_dir)
-    return matching.outcomes(fx.gold_of(t), fx.pred_of(t), fx.KEYS)
+    return matching.outcomes(fx.sides(spark, sf_dir), fx.KEYS)
 
 
 @query
@@ -181,22 +214,20 @@ def score_overlap_per_label(spark, sf_dir):
 
 @query
 def score_exact(spark, sf_dir):
-    t = fx.doc_tokens(spark, sf_dir)
-    return metrics.exact_scores(matching.exact_matches(fx.gold_of(t), fx.pred_of(t), fx.KEYS))
+    return metrics.exact_scores(matching.exact_matches(fx.sides(spark, sf_dir), fx.KEYS))
 
 
 @query
 def structural_recovery(spark, sf_dir):
-    t = fx.doc_tokens(spark, sf_dir)
-    g = fx.gold_of(t)
-    return structure.recovery(matching.exact_matches(g, fx.pred_of(t), fx.KEYS), structure.structure(g, fx.KEYS), fx.KEYS)
+    return structure.recovery(matching.exact_matches(fx.sides(spark, sf_dir), fx.KEYS), fx.KEYS)
 
 
 @query
 def scores_over_seeds(spark, sf_dir):
-    """Three runs, each scored on the documents of one remainder."""
-    runs = match_outcomes(spark, sf_dir).withColumn("seed", F.col("doc_id") % 3).groupBy("seed").agg(*[F.sum(c).alias(c) for c in matching.COUNTS])
-    return metrics.mean_and_spread(metrics.with_scores(runs).withColumn("metric", F.lit("overlap")), ["metric"], ["precision", "recall", "f1", "accuracy"])
+    """Three predictions for every document, each scored over all of them: seed k leaves out the predictions at every (7 + k)-th ordinal."""
+    runs = fx.sides(spark, sf_dir).withColumn("seed", F.explode(F.array(*[F.lit(k) for k in range(3)]))).filter((F.col("side") == "g") | (F.col("ordinal") % (F.col("seed") + 7) != 0))
+    counts = matching.outcomes(runs, ["seed", *fx.KEYS]).groupBy("seed").agg(*[F.sum(c).alias(c) for c in matching.COUNTS])
+    return metrics.mean_and_spread(metrics.with_scores(counts).withColumn("metric", F.lit("overlap")), ["metric"], ["precision", "recall", "f1", "accuracy"])
 
 
 @query
@@ -217,7 +248,7 @@ def unaligned_records(spark, sf_dir):
 @query
 def masked_loss(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(((F.col("doc_id") % 9) - 4).cast("double").alias("logit"), (F.col("doc_id") % 2).cast("double").alias("target"), (F.col("doc_id") % 5 != 0).cast("double").alias("mask"), (1 + F.col("doc_id") % 3).cast("double").alias("weight"))
-    return metrics.masked_loss(d, 3)
+    return metrics.masked_loss(d)
 
 
 # --- aggregates over splits and structure ----------------------------------------------------------------------------------
@@ -245,7 +276,7 @@ def label_split_table(spark, sf_dir):
 
 @query
 def rare_labels(spark, sf_dir):
-    return splits.rare_labels(label_split_table(spark, sf_dir), 100_000).select("label", "minimum")
+    return splits.rare_labels(label_split_table(spark, sf_dir), RARE).select("label", "minimum")
 
 
 @query
@@ -255,9 +286,9 @@ def median_of_label_minima(spark, sf_dir):
 
 @query
 def split_totals(spark, sf_dir):
-    m = _structured(spark, sf_dir)
-    r = fx.doc_tokens(spark, sf_dir).select("doc_id", "rec").distinct().withColumn("split", fx.split_of())
-    return splits.split_totals(r, m, fx.KEYS)
+    """Each record opens with a row that is no mention, so that records without any count too."""
+    m = fx.mentions_of(fx.doc_tokens(spark, sf_dir), pred=False, records=True).withColumn("split", fx.split_of())
+    return splits.split_totals(structure.structure(m.repartition(*fx.KEYS), fx.KEYS), fx.KEYS)
 
 
 @query
@@ -282,9 +313,10 @@ def missing_split_labels(spark, sf_dir):
 
 @query
 def split_search(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", (1 + F.col("doc_id") % 9).alias("sentences"), (F.col("doc_id") % 4).alias("nested"), (F.col("doc_id") % 3).alias("same_span"))
-    l = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("L"), (F.col("doc_id") % 5).cast("string")).alias("label"))
-    return splits.split_search(d, l, {"train": 0.7, "eval": 0.1, "test": 0.2}, CANDIDATES).withColumn("score", F.round("score", 6))
+    """Sentences, and sentences with nested or same-span mentions, of whole documents as the structure of their mentions has them; labels are the mentions' own."""
+    per = _structured(spark, sf_dir).groupBy("doc_id", "rec").agg(F.max("nested").cast("int").alias("d"), F.max("same_span").cast("int").alias("s"), F.collect_set("label").alias("labels"))
+    d = per.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("d").alias("nested"), F.sum("s").alias("same_span"), F.array_distinct(F.flatten(F.collect_set("labels"))).alias("labels"))
+    return splits.split_search(d, {"train": 0.7, "eval": 0.1, "test": 0.2}, CANDIDATES).withColumn("score", F.round("score", 6))
 
 
 @query
@@ -445,13 +477,13 @@ def pooled_lengths(spark, sf_dir):
 
 @query
 def grid_entities(spark, sf_dir):
-    found = decode.decode(fx.grid(spark, sf_dir), ["doc_id"], F.lit(70), F.lit(70))
+    found = decode.decode(fx.grid(spark, sf_dir), ["doc_id"], F.lit(0.7), F.lit(0.7))
     return found.select("doc_id", fn.pack_index(F.col("index"), F.col("type")).alias("entity"))
 
 
 @query
 def grid_entity_counts(spark, sf_dir):
-    found = decode.decode(fx.grid(spark, sf_dir), ["doc_id"], F.lit(70), F.lit(70))
+    found = decode.decode(fx.grid(spark, sf_dir), ["doc_id"], F.lit(0.7), F.lit(0.7))
     return decode.entity_counts(found, fx.grid_gold(spark, sf_dir), ["doc_id"])
 
 
@@ -462,7 +494,8 @@ def threshold_grid(spark, sf_dir):
 
 @query
 def threshold_sweep(spark, sf_dir):
-    return decode.sweep(fx.grid(spark, sf_dir), fx.grid_gold(spark, sf_dir), decode.threshold_grid(spark, (60, 70, 80), (60, 70, 80)), ["doc_id"])
+    """All cells of the grid sweep with the scores of the shared evaluator."""
+    return decode.sweep(fx.grid(spark, sf_dir), fx.grid_gold(spark, sf_dir), threshold_grid(spark, sf_dir), ["doc_id"])
 
 
 @query
@@ -471,11 +504,13 @@ def best_threshold(spark, sf_dir):
 
 
 @query
-def threshold_sweep_25(spark, sf_dir):
-    """Over all cells of the reference's sweep."""
-    return decode.sweep(fx.grid(spark, sf_dir), fx.grid_gold(spark, sf_dir), threshold_grid(spark, sf_dir), ["doc_id"])
+def flat_sweep(spark, sf_dir):
+    """All cells of the sweep over scored flat mentions: those whose scores exceed both thresholds of a cell are matched one to one."""
+    cells = decode.threshold_grid(spark, LOGIT_GRID, PROB_GRID, ("logit_threshold", "prob_threshold"))
+    gold, pred = fx.flat_scores(spark, sf_dir)
+    return decode.flat_sweep(gold, pred, cells, ["doc_id"])
 
 
 @query
-def best_threshold_25(spark, sf_dir):
-    return metrics.best_setting(threshold_sweep_25(spark, sf_dir), "cell")
+def best_flat_threshold(spark, sf_dir):
+    return metrics.best_setting(flat_sweep(spark, sf_dir), "cell")

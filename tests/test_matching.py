@@ -44,7 +44,7 @@ def mentions(rng, n):
 
 def totals(spark, gold, pred):
     row = lambda side: [(r, *m) for r, ms in enumerate(side) for m in ms]
-    return matching.outcomes(spark.createDataFrame(row(gold), SCHEMA), spark.createDataFrame(row(pred), SCHEMA), ["rec"])
+    return matching.outcomes(matching.both_sides(spark.createDataFrame(row(gold), SCHEMA), spark.createDataFrame(row(pred), SCHEMA), ["rec"]), ["rec"])
 
 
 def test_random_records_match_the_sequential_rule(spark):
@@ -75,6 +75,7 @@ def test_ties_keep_the_input_order(spark):
 
 def test_no_mentions(spark):
     none = spark.createDataFrame([], SCHEMA)
-    assert matching.outcomes(none, none, ["rec"]).count() == 0
-    total = metrics.label_scores(matching.outcomes(none, none, ["rec"]))
+    both = matching.both_sides(none, none, ["rec"])
+    assert matching.outcomes(both, ["rec"]).count() == 0
+    total = metrics.label_scores(matching.outcomes(both, ["rec"]))
     assert [tuple(r[c] for c in ("f1", "accuracy")) for r in total.collect()] in ([], [(0.0, 0.0)])

@@ -76,27 +76,101 @@ def test_decode_keeps_entities_of_any_length(spark):
 
 
 def test_sweep_over_the_cells_of_the_reference(spark, tmp_path):
+    """All 25 cells against plain enumeration and a sequential reading of the matching rules."""
+    from test_matching import sequential
+
+    from spanloom.operators import metrics
     from spanloom.plans import queries
 
     docs = list(range(0, 60, 7))
     spark.createDataFrame([(d,) for d in docs], "doc_id long").write.parquet(str(tmp_path / "documents.parquet"))
-    score = lambda d, r, c, ch: (d * 31 + r * 17 + c * 13 + ch * 7) % 100
-    gold = {(d, (d % 6, d % 6 + 1), 2) for d in docs} | {(d, (d % 6,), 3) for d in docs}
+    score = lambda d, r, c, ch: ((d * 31 + r * 17 + c * 13 + ch * 7) % 100) / 100
+    gold = {d: sorted([((d % 6, d % 6 + 1), 2), ((d % 6,), 3)]) for d in docs}
+    mentions = lambda found: [(p[0], p[-1] + 1, str(c), i) for i, (p, c) in enumerate(found)]
     expected = {}
-    for n in (30, 40, 50, 60, 70):
+    for n in (0.3, 0.4, 0.5, 0.6, 0.7):
         links = {d: [(i, j) for i in range(8) for j in range(i + 1, 8) if score(d, i, j, 1) > n] for d in docs}
-        for h in (30, 40, 50, 60, 70):
-            found = {(d, p, c) for d in docs for t in range(8) for a in range(t + 1) for c in (2, 3) if score(d, t, a, c) > h for p in paths(links[d], a, t) if p[-1] == t}
-            expected[n, h] = (len(found & gold), len(found), len(gold))
-    out = queries.QUERIES["threshold_sweep_25"](spark, str(tmp_path)).collect()
-    assert {(r.next_threshold, r.head_threshold): (r.correct, r.predicted, r.relevant) for r in out} == expected and len(out) == 25
-    f1 = lambda c, p, r: 2 * c / (p + r)
-    best = queries.QUERIES["best_threshold_25"](spark, str(tmp_path)).first()
-    assert abs(best.f1 - max(f1(*v) for v in expected.values())) < 1e-12 and abs(f1(*expected[best.next_threshold, best.head_threshold]) - best.f1) < 1e-12
+        for h in (0.3, 0.4, 0.5, 0.6, 0.7):
+            total = dict.fromkeys([*metrics.COUNTS, "same_entities", "predicted", "relevant"], 0)
+            for d in docs:
+                found = sorted({(p, c) for t in range(8) for a in range(t + 1) for c in (2, 3) if score(d, t, a, c) > h for p in paths(links[d], a, t) if p[-1] == t})
+                counts = sequential(mentions(gold[d]), mentions(found)) | {"same_entities": len(set(found) & set(gold[d])), "predicted": len(found), "relevant": len(gold[d])}
+                total = {k: total[k] + counts[k] for k in total}
+            expected[n, h] = total
+    out = queries.QUERIES["threshold_sweep"](spark, str(tmp_path)).collect()
+    assert {(r.next_threshold, r.head_threshold): {k: r[k] for k in expected[0.3, 0.3]} for r in out} == expected and len(out) == 25
+    for r in out:
+        hit, p, q = r.correct + 0.5 * r.partial, r.correct + r.incorrect + r.partial + r.spurious, r.correct + r.incorrect + r.partial + r.missed
+        assert abs(r.precision - hit / p) < 1e-12 and abs(r.recall - hit / q) < 1e-12
+    best = queries.QUERIES["best_threshold"](spark, str(tmp_path)).first()
+    assert best == max(out, key=lambda r: (r.f1, r.precision, r.recall, -r.cell))
+    assert queries.QUERIES["flat_sweep"](spark, str(tmp_path)).count() == 30
+
+
+def test_thresholds_are_numbers(spark):
+    from spanloom.functions.text import parse_numbers
+
+    listed = spark.range(1).select(parse_numbers(F.lit("0.5, 0.7")).alias("n")).first().n
+    assert [tuple(r) for r in decode.threshold_grid(spark, listed, [0.1]).collect()] == [(0, 0.5, 0.1), (1, 0.7, 0.1)]
+
+
+def test_long_texts_are_cut_in_slices(spark, monkeypatch):
+    from spanloom.functions import tiling
+
+    rng = random.Random(8)
+    text = "".join(rng.choices(ALPHABET, k=700_000))
+    assert len(text.encode()) > tiling.SLICE / 4
+    rows = [(1, text * 3), (2, "a b"), (3, text[:50])]
+    df = spark.createDataFrame(rows, "id int, text string")
+    found = {r.id: (r.n, r.last) for r in tokens.tokens(df, ["id"]).groupBy("id").agg(F.count("*").alias("n"), F.max("end").alias("last")).collect()}
+    for i, t in rows:
+        whole = plain_tokens(t)
+        assert found[i] == (len(whole), whole[-1][1])
+
+
+def test_lines_with_offsets(spark):
+    from spanloom.functions.tiling import exploded, with_lines
+
+    rows = [(1, "a\n\u00e9\U0001f600\n"), (2, ""), (3, None), (4, "\n\n"), (5, "x"), (6, "")]
+    found = exploded(with_lines(spark.createDataFrame(rows, "id int, text string")), ["id"], "lines").collect()
+    expected = []
+    for i, t in rows:
+        at = 0
+        for n, line in enumerate(t.split("\n") if t is not None else []):
+            expected.append((i, n, at, line))
+            at += len(line) + 1
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_subword_plug_in_and_padding(spark):
+    df = spark.createDataFrame([(1, "abcdef"), (2, ""), (3, None)], "id int, text string")
+    cut = tokens.subword_tokens(df, ["id"], lambda texts: [[(i, min(i + 4, len(t))) for i in range(0, len(t), 4)] for t in texts])
+    assert [tuple(r) for r in cut.orderBy("pos").collect()] == [(1, 0, 0, 4, "abcd"), (1, 1, 4, 6, "ef")]
+    spans = spark.createDataFrame([(1, 0, 6, "B"), (1, 4, 6, "A")], "id int, start int, end int, label string")
+    labels = spark.createDataFrame([(0, "A"), (1, "B")], "label_id int, label string")
+    bio = tokens.bio_labels(cut, spans, labels, ["id"], 3)
+    assert [(r.pos, r.loss_mask, r.labels) for r in tokens.padded_labels(cut, bio, ["id"], 3).orderBy("pos").collect()] == [(0, 1, [3]), (1, 1, [1, 4]), (2, 0, [])]
+    assert {(r.pos, r.label_id) for r in tokens.bio_labels(cut, spans, labels, ["id"], 1).collect()} == {(0, 3)}  # what lies beyond is cut
+
+
+def test_converted_records(spark):
+    df = spark.createDataFrame([(1, "ab cd ef"), (2, "x")], "id int, text string")
+    spans = spark.createDataFrame([(1, 3, 8, "Y"), (1, 0, 2, "X")], "id int, start int, end int, tag string")
+    cut = tokens.tokens_cut_at_spans(df, spans, ["id"])
+    out = {r.id: (r.tokens, [(x["index"], x.type) for x in r.ner]) for r in tokens.converted(cut, tokens.aligned_spans(cut, spans, ["id"], ["tag"]), ["id"]).collect()}
+    assert out == {1: (["ab", "cd", "ef"], [([0], "X"), ([1, 2], "Y")]), 2: (["x"], [])}
+
+
+def test_block_pieces(spark):
+    text = "a😀é" * 300
+    cuts = [(0, 0), (0, 1), (255, 257), (256, 600), (899, 900), (900, 900), (10, 10)]
+    row = spark.createDataFrame([(text,)], "t string").withColumn("b", fn.text_blocks(F.col("t")))
+    assert [row.select(fn.block_piece(F.col("b"), F.lit(a), F.lit(b))).first()[0] for a, b in cuts] == [text[a:b] for a, b in cuts]
 
 
 def test_structure_flags(spark):
     m = spark.createDataFrame([(1, 0, 9, "A"), (1, 0, 9, "B"), (1, 2, 4, "A"), (1, 0, 3, "A"), (1, 20, 22, "A"), (1, 2, 4, "A")], "id int, start int, end int, label string")
+    assert structure.structure(m, ["id"]).count() == m.count()
     flags = {(r.start, r.end): (r.same_span, r.nested, r.flat) for r in structure.structure(m, ["id"]).collect()}
     assert flags == {(0, 9): (True, False, False), (2, 4): (False, True, False), (0, 3): (False, True, False), (20, 22): (False, False, True)}
 
