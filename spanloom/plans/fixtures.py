@@ -122,10 +122,10 @@ def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mapping rows from part types and targets, in the order of the types, with inline rows for awkward names."""
-    own = table(spark, sf_dir, "part").groupBy("p_type").agg(F.min("p_size").alias("m"))
-    rows = own.select(F.col("p_type").alias("source_type"), F.when(F.col("m") % 10 == 9, "0.0").otherwise(F.concat(F.lit("L"), (F.col("m") % 5).cast("string"))).alias("target_label"))
-    fixed = spark.createDataFrame([("Acid, Nucleic-Type", "L1"), ("Body_Part", "L9"), ("Cell Line", "0.0")], "source_type string, target_label string")
+    """Mapping rows from part types and targets, numbered by where a type first stands, after inline rows for awkward names."""
+    own = table(spark, sf_dir, "part").groupBy("p_type").agg(F.min("p_size").alias("m"), F.min("p_partkey").alias("row_no"))
+    rows = own.select("row_no", F.col("p_type").alias("source_type"), F.when(F.col("m") % 10 == 9, "0.0").otherwise(F.concat(F.lit("L"), (F.col("m") % 5).cast("string"))).alias("target_label"))
+    fixed = spark.createDataFrame([(-3, "Acid, Nucleic-Type", "L1"), (-2, "Body_Part", "L9"), (-1, "Cell Line", "0.0")], "row_no long, source_type string, target_label string")
     return rows.unionByName(fixed)
 
 

@@ -193,8 +193,8 @@ audit AS (
   FROM (SELECT d.*, x.doc_id AS out FROM documents d LEFT JOIN toxic x USING (doc_id)) AS d)""".replace("t.doc_id IS NOT NULL", "out IS NOT NULL")
 
 MAPPING = """mapping AS (
-  SELECT p_type AS source_type, CASE WHEN min(p_size) % 10 = 9 THEN '0.0' ELSE 'L' || (min(p_size) % 5) END AS target_label FROM part GROUP BY 1
-  UNION ALL SELECT * FROM (VALUES ('Acid, Nucleic-Type', 'L1'), ('Body_Part', 'L9'), ('Cell Line', '0.0')))"""
+  SELECT min(p_partkey) AS row_no, p_type AS source_type, CASE WHEN min(p_size) % 10 = 9 THEN '0.0' ELSE 'L' || (min(p_size) % 5) END AS target_label FROM part GROUP BY 2
+  UNION ALL SELECT * FROM (VALUES (-3, 'Acid, Nucleic-Type', 'L1'), (-2, 'Body_Part', 'L9'), (-1, 'Cell Line', '0.0')))"""
 
 GRID = """grid AS (SELECT doc_id, r AS row_, c AS col_, ch AS channel, ((doc_id * 31 + r * 17 + c * 13 + ch * 7) % 100) / 100 AS score FROM documents, range(8) a(r), range(8) b(c), range(1, 4) x(ch))"""
 GRID_GOLD = """gg AS (SELECT doc_id, [doc_id % 6, doc_id % 6 + 1] AS index, 2 AS type FROM documents UNION ALL SELECT doc_id, [doc_id % 6], 3 FROM documents)"""
@@ -320,7 +320,7 @@ ORACLES: dict[str, str] = {
         SELECT 'invalid_target' AS kind, label AS name FROM t ANTI JOIN a USING (label) UNION ALL SELECT 'unused_label', label FROM a ANTI JOIN t USING (label)
         UNION ALL SELECT 'unmatched_type', source_type FROM mapping WHERE replace(translate(replace(source_type, ',', ''), '_-', '  '), ' ', '') NOT IN (SELECT replace(name, ' ', '') FROM k)""",
     "mapping_totals": f"WITH {MAPPING} SELECT count(*) AS mapping_rows, count(DISTINCT source_type) AS source_types, count(*) FILTER (target_label = '0.0') AS drop_rows, count(DISTINCT target_label) FILTER (target_label <> '0.0') AS kept_labels FROM mapping",
-    "top_mapping_targets": f"WITH {MAPPING} SELECT target_label, count(*) AS n, min(source_type) AS first FROM mapping GROUP BY 1 ORDER BY n DESC, first LIMIT 20",
+    "top_mapping_targets": f"WITH {MAPPING} SELECT target_label, count(*) AS n, min(row_no) AS first FROM mapping GROUP BY 1 ORDER BY n DESC, first LIMIT 20",
     "record_errors": f"WITH {RECORDS} SELECT id, error FROM errors",
     "validation_totals": f"WITH {RECORDS} SELECT error, count(*) AS n FROM (SELECT * FROM errors UNION ALL SELECT * FROM errors WHERE split = 'test') GROUP BY 1",
     "leak_errors": f"WITH {RECORDS} SELECT * FROM leaks",
@@ -346,3 +346,27 @@ ORACLES: dict[str, str] = {
     "flat_sweep": f"WITH {FLAT}, {PER_CELL} {FLAT_ROWS}",
     "best_flat_threshold": f"WITH {FLAT}, {PER_CELL} {FLAT_ROWS} {BEST}",
 }
+
+RECON = ORACLES["reconstruction_sources"]
+ORACLES |= {
+    "read_strict_jsonl": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS record_no, item_id, sha256(text) AS text_sha256 FROM benchmark",
+    "read_lenient_jsonl": "SELECT item_id, sha256(text) AS text_sha256 FROM benchmark",
+    "read_json_dataset": "SELECT item_id, length(text) AS n FROM benchmark",
+    "read_json_records": "SELECT CAST(2 * row_number() OVER (ORDER BY item_id) AS INTEGER) AS line_num, 'items.jsonl' AS file, item_id FROM benchmark UNION ALL SELECT CAST(row_number() OVER (ORDER BY item_id) AS INTEGER), 'devData.json', item_id FROM benchmark",
+    "read_split_ids": "SELECT CAST(item_id AS VARCHAR) AS doc_id FROM benchmark",
+    "read_labels": "SELECT CAST(row_number() OVER (ORDER BY r_regionkey DESC) - 1 AS INTEGER) AS label_id, r_name AS label FROM region",
+    "read_reconstruction_tsv": f"SELECT doc_id, doi, pmid, pmcid, source_url, license_evidence, CAST(sentence_count AS VARCHAR) AS sentence_count, reconstruction_note FROM ({RECON})",
+    "read_label_metrics_csv": f"SELECT coalesce(label, '') AS label, correct, round(f1, 9) AS f1 FROM ({ORACLES['score_overlap_per_label']})",
+    "read_workbook": f"WITH {MAPPING} SELECT CAST(row_number() OVER (ORDER BY row_no) AS INTEGER) AS row_no, source_type, target_label FROM mapping",
+    "read_standoff": f"""WITH t AS (SELECT item_id, unnest(w) AS surface, generate_subscripts(w, 1) AS i FROM (SELECT item_id, string_split(translate(text, chr(10) || chr(9) || chr(13), '   '), ' ') AS w FROM benchmark)),
+        o AS (SELECT *, CAST(sum(length(surface) + 1) OVER (PARTITION BY item_id ORDER BY i) AS INTEGER) - 1 AS e FROM t)
+        SELECT CAST(item_id AS VARCHAR) AS doc_id, '0' AS prefix, 'T' || i AS ann_id, 'L' || (i % {L}) AS label, CAST(e - length(surface) AS INTEGER) AS start, e AS "end", surface FROM o WHERE surface <> ''""",
+    "discovered_files": "SELECT '0text' || item_id || '.txt' AS name, CAST(item_id AS VARCHAR) AS doc_id, item_id % 2 = 0 AS has_ann, sha256(text) AS sha256 FROM benchmark",
+    "files_in_split_folders": f"SELECT {SPLIT.replace('doc_id', 'item_id')} AS split, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS characters FROM benchmark GROUP BY 1",
+    "read_settings": "SELECT unnest(['epochs', 'layout', 'lr', 'seed']) AS key, unnest(['30', 'official', '0.5', '7']) AS value",
+    "read_split_arrays": f"SELECT split, count(*) AS records, CAST(sum(length(text)) AS BIGINT) AS characters, min(item_id) AS first_id, count(*) AS in_summary FROM (SELECT *, {SPLIT.replace('doc_id', 'item_id')} AS split FROM benchmark) GROUP BY 1",
+    "read_sweep_files": f"WITH {FLAT}, {PER_CELL}, s AS ({FLAT_ROWS}) SELECT kind, cell, correct, round(f1, 9) AS f1 FROM s, (VALUES ('csv'), ('json')) k(kind)",
+    "read_run_files": f"WITH q AS ({ORACLES['positive_weights']}) SELECT 'balance:' || tag AS what, round(weight, 9) AS value FROM q UNION ALL SELECT 'metrics:micro_f1', round(micro_f1, 9) FROM ({ORACLES['score_exact']})",
+    "error_report": f"WITH {RECORDS}, l AS (SELECT id || ': ' || error AS line FROM errors), n AS (SELECT count(*) AS n FROM l) SELECT line FROM (SELECT line FROM l ORDER BY line LIMIT 200) UNION ALL SELECT '... ' || (n - 200) || ' additional errors' FROM n WHERE n > 200 UNION ALL SELECT 'total ' || n FROM n",
+    "stream_record_errors": f"WITH {RECORDS} SELECT id, error FROM errors",
+}

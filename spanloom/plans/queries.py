@@ -368,7 +368,7 @@ def mapping_totals(spark, sf_dir):
 
 @query
 def top_mapping_targets(spark, sf_dir):
-    return integrity.top_targets(fx.mapping(spark, sf_dir), "source_type", 20)
+    return integrity.top_targets(fx.mapping(spark, sf_dir), "row_no", 20)
 
 
 # --- integrity -------------------------------------------------------------------------------------------------------------

@@ -1,6 +1,9 @@
-"""Queries by name, and the equivalent SQL by the same name."""
+"""Queries of the span operators by name, and their SQL."""
 
+from spanloom.plans.files import QUERIES as FILES
 from spanloom.plans.oracles import ORACLES
-from spanloom.plans.queries import QUERIES
+from spanloom.plans.queries import QUERIES as TABLES
+
+QUERIES = {**TABLES, **FILES}
 
 __all__ = ["ORACLES", "QUERIES"]

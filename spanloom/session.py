@@ -1,8 +1,14 @@
-"""Session settings used by tests and benchmarks; a cluster brings its own."""
+"""Session settings used by tests and benchmarks (a cluster brings its own), the shared folder, logging and seeds."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import logging
+import random
+import tempfile
+
+import numpy as np
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "spanloom", config: dict[str, str] | None = None) -> SparkSession:
@@ -23,3 +29,38 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own on a local master that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spanloom-"))
+
+
+def logger(name: str, path: str | None = None, level: int = logging.INFO) -> logging.Logger:
+    """A logger to the console and, if given, to a file; asking again adds no second handler."""
+    out = logging.getLogger(name)
+    out.setLevel(level)
+    if not out.handlers:
+        for handler in [logging.StreamHandler(), *([logging.FileHandler(path, encoding="utf-8")] if path else [])]:
+            handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+            out.addHandler(handler)
+    return out
+
+
+def seed_everything(seed: int) -> None:
+    """Seeds the generators of the driver process. Rows are never drawn by rand(), which depends on partitions: use seeded()."""
+    random.seed(seed)
+    np.random.seed(seed % 2**32)
+
+
+def seeded(key: str, seed: int) -> Column:
+    """A number from 0 to 1 for each key and seed, the same on any partitioning."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)) / float(1 << 52)

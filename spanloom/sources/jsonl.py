@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Splits whose line counts are broadcast to the lines; beyond that they are joined.
+BROADCAST_SPLITS = 100_000
+
+
 def numbered_lines(spark: SparkSession, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
-    """path, line_num (from 1) and line of every physical line. A file is read by one task, so files should stay of a moderate size."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("path"), F.col("value"))
-    bare = F.regexp_replace(F.regexp_replace("value", "\r\n?", "\n"), "\n$", "")
-    lines = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.split(bare, "\n", -1))
-    return whole.select("path", F.posexplode(lines).alias("at", "line")).select("path", (F.col("at") + 1).alias("line_num"), "line")
+    """path, line_num (from 1) and line of every physical line.
+
+    Files are read split by split. Rows of a split come in order, so a line's number is that within its split, by its row id, and the lines of the
+    splits of its file before: a sum over one row a split.
+    """
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
+    rows = spark.read.option("recursiveFileLookup", recursive).text(path).select(*place, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    splits = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    based = splits.select("path", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    small = splits.count() <= BROADCAST_SPLITS
+    joined = rows.join(F.broadcast(based) if small else based, ["path", "block"])
+    return joined.select("path", (F.col("base") + F.col("at") - F.col("first") + 1).cast("int").alias("line_num"), "line")
 
 
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from spanloom.operators.release import COLUMNS
 
@@ -82,32 +85,99 @@ def sheet_rows(data: bytes) -> Iterator[list[str]]:
             yield cells
 
 
-class MappingReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """row_no, source_type, target_label: the first two columns of a workbook's first sheet, without its head and rows with an empty first cell.
 
-    def read(self, partition) -> Iterator[tuple]:
-        with open(self.path, "rb") as book:
-            rows = list(sheet_rows(book.read()))
-        for cells in rows[1:]:
-            if len(cells) >= 2 and cells[0].strip():
-                yield cells[0].strip(), cells[1].strip()
+    The file comes through Spark's own reader, so it may lie in any store. A workbook is one small file and is parsed whole.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                rows = [(i, c[0].strip(), c[1].strip()) for i, c in enumerate(sheet_rows(content.as_py())) if i and len(c) >= 2 and c[0].strip()]
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row_no", "source_type", "target_label"])
 
-class MappingSource(DataSource):
-    """The first two columns of a workbook's first sheet: spark.read.format("mapping_xlsx").load(path)."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row_no int, source_type string, target_label string")
 
-    @classmethod
-    def name(cls) -> str:
-        return "mapping_xlsx"
 
-    def schema(self) -> str:
-        return "source_type string, target_label string"
+def workbook(rows: list[tuple[str, ...]]) -> bytes:
+    """A workbook with the rows on its first sheet, all cells as text."""
+    cells = ["<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>' for c in row) + "</row>" for row in rows]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{"".join(cells)}</sheetData></worksheet>')
+    return out.getvalue()
 
-    def reader(self, schema) -> DataSourceReader:
-        return MappingReader(self.options["path"])
 
+# --- single files ----------------------------------------------------------------------------------------------------------
 
-def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(MappingSource)
-    return spark.read.format("mapping_xlsx").load(path)
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def write_one_file(lines: DataFrame, path: str, order: list[str]) -> None:
+    """The column value of lines as one text file, in order. For exports of a size that one task can write."""
+    spark = lines.sparkSession
+    lines.repartition(1).sortWithinPartitions(*order).select("value").write.text(f"{path}.parts")
+    store, folder = _path(spark, f"{path}.parts")
+    part = next(s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith("part-"))
+    store.rename(part, _path(spark, path)[1])
+    store.delete(folder, True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    store, target = _path(spark, path)
+    out = store.create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes files (path below folder, content string), each by the task that holds it, and returns how many. A task that runs again writes the same again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                store.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{root}/{path}") as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_split_arrays(records: DataFrame, order: str, path: str, splits: tuple[str, ...] = ("train", "eval", "test")) -> None:
+    """One JSON array for each split, <split>.json, in the order of a column of distinct values, and summary.json with the number of records of each."""
+    spark = records.sparkSession
+    rest = [c for c in records.columns if c != "split"]
+    counts = {r["split"]: r["n"] for r in records.groupBy("split").agg(F.count("*").alias("n")).collect()}  # a row for each split
+    for split in splits:
+        own = records.filter(F.col("split") == split)
+        last = own.agg(F.max(order).alias("last"))  # one row
+        line = F.concat(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), F.when(F.col(order) == F.col("last"), "").otherwise(","))
+        body = own.join(F.broadcast(last)).select(F.lit(1).alias("part"), F.col(order).alias("at"), line.alias("value"))
+        ends = spark.createDataFrame([(0, "["), (2, "]")], "part int, value string").select("part", F.lit(None).cast(body.schema["at"].dataType).alias("at"), "value")
+        write_one_file(body.unionByName(ends), f"{path}/{split}.json", ["part", "at"])
+    write_bytes(spark, f"{path}/summary.json", json.dumps({s: counts.get(s, 0) for s in splits}).encode())
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """The settings of a run as one JSON object."""
+    write_bytes(spark, path, json.dumps(settings, ensure_ascii=False, indent=2).encode())
+
+
+def write_label_balance(weights: DataFrame, path: str) -> None:
+    """tag, positives and weight of each label (rows of positive_weights(): an inventory) as one JSON object by tag."""
+    rows = {r["tag"]: {"positives": r["positives"], "weight": r["weight"]} for r in weights.orderBy("label_id").collect()}
+    write_settings(weights.sparkSession, rows, path)
+
+
+def write_metrics(row: DataFrame, path: str) -> None:
+    """A table of one row as one JSON object."""
+    write_settings(row.sparkSession, row.first().asDict(recursive=True), path)

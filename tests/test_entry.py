@@ -19,5 +19,5 @@ def test_every_span_query_has_sql():
 
 
 def test_entry_works_without_the_corpus_operators(tmp_path):
-    code = "import sys; sys.modules['spanloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) > 50 and not any(n.startswith('op') for n in e.queries())"
+    code = "import sys; sys.modules['spanloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert len(e.queries()) > 80 and not any(n.startswith('op') for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True)

@@ -55,7 +55,50 @@ def test_workbook(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "m.xlsx", "w") as book:
         book.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>type</t></si><si><t>Body</t></si><si><r><t>Or</t></r><r><t>gan</t></r></si></sst>")
         book.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c t="s"><v>0</v></c><c><v>x</v></c></row><row><c t="s"><v>1</v></c><c t="s"><v>2</v></c></row><row><c r="B3"><v>0.0</v></c></row></sheetData></worksheet>')
-    assert [tuple(r) for r in tables.read_mapping(spark, str(tmp_path / "m.xlsx")).collect()] == [("Body", "Organ")]
+    assert [tuple(r) for r in tables.read_mapping(spark, str(tmp_path / "m.xlsx")).collect()] == [(1, "Body", "Organ")]
+    tables.write_bytes(spark, str(tmp_path / "n.xlsx"), tables.workbook([("type", "label"), ("A <b>", "x"), ("", "y"), ("A <b>", "z")]))
+    assert [tuple(r) for r in tables.read_mapping(spark, str(tmp_path / "n.xlsx")).collect()] == [(1, "A <b>", "x"), (3, "A <b>", "z")]
+    tied = spark.createDataFrame([(1, "b", "Z"), (2, "a", "A"), (3, "c", "A"), (4, "d", "Z"), (5, "e", "M")], "row_no int, source_type string, target_label string")
+    assert [r.target_label for r in integrity.top_targets(tied, "row_no").collect()] == ["Z", "A", "M"]  # of equal counts the first to appear
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    """Files of several splits, with blank lines, and lines that cross the ends of splits."""
+    (tmp_path / "in").mkdir()
+    texts = {"a.txt": "\n".join("x" * (i % 97) for i in range(3000)), "b.txt": "\n\n1\n", "c.txt": ""}
+    for name, text in texts.items():
+        (tmp_path / "in" / name).write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        for splits in (jsonl.BROADCAST_SPLITS, 0):
+            jsonl.BROADCAST_SPLITS, kept = splits, jsonl.BROADCAST_SPLITS
+            found = sorted((r.path.rsplit("/", 1)[1], r.line_num, r.line) for r in jsonl.numbered_lines(spark, str(tmp_path / "in")).collect())
+            jsonl.BROADCAST_SPLITS = kept
+            assert found == sorted((name, i + 1, line) for name, text in texts.items() for i, line in enumerate(text.split("\n")[: -1 if text.endswith("\n") or not text else None]))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_split_arrays_and_run_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, "é" if i else None, "train" if i % 3 else "test") for i in range(7)], "id int, text string, split string")
+    tables.write_split_arrays(df, "id", str(tmp_path / "arrays"))
+    read = lambda name: json.loads((tmp_path / f"arrays/{name}.json").read_text())
+    assert [r["id"] for r in read("train")] == [1, 2, 4, 5] and read("test")[0] == {"id": 0, "text": None} and read("eval") == []
+    assert read("summary") == {"train": 4, "eval": 0, "test": 3}
+    tables.write_metrics(spark.createDataFrame([(0.5, 2)], "f1 double, n int"), str(tmp_path / "m.json"))
+    assert json.loads((tmp_path / "m.json").read_text()) == {"f1": 0.5, "n": 2}
+
+
+def test_logger_and_seeds(spark, tmp_path):
+    from spanloom import session
+
+    for _ in range(2):
+        log = session.logger("spanloom-test", str(tmp_path / "log.txt"))
+    log.info("once")
+    assert len(log.handlers) == 2 and (tmp_path / "log.txt").read_text().count("once") == 1
+    drawn = lambda n, seed: {r[0]: r[1] for r in spark.range(0, 50, 1, n).select("id", session.seeded("id", seed)).collect()}
+    assert drawn(1, 3) == drawn(5, 3) != drawn(5, 4) and all(0 <= x < 1 for x in drawn(2, 1).values())
 
 
 def test_standoff(spark, tmp_path):
