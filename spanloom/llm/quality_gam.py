@@ -7,7 +7,7 @@ explain most of what is left are boosted in the same way with four-leaf trees ov
 table entry for each feature and pair: vectorised bin look-ups and additions, then the logistic function.
 
 The model is fitted on at most max_rows labelled rows, those with the smallest hashes of their ids (a documented bound of the
-fit only; every text is scored). A row's label is used once: of several labels of an id the largest counts.
+fit only; every text is scored). An id trains once: of several labels the largest counts, of several texts the one with the smallest hash.
 
 Defined cases: a null or empty text has its own score (all word features 0); rows with a null label or id do not train; with no
 labelled rows, or labels of one kind only, every score is the prior (0.5 without labels); an empty table gives an empty result; other columns are not read.
@@ -193,28 +193,30 @@ class AdditiveModel:
         return _logistic(raw)
 
 
-def feature_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id and features array<float> of each whole text."""
+def feature_rows(docs: DataFrame, text_column: str) -> DataFrame:
+    """The other columns of docs and features array<float> of each whole text."""
+    kept = [c for c in docs.columns if c != text_column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, ptr in chunks(batch, text_column):
                 x = features(data, ptr)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([rows.column(id_column), lists], names=[id_column, "features"])
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), lists], names=[*kept, "features"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {dict(docs.dtypes)[id_column]}, features array<float>")
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != text_column) + ", features array<float>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_column: str, id_column: str = "doc_id", text_column: str = "text", max_rows: int = MAX_ROWS) -> AdditiveModel:
-    """Fits on at most max_rows of the labelled rows; only their features (not their texts) come to the driver."""
-    labelled = labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(id_column).agg(F.max(label_column).cast("double").alias("_y"))
-    chosen = labelled.orderBy(F.xxhash64(id_column), id_column).limit(max_rows)
-    own = docs.select(id_column, text_column).join(F.broadcast(chosen.select(id_column)), id_column, "left_semi")
-    rows = feature_rows(own, id_column, text_column).join(F.broadcast(chosen), id_column).select("features", "_y", id_column).toPandas()
-    rows = rows.sort_values(id_column, kind="stable")
+    """Fits on at most max_rows of the labelled ids, one row for each; only their features (not their texts) come to the driver."""
+    labelled = labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("double").alias("y"))
+    chosen = labelled.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    named = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    own = named.join(F.broadcast(chosen.select("id")), "id", "left_semi").withColumn("hash", F.xxhash64("text"))
+    once = feature_rows(own, "text").groupBy("id").agg(F.min(F.struct("hash", "features")).alias("x"))
+    rows = once.join(F.broadcast(chosen), "id").select("x.features", "y", "id").toPandas().sort_values("id", kind="stable")
     x = np.array(rows["features"].tolist(), dtype=np.float32).reshape(len(rows), len(FEATURES))
-    return AdditiveModel(x, rows["_y"].to_numpy(float))
+    return AdditiveModel(x, rows["y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: AdditiveModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

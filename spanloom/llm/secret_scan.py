@@ -1,10 +1,10 @@
 """Secret scan: fixed patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two first-order models over the characters of [A-Za-z0-9+/_=-], one of random strings and one of identifiers, are trained from
-labelled samples. A candidate is a maximal run of those characters of MIN_RUN or more that overlaps no base span; it is reported
-as kind markov when its log-likelihood ratio (random over identifier) is above PER_CHAR for each character and above LEAST in all.
+labelled samples. A candidate is a maximal run of MIN_RUN or more of those characters outside of base spans (what a base span leaves of a longer
+run is a candidate of its own); it is reported as kind markov when its log-likelihood ratio (random over identifier) is above PER_CHAR for each character and above LEAST in all.
 Labelled samples: values found by the base patterns and seeded random strings (label 1); ordinary words of the corpus and
-joined words as code has them (label 0), from at most SAMPLE_ROWS documents, those with the smallest hashes of their ids. That bounds
+joined words as code has them (label 0), from at most SAMPLE_ROWS different documents, those with the smallest hashes of id and text. That bounds
 the fit only: every whole text is scanned.
 
 Defined cases: a null or empty text has no spans; texts of any length are scanned whole; offsets are code points, end exclusive; repeated rows each
@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.shared import row_key
 from spanloom.llm.words import chunks
 
-SAMPLE_ROWS, SAMPLE_STRINGS, MIN_RUN, PER_CHAR, LEAST = 2000, 20_000, 20, 0.4, 12.0
+SAMPLE_ROWS, SAMPLE_STRINGS, MIN_RUN, PER_CHAR, LEAST = 2000, 20_000, 16, 0.8, 12.0
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -144,8 +145,9 @@ def labelled_samples(secrets: list[str], words: list[str]) -> tuple[list[str], l
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rows: int = SAMPLE_ROWS, strings: int = SAMPLE_STRINGS) -> MarkovRatio:
     """Fits on the strings of at most rows whole texts; of each label at most strings distinct ones come to the driver."""
-    chosen = docs.select(F.col(id_column).alias("id")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(F.broadcast(chosen.distinct()), "id", "left_semi")
+    keyed = docs.select(row_key(F.col(id_column), F.col(text_column)).alias("key"), F.col(text_column).alias("text"))
+    chosen = keyed.select("key").distinct().orderBy("key").limit(rows)
+    texts = keyed.join(F.broadcast(chosen), "key", "left_semi").dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,14 +164,10 @@ def scan_chunk(data: np.ndarray, text_ptr: np.ndarray, model: MarkovRatio | None
     """(text, start, end, kind) of all spans in order of text, start and kind; offsets are code points."""
     spans = base_spans(data, text_ptr)
     if model is not None:
-        hidden = np.zeros(len(data) + 1, dtype=np.int64)
+        free = _RUN[data]
         for a, b, _ in spans:
-            hidden[a] += 1
-            hidden[b] -= 1
-        covered = np.concatenate([[0], np.cumsum(np.cumsum(hidden[:-1]) > 0)])
-        start, end = runs(_RUN[data], text_ptr, MIN_RUN)
-        free = covered[end] == covered[start]
-        start, end = start[free], end[free]
+            free[a:b] = False
+        start, end = runs(free, text_ptr, MIN_RUN)
         ratio = model.of(data, start, end)
         hit = (ratio > PER_CHAR * (end - start)) & (ratio > LEAST)
         spans += [(a, b, 3) for a, b in zip(start[hit].tolist(), end[hit].tolist(), strict=True)]

@@ -44,6 +44,14 @@ def test_quality_without_labels(spark, documents):
     assert quality_gam.score(documents([]), quality_gam.fit(documents([]), none, "quality")).count() == 0
 
 
+def naive_score(model, row):
+    """The score as a plain sum over tables, entry by entry."""
+    place = lambda cuts, x: sum(x >= c for c in cuts)
+    raw = model.intercept + sum(float(model.tables[j][place(model.cuts[j], row[j])]) for j in range(len(row)))
+    raw += sum(float(t[place(model.coarse[a], row[a]), place(model.coarse[b], row[b])]) for a, b, t in model.pairs)
+    return 1 / (1 + np.exp(-raw))
+
+
 def test_score_is_a_sum_of_table_entries():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, len(quality_gam.FEATURES))).astype(np.float32)
@@ -51,6 +59,48 @@ def test_score_is_a_sum_of_table_entries():
     model = quality_gam.AdditiveModel(x, y)
     assert (0, 1) in {(a, b) for a, b, _ in model.pairs}
     assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.85
+    assert np.allclose(model.score(x[:100]), [naive_score(model, row) for row in x[:100]])
+
+
+def test_the_fit_is_bounded_by_rows_whatever_repeats(spark, documents, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality_gam, "AdditiveModel", lambda x, y: seen.append(len(x)))
+    docs = documents([(1, f"text {i}") for i in range(300)] + [(2, "b"), (3, "c")])
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 1)], "doc_id long, quality int")
+    quality_gam.fit(docs, labels, "quality")
+    quality_gam.fit(docs, labels, "quality", max_rows=2)
+    assert seen == [3, 2]
+    many = documents([(1, f"token=abcdefghijkl{i:04}") for i in range(300)])
+    monkeypatch.setattr(secret_scan, "MarkovRatio", lambda strings, labels: seen.append(sum("abcdefghijkl" in s for s in strings)))
+    secret_scan.fit(many, rows=5)
+    assert seen[-1] == 5
+
+
+def held_out_accuracy(spark, sf_dir):
+    scored = quality_gam.op4_quality_gam(spark, sf_dir).filter("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    return scored.agg(F.avg((F.col("predicted") == F.col("quality")).cast("double"))).first()[0]
+
+
+def test_held_out_accuracy_on_the_test_data(spark):
+    assert held_out_accuracy(spark, "/root/testdata/sf0.01") > 0.9
+
+
+def held_out_strings(n=2000):
+    """Random strings and identifiers of seeds and words that the models never saw."""
+    words = "velvet harbour quantum ledger octopus marble thunder pixel galaxy cement lantern orbit pepper violin canyon meadow spiral anchor timber falcon".split()
+    plain = [s for s in secret_scan.joined_words(words, 4 * n, seed=91) if len(s) >= secret_scan.MIN_RUN][:n]
+    return secret_scan.random_strings(n, seed=92), plain
+
+
+def test_markov_precision_and_recall_on_held_out_strings(spark):
+    model = secret_scan.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = []
+    for strings in held_out_strings():
+        data = np.frombuffer(" ".join(strings).encode(), np.uint8)
+        found.append(int((secret_scan.scan_chunk(data, np.array([0, len(data)]), model)[3] >= 2).sum()))
+    (right, wrong), (secrets, plain) = found, held_out_strings()
+    assert right / len(secrets) > 0.85 and wrong / len(plain) < 0.02
+    print("recall", right / len(secrets), "precision", right / (right + wrong))
 
 
 @pytest.mark.parametrize("shares", [[500, 300, 200], [1, 1, 998], [7, 11, 13, 17], [1], [333, 333, 334]])
@@ -111,6 +161,8 @@ def test_secrets(spark, documents):
     strange, plain = "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "get_user_account_settings_by_name"
     more = secret_scan.scan(documents([(1, f"see {strange} and {plain} {'-' * 40} {'=' * 30}")]), model).first()
     assert [(s.kind, s.start, s.end) for s in more.spans] == [("markov", 4, 4 + len(strange))]
+    mixed = secret_scan.scan(documents([(1, f"0123456789abcdef{strange}")]), model).first()  # beside a hex stretch of the same run
+    assert [(s.kind, s.start, s.end) for s in mixed.spans] == [("hex", 0, 16), ("markov", 16, 16 + len(strange))]
     assert secret_scan.scan(documents([]), model).count() == 0
     assert secret_scan.fit(documents([])) is not None
 
