@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +46,9 @@ def split_totals(mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 #: Ranks of the hash that orders the documents of a candidate.
 RANKS, RANGE = 1_000_003, 1024
-#: Documents with the same counts and labels are one row of the search.
+#: Labels in one whole number.
+WORD = 63
+#: Counts of a document that a split should share out.
 TALLIES = ("sentences", "nested", "same_span")
 
 
@@ -58,13 +61,19 @@ def split_search(documents: DataFrame, targets: Mapping[str, float], candidates:
     The rule is our own; a published score cannot be reproduced from it.
 
     Documents are read once for all candidates: each sends its tallies to one range of ranks of each candidate, where they are summed before they
-    are shuffled, so what moves is a row for each candidate and range. Only ranges in which a split ends are looked at document by document.
+    are shuffled, so what moves is a row for each candidate and range. Only ranges in which a split ends are looked at document by document. Labels are an
+    inventory (a list that the driver reads); those of rows are bits of whole numbers.
     """
+    inventory = sorted(r[0] for r in documents.select(F.explode("labels")).distinct().collect())
+    words = [inventory[i : i + WORD] for i in range(0, len(inventory), WORD)]
+    bits = {f"labels_{w}": reduce(Column.bitwiseOR, [F.when(F.array_contains("labels", x), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, x in enumerate(word)]) for w, word in enumerate(words)}
+    masked = documents.select("doc_id", *TALLIES, *[c.alias(n) for n, c in bits.items()])
+    sets = [F.bit_or(n).alias(n) for n in bits]
     # Integer arithmetic, so that any engine can follow it: a different permutation of ids for each candidate.
     order = (F.col("doc_id") * (2 * F.col("candidate") + 1) * 7919 + F.col("candidate") * 104729) % RANKS
     every = F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))
-    ranked = documents.select("doc_id", *TALLIES, "labels", every.alias("candidate")).withColumn("rank", order.cast("int")).withColumn("range", F.expr(f"rank div {RANGE}").cast("int"))
-    sums = ranked.groupBy("candidate", "range").agg(*[F.sum(c).alias(c) for c in TALLIES], F.array_distinct(F.flatten(F.collect_set("labels"))).alias("labels"))
+    ranked = masked.select("*", every.alias("candidate")).withColumn("rank", order.cast("int")).withColumn("range", F.expr(f"rank div {RANGE}").cast("int"))
+    sums = ranked.groupBy("candidate", "range").agg(*[F.sum(c).alias(c) for c in TALLIES], *sets)
     earlier = Window.partitionBy("candidate").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("candidate")
     based = sums.withColumns({"base": F.coalesce(F.sum("sentences").over(earlier), F.lit(0)), **{f"all_{c}": F.sum(c).over(whole) for c in TALLIES}})
@@ -81,16 +90,17 @@ def split_search(documents: DataFrame, targets: Mapping[str, float], candidates:
 
     # The first document of a range starts at base; no document of it starts at or after the base of the next.
     spread = based.withColumns({"first": split(F.col("base")), "last": split(F.col("base") + F.col("sentences") - 1)})
-    plain = spread.filter("first = last").select("candidate", F.col("first").alias("split"), *TALLIES, "labels")
+    plain = spread.filter("first = last").select("candidate", F.col("first").alias("split"), *TALLIES, *bits)
     torn = spread.filter("first <> last").select("candidate", "range", "base", "all_sentences")
     within = Window.partitionBy("candidate", "range").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     inner = ranked.join(F.broadcast(torn), ["candidate", "range"])  # at most a range for each candidate and end of a split
-    placed = inner.withColumn("split", split(F.col("base") + F.coalesce(F.sum("sentences").over(within), F.lit(0)))).select("candidate", "split", *TALLIES, "labels")
-    per = plain.unionByName(placed).groupBy("candidate", "split").agg(*[F.sum(c).alias(c) for c in TALLIES], F.array_distinct(F.flatten(F.collect_set("labels"))).alias("labels"))
+    placed = inner.withColumn("split", split(F.col("base") + F.coalesce(F.sum("sentences").over(within), F.lit(0)))).select("candidate", "split", *TALLIES, *bits)
+    per = plain.unionByName(placed).groupBy("candidate", "split").agg(*[F.sum(c).alias(c) for c in TALLIES], *sets)
     goal = F.element_at(F.create_map(*[F.lit(x) for pair in targets.items() for x in pair]), F.col("split"))
     off = sum(F.abs(F.col(c) / F.greatest(F.sum(c).over(whole), F.lit(1)) - goal) for c in TALLIES)
-    scores = per.withColumn("off", off).groupBy("candidate").agg(F.sum("off").alias("off"), F.sum(F.size("labels")).alias("have"), F.size(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("wanted"))
-    scored = scores.select("candidate", (F.col("off") + F.col("wanted") * len(targets) - F.col("have")).alias("score"))
+    have = sum((F.bit_count(n) for n in bits), F.lit(0))
+    scores = per.withColumn("off", off).groupBy("candidate").agg(F.sum("off").alias("off"), F.sum(have).alias("have"))
+    scored = scores.select("candidate", (F.col("off") + len(inventory) * len(targets) - F.col("have")).alias("score"))
     best = scored.orderBy(F.round("score", 9), "candidate").limit(1)
     winner = F.broadcast(best)
     own = documents.select("doc_id", "sentences").join(winner).withColumn("rank", order.cast("int")).withColumn("range", F.expr(f"rank div {RANGE}").cast("int"))
