@@ -291,6 +291,7 @@ def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     named = nodes.select("node", "digest", "key", "first_id", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("best"))
     classed = written(named.join(classes, "component").select("digest", "size", "class_id", "class_size", F.when(F.col("best.node") == F.col("node"), F.col("key")).alias("lead_key")), "classes")
+    dropped(nodes, buckets, inside, sets)
     out = join_unique(rows.select("key", "id", "digest"), classed, ["digest"], "size", rows.count())
     return out.select(
         F.col("id").alias(id_column), "class_id", "class_size", F.col("key").eqNullSafe(F.col("lead_key")).alias("kept"), F.col("size").alias("copies"), F.col("key").alias("dedup_key")
