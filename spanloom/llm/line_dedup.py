@@ -180,15 +180,17 @@ def templates(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """dedup_key and the array of line numbers (from 0) that go."""
+    """A written table of dedup_key and the array of line numbers (from 0) that go."""
     lines = written(line_rows(docs), "lines")
     found = written(templates(lines, docs), "templates")
     recurring = found.groupBy("template").agg(F.min("first").alias("place"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("members")).filter("low <> high").select("template", "place", "members")
-    places = join_unique(found, written(recurring, "recurring"), ["template"], "members", found.count()).select("leaf", "exact", "size", "place")
-    total = lines.count()
-    hit = join_unique(lines.select("leaf", "exact", "dedup_key", "id", "line"), written(places, "places"), ["leaf", "exact"], "size", total)
+    shared = written(recurring, "recurring")
+    places = written(join_unique(found, shared, ["template"], "members", found.count()).select("leaf", "exact", "size", "place"), "places")
+    hit = join_unique(lines.select("leaf", "exact", "dedup_key", "id", "line"), places, ["leaf", "exact"], "size", lines.count())
     gone = hit.filter(~((F.col("place.dedup_key") == F.col("dedup_key")) & (F.col("place.line") == F.col("line"))))
-    return gone.groupBy("dedup_key").agg(F.collect_set("line").alias("dedup_lines"))
+    out = written(gone.groupBy("dedup_key").agg(F.collect_set("line").alias("dedup_lines")), "gone")
+    dropped(lines, found, shared, places)
+    return out
 
 
 def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -196,7 +198,7 @@ def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, row_key(F.col(id_column), F.col(text_column)).alias("dedup_key"))
     id_, text = F.col(f"row.`{id_column}`"), F.col(f"row.`{text_column}`")
-    gone = written(dropped_lines(keyed.select("dedup_key", id_.alias("id"), text.alias("text"))), "gone")
+    gone = dropped_lines(keyed.select("dedup_key", id_.alias("id"), text.alias("text")))
     joined = keyed.join(gone.hint("shuffle_hash"), "dedup_key", "left").withColumn("all", F.when(F.col("dedup_lines").isNotNull(), F.split(text, "\n", -1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), "dedup_lines")  # by a hash set, in one pass
     kept = F.array_join(F.transform(stay, lambda i: F.get("all", i)), "\n")
