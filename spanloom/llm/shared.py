@@ -28,16 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
 NARROW = 8
 
 
-def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, narrow: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """df as a Parquet table in the shared folder, read back: no lineage, and no loss with an executor.
 
     narrow: rows are a few numbers each and cheap to make, so that a task may take NARROW partitions and fewer files come out.
+    by: columns of a few values, each with a folder of its own, so that a filter on them reads no other.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if narrow:
         df = df.coalesce(max(12, int(spark.conf.get("spark.sql.shuffle.partitions")) // NARROW))
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
