@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.shared import dropped, row_key, written
 from spanloom.llm.skew import join_unique
-from spanloom.llm.words import U, chunks, mix, range_hashes, split_words
+from spanloom.llm.words import U, chunks, list_hashes, mix, split_words
 
 DEPTH, FIELDS, SIMILAR, MIN_TOKENS = 3, 8, 0.75, 3  # FIELDS: for the brute force of the tests alone
 #: Words of 64 bits in the bitmap of leaves; distinct lines from which on a leaf is searched by parts.
@@ -57,9 +57,9 @@ def parse_lines(data: np.ndarray, text_ptr: np.ndarray) -> dict[str, np.ndarray]
     text = owner[new]
     stars = np.concatenate([[0], np.cumsum(masked == _STAR)])
     only = stars[end] - stars[new] == n
-    exact = np.where(only, range_hashes(plain, new, end, 3), range_hashes(masked, new, end))
+    exact = np.where(only, list_hashes(plain, new, end, 3), list_hashes(masked, new, end))
     head = new + np.minimum(n, DEPTH)
-    leaf = mix(range_hashes(masked, new, head) + n.astype(U) * U(0x9E3779B97F4A7C15))
+    leaf = mix(list_hashes(masked, new, head) + n.astype(U) * U(0x9E3779B97F4A7C15))
     leaf = np.where(only, exact, leaf)
     return {"text": text, "line": line[new] - np.searchsorted(breaks, text_ptr[text]), "tokens": n, "leaf": leaf, "exact": exact, "begin": new, "masked": masked}
 
@@ -117,7 +117,7 @@ def founders(tokens: np.ndarray) -> np.ndarray:
     parts = []
     if m >= LARGE and n - DEPTH > n - need:  # else every line agrees with the first in its leading tokens alone
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            h = range_hashes(tokens[:, a:b].reshape(-1), np.arange(m) * (b - a), np.arange(1, m + 1) * (b - a))
+            h = list_hashes(tokens[:, a:b].reshape(-1), np.arange(m) * (b - a), np.arange(1, m + 1) * (b - a))
             order = np.argsort(h, kind="stable")
             parts.append((h, h[order], order))
     of, most, rows = np.zeros(m, np.int64), np.zeros(m, np.int64), np.arange(m)

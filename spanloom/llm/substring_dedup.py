@@ -142,7 +142,7 @@ def window_rows(rows: DataFrame, bits: int = 64) -> DataFrame:
 
 def passages(pieces: DataFrame, bits: int = 64) -> DataFrame:
     """anchor, passage (number) and words of the distinct passages that recur, as far as hashes can tell."""
-    each = written(pieces.groupBy("anchor", "segment").agg(F.min(F.struct("words", "lead")).alias("one"), F.count("*").alias("times")).select("anchor", "segment", "one.*", "times"), "segments")
+    each = written(pieces.groupBy("anchor", "segment", "words").agg(F.min("lead").alias("lead"), F.count("*").alias("times")), "segments")  # by their words: no two different ones are taken for one
     shared = each.groupBy("anchor").agg(F.count("*").alias("members"))
     total = each.count()
     known = join_unique(each, written(shared.filter("members > 1"), "shared"), ["anchor"], "members", total)

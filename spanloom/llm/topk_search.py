@@ -192,7 +192,8 @@ def topk_search(vectors: DataFrame, is_query: Callable, k: int = 20, id_column:
     share = min(1.0, SAMPLE / max(total, 1))
     drawn = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * SAMPLE).select("dim", "v").toPandas()
     for dim, n in counts.items():
-        cells[dim] = split_cells(_matrix(drawn["v"][drawn["dim"] == dim]), max(1, n // shard_rows))
+        seen = drawn["v"][drawn["dim"] == dim]
+        cells[dim] = split_cells(_matrix(seen), max(1, n // shard_rows)) if len(seen) else 0  # a length that the sample misses is one cell
     session_cells = cells
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

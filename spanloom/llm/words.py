@@ -18,9 +18,6 @@ CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,39 +27,81 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+_LENGTH, _FIRST, _SECOND = U(0xA24BAED4963EE407), U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), base, dtype=U)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        _powers[base] = have
-    return have[:n]
+def _at_place(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A number for each value at each place, as good as drawn for the pair."""
+    return mix(values * _FIRST ^ mix(place.astype(U) + _SECOND))
+
+
+#: The numbers of all bytes at the first places of a range; later places are worked out.
+PLACES = 16
+_BYTES = np.stack([_at_place(np.arange(1, 257, dtype=U), np.full(256, i)) for i in range(PLACES)])
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of every member of every range, and its place in the range."""
+    ends = np.cumsum(sizes)
+    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    return np.repeat(starts, sizes) + place, place
+
+
+def list_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of values[s:e] for each range: the sum of numbers drawn for each value and place. Costs what all ranges hold together: for ranges that do not overlap.
+
+    Unlike powers of a base modulo 2**64, for which pairs of long sequences are known to collide, no structure of the sequences carries over.
+    """
+    size = ends - starts
+    at, place = _spread(starts, size)
+    total = np.concatenate([[U(0)], np.cumsum(_at_place(values[at] + U(seed), place))])
+    stop = np.cumsum(size)
+    return mix(total[stop] - total[stop - size] + size.astype(U) * _LENGTH)
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Hash of values[s:e] for each range: equal sequences hash alike wherever they stand."""
-    n = len(values)
-    total = np.zeros(n + 1, dtype=U)
-    np.cumsum((values + U(seed)) * _power(_MULT, n), out=total[1:])
-    lengths = (ends - starts).astype(U)
-    return mix((total[ends] - total[starts]) * _power(_INV, n + 1)[starts] + lengths * U(0xA24BAED4963EE407))
+    """Hash of values[s:e] for each range, which may overlap: that of its first and last runs of the largest power of two that fits, which cover it.
+
+    Runs of each power of two are hashed from two of the one below, so that the cost is that of all values for each power.
+    """
+    size = ends - starts
+    out = np.full(len(starts), mix(np.array([seed], dtype=U))[0], dtype=U)
+    run, length, longest = mix(values + U(seed)), 1, int(size.max(initial=0))
+    while length <= longest:
+        own = np.flatnonzero((size >= length) & (size < 2 * length))
+        out[own] = mix(run[starts[own]] * _FIRST + mix(run[ends[own] - length] + size[own].astype(U) * _LENGTH))
+        if 2 * length <= longest:
+            run = mix(run[:-length] * _FIRST + mix(run[length:] + _SECOND))
+        length *= 2
+    return out
 
 
-def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of data[s:e] for each range of bytes, in ascending order and apart. Memory is bounded by CHUNK_BYTES or the longest range, whatever the text."""
-    if len(data) <= CHUNK_BYTES:
-        return range_hashes(_BYTE[data], starts, ends, seed)
-    out, i = np.zeros(len(starts), dtype=U), 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, side="right")))
-        a, b = int(starts[i]), int(ends[j - 1])
-        out[i:j] = range_hashes(_BYTE[data[a:b]], starts[i:j] - a, ends[i:j] - a, seed)
-        i = j
-    return out
+    if len(data) > CHUNK_BYTES and len(starts) > 1:
+        out, i = np.zeros(len(starts), dtype=U), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + CHUNK_BYTES, side="right")))
+            a, b = int(starts[i]), int(ends[j - 1])
+            out[i:j] = byte_hashes(data[a:b], starts[i:j] - a, ends[i:j] - a)
+            i = j
+        return out
+    size, out = ends - starts, np.zeros(len(starts), dtype=U)
+    own, first = np.arange(len(starts)), starts
+    for place in range(PLACES):  # of all ranges at once, as far as they go
+        more = size[own] > place
+        own, first = own[more], first[more]
+        if not len(own):
+            break
+        out[own] += _BYTES[place][data[first + place]]
+    long = np.flatnonzero(size > PLACES)
+    if len(long):
+        rest = size[long] - PLACES
+        at, place = _spread(starts[long] + PLACES, rest)
+        total = np.concatenate([[U(0)], np.cumsum(_at_place(data[at].astype(U) + U(1), place + PLACES))])
+        stop = np.cumsum(rest)
+        out[long] += total[stop] - total[stop - rest]
+    return mix(out + size.astype(U) * _LENGTH)
 
 
 @dataclass
@@ -75,8 +114,8 @@ class Words:
     end: np.ndarray
     ptr: np.ndarray
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        return byte_hashes(self.data, self.start, self.end, seed)
+    def hashes(self) -> np.ndarray:
+        return byte_hashes(self.data, self.start, self.end)
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.ptr) - 1), np.diff(self.ptr))

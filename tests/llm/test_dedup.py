@@ -7,7 +7,7 @@ from collections import Counter
 
 import numpy as np
 
-from spanloom.llm import line_dedup, near_dedup, substring_dedup
+from spanloom.llm import line_dedup, near_dedup, substring_dedup, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -154,6 +154,42 @@ def test_anchors_with_many_passages_and_pieces(spark, documents, monkeypatch):
         assert substrings(documents(rows)) == sorted(brute_windows(rows))
 
 
+def thue_morse(zero, one, levels=12):
+    """Two sequences of 2**levels members that every polynomial hash modulo 2**64 takes for one."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << levels)]
+    return [(zero, one)[b] for b in bits], [(one, zero)[b] for b in bits]
+
+
+def test_long_words_that_trick_polynomial_hashes_are_told_apart(spark, documents):
+    rng = random.Random(15)
+    a, b = ("".join(x) for x in thue_morse("a", "b"))
+    left, right = prose(rng, 40), prose(rng, 40)
+    rows = [(i, " ".join([*left, word, *right, f"end{i}"])) for i, word in enumerate([a, a, b, b])]
+    assert substrings(documents(rows)) == sorted(brute_windows(rows)) and [n for *_, n, _ in sorted(brute_windows(rows))] == [81] * 4
+
+
+def test_long_lines_that_trick_polynomial_hashes_are_told_apart(spark, documents):
+    a, b = thue_morse("alpha", "beta")
+    rows = [(1, " ".join(["x", "y", "z", *a])), (2, " ".join(["x", "y", "z", *b])), (3, " ".join(["x", "y", "z", *b]))]
+    found = {r.row.doc_id: r.text for r in line_dedup.line_dedup(documents(rows)).collect()}
+    assert found == {1: rows[0][1], 2: rows[1][1], 3: ""}
+
+
+def test_hashes_of_ranges_tell_contents_and_lengths():
+    rng = np.random.default_rng(3)
+    values = rng.integers(0, 3, 400).astype(np.uint64)
+    start = rng.integers(0, 400, 3000)
+    end = np.minimum(start + rng.integers(0, 70, 3000), 400)
+    for hashes in (words.range_hashes, words.list_hashes):
+        by_hash, by_content = {}, {}
+        for h, a, b in zip(hashes(values, start, end, 7).tolist(), start.tolist(), end.tolist()):
+            content = tuple(values[a:b].tolist())
+            assert by_hash.setdefault(h, content) == content and by_content.setdefault(content, h) == h
+    a, b = (np.array([0 if x == "a" else 1 for x in t], np.uint64) for t in thue_morse("a", "b"))
+    for hashes in (words.range_hashes, words.list_hashes):
+        assert hashes(a, np.array([0]), np.array([len(a)])) != hashes(b, np.array([0]), np.array([len(b)]))
+
+
 def test_substring_dedup_of_texts_beyond_a_slice(spark, documents):
     rng = random.Random(14)
     shared = prose(rng, 60)

@@ -40,6 +40,13 @@ def test_topk_random_ties_and_odd_rows(spark, monkeypatch):
     assert searched(spark, rows) == brute(rows, lambda i: i % 20 == 0, 5)
 
 
+def test_topk_of_lengths_that_the_sample_misses(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SAMPLE", 64)
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(2000)] + [(3000, [1.0, 2.0]), (3001, [0.5, -1.0])]
+    assert searched(spark, rows) == brute(rows, lambda i: i % 20 == 0, 5)
+
+
 def test_topk_moves_trees_in_proportion(spark, monkeypatch):
     """Vectors moved with trees grow with the vectors and with the visits of queries, not with their product."""
     for name, value in (("SHARD_ROWS", 100), ("QUERY_BLOCK", 100)):
