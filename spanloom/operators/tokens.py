@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import begin_id, block_piece, inside_id, text_blocks, token_role
-from spanloom.functions.tiling import exploded, with_tokens
+from spanloom.functions.text import begin_id, inside_id
+from spanloom.functions.tiling import exploded, with_label_bits, with_labels, with_pieces, with_tokens
 
 
 def tokens(records: DataFrame, keys: Sequence[str], text: str = "text", words: bool = True) -> DataFrame:
@@ -18,90 +17,68 @@ def tokens(records: DataFrame, keys: Sequence[str], text: str = "text", words: b
     return exploded(cut, list(keys), "tokens").drop("next_end")
 
 
-def tokens_cut_at_spans(records: DataFrame, spans: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
-    """As tokens(), with cuts at the edges of spans (keys, start, end) too. Chunks of white space alone are left out."""
-    edges = spans.groupBy(*keys).agg(F.collect_set("start").alias("s"), F.collect_set("end").alias("e")).select(*keys, F.array_union("s", "e").alias("edges"))
-    cut = with_tokens(records.select(*keys, text).join(edges, list(keys), "left"), text, "edges")
-    return exploded(cut, list(keys), "tokens").drop("next_end")
+def cut_at_spans(records: DataFrame, spans: str = "spans", text: str = "text", words: bool = True) -> DataFrame:
+    """records with tokens as with_tokens() makes them, cut at the edges of the spans of their row too. Chunks of white space alone are left out.
 
+    The spans (array<struct<start, end, ...>>) come out with the tokens inside them (first, last, n_tokens) and aligned, whether those tokens' edges are the span's.
+    """
+    return with_tokens(records, text, words=words, spans=spans)
 
-#: Code points of a bucket in the join of tokens to the spans around them.
-BUCKET = 64
 
+def _misfit(span: Column) -> Column:
+    problem = F.when(span["n_tokens"] == 0, "no tokens aligned to span ").otherwise("span alignment failed for ")
+    return F.concat(problem, span["start"].cast("string"), F.lit("-"), span["end"].cast("string"))
 
-def inside_spans(tokens_: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The columns of spans and of tokens_ (pos, ts, te) for each token inside a span: both meet in buckets of offsets, so a long record is no product of its tokens and spans."""
-    t = tokens_.withColumn("bucket", F.floor(F.col("ts") / BUCKET))
-    widened = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / BUCKET), F.greatest(F.floor(F.col("start") / BUCKET), F.floor((F.col("end") - 1) / BUCKET)))))
-    return widened.join(t, [*keys, "bucket"]).where((F.col("ts") >= F.col("start")) & (F.col("te") <= F.col("end"))).drop("bucket")
 
+def require_aligned(records: DataFrame, spans: str = "spans") -> DataFrame:
+    """The same records; the job fails at a span without tokens or with other edges."""
+    checked = F.transform(spans, lambda s: s.withField("aligned", F.when(s["aligned"], True).otherwise(F.raise_error(_misfit(s)).cast("boolean"))))
+    return records.withColumn(spans, checked)
 
-def aligned_spans(tokens_: DataFrame, spans: DataFrame, keys: Sequence[str], span_keys: Sequence[str]) -> DataFrame:
-    """keys, span_keys, start, end, first, last, n_tokens, aligned: the tokens inside each span and whether their edges are the span's."""
-    t = tokens_.select(*keys, "pos", F.col("start").alias("ts"), F.col("end").alias("te"))
-    found = inside_spans(t, spans, keys).groupBy(*keys, *span_keys, "start", "end").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("n_tokens"), F.min("ts").alias("low"), F.max("te").alias("high"))
-    out = spans.join(found, [*keys, *span_keys, "start", "end"], "left")
-    return out.select(*keys, *span_keys, "start", "end", "first", "last", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), F.coalesce((F.col("low") == F.col("start")) & (F.col("high") == F.col("end")), F.lit(False)).alias("aligned"))
 
+def converted(records: DataFrame, keys: Sequence[str], spans: str = "spans", label: str = "tag") -> DataFrame:
+    """keys, tokens array<string> and ner array<struct<index array<int>, type>>, in order of offsets, then type: the training record of each row of cut_at_spans().
 
-def require_aligned(aligned: DataFrame) -> DataFrame:
-    """The same rows; the job fails at a span without tokens or with other edges."""
-    problem = F.when(F.col("n_tokens") == 0, "no tokens aligned to span ").otherwise("span alignment failed for ")
-    where = F.concat(problem, F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
-    return aligned.withColumn("aligned", F.when(F.col("aligned"), True).otherwise(F.raise_error(where).cast("boolean")))
+    Spans that are not aligned fail the job; records without tokens are left out.
+    """
+    item = lambda s: F.struct(s["start"], s["end"], s[label].alias("type"), F.sequence(s["first"], s["last"]).alias("index"))
+    mentions = F.array_sort(F.transform(spans, lambda s: F.when(s["aligned"], item(s)).otherwise(F.raise_error(_misfit(s)).cast("struct<start:int,end:int,type:string,index:array<int>>"))))
+    ner = F.transform(F.coalesce(mentions, F.array()), lambda x: F.struct(x["index"].alias("index"), x["type"].alias("type")))
+    return records.filter(F.size("tokens") > 0).select(*keys, F.transform("tokens", lambda t: t["token"]).alias("tokens"), ner.alias("ner"))
 
 
-def converted(cut: DataFrame, aligned: DataFrame, keys: Sequence[str], label: str = "tag") -> DataFrame:
-    """keys, tokens array<string> and ner array<struct<index array<int>, type>>, in order of offsets, then type: the training record of each text. Spans that are not aligned fail the job."""
-    held = cut.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
-    item = F.struct("start", "end", F.col(label).alias("type"), F.sequence("first", "last").alias("index"))
-    found = require_aligned(aligned).filter("aligned").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["index"].alias("index"), x["type"].alias("type"))).alias("ner"))
-    out = held.join(found, list(keys), "left")
-    return out.withColumn("ner", F.coalesce("ner", F.array().cast(found.schema["ner"].dataType)))
+def conversion_stats(records: DataFrame, spans: str = "spans") -> DataFrame:
+    """One row: sentences, entities, records with a repeated span, repeated spans, and rows beyond the first of each. Each record is looked at by itself."""
+    place = F.array_sort(F.transform(F.coalesce(F.col(spans), F.array()), lambda s: F.struct(s["start"], s["end"])))
+    per = records.select(place.alias("places")).select(
+        F.size("places").alias("n"), (F.size("places") - F.size(F.array_distinct("places"))).alias("x"),
+        F.size(F.filter("places", lambda p, i: (i > 0) & (p == F.get("places", i - 1)) & ((i < 2) | (p != F.get("places", i - 2))))).alias("g"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per.agg(
+        F.count("*").alias("sentences"), total("n").alias("entities"), F.count_if(F.col("g") > 0).alias("sentences_with_same_span_multilabel"), total("g").alias("same_span_groups"), total("x").alias("same_span_extra_labels")
+    )
 
 
-def conversion_stats(records: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row: sentences, entities, records with a repeated span, repeated spans, and rows beyond the first of each."""
-    groups = spans.groupBy(*keys, "start", "end").agg(F.count("*").alias("n"))
-    per = groups.groupBy(*keys).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("g"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("x"))
-    found = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entities"), F.count_if(F.col("g") > 0).alias("sentences_with_same_span_multilabel"), F.coalesce(F.sum("g"), F.lit(0)).alias("same_span_groups"), F.coalesce(F.sum("x"), F.lit(0)).alias("same_span_extra_labels"))
-    return records.agg(F.count("*").alias("sentences")).join(F.broadcast(found))
+def label_ids(labels: DataFrame) -> dict[str, int]:
+    """An inventory (label_id, label: a few rows) as a dictionary."""
+    return {r["label"]: r["label_id"] for r in labels.select("label", "label_id").collect()}
 
 
-def bio_labels(tokens_: DataFrame, spans: DataFrame, labels: DataFrame, keys: Sequence[str], max_length: int) -> DataFrame:
-    """keys, pos, label_id: the B and I labels of each token among the first max_length; a token inside several spans has several."""
-    t = tokens_.filter(F.col("pos") < max_length).select(*keys, "pos", F.col("start").alias("ts"), F.col("end").alias("te"))
-    role = token_role(F.col("ts"), F.col("te"), F.col("start"), F.col("end"))
-    both = inside_spans(t, spans, keys).withColumn("role", role).filter(F.col("role").isin("B", "I"))
-    known = both.join(F.broadcast(labels), "label")
-    return known.select(*keys, "pos", F.when(F.col("role") == "B", begin_id(F.col("label_id"))).otherwise(inside_id(F.col("label_id"))).alias("label_id")).distinct()
+def bio_labels(records: DataFrame, labels: DataFrame, keys: Sequence[str], max_length: int, spans: str = "spans") -> DataFrame:
+    """keys, pos, label_id: the B and I labels of each token among the first max_length; a token inside several spans has several. records hold tokens and spans in the row."""
+    return exploded(with_labels(records, label_ids(labels), max_length, spans=spans), list(keys), "bio")
 
 
-def padded_labels(tokens_: DataFrame, bio: DataFrame, keys: Sequence[str], max_length: int) -> DataFrame:
-    """keys, pos, loss_mask, labels: max_length positions of each record that has tokens. Those beyond its tokens are padding: mask 0, no labels.
-
-    labels are the ids of bio_labels() in order, a sparse row of the multi-hot matrix; a token counts (mask 1) if it is not empty.
-    """
-    real = tokens_.filter(F.col("pos") < max_length).select(*keys, "pos", (F.col("end") > F.col("start")).cast("int").alias("mask"))
-    labels = bio.groupBy(*keys, "pos").agg(F.array_sort(F.collect_set("label_id")).alias("labels"))
-    own = real.join(labels, [*keys, "pos"], "left").select(*keys, F.struct("pos", "mask", "labels").alias("x"))
-    whole = own.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("x"))
-    none = F.array().cast("array<int>")
-    at = whole.select(*keys, "x", F.explode(F.sequence(F.lit(0), F.lit(max_length - 1))).alias("pos"))
-    got = F.get("x", F.col("pos"))
-    return at.select(*keys, "pos", F.coalesce(got["mask"], F.lit(0)).alias("loss_mask"), F.coalesce(got["labels"].cast("array<int>"), none).alias("labels"))
+def padded_labels(records: DataFrame, labels: DataFrame, keys: Sequence[str], lengths: Sequence[int], spans: str = "spans") -> DataFrame:
+    """keys, padded_to, loss_mask and label_bits of each record that has tokens: its multi-hot target in one row, padded to the first of lengths that holds it (the last cuts it)."""
+    made = with_label_bits(records, label_ids(labels), lengths, spans=spans)
+    return made.filter("padded_to > 0").select(*keys, "padded_to", "loss_mask", "label_bits")
 
 
 def subword_tokens(records: DataFrame, keys: Sequence[str], encode: Callable[[Sequence[str]], Sequence[Sequence[tuple[int, int]]]], text: str = "text") -> DataFrame:
     """keys, pos, start, end, token by a tokenizer of the caller: encode gives the character offsets of the pieces of each text. It runs over Arrow batches."""
-
-    @F.pandas_udf("array<struct<pos:int,start:int,end:int>>")
-    def pieces(column: pd.Series) -> pd.Series:
-        return pd.Series([[{"pos": i, "start": a, "end": b} for i, (a, b) in enumerate(found)] for found in encode(column.fillna("").tolist())])
-
-    cut = records.select(*keys, text_blocks(F.col(text)).alias("blocks"), pieces(text).alias("pieces"))
-    rows = cut.select(*keys, "blocks", F.inline("pieces"))
-    return rows.select(*keys, "pos", "start", "end", block_piece(F.col("blocks"), F.col("start"), F.col("end")).alias("token"))
+    return exploded(with_pieces(records.select(*keys, text), encode, text), list(keys), "tokens").drop("next_end")
 
 
 def tag_inventory(labels: DataFrame) -> DataFrame:

@@ -63,6 +63,16 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions_of(doc_tokens(spark, sf_dir), pred=False).drop("side")
 
 
+def with_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, tokens and spans (start, end, label): the mentions of gold() beside the tokens of their document, in one row."""
+    docs = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=False).select("doc_id", "tokens")
+    name = lambda t, shift: F.concat(F.lit("L"), ((t["end"] - t["start"] + t["pos"] + shift) % N_LABELS).cast("string"))
+    span = lambda t, end, shift: F.struct(t["start"].alias("start"), end.alias("end"), name(t, shift).alias("label"))
+    every = lambda n, make: F.transform(F.filter("tokens", lambda t: t["pos"] % n == 0), make)
+    wide = F.filter(every(6, lambda t: span(t, t["next_end"], 1)), lambda s: s["end"].isNotNull())
+    return docs.withColumn("spans", F.concat(every(3, lambda t: span(t, t["end"], 0)), every(15, lambda t: span(t, t["end"], 2)), wide))
+
+
 def split_of(doc_id: str = "doc_id") -> F.Column:
     m = F.pmod(F.col(doc_id) * 7, F.lit(10))
     return F.when(m <= 6, "train").when(m == 7, "eval").otherwise("test")
@@ -74,6 +84,16 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", F.col("line").alias("sent_idx"), F.concat_ws("_", "doc_id", "line").alias("id"), "text", F.col("start").alias("document_start"), split_of().alias("split"))
 
 
+def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with tags (start, end, tag) in the row, anywhere in a line by integer rules; they cut words and begin or end with blanks as it comes."""
+    s = sentences(spark, sf_dir)
+    at = F.pmod(F.col("doc_id") * 7 + F.col("sent_idx") * 5, F.greatest(F.length("text") - 3, F.lit(1))).cast("int")
+    span = lambda a, b, tag: F.struct((at + a).alias("start"), (at + b).alias("end"), F.lit(tag).alias("tag"))
+    made = F.array(span(0, 2, "L0"), span(0, 2, "L1"), span(1, 3, "L2"))
+    few = F.when(F.col("sent_idx") % 2 == 0, made).otherwise(F.slice(made, 1, 1))
+    return s.withColumn("tags", F.when(F.length("text") >= 4, few))
+
+
 def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("doc_id"))
 

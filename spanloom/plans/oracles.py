@@ -5,7 +5,7 @@ from __future__ import annotations
 from spanloom.functions.text import SPACE_CLASS
 from spanloom.operators.release import EXCLUDED, INCLUDED
 from spanloom.plans.fixtures import N_LABELS, TOKENS_PER_RECORD
-from spanloom.plans.queries import CANDIDATES, COVERAGE, HEAD_GRID, LOGIT_GRID, MAX_LENGTH, NEXT_GRID, PROB_GRID, RARE
+from spanloom.plans.queries import CANDIDATES, COVERAGE, HEAD_GRID, LOGIT_GRID, MAX_LENGTH, NEXT_GRID, PADDED, PROB_GRID, RARE
 
 
 def _re2(java_class: str) -> str:
@@ -257,9 +257,12 @@ ORACLES: dict[str, str] = {
     "bio_tag_inventory": f"WITH {TAGS} SELECT * FROM tags",
     "positive_weights": f"""WITH {BIO}, {TAGS}, n AS (SELECT count(*) AS n FROM tok WHERE pos < {MAX_LENGTH}), c AS (SELECT label_id, count(*) AS p FROM bio GROUP BY 1)
         SELECT label_id, tag, coalesce(p, 0) AS positives, CASE WHEN label_id > 0 AND p > 0 THEN greatest(1.0, least(50.0, (n - p) / CAST(p AS DOUBLE))) ELSE 1.0 END AS weight FROM tags LEFT JOIN c USING (label_id), n""",
-    "padded_labels": f"""WITH {_bio(70)}, r AS (SELECT doc_id, pos FROM tok WHERE pos < 70), l AS (SELECT doc_id, pos, string_agg(CAST(label_id AS VARCHAR), ',' ORDER BY label_id) AS labels FROM bio GROUP BY 1, 2)
-        SELECT d.doc_id, CAST(i AS INTEGER) AS pos, CAST(r.pos IS NOT NULL AS INTEGER) AS loss_mask, coalesce(labels, '') AS labels FROM (SELECT DISTINCT doc_id FROM r) d CROSS JOIN range(70) t(i) LEFT JOIN r ON d.doc_id = r.doc_id AND i = r.pos LEFT JOIN l ON d.doc_id = l.doc_id AND i = l.pos""",
-    "subword_tokens": """SELECT item_id, CAST(i AS INTEGER) AS pos, CAST(i * 4 AS INTEGER) AS start, CAST(least(i * 4 + 4, length(text)) AS INTEGER) AS "end", substring(text, i * 4 + 1, 4) AS token FROM (SELECT item_id, text, unnest(range((length(text) + 3) // 4)) AS i FROM benchmark)""",
+    "padded_labels": f"""WITH {BIO}, sizes AS (SELECT doc_id, least(count(*), {MAX_LENGTH}) AS n FROM tok GROUP BY 1),
+        d AS (SELECT doc_id, n, (SELECT min(x) FROM (SELECT unnest({list(PADDED)}) AS x) WHERE x >= n) AS padded_to FROM sizes),
+        l AS (SELECT doc_id, pos, sum(1 << label_id) AS bits FROM bio GROUP BY 1, 2)
+        SELECT p.doc_id, CAST(padded_to AS INTEGER) AS padded_to, CAST(n AS INTEGER) AS real, md5(string_agg(CAST(coalesce(bits, 0) AS VARCHAR), ',' ORDER BY i)) AS bits_md5
+        FROM (SELECT *, unnest(range(padded_to)) AS i FROM d) p LEFT JOIN l ON p.doc_id = l.doc_id AND p.i = l.pos GROUP BY ALL""",
+    "subword_tokens": """SELECT doc_id, CAST(i AS INTEGER) AS pos, CAST(i * 4 AS INTEGER) AS start, CAST(least(i * 4 + 4, length(text)) AS INTEGER) AS "end", substring(text, i * 4 + 1, 4) AS token FROM (SELECT doc_id, text, unnest(range((length(text) + 3) // 4)) AS i FROM documents)""",
     "token_length_summary": f"WITH {LENGTHS} {_summary('lang', 'lengths')}",
     "token_length_coverage": f"WITH {LENGTHS} SELECT lang, threshold, avg(CAST(length <= threshold AS DOUBLE)) AS coverage FROM lengths, (SELECT unnest({list(COVERAGE)}) AS threshold) GROUP BY GROUPING SETS ((lang, threshold), (threshold))",
     "document_names": r"""SELECT doc_id, nullif(regexp_extract(n, 'text(\d+)\.(?:txt|ann)$', 1), '') AS from_name, nullif(regexp_extract(n, 'text(\d+)\.txt', 1), '') AS in_text_name,

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as fn
-from spanloom.functions.tiling import with_tokens
+from spanloom.functions.tiling import exploded, with_tokens
 from spanloom.operators import decode, integrity, matching, metrics, release, splits, structure, tokens
 from spanloom.plans import fixtures as fx
 from spanloom.session import table
 
 QUERIES: dict = {}
 MAX_LENGTH = 512
+#: Lengths that training targets are padded to.
+PADDED = (64, 128, 256, MAX_LENGTH)
 COVERAGE = (128, 256, 384, 512)
 CANDIDATES = 500
 RARE = 6310
@@ -31,13 +33,8 @@ def _labels(spark: SparkSession) -> DataFrame:
 
 
 def _sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans on the lines of documents, anywhere in a line by integer rules; they cut words and begin or end with blanks as it comes."""
-    s = fx.sentences(spark, sf_dir).filter(F.length("text") >= 4)
-    at = ((F.col("doc_id") * 7 + F.col("sent_idx") * 5) % (F.length("text") - 3)).cast("int")
-    span = lambda a, b, tag: F.struct((at + a).alias("start"), (at + b).alias("end"), F.lit(tag).alias("tag"))
-    made = F.array(span(0, 2, "L0"), span(0, 2, "L1"), span(1, 3, "L2"))
-    few = F.when(F.col("sent_idx") % 2 == 0, made).otherwise(F.slice(made, 1, 1))
-    return s.select("doc_id", "sent_idx", F.inline(few))
+    """The tags of the sentences, a row each."""
+    return fx.tagged_sentences(spark, sf_dir).select("doc_id", "sent_idx", F.inline("tags"))
 
 
 # --- tokens ------------------------------------------------------------------------------------------------------------
@@ -48,58 +45,51 @@ def tokens_with_offsets(spark, sf_dir):
     return tokens.tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
 
 
+SENTENCE = ["doc_id", "sent_idx"]
+
+
 @query
 def tokens_cut_at_tags(spark, sf_dir):
-    s = fx.sentences(spark, sf_dir).select("doc_id", "sent_idx", "text")
-    return tokens.tokens_cut_at_spans(s, _sentence_spans(spark, sf_dir), ["doc_id", "sent_idx"])
+    return exploded(tokens.cut_at_spans(fx.tagged_sentences(spark, sf_dir), "tags"), SENTENCE, "tokens").drop("next_end")
 
 
 @query
 def span_alignment(spark, sf_dir):
-    keys = ["doc_id", "sent_idx"]
-    spans = _sentence_spans(spark, sf_dir)
-    cut = tokens.tokens_cut_at_spans(fx.sentences(spark, sf_dir).select(*keys, "text"), spans, keys)
-    return tokens.aligned_spans(cut, spans, keys, ["tag"])
+    return exploded(tokens.cut_at_spans(fx.tagged_sentences(spark, sf_dir), "tags", words=False), SENTENCE, "tags")
 
 
 @query
 def converted_records(spark, sf_dir):
     """Training records: tokens, and the index list and type of each aligned mention."""
-    keys = ["doc_id", "sent_idx"]
-    spans = _sentence_spans(spark, sf_dir)
-    cut = tokens.tokens_cut_at_spans(fx.sentences(spark, sf_dir).select(*keys, "text"), spans, keys)
-    fit = tokens.aligned_spans(cut, spans, keys, ["tag"]).filter("aligned")
-    out = tokens.converted(cut, fit, keys)
+    cut = tokens.cut_at_spans(fx.tagged_sentences(spark, sf_dir), "tags")
+    out = tokens.converted(cut.withColumn("tags", F.filter("tags", lambda t: t["aligned"])), SENTENCE, "tags")
     mentions = F.transform("ner", lambda x: F.concat(F.array_join(F.transform(x["index"], lambda i: i.cast("string")), "-"), F.lit(":"), x["type"]))
-    return out.select(*keys, F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"), F.array_join(mentions, " ").alias("mentions"))
+    return out.select(*SENTENCE, F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", " "), 256).alias("tokens_sha256"), F.array_join(mentions, " ").alias("mentions"))
 
 
 @query
 def conversion_stats(spark, sf_dir):
-    keys = ["doc_id", "sent_idx"]
-    return tokens.conversion_stats(fx.sentences(spark, sf_dir).select(*keys), _sentence_spans(spark, sf_dir), keys)
+    return tokens.conversion_stats(fx.tagged_sentences(spark, sf_dir), "tags")
 
 
 @query
 def bio_labels(spark, sf_dir):
     """Whole documents, cut where the reference cuts them."""
-    return tokens.bio_labels(fx.doc_tokens(spark, sf_dir), fx.gold(spark, sf_dir), _labels(spark), ["doc_id"], MAX_LENGTH)
+    return tokens.bio_labels(fx.with_gold(spark, sf_dir), _labels(spark), ["doc_id"], MAX_LENGTH)
 
 
 @query
 def padded_labels(spark, sf_dir):
-    """The first 70 positions of each document, padded: how many tokens count and which labels stand where."""
-    t, n = fx.doc_tokens(spark, sf_dir), 70
-    bio = tokens.bio_labels(t, fx.gold(spark, sf_dir), _labels(spark), ["doc_id"], n)
-    out = tokens.padded_labels(t, bio, ["doc_id"], n)
-    return out.select("doc_id", "pos", "loss_mask", F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
+    """The target of each document, padded to a few lengths, cut where the reference cuts: the tokens that count, and the bits of all positions."""
+    out = tokens.padded_labels(fx.with_gold(spark, sf_dir), _labels(spark), ["doc_id"], PADDED)
+    return out.select("doc_id", "padded_to", F.aggregate("loss_mask", F.lit(0), lambda n, x: n + x).alias("real"), F.md5(F.array_join(F.transform("label_bits", lambda x: x.cast("string")), ",")).alias("bits_md5"))
 
 
 @query
 def subword_tokens(spark, sf_dir):
-    """A tokenizer of the caller: pieces of four characters."""
+    """A tokenizer of the caller: pieces of four characters of whole documents."""
     pieces = lambda texts: [[(i, min(i + 4, len(t))) for i in range(0, len(t), 4)] for t in texts]
-    return tokens.subword_tokens(table(spark, sf_dir, "benchmark"), ["item_id"], pieces)
+    return tokens.subword_tokens(table(spark, sf_dir, "documents"), ["doc_id"], pieces)
 
 
 @query

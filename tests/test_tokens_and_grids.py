@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as fn
+from spanloom.functions.tiling import exploded, with_alignment, with_pieces, with_tokens
 from spanloom.operators import decode, structure, tokens
 
 ALPHABET = ["a", "Z", "é", "_", "7", " ", "\n", "\t", " ", "-", ".", "😀", "ß", "中", "'"]
@@ -18,13 +19,15 @@ def plain_tokens(text, tags=()):
     return [(a, b, text[a:b]) for a, b in zip(cuts, cuts[1:]) if text[a:b] and not text[a:b].isspace()]
 
 
+SPANS = "id int, text string, spans array<struct<start:int,end:int,tag:string>>"
+
+
 def test_tokens_and_cuts(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choices(ALPHABET, k=rng.randint(0, 25))) for _ in range(300)]
     tags = [[tuple(sorted(rng.sample(range(len(t) + 1), 2))) for _ in range(rng.randint(0, 3))] if len(t) > 1 else [] for t in texts]
-    df = spark.createDataFrame(list(enumerate(texts)) + [(999, None)], "id int, text string")
-    spans = spark.createDataFrame([(i, a, b) for i, ts in enumerate(tags) for a, b in ts], "id int, start int, end int")
-    for out, cut in ((tokens.tokens(df, ["id"]), False), (tokens.tokens_cut_at_spans(df, spans, ["id"]), True)):
+    df = spark.createDataFrame([(i, t, [(a, b, "x") for a, b in tags[i]]) for i, t in enumerate(texts)] + [(998, "a b", None), (999, None, None)], SPANS)
+    for out, cut in ((tokens.tokens(df, ["id"]), False), (exploded(tokens.cut_at_spans(df), ["id"], "tokens"), True)):
         found = {}
         for r in out.orderBy("id", "pos").collect():
             found.setdefault(r.id, []).append((r.start, r.end, r.token))
@@ -32,14 +35,43 @@ def test_tokens_and_cuts(spark):
             assert found.get(i, []) == plain_tokens(t, tags[i] if cut else ()), (t, tags[i])
 
 
+def plain_fit(cut, start, end):
+    """first, last, n_tokens and aligned of a span among tokens (start, end, ...)."""
+    inside = [i for i, (a, b, *_) in enumerate(cut) if a >= start and b <= end]
+    fit = bool(inside) and (cut[inside[0]][0], cut[inside[-1]][1]) == (start, end)
+    return (inside[0], inside[-1], len(inside), fit) if inside else (None, None, 0, False)
+
+
+def test_alignment_equals_a_search_through_all_tokens(spark):
+    """Spans of any place and order, beyond the text, empty, repeated; with cuts at their edges, and over the uncut tokens."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choices(ALPHABET, k=rng.randint(0, 25))) for _ in range(200)]
+    spans = [[(a := rng.randint(-1, len(t) + 2), a + rng.randint(-1, 9), "x") for _ in range(rng.randint(0, 4))] for t in texts]
+    df = spark.createDataFrame([(i, t, spans[i]) for i, t in enumerate(texts)] + [(900, "a b", None), (901, None, [(0, 1, "x")]), (902, "ab", [(0, 2, "x"), (0, 2, "x"), (None, 2, "x")])], SPANS)
+    clip = lambda t, s: tuple(min(max(x, 0), len(t)) for x in s[:2])
+    for made, cut in ((tokens.cut_at_spans(df, words=False), True), (with_alignment(with_tokens(df, words=False)), False)):
+        rows = {r.id: r.spans for r in made.collect()}
+        for i, t in enumerate(texts):
+            own = plain_tokens(t, [clip(t, s) for s in spans[i]] if cut else ())
+            assert [(s.start, s.end, s.tag, s.first, s.last, s.n_tokens, s.aligned) for s in rows[i]] == [(*s, *plain_fit(own, *s[:2])) for s in spans[i]], (t, spans[i])
+        assert rows[900] is None and not rows[901][0].aligned and [s.aligned for s in rows[902]] == [True, True, False]
+
+
+def test_alignment_moves_no_text_and_cuts_once(spark):
+    from spanloom.plans import queries
+
+    for name in ("span_alignment", "converted_records", "bio_labels", "padded_labels"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Scan parquet") == 1 and plan.count("MapInArrow") == 2, name
+
+
 def test_alignment_contract(spark):
-    df = spark.createDataFrame([(1, "ab cd")], "id int, text string")
-    spans = spark.createDataFrame([(1, 0, 2, "x"), (1, 2, 5, "y")], "id int, start int, end int, tag string")
-    cut = tokens.tokens_cut_at_spans(df, spans, ["id"])
-    out = tokens.aligned_spans(cut, spans, ["id"], ["tag"])
-    assert {r.tag: r.aligned for r in out.collect()} == {"x": True, "y": False}  # y begins with a blank
-    with pytest.raises(Exception, match="span alignment failed for 2-5"):
-        tokens.require_aligned(out).collect()
+    df = spark.createDataFrame([(1, "ab cd", [(0, 2, "x"), (2, 5, "y")])], SPANS)
+    out = tokens.cut_at_spans(df)
+    assert {s.tag: s.aligned for s in out.first().spans} == {"x": True, "y": False}  # y begins with a blank
+    for checked in (tokens.require_aligned(out), tokens.converted(out, ["id"])):
+        with pytest.raises(Exception, match="span alignment failed for 2-5"):
+            checked.collect()
 
 
 def test_role_order(spark):
@@ -143,24 +175,55 @@ def test_lines_with_offsets(spark):
 
 
 def test_subword_plug_in_and_padding(spark):
-    df = spark.createDataFrame([(1, "abcdef"), (2, ""), (3, None)], "id int, text string")
-    cut = tokens.subword_tokens(df, ["id"], lambda texts: [[(i, min(i + 4, len(t))) for i in range(0, len(t), 4)] for t in texts])
-    assert [tuple(r) for r in cut.orderBy("pos").collect()] == [(1, 0, 0, 4, "abcd"), (1, 1, 4, 6, "ef")]
-    spans = spark.createDataFrame([(1, 0, 6, "B"), (1, 4, 6, "A")], "id int, start int, end int, label string")
+    pieces = lambda texts: [[(i, min(i + 4, len(t))) for i in range(0, len(t), 4)] for t in texts]
+    df = spark.createDataFrame([(1, "abc😀ef"), (2, ""), (3, None)], "id int, text string")
+    cut = tokens.subword_tokens(df, ["id"], pieces)
+    assert [tuple(r) for r in cut.orderBy("pos").collect()] == [(1, 0, 0, 4, "abc😀"), (1, 1, 4, 6, "ef")]
+    spans = "array(named_struct('start', 0, 'end', 6, 'label', 'B'), named_struct('start', 4, 'end', 6, 'label', 'A'), named_struct('start', 4, 'end', 6, 'label', 'A'), named_struct('start', 0, 'end', 4, 'label', 'none'))"
+    both = with_pieces(df, pieces).withColumn("spans", F.expr(spans))
     labels = spark.createDataFrame([(0, "A"), (1, "B")], "label_id int, label string")
-    bio = tokens.bio_labels(cut, spans, labels, ["id"], 3)
-    assert [(r.pos, r.loss_mask, r.labels) for r in tokens.padded_labels(cut, bio, ["id"], 3).orderBy("pos").collect()] == [(0, 1, [3]), (1, 1, [1, 4]), (2, 0, [])]
-    assert {(r.pos, r.label_id) for r in tokens.bio_labels(cut, spans, labels, ["id"], 1).collect()} == {(0, 3)}  # what lies beyond is cut
+    assert [tuple(r) for r in tokens.bio_labels(both, labels, ["id"], 3).orderBy("pos", "label_id").collect()] == [(1, 0, 3), (1, 1, 1), (1, 1, 4)]
+    assert [tuple(r) for r in tokens.bio_labels(both, labels, ["id"], 1).collect()] == [(1, 0, 3)]  # what lies beyond is cut
+    row = lambda lengths: [tuple(r) for r in tokens.padded_labels(both, labels, ["id"], lengths).collect()]
+    assert row((3, 8)) == [(1, 3, [1, 1, 0], [1 << 3, 1 << 1 | 1 << 4, 0])] and row((1,)) == [(1, 1, [1], [1 << 3])]
+
+
+def test_labels_equal_a_search_through_all_tokens(spark):
+    """Many labels (two longs a position), spans over several tokens, several rows, lengths that cut."""
+    rng = random.Random(6)
+    names = {f"N{i}": i for i in range(50)}
+    texts = [" ".join(rng.choices(["a", "bcd", "ef"], k=rng.randint(0, 12))) for _ in range(80)]
+    spans = [[(a := rng.randint(0, 20), a + rng.randint(0, 9), rng.choice(list(names))) for _ in range(rng.randint(0, 5))] for t in texts]
+    df = spark.createDataFrame([(i, t, spans[i]) for i, t in enumerate(texts)], "id int, text string, spans array<struct<start:int,end:int,label:string>>")
+    labels = spark.createDataFrame([(i, n) for n, i in names.items()], "label_id int, label string")
+    made = with_tokens(df)
+    bits = {r.id: r for r in tokens.padded_labels(made, labels, ["id"], (4, 8)).collect()}
+    bio = {}
+    for r in tokens.bio_labels(made, labels, ["id"], 8).collect():
+        bio.setdefault(r.id, set()).add((r.pos, r.label_id))
+    for i, t in enumerate(texts):
+        own = plain_tokens(t)[:8]
+        expected = {(p, 2 * names[n] + (1 if a == s else 2)) for s, e, n in spans[i] for p, (a, b, _) in enumerate(own) if a >= s and b <= e}
+        assert bio.get(i, set()) == expected
+        if own:
+            r = bits[i]
+            held = {(p, 64 * w + b) for p in range(r.padded_to) for w in range(2) for b in range(64) if r.label_bits[2 * p + w] >> b & 1}
+            assert held == expected and r.padded_to == (4 if len(own) <= 4 else 8) and r.loss_mask == [1] * len(own) + [0] * (r.padded_to - len(own))
+        else:
+            assert i not in bits
 
 
 def test_converted_records(spark):
-    df = spark.createDataFrame([(1, "ab cd ef"), (2, "x")], "id int, text string")
-    spans = spark.createDataFrame([(1, 3, 8, "Y"), (1, 0, 2, "X")], "id int, start int, end int, tag string")
-    cut = tokens.tokens_cut_at_spans(df, spans, ["id"])
-    out = {r.id: (r.tokens, [(x["index"], x.type) for x in r.ner]) for r in tokens.converted(cut, tokens.aligned_spans(cut, spans, ["id"], ["tag"]), ["id"]).collect()}
+    df = spark.createDataFrame([(1, "ab cd ef", [(3, 8, "Y"), (0, 2, "X")]), (2, "x", None), (3, " ", [])], SPANS)
+    out = {r.id: (r.tokens, [(x["index"], x.type) for x in r.ner]) for r in tokens.converted(tokens.cut_at_spans(df), ["id"]).collect()}
     assert out == {1: (["ab", "cd", "ef"], [([0], "X"), ([1, 2], "Y")]), 2: (["x"], [])}
 
 
+def test_conversion_stats(spark):
+    rows = [(1, "", [(0, 1, "a"), (0, 1, "b"), (0, 1, "c"), (2, 3, "a"), (2, 3, "b"), (4, 5, "a")]), (2, "", None), (3, "", [(0, 1, "a")])]
+    assert tuple(tokens.conversion_stats(spark.createDataFrame(rows, SPANS)).first()) == (3, 7, 1, 2, 3)
+
+
 def test_block_pieces(spark):
     text = "a😀é" * 300
     cuts = [(0, 0), (0, 1), (255, 257), (256, 600), (899, 900), (900, 900), (10, 10)]
