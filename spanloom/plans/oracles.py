@@ -343,7 +343,8 @@ ORACLES: dict[str, str] = {
     "grid_entities": f"WITH {_decoded(ONE_CELL)} SELECT doc_id, array_to_string(index, '-') || '-#-' || type AS entity FROM entities",
     "grid_entity_counts": f"""WITH {_decoded(ONE_CELL)}, t AS (SELECT (SELECT count(*) FROM entities e JOIN gg g ON e.doc_id = g.doc_id AND e.index = g.index AND e.type = g.type) AS correct, (SELECT count(*) FROM entities) AS predicted, (SELECT count(*) FROM gg) AS relevant)
         SELECT *, {_prf('correct', 'predicted', 'relevant')} FROM t""",
-    "threshold_grid": GRID_CELLS,
+    "threshold_grid": f"""WITH {GRID}, t AS (SELECT DISTINCT CAST(floor(round(score * 100) / 10) AS INTEGER) AS t FROM grid)
+        SELECT CAST(row_number() OVER (ORDER BY a.t, b.t) - 1 AS INTEGER) AS cell, a.t / 10.0::DOUBLE AS next_threshold, b.t / 10.0::DOUBLE AS head_threshold FROM t a, t b WHERE a.t % 5 = 0""",
     "threshold_sweep": f"WITH {SWEEP} {SWEEP_ROWS}",
     "best_threshold": f"WITH {SWEEP} {SWEEP_ROWS} {BEST}",
     "flat_sweep": f"WITH {FLAT}, {PER_CELL} {FLAT_ROWS}",

@@ -473,19 +473,21 @@ def grid_entities(spark, sf_dir):
 
 @query
 def grid_entity_counts(spark, sf_dir):
-    found = decode.decode(fx.grid(spark, sf_dir), ["doc_id"], F.lit(0.7), F.lit(0.7))
-    return decode.entity_counts(found, fx.grid_gold(spark, sf_dir), ["doc_id"])
+    return decode.entity_counts(fx.grid(spark, sf_dir), fx.grid_gold(spark, sf_dir), ["doc_id"], 0.7, 0.7)
 
 
 @query
 def threshold_grid(spark, sf_dir):
-    return decode.threshold_grid(spark, NEXT_GRID, HEAD_GRID)
+    """Pairs of the tenths that the scores of the grids reach: every fifth as a threshold of links, every one as a threshold of marks."""
+    tenths = fx.grid(spark, sf_dir).select(F.floor(F.round(F.col("score") * 100) / 10).alias("t")).distinct().orderBy("t")
+    levels = [r["t"] for r in tenths.collect()]  # at most ten
+    return decode.threshold_grid(spark, [t / 10 for t in levels if t % 5 == 0], [t / 10 for t in levels])
 
 
 @query
 def threshold_sweep(spark, sf_dir):
     """All cells of the grid sweep with the scores of the shared evaluator."""
-    return decode.sweep(fx.grid(spark, sf_dir), fx.grid_gold(spark, sf_dir), threshold_grid(spark, sf_dir), ["doc_id"])
+    return decode.sweep(fx.grid(spark, sf_dir), fx.grid_gold(spark, sf_dir), decode.threshold_grid(spark, NEXT_GRID, HEAD_GRID), ["doc_id"])
 
 
 @query

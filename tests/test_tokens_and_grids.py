@@ -107,6 +107,52 @@ def test_decode_keeps_entities_of_any_length(spark):
     assert [(list(r["index"]), r.type) for r in decode.decode(grid, ["rec"], F.lit(0.5), F.lit(0.5)).collect()] == [(list(range(n)), 2)]
 
 
+def test_counts_equal_enumeration_on_random_grids(spark):
+    """Every cell, with references that are predicted, half predicted, repeated and wrong; records of one side only."""
+    from test_matching import sequential
+
+    rng = random.Random(17)
+    rows, golds, expected = [], [], {}
+    cells = [(i, n, h) for i, (n, h) in enumerate((n, h) for n in (0.1, 0.5, 0.8) for h in (0.3, 0.8))]
+    for rec in range(80):
+        n = rng.randint(1, 7)
+        scores = {(i, j, c): rng.choice([0.2, 0.5, 0.6, 0.9]) for i in range(n) for j in range(n) for c in (1, 2, 10) if rng.random() < 0.7} if rec % 9 else {}
+        rows += [(rec, i, j, c, s) for (i, j, c), s in scores.items()] + [(rec, i, j, c, 0.1) for i, j, c in list(scores)[:3]]
+        own = [(tuple(sorted(rng.sample(range(n), rng.randint(1, min(n, 3))))), rng.choice([2, 10])) for _ in range(rng.randint(0, 4))] if rec % 7 else []
+        golds += [(rec, list(p), c) for p, c in own + own[:1]]
+        true = sorted(set(own))
+        for cell, t, h in cells:
+            links = sorted((i, j) for (i, j, c), s in scores.items() if c == 1 and s > t and i < j)
+            found = sorted({(p, c) for (tail, head, c), s in scores.items() if c > 1 and s > h and head <= tail for p in paths(links, head, tail)})
+            mentions = lambda xs: [(p[0], p[-1] + 1, str(c), i) for i, (p, c) in enumerate(xs)]
+            counts = sequential(mentions(true), mentions(found)) | {"same_entities": len(set(found) & set(true)), "predicted": len(found), "relevant": len(true)}
+            expected[cell] = {k: expected.get(cell, {}).get(k, 0) + v for k, v in counts.items()}
+    grid = spark.createDataFrame(rows, "rec int, row int, col int, channel int, score double")
+    gold = spark.createDataFrame(golds, "rec int, index array<int>, type int")
+    out = {r.cell: {k: r[k] for k in expected[0]} for r in decode.cell_counts(grid, gold, cells, ["rec"]).collect()}
+    assert out == expected
+    one = decode.entity_counts(grid, gold, ["rec"], 0.5, 0.8).first()
+    assert (one.correct, one.predicted, one.relevant) == tuple(expected[3][k] for k in ("same_entities", "predicted", "relevant"))
+    assert tuple(decode.entity_counts(grid.limit(0), gold.limit(0), ["rec"], 0.5, 0.8).first())[:3] == (0, 0, 0)
+
+
+def test_complete_grids_are_counted_without_listing(spark):
+    """A complete grid of n tokens has 2 ** (n - 2) chains from its first to its last."""
+    rows = [(n, i, j, 1, 0.9) for n in (40, 70) for i in range(n) for j in range(i + 1, n)] + [(n, n - 1, 0, 2, 0.9) for n in (40, 70)]
+    grid = spark.createDataFrame(rows, "rec int, row int, col int, channel int, score double")
+    gold = spark.createDataFrame([(40, [0, 5, 39], 2), (40, [0, 39], 3)], "rec int, index array<int>, type int")
+    found = decode.cell_counts(grid.filter("rec = 40"), gold, [(0, 0.5, 0.5), (1, 0.95, 0.5)], ["rec"]).orderBy("cell").collect()
+    assert [(r.predicted, r.same_entities, r.relevant, r.correct, r.incorrect, r.spurious) for r in found] == [(1 << 38, 1, 2, 1, 1, (1 << 38) - 2), (0, 0, 2, 0, 0, 0)]
+    assert decode.entity_counts(grid, gold, ["rec"], 0.5, 0.5).first().predicted == (1 << 38) + decode.MOST  # held at the limit of one pair
+
+
+def test_one_decode_in_the_plan_of_the_sweep(spark):
+    from spanloom.plans import queries
+
+    plan = queries.QUERIES["threshold_sweep"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count(" Exchange") <= 4 and plan.count("BroadcastNestedLoopJoin") == 1  # the 192 places of a grid, in the inputs
+
+
 def test_sweep_over_the_cells_of_the_reference(spark, tmp_path):
     """All 25 cells against plain enumeration and a sequential reading of the matching rules."""
     from test_matching import sequential
