@@ -303,8 +303,8 @@ def with_pieces(records: DataFrame, encode: Callable[[Sequence[str]], Sequence[S
 
 
 def with_lines(records: DataFrame, text: str = "text", words: bool = True) -> DataFrame:
-    """records with lines: array<struct<line (from 0), start, text>>. A null text has none, an empty one has one. words: whether with the texts of lines."""
-    schema = _schema(records, lines="array<struct<line:int,start:int" + (",text:string>>" if words else ">>"))
+    """records with lines: array<struct<line (from 0), start, end, text>>. A null text has none, an empty one has one. words: whether with the texts of lines."""
+    schema = _schema(records, lines="array<struct<line:int,start:int,end:int" + (",text:string>>" if words else ">>"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,7 +315,7 @@ def with_lines(records: DataFrame, text: str = "text", words: bool = True) -> Da
                 owner = np.repeat(np.arange(part.num_rows), count)
                 there = part.column(text).is_valid().to_numpy(zero_copy_only=False)[owner]
                 start, end, owner = start[there], end[there], owner[there]
-                fields = {"line": _int(np.arange(len(owner)) - np.searchsorted(owner, owner)), "start": _int(start - texts.ptr[owner])}
+                fields = {"line": _int(np.arange(len(owner)) - np.searchsorted(owner, owner)), "start": _int(start - texts.ptr[owner]), "end": _int(end - texts.ptr[owner])}
                 if words:
                     fields["text"] = texts.strings(start, end)
                 yield _replaced(part, lines=_nested(owner, part.num_rows, **fields))

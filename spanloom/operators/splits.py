@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.session import kept
+
 SPLITS = ("train", "eval", "test")
 
 
@@ -22,8 +24,12 @@ def label_table(mentions: DataFrame, splits: Sequence[str] = SPLITS) -> DataFram
     return table.withColumn("minimum", F.least(*splits))
 
 
-def rare_labels(table: DataFrame, below: int) -> DataFrame:
-    return table.filter(F.col("minimum") < below)
+def rare_labels(table: DataFrame, below: int | None = None, share: float = 1.0) -> DataFrame:
+    """Labels whose smallest number of mentions is below a number, or, without one, below a share of the mean of all labels' smallest numbers. A row for each label: an inventory."""
+    if below is not None:
+        return table.filter(F.col("minimum") < below)
+    mean = F.avg("minimum").over(Window.partitionBy())
+    return table.withColumn("_mean", mean).filter(F.col("minimum") < share * F.col("_mean")).drop("_mean")
 
 
 def median_of_minima(table: DataFrame) -> DataFrame:
@@ -64,6 +70,7 @@ def split_search(documents: DataFrame, targets: Mapping[str, float], candidates:
     are shuffled, so what moves is a row for each candidate and range. Only ranges in which a split ends are looked at document by document. Labels are an
     inventory (a list that the driver reads); those of rows are bits of whole numbers.
     """
+    documents = kept(documents.select("doc_id", *TALLIES, "labels"), "documents")  # a few numbers a document, used for ranking and for the result
     inventory = sorted(r[0] for r in documents.select(F.explode("labels")).distinct().collect())
     words = [inventory[i : i + WORD] for i in range(0, len(inventory), WORD)]
     bits = {f"labels_{w}": reduce(Column.bitwiseOR, [F.when(F.array_contains("labels", x), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, x in enumerate(word)]) for w, word in enumerate(words)}

@@ -78,10 +78,11 @@ def split_of(doc_id: str = "doc_id") -> F.Column:
     return F.when(m <= 6, "train").when(m == 7, "eval").otherwise("test")
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, sent_idx, id, text, document_start, split: the lines of each document."""
-    lines = exploded(with_lines(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], "lines")
-    return lines.select("doc_id", F.col("line").alias("sent_idx"), F.concat_ws("_", "doc_id", "line").alias("id"), "text", F.col("start").alias("document_start"), split_of().alias("split"))
+def sentences(spark: SparkSession, sf_dir: str, texts: bool = True) -> DataFrame:
+    """doc_id, sent_idx, id, text (with texts), document_start, document_end, split: the lines of each document."""
+    lines = exploded(with_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), words=texts), ["doc_id"], "lines")
+    own = [F.col("start").alias("document_start"), F.col("end").alias("document_end"), split_of().alias("split")]
+    return lines.select("doc_id", F.col("line").alias("sent_idx"), F.concat_ws("_", "doc_id", "line").alias("id"), *(["text"] if texts else []), *own)
 
 
 def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

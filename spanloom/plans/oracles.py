@@ -5,7 +5,7 @@ from __future__ import annotations
 from spanloom.functions.text import SPACE_CLASS
 from spanloom.operators.release import EXCLUDED, INCLUDED
 from spanloom.plans.fixtures import N_LABELS, TOKENS_PER_RECORD
-from spanloom.plans.queries import CANDIDATES, COVERAGE, HEAD_GRID, LOGIT_GRID, MAX_LENGTH, NEXT_GRID, PADDED, PROB_GRID, RARE
+from spanloom.plans.queries import CANDIDATES, COVERAGE, HEAD_GRID, LOGIT_GRID, MAX_LENGTH, NEXT_GRID, PADDED, PROB_GRID
 
 
 def _re2(java_class: str) -> str:
@@ -254,7 +254,8 @@ ORACLES: dict[str, str] = {
     "conversion_stats": f"""WITH {SENTENCES}, g AS (SELECT doc_id, sent_idx, s, e, count(*) AS n FROM spans GROUP BY ALL)
         SELECT (SELECT count(*) FROM sentences) AS sentences, CAST(sum(n) AS BIGINT) AS entities, count(DISTINCT CASE WHEN n > 1 THEN (doc_id, sent_idx) END) AS sentences_with_same_span_multilabel, count(*) FILTER (n > 1) AS same_span_groups, CAST(sum(n - 1) AS BIGINT) AS same_span_extra_labels FROM g""",
     "bio_labels": f"WITH {BIO} SELECT * FROM bio",
-    "bio_tag_inventory": f"WITH {TAGS} SELECT * FROM tags",
+    "bio_tag_inventory": """WITH l AS (SELECT CAST(row_number() OVER (ORDER BY p_type) - 1 AS INTEGER) AS i, p_type FROM (SELECT DISTINCT p_type FROM part))
+        SELECT 0 AS label_id, 'O' AS tag UNION ALL SELECT 2 * i + 1, 'B-' || p_type FROM l UNION ALL SELECT 2 * i + 2, 'I-' || p_type FROM l""",
     "positive_weights": f"""WITH {BIO}, {TAGS}, n AS (SELECT count(*) AS n FROM tok WHERE pos < {MAX_LENGTH}), c AS (SELECT label_id, count(*) AS p FROM bio GROUP BY 1)
         SELECT label_id, tag, coalesce(p, 0) AS positives, CASE WHEN label_id > 0 AND p > 0 THEN greatest(1.0, least(50.0, (n - p) / CAST(p AS DOUBLE))) ELSE 1.0 END AS weight FROM tags LEFT JOIN c USING (label_id), n""",
     "padded_labels": f"""WITH {BIO}, sizes AS (SELECT doc_id, least(count(*), {MAX_LENGTH}) AS n FROM tok GROUP BY 1),
@@ -290,7 +291,7 @@ ORACLES: dict[str, str] = {
     "mention_structure": f"WITH {STRUCTURE} SELECT doc_id, count(*) AS mentions, count(*) FILTER (same_span) AS same_span, count(*) FILTER (nested) AS nested, count(*) FILTER (flat) AS flat FROM structured GROUP BY 1",
     "rows_per_document": f"WITH {SENTENCES} SELECT doc_id, count(*) AS sentence_count FROM sentences GROUP BY 1",
     "label_split_table": f"WITH {TABLE} SELECT * FROM label_table",
-    "rare_labels": f"WITH {TABLE} SELECT label, minimum FROM label_table WHERE minimum < {RARE}",
+    "rare_labels": f"WITH {TABLE} SELECT label, minimum FROM label_table QUALIFY minimum < avg(minimum) OVER ()",
     "median_of_label_minima": f"WITH {TABLE} SELECT min(minimum) AS lowest, quantile_cont(minimum, 0.5) AS median FROM label_table",
     "split_totals": f"""WITH {STRUCTURE}, r AS (SELECT DISTINCT doc_id, rec, {SPLIT} AS split FROM tok), a AS (SELECT split, count(DISTINCT doc_id) AS documents, count(*) AS sentences FROM r GROUP BY 1),
         b AS (SELECT split, CAST(sum(n) AS BIGINT) AS entities, count(*) FILTER (s) AS same_span_sentences, count(*) FILTER (d) AS nested_sentences FROM (SELECT split, doc_id, rec, count(*) AS n, bool_or(same_span) AS s, bool_or(nested) AS d FROM structured GROUP BY ALL) GROUP BY 1),
@@ -330,7 +331,7 @@ ORACLES: dict[str, str] = {
     "excluded_files": f"WITH {RECORDS} SELECT * FROM leaked_files",
     "leakage_report": f"WITH {RECORDS} SELECT id AS place, error FROM leaks UNION ALL SELECT path, error FROM leaked_files",
     "redacted_records": f"""WITH {RECORDS}, n AS (SELECT doc_id, count(*) AS n, count(etext) AS t FROM ents GROUP BY 1) SELECT id, out AS hidden, CAST(CASE WHEN out THEN 0 ELSE coalesce(t, 0) END AS INTEGER) AS entity_texts, CAST(coalesce(n, 0) AS INTEGER) AS entities FROM records LEFT JOIN n USING (doc_id)""",
-    "checksum_errors": """SELECT 'f' || doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'not listed' ELSE 'mismatch' END AS error FROM documents
+    "checksum_errors": """SELECT 'f' || doc_id || '.txt' AS path, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'not listed' ELSE 'mismatch' END AS error FROM documents
         WHERE NOT (doc_id % 13 = 0 AND doc_id % 11 = 0) AND (doc_id % 13 = 0 OR doc_id % 11 = 0 OR doc_id % 7 = 0)""",
     "excluded_members": f"WITH {TOXIC} SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang FROM documents SEMI JOIN toxic USING (doc_id)",
     "files_of_splits": f"SELECT doc_id, '0text' || doc_id || '.txt' AS file, split FROM (SELECT doc_id, {SPLIT} AS split FROM documents UNION ALL SELECT doc_id, 'extra' FROM documents WHERE doc_id % 4 = 0)",
@@ -351,24 +352,33 @@ ORACLES: dict[str, str] = {
     "best_flat_threshold": f"WITH {FLAT}, {PER_CELL} {FLAT_ROWS} {BEST}",
 }
 
+STANDOFF = f"""WITH t AS (SELECT item_id, unnest(w) AS surface, generate_subscripts(w, 1) AS i FROM (SELECT item_id, string_split(translate(text, chr(10) || chr(9) || chr(13), '   '), ' ') AS w FROM benchmark)),
+        o AS (SELECT *, CAST(sum(length(surface) + 1) OVER (PARTITION BY item_id ORDER BY i) AS INTEGER) - 1 AS e FROM t)
+        SELECT CAST(item_id AS VARCHAR) AS doc_id, '0' AS prefix, 'T' || i AS ann_id, 'L' || (i % {L}) AS label, CAST(e - length(surface) AS INTEGER) AS start, e AS "end", surface FROM o WHERE surface <> ''"""
 RECON = ORACLES["reconstruction_sources"]
 ORACLES |= {
-    "read_strict_jsonl": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS record_no, item_id, sha256(text) AS text_sha256 FROM benchmark",
-    "read_lenient_jsonl": "SELECT item_id, sha256(text) AS text_sha256 FROM benchmark",
-    "read_json_dataset": "SELECT item_id, length(text) AS n FROM benchmark",
-    "read_json_records": "SELECT CAST(2 * row_number() OVER (ORDER BY item_id) AS INTEGER) AS line_num, 'items.jsonl' AS file, item_id FROM benchmark UNION ALL SELECT CAST(row_number() OVER (ORDER BY item_id) AS INTEGER), 'devData.json', item_id FROM benchmark",
-    "read_split_ids": "SELECT CAST(item_id AS VARCHAR) AS doc_id FROM benchmark",
+    "read_strict_jsonl": "SELECT row_number() OVER (ORDER BY item_id) - 1 AS record_no, item_id, sha256(text) AS text_sha256 FROM (SELECT doc_id AS item_id, text FROM documents)",
+    "read_lenient_jsonl": "SELECT item_id, sha256(text) AS text_sha256 FROM (SELECT doc_id AS item_id, text FROM documents)",
+    "read_json_dataset": "SELECT item_id, length(text) AS n FROM (SELECT doc_id AS item_id, text FROM documents)",
+    "read_json_records": "SELECT CAST(2 * row_number() OVER (ORDER BY item_id) AS INTEGER) AS line_num, 'items.jsonl' AS file, item_id FROM (SELECT doc_id AS item_id, text FROM documents) UNION ALL SELECT CAST(row_number() OVER (ORDER BY item_id) AS INTEGER), 'devData.json', item_id FROM (SELECT doc_id AS item_id, text FROM documents)",
+    "read_split_ids": "SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents WHERE doc_id % 10 IN (0, 4, 5, 8)",
     "read_labels": "SELECT CAST(row_number() OVER (ORDER BY r_regionkey DESC) - 1 AS INTEGER) AS label_id, r_name AS label FROM region",
-    "read_reconstruction_tsv": f"SELECT doc_id, doi, pmid, pmcid, source_url, license_evidence, CAST(sentence_count AS VARCHAR) AS sentence_count, reconstruction_note FROM ({RECON})",
+    "read_reconstruction_tsv": f"SELECT coalesce(CAST(COLUMNS(*) AS VARCHAR), '') FROM ({RECON})",
     "read_label_metrics_csv": f"SELECT coalesce(label, '') AS label, correct, round(f1, 9) AS f1 FROM ({ORACLES['score_overlap_per_label']})",
     "read_workbook": f"WITH {MAPPING} SELECT CAST(row_number() OVER (ORDER BY row_no) AS INTEGER) AS row_no, source_type, target_label FROM mapping",
-    "read_standoff": f"""WITH t AS (SELECT item_id, unnest(w) AS surface, generate_subscripts(w, 1) AS i FROM (SELECT item_id, string_split(translate(text, chr(10) || chr(9) || chr(13), '   '), ' ') AS w FROM benchmark)),
-        o AS (SELECT *, CAST(sum(length(surface) + 1) OVER (PARTITION BY item_id ORDER BY i) AS INTEGER) - 1 AS e FROM t)
-        SELECT CAST(item_id AS VARCHAR) AS doc_id, '0' AS prefix, 'T' || i AS ann_id, 'L' || (i % {L}) AS label, CAST(e - length(surface) AS INTEGER) AS start, e AS "end", surface FROM o WHERE surface <> ''""",
+    "read_standoff": STANDOFF,
+    "standoff_format": STANDOFF,
+    "stream_standoff": f"SELECT doc_id, label, count(*) AS n FROM ({STANDOFF}) GROUP BY 1, 2",
+    "workbooks_of_a_folder": "SELECT r_name || '.xlsx' AS file, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) AS INTEGER) AS row_no, n_name AS source_type, 'L' || n_nationkey AS target_label FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "aligned_files": "SELECT record_no, item_id, p.doc_id, quality FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS record_no, doc_id AS item_id FROM documents) g JOIN (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS record_no, doc_id, quality FROM labels) p USING (record_no)",
+    "stream_leak_errors": f"WITH {RECORDS} SELECT id, error FROM leaks",
+    "seeded_draws": "SELECT CAST(seed AS INTEGER) AS seed, count(*) AS documents, count(*) AS same, CAST(0 AS BIGINT) AS outside FROM documents, range(3) t(seed) GROUP BY 1",
+    "sentence_offsets": f"""WITH {GOLD}, {SENTENCES} SELECT g.doc_id, g.s AS start, g.e AS "end", g.label, g.ordinal, x.sent_idx, CAST(greatest(g.s, document_start) - document_start AS INTEGER) AS sentence_from, CAST(least(g.e, document_start + length(text)) - document_start AS INTEGER) AS sentence_to, g.s >= document_start AND g.e <= document_start + length(text) AS whole
+        FROM gold g JOIN sentences x ON g.doc_id = x.doc_id AND g.s < document_start + length(text) AND document_start < g.e""",
     "discovered_files": "SELECT '0text' || item_id || '.txt' AS name, CAST(item_id AS VARCHAR) AS doc_id, item_id % 2 = 0 AS has_ann, sha256(text) AS sha256 FROM benchmark",
     "files_in_split_folders": f"SELECT {SPLIT.replace('doc_id', 'item_id')} AS split, count(*) AS files, CAST(sum(length(text)) AS BIGINT) AS characters FROM benchmark GROUP BY 1",
-    "read_settings": "SELECT unnest(['epochs', 'layout', 'lr', 'seed']) AS key, unnest(['30', 'official', '0.5', '7']) AS value",
-    "read_split_arrays": f"SELECT split, count(*) AS records, CAST(sum(length(text)) AS BIGINT) AS characters, min(item_id) AS first_id, count(*) AS in_summary FROM (SELECT *, {SPLIT.replace('doc_id', 'item_id')} AS split FROM benchmark) GROUP BY 1",
+    "read_settings": "SELECT r_name AS key, CAST(r_regionkey + 100 AS VARCHAR) AS value FROM region UNION ALL SELECT n_name, CAST(CASE WHEN n_regionkey = 0 THEN -1 ELSE n_regionkey END AS VARCHAR) FROM nation UNION ALL SELECT 'layout', 'official'",
+    "read_split_arrays": f"SELECT split, count(*) AS records, CAST(sum(length(text)) AS BIGINT) AS characters, min(item_id) AS first_id, count(*) AS in_summary FROM (SELECT *, {SPLIT.replace('doc_id', 'item_id')} AS split FROM (SELECT doc_id AS item_id, text FROM documents)) GROUP BY 1",
     "read_sweep_files": f"WITH {FLAT}, {PER_CELL}, s AS ({FLAT_ROWS}) SELECT kind, cell, correct, round(f1, 9) AS f1 FROM s, (VALUES ('csv'), ('json')) k(kind)",
     "read_run_files": f"WITH q AS ({ORACLES['positive_weights']}) SELECT 'balance:' || tag AS what, round(weight, 9) AS value FROM q UNION ALL SELECT 'metrics:micro_f1', round(micro_f1, 9) FROM ({ORACLES['score_exact']})",
     "error_report": f"WITH {RECORDS}, l AS (SELECT id || ': ' || error AS line FROM errors), n AS (SELECT count(*) AS n FROM l) SELECT line FROM (SELECT line FROM l ORDER BY line LIMIT 200) UNION ALL SELECT '... ' || (n - 200) || ' additional errors' FROM n WHERE n > 200 UNION ALL SELECT 'total ' || n FROM n",

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import logging
 import random
+import re
 import tempfile
+import uuid
 
 import numpy as np
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,7 +43,24 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spanloom-"))
+    application = spark.sparkContext.applicationId
+    if application not in _own:
+        _own[application] = tempfile.mkdtemp(prefix="spanloom-")
+    return _own[application]
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme and root that Spark resolves it to, in the form that other libraries read too (file:///...)."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = named.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(named).toString()
+    return re.sub(r"^file:/+", "file:///", whole)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: worked out once, however often it is used."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def logger(name: str, path: str | None = None, level: int = logging.INFO) -> logging.Logger:

@@ -2,30 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
 #: Splits whose line counts are broadcast to the lines; beyond that they are joined.
 BROADCAST_SPLITS = 100_000
 
 
 def numbered_lines(spark: SparkSession, path: str | Sequence[str], recursive: bool = False) -> DataFrame:
-    """path, line_num (from 1) and line of every physical line.
+    """path, line_num (from 1, in its file), record_no (from 0, through all files in order of their paths) and line of every physical line.
 
     Files are read split by split. Rows of a split come in order, so a line's number is that within its split, by its row id, and the lines of the
-    splits of its file before: a sum over one row a split.
+    splits before: a sum over one row a split within each file, and over one row a file across them. No line is moved.
     """
     place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block")]
     rows = spark.read.option("recursiveFileLookup", recursive).text(path).select(*place, F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
     splits = rows.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    based = splits.select("path", "block", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = splits.groupBy("path").agg(F.sum("n").alias("lines")).select("path", before(Window.orderBy("path"), "lines").alias("earlier"))
+    based = splits.select("path", "block", "first", before(Window.partitionBy("path").orderBy("block"), "n").alias("base")).join(files, "path")
     small = splits.count() <= BROADCAST_SPLITS
     joined = rows.join(F.broadcast(based) if small else based, ["path", "block"])
-    return joined.select("path", (F.col("base") + F.col("at") - F.col("first") + 1).cast("int").alias("line_num"), "line")
+    in_file = F.col("base") + F.col("at") - F.col("first")
+    return joined.select("path", (in_file + 1).cast("int").alias("line_num"), (F.col("earlier") + in_file).alias("record_no"), "line")
 
 
 def _parsed(lines: DataFrame, schema: str) -> DataFrame:
@@ -37,9 +40,9 @@ def _parsed(lines: DataFrame, schema: str) -> DataFrame:
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """record_no (from 0) and the columns of schema. Every line must hold JSON: a blank line is an error."""
+    """record_no (from 0, through all files of a folder in order of their paths) and the columns of schema. Every line must hold JSON: a blank line is an error."""
     rows = _parsed(numbered_lines(spark, path), schema)
-    return rows.select((F.col("line_num") - 1).alias("record_no"), "record.*").drop("_corrupt")
+    return rows.select("record_no", "record.*").drop("_corrupt")
 
 
 def lenient_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -60,13 +63,38 @@ def json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return _parsed(lines.filter(named & (F.trim("line") != "")), schema).select("path", "line_num", F.col("record").dropFields("_corrupt").alias("record"))
 
 
+def _loaded_id(line: str) -> str | None:
+    try:
+        found = json.loads(line)["id"]
+    except (ValueError, KeyError, TypeError, IndexError):
+        return None
+    return found if isinstance(found, str) else None
+
+
+def _odd_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [_loaded_id(odd) if odd is not None else found for found, odd in zip(batch.column("id").to_pylist(), batch.column("odd").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string())], names=["id"])
+
+
 def split_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The distinct document ids of a file of records, which may stand together on a line; what does not parse is left out, and a missing file is empty."""
+    """doc_id: the distinct document ids of records, which may stand together on a line; a missing file is empty.
+
+    A record counts if its line is one whole JSON object with a string as id, and nothing after it; the document is what stands before the first underscore. All else is left out:
+    half records, trailing text, numbers as ids, lists. Lines are parsed by Spark; those that its parser refuses, and Python's may not (repeated
+    keys, of which the last counts, NaN and infinities), are looked at once more in Python, so nothing but them leaves the JVM.
+    """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], "doc_id string")
-    lines = numbered_lines(spark, path).select(F.explode(F.split(F.replace("line", F.lit("}{"), F.lit("}\n{")), "\n")).alias("line")).filter(F.trim("line") != "")
-    ids = lines.select(F.get_json_object("line", "$.id").alias("id")).filter("id is not null")
+    lines = spark.read.text(path).select(F.explode(F.split(F.replace("value", F.lit("}{"), F.lit("}\n{")), "\n")).alias("line")).filter(F.trim("line") != "")
+    # The parser stops after a whole value. In a list whose last member is a digest of the line, which a line cannot hold, nothing can stand behind a record.
+    whole = F.try_parse_json(F.concat(F.lit("["), "line", F.lit(',"'), F.md5("line"), F.lit('"]')))
+    closed = F.try_variant_get(whole, "$[1]", "string").eqNullSafe(F.md5("line")) & F.try_variant_get(whole, "$[2]", "variant").isNull()
+    is_text = F.schema_of_variant(F.try_variant_get(whole, "$[0].id", "variant")) == "STRING"
+    parsed = lines.select("line", closed.alias("closed"), F.when(closed & is_text, F.try_variant_get(whole, "$[0].id", "string")).alias("id"))
+    some = parsed.select("id", F.when(~F.col("closed"), F.col("line")).alias("odd")).filter("id is not null or odd is not null")
+    ids = some.mapInArrow(_odd_ids, "id string").filter("id is not null")
     return ids.select(F.element_at(F.split("id", "_"), 1).alias("doc_id")).distinct()
 
 

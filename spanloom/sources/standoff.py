@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import fnmatch
+import hashlib
 import json
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import doc_id_from_name
+from spanloom.session import qualified
 
 #: A text-bound line: id, label, fragments, surface.
 LINE = r"^(T\d+)\t(\S+) (\d+ \d+(?:;\d+ \d+)*)\t(.*)$"
@@ -24,8 +30,40 @@ def files(spark: SparkSession, path: str, pattern: str = "*text*.txt", recursive
     return reader.load(path).select("path", name.alias("name"), doc_id_from_name(F.col("path")).alias("doc_id"))
 
 
+#: Bytes of a file that are held at once for its digest.
+BLOCK = 1 << 20
+
+
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """path, length and sha256 of the files below a folder, empty ones too; names that begin with a dot or an underscore are left out, as Spark's readers do.
+
+    One task lists the folder (names and lengths alone), and the files are dealt out; each is read as a stream, a block at a time, so a file may be larger than the memory of
+    its task. A digest needs the bytes in order, so a file is one task's work. Streams are those of pyarrow: local and HDFS paths, and the object stores it knows.
+    """
+    root_uri = qualified(spark, path)
+    scheme = re.sub(r"^file://$", "file:", re.match(r"[a-z0-9+.-]+://[^/]*", root_uri)[0])  # as Spark writes paths
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                store, root = fs.FileSystem.from_uri(root_uri)
+                found = [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File and f.base_name[0] not in "._" and fnmatch.fnmatch(f.base_name, pattern)]
+                yield pa.RecordBatch.from_arrays([pa.array([scheme + f.path for f in found], pa.string()), pa.array([f.size for f in found], pa.int64())], names=["path", "length"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = fs.FileSystem.from_uri(root_uri)
+        for batch in batches:
+            digests = []
+            for own in batch.column("path").to_pylist():
+                digest = hashlib.sha256()
+                with store.open_input_stream(own.removeprefix(scheme)) as stream:
+                    while block := stream.read(BLOCK):
+                        digest.update(block)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=["path", "length", "sha256"])
+
+    names = spark.range(0, 1, 1, 1).mapInArrow(listed, "path string, length long")
+    return names.repartition(F.col("path")).mapInArrow(run, "path string, length long, sha256 string")
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:

@@ -5,17 +5,19 @@ from __future__ import annotations
 import io
 import json
 import re
+import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from functools import reduce
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.release import COLUMNS
+from spanloom.session import qualified
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -101,15 +103,6 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row_no int, source_type string, target_label string")
 
 
-def workbook(rows: list[tuple[str, ...]]) -> bytes:
-    """A workbook with the rows on its first sheet, all cells as text."""
-    cells = ["<row>" + "".join(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(c)}</t></is></c>' for c in row) + "</row>" for row in rows]
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as book:
-        book.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{"".join(cells)}</sheetData></worksheet>')
-    return out.getvalue()
-
-
 # --- single files ----------------------------------------------------------------------------------------------------------
 
 
@@ -118,14 +111,45 @@ def _path(spark: SparkSession, path: str):
     return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
 
 
-def write_one_file(lines: DataFrame, path: str, order: list[str]) -> None:
-    """The column value of lines as one text file, in order. For exports of a size that one task can write."""
-    spark = lines.sparkSession
-    lines.repartition(1).sortWithinPartitions(*order).select("value").write.text(f"{path}.parts")
-    store, folder = _path(spark, f"{path}.parts")
-    part = next(s.getPath() for s in store.listStatus(folder) if s.getPath().getName().startswith("part-"))
-    store.rename(part, _path(spark, path)[1])
-    store.delete(folder, True)
+def write_in_order(lines: DataFrame, folder: str, order: list[str], ends: Mapping[str, tuple[str, str]]) -> None:
+    """For each name of ends one text file in folder: its lines (columns file and value) in order, between a first and a last line ('' for none). Other files are left out.
+
+    Tasks write ranges of the order as parts, in one job for all files, through Spark's own committer: a task that fails leaves no part, and a job that fails no
+    file. Then the parts of a file are joined, as streams through a fixed buffer (a file in one piece has one writer), and it gets its name last, when it is whole.
+    """
+    spark, names = lines.sparkSession, list(ends)
+    number = F.element_at(F.create_map(*[F.lit(x) for i, name in enumerate(names) for x in (name, i)]), F.col("file"))
+    parts = f"{folder}/.parts-{uuid.uuid4().hex}"
+    store, whole = _path(spark, parts)
+    try:
+        own = lines.withColumn("file", number).filter("file is not null").repartitionByRange("file", *order).sortWithinPartitions("file", *order)
+        own.select("file", "value").write.partitionBy("file").text(parts)
+        for i, name in enumerate(names):
+            _join_parts(spark, f"{parts}/file={i}", f"{parts}/whole-{i}", f"{folder}/{name}", ends[name])
+    finally:
+        store.delete(whole, True)
+
+
+def _join_parts(spark: SparkSession, folder: str, staging: str, path: str, ends: tuple[str, str]) -> None:
+    store, target = _path(spark, path)
+    unnamed, own = _path(spark, staging)[1], _path(spark, folder)[1]
+    parts = sorted((s.getPath() for s in store.listStatus(own)), key=lambda p: p.getName()) if store.exists(own) else []
+    out = store.create(unnamed, True)
+    try:
+        for piece in (ends[0], *parts, ends[1]):
+            if not isinstance(piece, str):
+                part = store.open(piece)
+                try:
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+                finally:
+                    part.close()
+            elif piece:
+                out.write(bytearray((piece + "\n").encode()))
+    finally:
+        out.close()
+    store.mkdirs(target.getParent())
+    store.delete(target, False)
+    store.rename(unnamed, target)
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
@@ -138,33 +162,50 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
 
 
 def write_files(files: DataFrame, folder: str) -> int:
-    """Writes files (path below folder, content string), each by the task that holds it, and returns how many. A task that runs again writes the same again."""
+    """Writes files (path below folder, content string), each by the task that holds it, and returns how many. A file gets its name when it is whole; a task that runs again writes the same again."""
+    root_uri = qualified(files.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(root_uri)
+        made = set()
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                store.create_dir(f"{root}/{path}".rsplit("/", 1)[0], recursive=True)
-                with store.open_output_stream(f"{root}/{path}") as out:
+                target = f"{root}/{path}"
+                parent, name = target.rsplit("/", 1)
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
+                unnamed = f"{parent}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(unnamed) as out:
                     out.write((content or "").encode())
+                store.move(unnamed, target)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     return files.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_split_arrays(records: DataFrame, order: str, path: str, splits: tuple[str, ...] = ("train", "eval", "test")) -> None:
-    """One JSON array for each split, <split>.json, in the order of a column of distinct values, and summary.json with the number of records of each."""
-    spark = records.sparkSession
+    """One JSON array for each split, <split>.json, in the order of a column of distinct values, and summary.json with the number of records of each. All arrays come from one job."""
     rest = [c for c in records.columns if c != "split"]
-    counts = {r["split"]: r["n"] for r in records.groupBy("split").agg(F.count("*").alias("n")).collect()}  # a row for each split
-    for split in splits:
-        own = records.filter(F.col("split") == split)
-        last = own.agg(F.max(order).alias("last"))  # one row
-        line = F.concat(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), F.when(F.col(order) == F.col("last"), "").otherwise(","))
-        body = own.join(F.broadcast(last)).select(F.lit(1).alias("part"), F.col(order).alias("at"), line.alias("value"))
-        ends = spark.createDataFrame([(0, "["), (2, "]")], "part int, value string").select("part", F.lit(None).cast(body.schema["at"].dataType).alias("at"), "value")
-        write_one_file(body.unionByName(ends), f"{path}/{split}.json", ["part", "at"])
-    write_bytes(spark, f"{path}/summary.json", json.dumps({s: counts.get(s, 0) for s in splits}).encode())
+    found = {r["split"]: r for r in records.groupBy("split").agg(F.count("*").alias("n"), F.max(order).alias("last")).collect()}  # a row for each split
+    is_last = reduce(Column.__or__, [(F.col("split") == s) & (F.col(order) == found[s]["last"]) for s in splits if s in found], F.lit(False))
+    line = F.concat(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), F.when(is_last, "").otherwise(","))
+    lines = records.select(F.concat("split", F.lit(".json")).alias("file"), F.col(order).alias("at"), line.alias("value"))
+    write_in_order(lines, path, ["at"], {f"{s}.json": ("[", "]") for s in splits})
+    write_bytes(records.sparkSession, f"{path}/summary.json", json.dumps({s: found[s]["n"] if s in found else 0 for s in splits}).encode())
+
+
+def write_manifest(digests: DataFrame, path: str) -> None:
+    """Digests (path, sha256) as lines of the digest, two blanks and the path."""
+    digests.select(F.concat("sha256", F.lit("  "), "path").alias("value")).write.text(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """path and sha256 of the lines of a manifest; a path may be marked as binary by an asterisk. Other lines are an error."""
+    pattern = r"^([0-9a-fA-F]{64}) [ *](.+)$"
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    checked = F.when(F.rlike("value", F.lit(pattern)), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no line of a manifest: "), "value")).cast("string"))
+    return lines.select(checked.alias("value")).select(F.regexp_extract("value", pattern, 2).alias("path"), F.lower(F.regexp_extract("value", pattern, 1)).alias("sha256"))
 
 
 def write_settings(spark: SparkSession, settings: dict, path: str) -> None:

@@ -1,13 +1,17 @@
 """Readers and writers on small files of our own."""
 
+import hashlib
 import json
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import integrity, release
-from spanloom.sources import jsonl, standoff, tables
+from spanloom.operators import integrity, matching, release, structure
+from spanloom.plans import files
+from spanloom.session import qualified, shared_folder
+from spanloom.sources import formats, jsonl, standoff, tables
 from spanloom.streaming import validators
 
 
@@ -37,6 +41,42 @@ def test_split_ids(spark, tmp_path):
     assert jsonl.split_ids(spark, str(tmp_path / "none.json")).count() == 0
 
 
+def test_split_ids_are_those_that_a_strict_parser_reads(spark, tmp_path):
+    lines = [
+        '{"id": "1_0"} trailing', '{"id": 2}', '{"id": "3_0"', '{"id": null}', '"id"', '[{"id": "4_0"}]', ' \t{"id": "5_0"} ', '{"id": "x", "id": "6_1"}', '{"id": "7_0", "v": NaN}', "{'id': '8'}", '{"id": "9\\u0041_0"}', '{"id": "10_0",}',
+        '{"id": "11_0"}{"id": "12_0"}', '{"id": "13_0"} {"id": "14_0"}', '{"id": "15"}, "end"', '{"id": "16"}, "end"] x', '{"id": "17"}] []', '{"a": {"id": "18"}}', '{"id": ""}', '{"id": "_19"}', '{"id": true}', '{"id": "20", "v": -Infinity}', '{"id": "21", "v": 01}', "", "  ", "{}", '{"id": ["22_0"]}', '{"id": "23_1_2"}',
+    ]
+    expected = set()
+    for line in "\n".join(lines).replace("}{", "}\n{").split("\n"):
+        try:
+            expected.add(json.loads(line)["id"].split("_")[0])
+        except (ValueError, KeyError, TypeError, AttributeError):
+            pass
+    (tmp_path / "s.json").write_text("\n".join(lines))
+    assert {r.doc_id for r in jsonl.split_ids(spark, str(tmp_path / "s.json")).collect()} == expected == {"5", "6", "7", "9A", "11", "12", "", "20", "23"}
+
+
+def test_record_numbers_over_files_of_several_splits(spark, tmp_path):
+    """Numbers run on from file to file, each once; two such folders are paired by them."""
+    sides = {"gold": [700, 0, 1, 900], "pred": [1200, 350]}
+    for name, sizes in sides.items():
+        (tmp_path / name).mkdir()
+        at = 0
+        for i, n in enumerate(sizes):
+            (tmp_path / name / f"part-{i}.jsonl").write_text("".join(json.dumps({"id": f"{at + k}", "pad": "x" * ((at + k) % 53)}) + "\n" for k in range(n)))
+            at += n
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        gold, pred = (jsonl.strict_jsonl(spark, str(tmp_path / name), "id string, pad string") for name in sides)
+        assert sorted((r.record_no, r.id) for r in gold.collect()) == [(i, str(i)) for i in range(1601)]
+        both = matching.aligned_records(gold, pred).select("record_no", "gold.id", F.col("pred.id").alias("other")).collect()
+        assert sorted(map(tuple, both)) == [(i, str(i), str(i)) for i in range(1550)]
+        assert [r.record_no for r in matching.unaligned_records(gold, pred).orderBy("record_no").collect()] == list(range(1550, 1601))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_labels(spark, tmp_path):
     (tmp_path / "labels.txt").write_text(" B \n\nA\n")
     assert [(r.label_id, r.label) for r in jsonl.label_list(spark, str(tmp_path / "labels.txt")).orderBy("label_id").collect()] == [(0, "B"), (1, "A")]
@@ -56,7 +96,7 @@ def test_workbook(spark, tmp_path):
         book.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>type</t></si><si><t>Body</t></si><si><r><t>Or</t></r><r><t>gan</t></r></si></sst>")
         book.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row><c t="s"><v>0</v></c><c><v>x</v></c></row><row><c t="s"><v>1</v></c><c t="s"><v>2</v></c></row><row><c r="B3"><v>0.0</v></c></row></sheetData></worksheet>')
     assert [tuple(r) for r in tables.read_mapping(spark, str(tmp_path / "m.xlsx")).collect()] == [(1, "Body", "Organ")]
-    tables.write_bytes(spark, str(tmp_path / "n.xlsx"), tables.workbook([("type", "label"), ("A <b>", "x"), ("", "y"), ("A <b>", "z")]))
+    tables.write_bytes(spark, str(tmp_path / "n.xlsx"), files.workbook([("type", "label"), ("A <b>", "x"), ("", "y"), ("A <b>", "z")]))
     assert [tuple(r) for r in tables.read_mapping(spark, str(tmp_path / "n.xlsx")).collect()] == [(1, "A <b>", "x"), (3, "A <b>", "z")]
     tied = spark.createDataFrame([(1, "b", "Z"), (2, "a", "A"), (3, "c", "A"), (4, "d", "Z"), (5, "e", "M")], "row_no int, source_type string, target_label string")
     assert [r.target_label for r in integrity.top_targets(tied, "row_no").collect()] == ["Z", "A", "M"]  # of equal counts the first to appear
@@ -90,6 +130,105 @@ def test_split_arrays_and_run_files(spark, tmp_path):
     assert json.loads((tmp_path / "m.json").read_text()) == {"f1": 0.5, "n": 2}
 
 
+def test_files_in_order_from_many_tasks(spark, tmp_path):
+    df = spark.range(0, 5000, 1, 13).select((F.col("id") % 3).cast("string").alias("file"), (F.col("id") * 7919 % 5003).alias("at")).withColumn("value", F.concat(F.lit("é"), "at"))
+    tables.write_in_order(df, str(tmp_path / "out"), ["at"], {"0": ("<", ">"), "2": ("", ""), "none": ("a", "b")})
+    read = lambda name: (tmp_path / "out" / name).read_text().splitlines()
+    rows = lambda k: ["é" + str(x) for x in sorted(i * 7919 % 5003 for i in range(k, 5000, 3))]
+    assert read("0") == ["<", *rows(0), ">"] and read("2") == rows(2) and read("none") == ["a", "b"]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")) == ["0", "2", "none"]
+    plan = df.repartitionByRange("file", "at")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_a_task_that_fails_leaves_no_file(spark, tmp_path):
+    broken = F.when(F.col("id") == 4321, F.raise_error(F.lit("killed")).cast("string")).otherwise(F.col("id").cast("string"))
+    df = spark.range(0, 5000, 1, 8).select(F.lit("a").alias("file"), F.col("id").alias("at"), broken.alias("value"))
+    with pytest.raises(Exception, match="killed"):
+        tables.write_in_order(df, str(tmp_path / "out"), ["at"], {"a": ("[", "]")})
+    assert list(tmp_path.glob("out/*")) == list(tmp_path.glob("out/.parts*")) == []
+    with pytest.raises(Exception, match="killed"):
+        tables.write_split_arrays(df.select("at", "value", F.lit("train").alias("split")), "at", str(tmp_path / "arrays"))
+    assert list(tmp_path.glob("arrays/*")) == list(tmp_path.glob("arrays/.parts*")) == []
+
+
+def test_digests_of_files_against_a_manifest(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(standoff, "BLOCK", 1000)
+    (tmp_path / "in/deep").mkdir(parents=True)
+    contents = {"a.bin": bytes(range(256)) * 50, "deep/b b.bin": b"", "c.bin": b"x"}
+    for name, data in contents.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    found = standoff.file_digests(spark, str(tmp_path / "in"))
+    relative = found.select(F.element_at(F.split("path", "/in/"), 2).alias("path"), "length", "sha256")
+    assert {(r.path, r.length, r.sha256) for r in relative.collect()} == {(n, len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}
+    (tmp_path / "sums").write_text("\n".join([f"{hashlib.sha256(contents['a.bin']).hexdigest().upper()} *a.bin", f"{'0' * 64}  deep/b b.bin", f"{'1' * 64}  gone", ""]))
+    manifest = tables.read_manifest(spark, str(tmp_path / "sums"))
+    assert {tuple(r) for r in integrity.checksum_errors(relative, manifest).collect()} == {("deep/b b.bin", "mismatch"), ("gone", "missing"), ("c.bin", "not listed")}
+    (tmp_path / "bad").write_text("no digest\n")
+    with pytest.raises(Exception, match="no line of a manifest"):
+        tables.read_manifest(spark, str(tmp_path / "bad")).collect()
+
+
+def test_formats(spark, tmp_path):
+    """Annotation files and workbooks through formats of their own, over several partitions, and files that arrive one after another."""
+    formats.register(spark)
+    files_in = tmp_path / "in"
+    files_in.mkdir()
+    for i in range(6):
+        (files_in / f"0text{i}.ann").write_bytes(f"T1\tGene {i} 5\tab\r\nT4\tCell 116 138;93 98\tx y\r\n\r\nR1\tother".encode())
+    (files_in / "0text7.txt").write_text("T1\tGene 1 5\tab")
+    read = lambda: spark.read.format("standoff").option("partitionBytes", 100).load(qualified(spark, str(files_in)))
+    assert read().rdd.getNumPartitions() > 1
+    assert sorted(map(str, read().collect())) == sorted(map(str, standoff.annotations(spark, str(files_in)).collect()))
+    assert spark.read.format("standoff").load(str(tmp_path / "nowhere")).count() == 0
+    run = lambda: validators.run_to_end(spark.readStream.format("standoff").option("partitionBytes", 100).load(str(files_in)).select("doc_id", "ann_id"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    run()
+    out = lambda: sorted(tuple(r) for r in spark.read.schema("doc_id string, ann_id string").parquet(str(tmp_path / "out")).collect())
+    assert out() == [(str(i), a) for i in range(6) for a in ("T1", "T4")]
+    (files_in / "5text8.ann").write_text("T9\tGene 1 5\tab")
+    run()
+    assert out() == sorted([(str(i), a) for i in range(6) for a in ("T1", "T4")] + [("8", "T9")])
+    for i in range(3):
+        tables.write_bytes(spark, str(tmp_path / f"books/{i}.xlsx"), files.workbook([("type", "label"), (f"A{i}", "x"), ("", "y")]))
+    books = spark.read.format("mapping-workbook").option("partitionBytes", 1).load(str(tmp_path / "books"))
+    assert books.rdd.getNumPartitions() == 3 and sorted(map(tuple, books.collect())) == [(f"{i}.xlsx", 1, f"A{i}", "x") for i in range(3)]
+
+
+def test_mentions_of_documents_in_their_sentences(spark, monkeypatch):
+    """Both directions, over the edges of sentences and buckets, empty mentions and empty sentences."""
+    monkeypatch.setattr(structure, "BUCKET", 8)
+    rng = random.Random(4)
+    sentences, mentions, expected = [], [], []
+    for doc in range(30):
+        at, own = 0, []
+        for i in range(rng.randint(1, 8)):
+            n = rng.choice([0, 1, 5, 30])
+            own.append((doc, i, at, at + n))
+            at += n + 1
+        sentences += own
+        for k in range(20):
+            a = rng.randint(0, at)
+            b = min(at, a + rng.choice([0, 1, 4, 40]))
+            mentions.append((doc, a, b, k))
+            expected += [(doc, a, b, k, i, max(a, s) - s, min(b, e) - s, s <= a and b <= e) for _, i, s, e in own if (s <= a <= e if a == b else a < e and s < b)]
+    m = spark.createDataFrame(mentions, "doc_id int, start int, end int, k int")
+    s = spark.createDataFrame(sentences, "doc_id int, sent_idx int, document_start int, document_end int")
+    found = structure.to_sentence_offsets(m, s, ["doc_id"])
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    back = structure.to_document_offsets(found.filter("whole").select("doc_id", "sent_idx", "k", F.col("sentence_from").alias("start"), F.col("sentence_to").alias("end")), s, ["doc_id", "sent_idx"])
+    assert {(r.doc_id, r.k, r.document_from, r.document_to) for r in back.collect()} == {(d, k, a, b) for d, a, b, k, _, _, _, whole in expected if whole}
+
+
+def test_one_shared_folder_for_an_application(spark):
+    from types import SimpleNamespace as Plain
+
+    local = Plain(conf=Plain(get=lambda key, default: default), sparkContext=Plain(master="local[2]", applicationId="some-application"))
+    assert shared_folder(local) == shared_folder(local)
+    local.sparkContext.master = "yarn"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(local)
+
+
 def test_logger_and_seeds(spark, tmp_path):
     from spanloom import session
 

@@ -210,7 +210,7 @@ def test_lines_with_offsets(spark):
     from spanloom.functions.tiling import exploded, with_lines
 
     rows = [(1, "a\n\u00e9\U0001f600\n"), (2, ""), (3, None), (4, "\n\n"), (5, "x"), (6, "")]
-    found = exploded(with_lines(spark.createDataFrame(rows, "id int, text string")), ["id"], "lines").collect()
+    found = exploded(with_lines(spark.createDataFrame(rows, "id int, text string")), ["id"], "lines").drop("end").collect()
     expected = []
     for i, t in rows:
         at = 0
