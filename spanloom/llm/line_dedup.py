@@ -1,14 +1,14 @@
 """Line deduplication by a log-template tree.
 
 A line is parsed down a tree of fixed depth: by its number of tokens, then by its first DEPTH tokens, where a token that holds a digit or
-an at sign is a variable <*>. A leaf holds any number of templates. Its distinct lines are taken in the order of their first places: a line
-that agrees with no founder so far in at least SIMILAR of all its tokens, one by one and leading tokens included, founds a template.
-Every other line has the template of the founder it agrees with in most tokens (of equal ones, the earliest). A line of variables only
-is its own template, unmasked. The outcome depends on ids and texts alone, not on the order of rows.
+an at sign is a variable <*>. A leaf holds any number of templates. Its distinct lines are taken in the order of their first places. A line fits a template if it
+agrees with it in at least SIMILAR of its tokens, one by one, where a variable agrees with any token, and if at least CONSTANT of the tokens would stay constant. It joins the
+template that it agrees with in most tokens (of equal ones, the earliest), and every token in which it differs becomes a variable of it; a line that fits none founds a
+template. A line of variables only is its own template, unmasked. The outcome depends on ids and texts alone, not on the order of rows.
 
 Tokens are read again for lines whose leaf holds several distinct ones, by way of a bitmap of leaf hashes of fixed size; what it lets
-through besides falls out in the join. The distinct lines of a leaf meet in one task; large leaves compare a founder only with lines that share
-a part of the line with it, of which there is one more than tokens may differ, so that no similar line is passed over.
+through besides falls out in the join. The distinct lines of a leaf meet in one task; in a large leaf a line is compared only with templates that share a part of the line with it or
+have a variable there. There is one part more than tokens may differ, so that no template that fits is passed over.
 
 A template that recurs across documents is dropped everywhere but at its first place (smallest id, then first line), so that one copy of
 every passage stays. Lines of fewer than MIN_TOKENS tokens are left alone.
@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import dropped, row_key, written
+from spanloom.llm.shared import row_key, scratch, written
 from spanloom.llm.skew import join_unique
 from spanloom.llm.words import U, chunks, list_hashes, mix, split_words
 
-DEPTH, FIELDS, SIMILAR, MIN_TOKENS = 3, 8, 0.75, 3  # FIELDS: for the brute force of the tests alone
+DEPTH, FIELDS, SIMILAR, CONSTANT, MIN_TOKENS = 3, 8, 0.75, 0.5, 3  # FIELDS: for the brute force of the tests alone
 #: Words of 64 bits in the bitmap of leaves; distinct lines from which on a leaf is searched by parts.
 BITMAP_WORDS, LARGE = 1 << 19, 512
 _VARIABLE = np.zeros(256, dtype=bool)
@@ -112,23 +112,34 @@ def token_rows(docs: DataFrame, leaves: DataFrame) -> DataFrame:
 def founders(tokens: np.ndarray) -> np.ndarray:
     """For each line (a row of token hashes; rows in order of their first places) the row whose template it has."""
     m, n = tokens.shape
-    need = math.ceil(SIMILAR * n)
-    cuts = DEPTH + np.arange(n - need + 2) * (n - DEPTH) // (n - need + 1)
-    parts = []
-    if m >= LARGE and n - DEPTH > n - need:  # else every line agrees with the first in its leading tokens alone
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            h = list_hashes(tokens[:, a:b].reshape(-1), np.arange(m) * (b - a), np.arange(1, m + 1) * (b - a))
-            order = np.argsort(h, kind="stable")
-            parts.append((h, h[order], order))
-    of, most, rows = np.zeros(m, np.int64), np.zeros(m, np.int64), np.arange(m)
+    need, constant = math.ceil(SIMILAR * n), math.ceil(CONSTANT * n)
+    by_parts = m >= LARGE and n - DEPTH > n - need  # else every line fits the first template by its leading tokens alone
+    cuts = (DEPTH + np.arange(n - need + 2) * (n - DEPTH) // (n - need + 1)).tolist() if by_parts else []
+    hashes = [list_hashes(tokens[:, a:b].reshape(-1), np.arange(m) * (b - a), np.arange(1, m + 1) * (b - a)).tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+    held: list[dict[int, list[int]]] = [{} for _ in hashes]  # templates by the hash of each part, as founded
+    loose: list[list[int]] = [[] for _ in hashes]  # templates with a variable in it
+    fixed, free, of, founded, count = np.zeros_like(tokens), np.zeros((m, n), dtype=bool), np.arange(m), np.zeros(m, np.int64), 0
     for i in range(m):
-        if most[i]:
-            continue
-        if parts:
-            rows = np.unique(np.concatenate([order[np.searchsorted(ranked, h[i]) : np.searchsorted(ranked, h[i], "right")] for h, ranked, order in parts]))
-        agree = (tokens[rows] == tokens[i]).sum(1)
-        better = (agree >= need) & (agree > most[rows])
-        of[rows[better]], most[rows[better]] = i, agree[better]
+        if by_parts:
+            rows = np.unique(np.array([t for part, some, h in zip(held, loose, hashes) for t in (*part.get(h[i], ()), *some)], dtype=np.int64))
+        else:
+            rows = np.arange(count)
+        same, open_ = fixed[rows] == tokens[i], free[rows]
+        agree = (same | open_).sum(1)
+        fit = np.flatnonzero((agree >= need) & ((same & ~open_).sum(1) >= constant))
+        if len(fit):
+            best = int(rows[fit[np.argmax(agree[fit])]])
+            of[i] = founded[best]
+            new = ~free[best] & (fixed[best] != tokens[i])
+            for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+                if new[a:b].any() and not free[best, a:b].any():
+                    loose[p].append(best)
+            free[best] |= new
+        else:
+            fixed[count], founded[count] = tokens[i], i
+            for part, h in zip(held, hashes):
+                part.setdefault(h[i], []).append(count)
+            count += 1
     return of
 
 
@@ -181,16 +192,17 @@ def templates(lines: DataFrame, docs: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """A written table of dedup_key and the array of line numbers (from 0) that go."""
-    lines = written(line_rows(docs), "lines")
-    found = written(templates(lines, docs), "templates")
-    recurring = found.groupBy("template").agg(F.min("first").alias("place"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("members")).filter("low <> high").select("template", "place", "members")
-    shared = written(recurring, "recurring")
-    places = written(join_unique(found, shared, ["template"], "members", found.count()).select("leaf", "exact", "size", "place"), "places")
-    hit = join_unique(lines.select("leaf", "exact", "dedup_key", "id", "line"), places, ["leaf", "exact"], "size", lines.count())
-    gone = hit.filter(~((F.col("place.dedup_key") == F.col("dedup_key")) & (F.col("place.line") == F.col("line"))))
-    out = written(gone.groupBy("dedup_key").agg(F.collect_set("line").alias("dedup_lines")), "gone")
-    dropped(lines, found, shared, places)
-    return out
+    with scratch() as needed:
+        lines = written(line_rows(docs), "lines")
+        found = written(templates(lines, docs), "templates")
+        recurring = found.groupBy("template").agg(F.min("first").alias("place"), F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("members")).filter("low <> high").select("template", "place", "members")
+        shared = written(recurring, "recurring")
+        places = written(join_unique(found, shared, ["template"], "members", found.count()).select("leaf", "exact", "size", "place"), "places")
+        hit = join_unique(lines.select("leaf", "exact", "dedup_key", "id", "line"), places, ["leaf", "exact"], "size", lines.count())
+        gone = hit.filter(~((F.col("place.dedup_key") == F.col("dedup_key")) & (F.col("place.line") == F.col("line"))))
+        out = written(gone.groupBy("dedup_key").agg(F.collect_set("line").alias("dedup_lines")), "gone")
+        needed.append(out)
+        return out
 
 
 def line_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -30,16 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.shared import dropped, row_key, written
+from spanloom.llm.shared import dropped, row_key, scratch, written
 from spanloom.llm.skew import join_unique
 from spanloom.llm.words import U, Words, chunks, joined, mix, range_hashes, split_words
 
 SHINGLE, SIMILAR, BANDS, ROWS, DARTS_PER_COORDINATE, HUB_ROUNDS = 5, 0.8, 20, 5, 8, 1
 #: Buckets of up to LIGHT nodes are compared pair by pair, larger ones in blocks of about BLOCK nodes or BLOCK_BYTES of shingle ids.
 LIGHT, BLOCK, BLOCK_BYTES = 32, 1024, 16 << 20
+#: Keys of 16 bytes that may be broadcast.
+BROADCAST_KEYS = 250_000
 _POISSON = np.cumsum([np.exp(-1) / np.prod(np.arange(1, i + 1, dtype=float)) for i in range(18)])
 
 
@@ -252,58 +254,66 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: id, class_id (smallest id of its class), class_size, kept (one row of each class), copies (rows with the same words)."""
-    texts = docs.select(row_key(F.col(id_column), F.col(text_column)).alias("key"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    rows = written(node_rows(texts), "rows")
-    nodes = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("lead"), F.count("*").alias("size"), F.first("bands").alias("bands"))
-    nodes = written(nodes.select("digest", F.col("lead.key").alias("key"), F.col("lead.id").alias("first_id"), "size", "bands", F.monotonically_increasing_id().alias("node")), "nodes")
-    members = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = written(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "buckets", narrow=True)
-    total = nodes.count() * BANDS
-    inside = written(join_unique(members, buckets, ["band"], "n", total), "inside", narrow=True)
-    involved = inside.select("node").distinct().join(nodes.select("node", "key", "digest"), "node")
-    sets = written(shingle_ids(texts.select("key", "text").join(involved.hint("shuffle_hash"), "key")).dropDuplicates(["node"]), "sets")
-    tested = verified(written(inside.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs", narrow=True), sets)
-    links = tested.filter(F.col("similarity") >= SIMILAR)
-    label = components(links)
-    for step in range(HUB_ROUNDS + 1):
-        placed = inside.select("node", "band", "hub").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", F.hash(F.col("node"), F.lit(step))).alias("next"), F.count("*").alias("n")).filter("low <> high")
-        unresolved = written(join_unique(placed, written(open_bands.select("band", "next", "n"), "open", narrow=True), ["band"], "n", total), "unresolved", narrow=True)
-        if step < HUB_ROUNDS:
-            pairs = unresolved.filter("node <> next").select(F.col("node").alias("a"), F.col("next").alias("b"))  # verified() salts hubs, which stand in b
-            fresh = unresolved.limit(0).select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        else:
-            light = F.col("n") <= LIGHT
-            near = tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("far"))
-            side = unresolved.filter(light).join(near, ["node", "hub"], "left").withColumn("far", F.coalesce("far", F.when(F.col("node") == F.col("hub"), 0.0)))
-            x, y = side.alias("x"), side.alias("y")
-            apart = F.col("x.far").isNull() | F.col("y.far").isNull() | (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - SIMILAR + 1e-3)
-            joined = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & apart)
-            pairs = joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            fresh = written(heavy_links(unresolved.filter(~light), sets), "heavy")
-        done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        found = verified(written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs", narrow=True), sets)
-        tested = tested.unionByName(found)
-        fresh = fresh.unionByName(found.filter(F.col("similarity") >= SIMILAR).select("a", "b"))
-        if fresh.limit(1).count():
-            links = links.select("a", "b").unionByName(fresh)
-            label = components(links)
-    named = nodes.select("node", "digest", "key", "first_id", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("best"))
-    classed = written(named.join(classes, "component").select("digest", "size", "class_id", "class_size", F.when(F.col("best.node") == F.col("node"), F.col("key")).alias("lead_key")), "classes")
-    dropped(nodes, buckets, inside, sets)
-    out = join_unique(rows.select("key", "id", "digest"), classed, ["digest"], "size", rows.count())
-    return out.select(
-        F.col("id").alias(id_column), "class_id", "class_size", F.col("key").eqNullSafe(F.col("lead_key")).alias("kept"), F.col("size").alias("copies"), F.col("key").alias("dedup_key")
-    )
+    with scratch() as needed:
+        texts = docs.select(row_key(F.col(id_column), F.col(text_column)).alias("key"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+        rows = written(node_rows(texts), "rows")
+        nodes = rows.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("lead"), F.count("*").alias("size"), F.first("bands").alias("bands"))
+        nodes = written(nodes.select("digest", F.col("lead.key").alias("key"), F.col("lead.id").alias("first_id"), "size", "bands", F.monotonically_increasing_id().alias("node")), "nodes")
+        members = nodes.select("node", F.explode("bands").alias("band"))
+        buckets = written(members.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "buckets", narrow=True)
+        total = nodes.count() * BANDS
+        inside = written(join_unique(members, buckets, ["band"], "n", total), "inside", narrow=True)
+        involved = inside.select("node").distinct().join(nodes.select("node", "key", "digest"), "node")
+        sets = written(shingle_ids(texts.select("key", "text").join(involved.hint("shuffle_hash"), "key")).dropDuplicates(["node"]), "sets")
+        tested = verified(written(inside.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs", narrow=True), sets)
+        links = tested.filter(F.col("similarity") >= SIMILAR)
+        label = components(links)
+        for step in range(HUB_ROUNDS + 1):
+            placed = inside.select("node", "band", "hub").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            open_bands = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", F.hash(F.col("node"), F.lit(step))).alias("next"), F.count("*").alias("n")).filter("low <> high")
+            unresolved = written(join_unique(placed, written(open_bands.select("band", "next", "n"), "open", narrow=True), ["band"], "n", total), "unresolved", narrow=True)
+            if step < HUB_ROUNDS:
+                pairs = unresolved.filter("node <> next").select(F.col("node").alias("a"), F.col("next").alias("b"))  # verified() salts hubs, which stand in b
+                fresh = unresolved.limit(0).select(F.col("node").alias("a"), F.col("hub").alias("b"))
+            else:
+                light = F.col("n") <= LIGHT
+                near = tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("far"))
+                side = unresolved.filter(light).join(near, ["node", "hub"], "left").withColumn("far", F.coalesce("far", F.when(F.col("node") == F.col("hub"), 0.0)))
+                x, y = side.alias("x"), side.alias("y")
+                apart = F.col("x.far").isNull() | F.col("y.far").isNull() | (F.abs(F.col("x.far") - F.col("y.far")) <= 1 - SIMILAR + 1e-3)
+                joined = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & apart)
+                pairs = joined.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+                fresh = written(heavy_links(unresolved.filter(~light), sets), "heavy")
+            done = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            found = verified(written(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs", narrow=True), sets)
+            tested = tested.unionByName(found)
+            fresh = fresh.unionByName(found.filter(F.col("similarity") >= SIMILAR).select("a", "b"))
+            if fresh.limit(1).count():
+                links = links.select("a", "b").unionByName(fresh)
+                label = components(links)
+        named = nodes.select("node", "digest", "key", "first_id", "size").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = written(named, "named", narrow=True)
+        classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("size").alias("class_size"), F.min(F.struct(F.col("first_id").isNull(), "first_id", "node")).alias("best"), F.count("*").alias("nodes"))
+        whole = join_unique(named, written(classes, "components", narrow=True), ["component"], "nodes", named.count())
+        classed = written(whole.select("digest", "size", "class_id", "class_size", F.when(F.col("best.node") == F.col("node"), F.col("key")).alias("lead_key")), "classes")
+        out = join_unique(rows.select("key", "id", "digest"), classed, ["digest"], "size", rows.count())
+        needed += [rows, classed]
+        return out.select(
+            F.col("id").alias(id_column), "class_id", "class_size", F.col("key").eqNullSafe(F.col("lead_key")).alias("kept"), F.col("size").alias("copies"), F.col("key").alias("dedup_key")
+        )
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stay: one of each class."""
-    keep = near_classes(docs, id_column, text_column).filter("kept").select("dedup_key").distinct()
+    keep = written(near_classes(docs, id_column, text_column).filter("kept").groupBy("dedup_key").agg(F.count("*").alias("rows")), "kept")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col(id_column), F.col(text_column)).alias("dedup_key"))
-    alike = Window.partitionBy("dedup_key").orderBy(F.monotonically_increasing_id())
-    first = packed.join(keep, "dedup_key", "left_semi").withColumn("nth", F.row_number().over(alike)).filter("nth = 1")
+    first = packed.join(keep.filter("rows = 1"), "dedup_key", "left_semi").select("row")
+    again = keep.filter("rows > 1").select("dedup_key")
+    if again.limit(1).count():
+        # Rows of one id and text: that with the smallest hash of its other columns, chosen before rows are shuffled, so that a key with many rows is one row a task.
+        others = [F.col(f"row.`{f.name}`") for f in docs.schema if f.name not in (id_column, text_column) and "map<" not in f.dataType.simpleString()]
+        rest = packed.join(F.broadcast(again) if again.count() <= BROADCAST_KEYS else again, "dedup_key", "left_semi")
+        first = first.unionByName(rest.groupBy("dedup_key").agg(F.min_by("row", F.xxhash64(*others) if others else F.lit(0)).alias("row")).select("row"))
     return first.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,9 +43,28 @@ def written(df: DataFrame, name: str, narrow: bool = False, by: tuple[str, ...]
     df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _noted:
+        _noted[-1].append(out)
     return out
 
 
+_noted: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Deletes, when it ends, the tables that were written within it, but for those added to the list it gives: what the result still reads. After an error all stay."""
+    needed: list[DataFrame] = []
+    _noted.append([])
+    try:
+        yield needed
+    except BaseException:
+        _noted.pop()
+        raise
+    stay = {t.written_to for t in needed}
+    dropped(*[t for t in _noted.pop() if t.written_to not in stay])
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables of written() from which nothing that is still to run derives."""
     for table in tables:

@@ -277,24 +277,46 @@ def test_line_dedup_equals_brute_force(spark, documents):
     assert sorted((str(r.row.doc_id), r.text) for r in again) == [("1", ""), ("1", ""), ("None", "a b c d")]
 
 
-def brute_templates(rows, similar=0.75):
-    """Lines that go when a leaf keeps any number of templates: token by token on Python strings, without fields or majorities."""
+def brute_templates(rows, similar=0.75, constant=0.5):
+    """Lines that go when a leaf keeps any number of templates that generalise with every line: token by token on Python strings."""
     places = {}
     for doc, text in rows:
         for at, line in enumerate((text or "").split("\n")):
             masked = tuple("<*>" if re.search(r"[0-9@]", t) else t for t in WORD.findall(line))
             if len(masked) >= 3 and set(masked) != {"<*>"}:
                 places.setdefault(masked, []).append((doc, at))
-    agree = lambda a, b: sum(x == y for x, y in zip(a, b))
-    near = lambda a, b: len(a) == len(b) and a[:3] == b[:3] and agree(a, b) >= similar * len(a)
-    order, kept = sorted(places, key=lambda m: min(places[m])), []
-    for m in order:
-        if not any(near(m, f) for f in kept):
-            kept.append(m)
-    groups = {}
-    for m in order:
-        groups.setdefault(max((f for f in kept if near(m, f)), key=lambda f: agree(m, f)), []).extend(places[m])
-    return {p for g in groups.values() if len({d for d, _ in g}) > 1 for p in g if p != min(g)}
+    leaves, groups = {}, []
+    for line in sorted(places, key=lambda m: min(places[m])):
+        own = leaves.setdefault((len(line), line[:3]), [])
+        agree = [sum(t in (None, x) for t, x in zip(template, line)) for template, _ in own]
+        fits = [i for i, (template, _) in enumerate(own) if agree[i] >= similar * len(line) and sum(t == x for t, x in zip(template, line)) >= constant * len(line)]
+        if fits:
+            template, group = own[max(fits, key=lambda i: (agree[i], -i))]
+            template[:] = [t if t == x else None for t, x in zip(template, line)]
+        else:
+            group = []
+            own.append((list(line), group))
+            groups.append(group)
+        group += places[line]
+    return {p for g in groups if len({d for d, _ in g}) > 1 for p in g if p != min(g)}
+
+
+def test_templates_generalise(spark, documents):
+    """The third line is too far from the first and the second, but fits what they have in common; later ones wear the template down no further than half of its tokens."""
+    base = "the page was opened by one of our guests in a hurry".split()
+
+    def line(*other):
+        return " ".join(f"other{k}{k * 'x'}" if k in other else w for k, w in enumerate(base)).translate(str.maketrans("0123456789", "abcdefghij"))
+
+    rows = [(1, line()), (2, line(9, 10, 11)), (3, line(8, 9, 10)), (4, line(7, 8, 9)), (5, line(6, 7)), (6, line(5, 6, 7)), (7, line(4, 5)), (8, line(3, 4))]
+    out = line_dedup.line_dedup(documents(rows)).filter("lines is not null").select("row.doc_id").collect()
+    assert {(r.doc_id, 0) for r in out} == brute_templates(rows)
+    assert (4, 0) in brute_templates(rows) and sum(a == b for a, b in zip(rows[0][1].split(), rows[3][1].split())) >= 9
+    third = [rows[0], rows[1], (3, " ".join(w if k not in (8, 9, 10, 11) else f"new{'xyz'[k % 3]}" for k, w in enumerate(base)))]
+    assert sum(a == b for a, b in zip(third[0][1].split(), third[2][1].split())) == 8 < 0.75 * 12
+    found = {r.row.doc_id: r.text for r in line_dedup.line_dedup(documents(third)).collect()}
+    assert found == {1: rows[0][1], 2: "", 3: ""} and brute_templates(third) == {(2, 0), (3, 0)}
+    assert brute_templates([third[0], third[2]]) == set() == {r.row.doc_id for r in line_dedup.line_dedup(documents([third[0], third[2]])).filter("lines is not null").collect()}
 
 
 def test_a_leaf_keeps_several_templates(spark, documents, monkeypatch):
@@ -346,3 +368,27 @@ def test_kept_digest_of_op5(spark):
     out = substring_dedup.op5_substring_dedup(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"]
     assert all(len(r.kept_sha256) == len(hashlib.sha256().hexdigest()) for r in out.limit(3).collect())
+
+
+def test_only_tables_that_results_read_stay(spark, documents, tmp_path, monkeypatch):
+    from spanloom.llm import shared
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(prose(rng, 60) if i % 3 else rng.choices(["a", "b"], k=50)) + "\nthe same line on every page") for i in range(30)] + [(90, "x y z " * 30), (91, "x y z " * 30)]
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: str(tmp_path))
+    for made, stay in ((near_dedup.near_classes, {"rows", "classes"}), (line_dedup.line_dedup, {"gone"}), (substring_dedup.substring_dedup, {"gone"})):
+        before = set(tmp_path.iterdir())
+        out = made(documents(rows))
+        assert {p.name.rsplit("-", 1)[0] for p in set(tmp_path.iterdir()) - before} == stay
+        assert out.count() == len(rows)
+
+
+def test_many_rows_of_one_id_and_text(spark):
+    """10,000 equal rows and ids whose rows differ in another column: one stays, the same on every partitioning."""
+    text = " ".join(prose(random.Random(4), 40))
+    rows = [(1, text, "same", "s", 1)] * 10_000 + [(2, text + " and more of it", x, "s", 1) for x in "abc"] + [(3, "other words here", "z", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [sorted(map(tuple, near_dedup.one_of_each(df.repartition(n)).collect())) for n in (1, 7)]
+    assert out[0] == out[1] and [r[0] for r in out[0]] == [1, 3]
+    twice = df.filter("doc_id = 2")
+    assert near_dedup.one_of_each(twice).collect() == near_dedup.one_of_each(twice.repartition(3)).collect() and near_dedup.one_of_each(twice).count() == 1
