@@ -1,17 +1,18 @@
 """Exact top-k inner-product search over KD-trees, one tree per shard.
 
-1. Cells: median splits of a bounded sample (SAMPLE vectors at most) cut space into cells; every vector is indexed, in
-   the shard of its cell. A cell with more rows than a shard should hold is dealt over several shards by row hash.
+1. Cells: median splits of a bounded sample (SAMPLE vectors at most) cut space into MAX_CELLS cells at most; every vector is indexed, in its cell. A cell with more rows
+   than a shard holds is dealt over several shards by row hash. A shard's size is fixed (SHARD_ROWS, SHARD_BYTES): it is their number that grows with the table.
 2. Trees: in each shard, median splits along the widest side of the tight bounding box, down to LEAF vectors. A node keeps its box.
-3. Each query has an order of its own over the shards: its own shard first, then by the bound of their boxes. It goes through it in waves of
-   1, FIRST, FIRST * GROWTH, ... shards; its k-th score and id, as improved so far, go along, and it ends where the next bound cannot beat them.
-4. Within a tree each query visits the leaves best first, by the bounds of their boxes, until its next bound falls below its k-th score. A
-   bound is never above that of the node over it, so this is the order in which a best-first search pops the leaves.
+3. Each query has an order of its own over the cells: its own cell first, then by the bound of their boxes. It goes through it in waves of
+   1, FIRST, FIRST * GROWTH, ... cells; its k-th score and id, as improved so far, go along, and it ends where the next bound cannot beat them. Within a cell it visits the
+   shards whose own boxes can still beat its k-th score.
+4. Within a tree each query starts at the root and goes on with its open node of the highest bound: an inner node gives way to its children, a leaf is scored.
+   It ends when that bound falls below its k-th score. Queries of a block take these steps side by side.
 The bound of a box for query q is the sum over dimensions of max(q*low, q*high): no vector in the box scores higher.
 A box that ties with the k-th score is visited, so ties by smaller id are exact.
 
-Only shard boxes reach all tasks: at most 2 * MAX_SHARDS boxes of 2 * dim numbers. A tree goes to the queries that visit its shard, once for each
-QUERY_BLOCK of them, so what is moved grows with the vectors and with the visits and not with their product.
+Only the boxes of cells reach all tasks: at most MAX_CELLS for each vector length, of 2 * dim numbers; those of shards are a table. A tree goes to the queries that visit its shard, once for
+each QUERY_BLOCK of them, so what is moved grows with the vectors and with the visits and not with their product.
 
 Defined cases: a vector that is null or holds null or a non-finite component takes no part, nor does a null id; vectors of
 different lengths are never compared; repeated rows are all candidates, except those with the query's own id; a query id on several
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.shared import dropped, written
 
-SAMPLE, MAX_SHARDS, SHARD_ROWS, LEAF, QUERY_BLOCK, FIRST, GROWTH = 16384, 4096, 8192, 256, 4096, 4, 4
+SAMPLE, MAX_CELLS, SHARD_ROWS, SHARD_BYTES, LEAF, QUERY_BLOCK, FIRST, GROWTH = 16384, 4096, 8192, 16 << 20, 256, 4096, 4, 4
+#: Queries whose bounds for all cells are held at once.
+ROUTE_BLOCK = 512
 _LONG = np.iinfo(np.int64)
 
 
@@ -134,28 +137,44 @@ def _slack(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return size * 2.0**-40
 
 
+def pair_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The bound of each query for its own box."""
+    return np.maximum(q * low, q * high).sum(1)
+
+
 def search_tree(tree: dict, qid: np.ndarray, q: np.ndarray, k: int, kth: np.ndarray, kth_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vec id, score) of what can be among the k best, given each query's k-th score and id so far."""
     n = len(qid)
     best_s = np.full((n, k), _LONG.min, dtype=np.int64)
     best_r = np.full((n, k), len(tree["ids"]), dtype=np.int64)  # rank of the id in the shard: smaller is better
     floor_s, floor_r = kth.copy(), np.searchsorted(tree["ids"], kth_id)
-    leaves = np.array([at for at, child in enumerate(tree["left"]) if child < 0])
-    low, high = tree["low"][leaves], tree["high"][leaves]
-    bounds = box_bounds(q, low, high) + _slack(q, low, high)[:, None]
-    order = np.argsort(-bounds, axis=1, kind="stable")
+    left, right = np.array(tree["left"]), np.array(tree["right"])
+    slack, real = _slack(q, tree["low"], tree["high"]), q.astype(np.float64)
+    low, high = tree["low"].astype(np.float64), tree["high"].astype(np.float64)
+    # The open nodes of each query: bounds and numbers, in the first used columns.
+    bound, node, used = np.full((n, 4), -np.inf), np.zeros((n, 4), dtype=np.int64), np.ones(n, dtype=np.int64)
+    bound[:, 0] = pair_bounds(real, low[:1], high[:1]) + slack
     active = np.arange(n)
-    for step in range(len(leaves)):
-        leaf = order[active, step]
-        still = bounds[active, leaf] >= floor_s[active]
-        active, leaf = active[still], leaf[still]
-        if not len(active):
-            break
+    while len(active):
+        place = bound[active].argmax(1)
+        still = bound[active, place] >= floor_s[active]
+        active, place = active[still], place[still]
+        at = node[active, place]
+        bound[active, place] = -np.inf
+        inner = left[at] >= 0
+        rows, parent = active[inner], at[inner]
+        if len(rows):
+            if used[rows].max() == bound.shape[1]:
+                bound, node = np.concatenate([bound, np.full_like(bound, -np.inf)], axis=1), np.concatenate([node, np.zeros_like(node)], axis=1)
+            for child, free in ((left[parent], place[inner]), (right[parent], used[rows])):
+                bound[rows, free], node[rows, free] = pair_bounds(real[rows], low[child], high[child]) + slack[rows], child
+            used[rows] += 1
+        asking, leaf = active[~inner], at[~inner]
         by_leaf = np.argsort(leaf, kind="stable")
         cuts = np.flatnonzero(np.diff(leaf[by_leaf])) + 1
-        for rows, which in zip(np.split(active[by_leaf], cuts), leaf[by_leaf][np.append(0, cuts)].tolist(), strict=True):
-            at = leaves[which]
-            a, b = tree["begin"][at], tree["stop"][at]
+        for rows in np.split(by_leaf, cuts) if len(leaf) else []:
+            which, rows = int(leaf[rows[0]]), asking[rows]
+            a, b = tree["begin"][which], tree["stop"][which]
             s = products(q[rows], tree["v"][a:b])
             rank = tree["perm"][a:b]
             good = ((s > floor_s[rows, None]) | ((s == floor_s[rows, None]) & (rank[None, :] < floor_r[rows, None]))) & (tree["ids"][rank][None, :] != qid[rows, None])
@@ -182,18 +201,27 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.int64).reshape(len(column), -1)
 
 
+def can_reach(v: F.Column, low: F.Column, high: F.Column, kth: F.Column) -> F.Column:
+    """Whether a box may hold a vector that scores kth or more for v, with slack for rounding; in built-in expressions."""
+    number = lambda x: x.cast("double")
+    sides = F.arrays_zip(v.alias("q"), low.alias("l"), high.alias("h"))
+    most = F.aggregate(sides, F.lit(0.0), lambda t, x: t + F.greatest(number(x["q"]) * number(x["l"]), number(x["q"]) * number(x["h"])))
+    size = F.aggregate(sides, F.lit(0.0), lambda t, x: t + F.abs(number(x["q"])) * F.greatest(F.abs(number(x["l"])), F.abs(number(x["h"]))))
+    return most + size * 2.0**-40 >= kth
+
+
 def topk_search(vectors: DataFrame, is_query: Callable, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest products of every row for which is_query(id column) holds."""
     base = written(quantised(vectors, id_column, vector_column).withColumn("dim", F.size("v")), "vectors")
     counts = {r["dim"]: r["n"] for r in base.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each vector length
     total = sum(counts.values())
+    hold = {dim: max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * max(dim, 1)))) for dim in counts}
     cells = {}
-    shard_rows = max(SHARD_ROWS, total // MAX_SHARDS)
     share = min(1.0, SAMPLE / max(total, 1))
     drawn = base.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).limit(2 * SAMPLE).select("dim", "v").toPandas()
     for dim, n in counts.items():
         seen = drawn["v"][drawn["dim"] == dim]
-        cells[dim] = split_cells(_matrix(seen), max(1, n // shard_rows)) if len(seen) else 0  # a length that the sample misses is one cell
+        cells[dim] = split_cells(_matrix(seen), max(1, min(MAX_CELLS, n // hold[dim]))) if len(seen) else 0  # a length that the sample misses is one cell
     session_cells = cells
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,21 +235,22 @@ def topk_search(vectors: DataFrame, is_query: Callable, k: int = 20, id_column:
             yield pdf.assign(cell=cell)
 
     placed = written(base.mapInPandas(place, "id long, v array<long>, dim int, cell long"), "placed")
-    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("n")).withColumn("pieces", F.ceil(F.col("n") / F.lit(shard_rows)).cast("int"))
-    cell_list = sizes.select("dim", "cell", "pieces").orderBy("dim", "cell").collect()  # at most MAX_SHARDS cells
-    pieces = spark_map(placed.sparkSession, [(r["dim"], r["cell"], r["pieces"]) for r in cell_list])
-    sharded = placed.join(F.broadcast(pieces), ["dim", "cell"]).select(
-        "id", "v", F.concat_ws("_", "dim", "cell", F.pmod(F.xxhash64("id", "v"), F.col("pieces"))).alias("shard")
-    )
+    sizes = placed.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect()  # at most MAX_CELLS rows for each length
+    pieces = spark_map(placed.sparkSession, [(r["dim"], r["cell"], -(-r["n"] // hold[r["dim"]])) for r in sizes])
+    sharded = placed.join(F.broadcast(pieces), ["dim", "cell"]).select("id", "v", F.concat_ws("_", "dim", "cell").alias("cell"), F.pmod(F.xxhash64("id", "v"), F.col("pieces")).alias("piece"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = build_tree(pdf["id"].to_numpy(np.int64), _matrix(pdf["v"]))
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "low": [tree["low"][0]], "high": [tree["high"][0]], "tree": [pickle.dumps(tree)]})
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "piece": [pdf["piece"].iloc[0]], "low": [tree["low"][0]], "high": [tree["high"][0]], "tree": [pickle.dumps(tree)]})
 
-    trees = written(sharded.groupBy("shard").applyInPandas(build, "shard string, low array<long>, high array<long>, tree binary"), "trees")
-    asked = sharded.filter(is_query(F.col("id"))).groupBy("id").agg(F.min(F.struct("v", "shard")).alias("q")).select(F.col("id").alias("query_id"), F.col("q.v").alias("v"), F.col("q.shard").alias("home"))
+    trees = written(sharded.groupBy("cell", "piece").applyInPandas(build, "cell string, piece long, low array<long>, high array<long>, tree binary"), "trees")
+    asked = sharded.filter(is_query(F.col("id"))).groupBy("id").agg(F.min(F.struct("v", "cell")).alias("q")).select(F.col("id").alias("query_id"), F.col("q.v").alias("v"), F.col("q.cell").alias("home"))
     asked = written(asked, "queries")
-    boxes = [(r["shard"], np.array(r["low"], np.int64), np.array(r["high"], np.int64)) for r in trees.select("shard", "low", "high").collect()]  # at most 2 * MAX_SHARDS
+    sides = trees.select("cell", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.size("low") - 1).alias("at"), "low", "high")).alias("x")).filter("x.low is not null").groupBy("cell", "x.at").agg(F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    corners: dict[str, list] = {r["cell"]: [] for r in trees.select("cell").distinct().collect()}
+    for r in sides.collect():  # of at most MAX_CELLS cells for each length
+        corners[r["cell"]].append((r["at"], r["low"], r["high"]))
+    boxes = [(cell, *(np.array([x[i] for x in sorted(own)], dtype=np.int64) for i in (1, 2))) for cell, own in sorted(corners.items())]
     shared_boxes = placed.sparkSession.sparkContext.broadcast(boxes)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -233,30 +262,35 @@ def topk_search(vectors: DataFrame, is_query: Callable, k: int = 20, id_column:
                 out.append((qid[row], vec, score))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    def visit(routed: DataFrame) -> DataFrame:
-        """Searches the trees that routed queries name; a tree is copied for each block of them."""
-        blocks = routed.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))  # at most 2 * MAX_SHARDS rows
-        there = trees.select("shard", "tree").join(F.broadcast(blocks), "shard").select("shard", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        here = routed.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.hash("query_id"), F.col("blocks"))).drop("blocks")
-        return here.groupBy("shard", "block").cogroup(there.groupBy("shard", "block")).applyInPandas(search, FOUND)
+    def visit(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The queries with the shards they visit, and what they find there. Searches the trees of the shards whose boxes can beat the k-th scores of queries, in the cells that routed names; a tree is copied for each block of them."""
+        own = trees.select("cell", "piece", "low", "high")
+        near = written(routed.join(own, "cell").filter(can_reach(F.col("v"), F.col("low"), F.col("high"), F.col("kth"))).drop("low", "high"), "near")
+        blocks = near.groupBy("cell", "piece").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))  # at most a row for each shard
+        there = trees.select("cell", "piece", "tree").join(blocks, ["cell", "piece"]).select("cell", "piece", "tree", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        here = near.join(blocks, ["cell", "piece"]).withColumn("block", F.pmod(F.hash("query_id"), F.col("blocks"))).drop("blocks")
+        keys = ["cell", "piece", "block"]
+        return near, here.groupBy(*keys).cogroup(there.groupBy(*keys)).applyInPandas(search, FOUND)
 
     def route(first: int, stop: int) -> Callable:
-        """Queries with each shard at places first to stop of their orders whose bound can still beat the k-th score."""
+        """Queries with each cell at places first to stop of their orders whose bound can still beat the k-th score."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             by_dim: dict[int, list] = {}
-            for shard, low, high in shared_boxes.value:
-                by_dim.setdefault(int(shard.split("_")[0]), []).append((shard, low, high))
+            for cell, low, high in shared_boxes.value:
+                by_dim.setdefault(int(cell.split("_")[0]), []).append((cell, low, high))
             for pdf in batches:
-                for dim, group in pdf.groupby(pdf["v"].map(len)):
+                for dim, whole in pdf.groupby(pdf["v"].map(len)):
                     names = np.array([b[0] for b in by_dim[dim]], dtype=object)
                     low, high = (np.stack([b[i] for b in by_dim[dim]]) for i in (1, 2))
-                    q = _matrix(group["v"])
-                    bound = box_bounds(q, low, high) + _slack(q, low, high)[:, None]
-                    bound[names[None, :] == group["home"].to_numpy(object)[:, None]] = np.inf  # its own shard is first
-                    order = np.argsort(-bound, axis=1, kind="stable")[:, first:stop]
-                    row, place = np.nonzero(np.take_along_axis(bound, order, 1) >= group["kth"].to_numpy(np.int64)[:, None])
-                    yield group.iloc[row][["query_id", "v", "kth", "kth_id"]].assign(shard=names[order[row, place]])
+                    for at in range(0, len(whole), ROUTE_BLOCK):
+                        group = whole.iloc[at : at + ROUTE_BLOCK]
+                        q = _matrix(group["v"])
+                        bound = box_bounds(q, low, high) + _slack(q, low, high)[:, None]
+                        bound[names[None, :] == group["home"].to_numpy(object)[:, None]] = np.inf  # its own cell is first
+                        order = np.argsort(-bound, axis=1, kind="stable")[:, first:stop]
+                        row, place = np.nonzero(np.take_along_axis(bound, order, 1) >= group["kth"].to_numpy(np.int64)[:, None])
+                        yield group.iloc[row][["query_id", "v", "kth", "kth_id"]].assign(cell=names[order[row, place]])
 
         return run
 
@@ -269,15 +303,16 @@ def topk_search(vectors: DataFrame, is_query: Callable, k: int = 20, id_column:
         if best is not None:  # the k-th of each query that has k results
             reached = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("s"), F.col("vec_id").alias("i"))
             known = asked.join(reached, "query_id", "left").select("query_id", "v", "home", F.coalesce("s", none).alias("kth"), F.coalesce("i", first_id).alias("kth_id"))
-        routed = written(known.mapInPandas(route(begin, begin + width), "query_id long, v array<long>, kth long, kth_id long, shard string"), "routed")
+        routed = written(known.mapInPandas(route(begin, begin + width), "query_id long, v array<long>, kth long, kth_id long, cell string"), "routed")
         if best is not None and routed.limit(1).count() == 0:  # bounds only fall along an order: nothing further on can be better
+            dropped(routed)
             break
-        found = visit(routed)
+        near, found = visit(routed)
         if best is not None:
             found = best.drop("rank").unionByName(found)
         earlier = [best] if best is not None else []
         best = written(found.withColumn("rank", rank).filter(F.col("rank") <= k), "best")
-        dropped(routed, *earlier)
+        dropped(routed, near, *earlier)
         begin, width = begin + width, FIRST if begin == 0 else width * GROWTH
     dropped(base, placed, trees, asked)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

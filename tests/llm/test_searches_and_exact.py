@@ -1,6 +1,7 @@
 """Top-k search and exact dedup against brute force, on ties, nulls, repeats and empty tables."""
 
 import hashlib
+import pickle
 import re
 
 import numpy as np
@@ -58,8 +59,8 @@ def test_topk_moves_trees_in_proportion(spark, monkeypatch):
 
         def seen(df, name, copies=copies):
             out = keep(df, name)
-            if name == "routed":
-                copies += [-(-r["count"] // 100) for r in out.groupBy("shard").count().collect()]
+            if name == "near":
+                copies += [-(-r["count"] // 100) for r in out.groupBy("cell", "piece").count().collect()]
             return out
 
         monkeypatch.setattr(topk_search, "written", seen)
@@ -70,6 +71,44 @@ def test_topk_moves_trees_in_proportion(spark, monkeypatch):
     assert moved[4000] <= 6 * moved[1000]  # four times the vectors and queries; the product would be sixteen
 
 
+def test_shards_keep_their_size_while_the_table_grows(spark, monkeypatch):
+    for name, value in (("SHARD_ROWS", 100), ("MAX_CELLS", 4), ("ROUTE_BLOCK", 7)):
+        monkeypatch.setattr(topk_search, name, value)
+    rng, keep, largest = np.random.default_rng(12), topk_search.written, {}
+    for n in (1000, 4000):
+        sizes = []
+
+        def seen(df, name, sizes=sizes):
+            out = keep(df, name)
+            if name == "trees":
+                sizes += [len(pickle.loads(r.tree)["ids"]) for r in out.select("tree").collect()]
+            return out
+
+        monkeypatch.setattr(topk_search, "written", seen)
+        rows = [(i, rng.normal(size=3).round(2).tolist()) for i in range(n)] + [(n + i, [0.5, 0.5, 0.5]) for i in range(n // 4)]
+        assert searched(spark, rows) == brute(rows, lambda i: i % 20 == 0, 5)
+        largest[n] = max(sizes)
+        assert len(sizes) >= n // 100 and sum(sizes) == len(rows)
+    assert largest[4000] < 300 > largest[1000]  # shards are dealt by hash, and equal vectors of different ids spread
+
+
+def test_most_boxes_are_never_looked_at(monkeypatch):
+    """A search from the root leaves most of a tree's boxes alone, and finds what a search through all rows finds."""
+    monkeypatch.setattr(topk_search, "LEAF", 16)
+    rng = np.random.default_rng(13)
+    v = (rng.integers(-60, 60, (64, 4))[rng.integers(0, 64, 20_000)] * 30 + rng.integers(-20, 20, (20_000, 4))).astype(np.int64)
+    tree = topk_search.build_tree(np.arange(len(v)), v)
+    asked, looked = np.arange(0, len(v), 100), []
+    plain = topk_search.pair_bounds
+    monkeypatch.setattr(topk_search, "pair_bounds", lambda q, low, high: looked.append(len(q)) or plain(q, low, high))
+    lowest, last = np.full(len(asked), np.iinfo(np.int64).min), np.full(len(asked), np.iinfo(np.int64).max)
+    row, ids, score = topk_search.search_tree(tree, asked, v[asked], 5, lowest, last)
+    expected = {i: sorted((-s, j) for j, s in enumerate((v[q] @ v.T).tolist()) if j != q)[:5] for i, q in enumerate(asked.tolist())}
+    found = {i: sorted((-s, j) for r, j, s in zip(row.tolist(), ids.tolist(), score.tolist()) if r == i) for i in range(len(asked))}
+    leaves = sum(child < 0 for child in tree["left"])
+    assert found == expected and sum(looked) < 0.1 * leaves * len(asked)
+
+
 def test_topk_few_and_none(spark):
     assert searched(spark, [(0, [1.0, 0.0]), (7, [0.0, 1.0])]) == [(0, 1, 7, 0)]
     assert searched(spark, [(0, [1.0])]) == []
