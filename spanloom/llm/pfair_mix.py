@@ -139,11 +139,15 @@ def in_mixture(table: DataFrame) -> DataFrame:
     Spark reads files and their parts in any order, so places come from the files: each is a range of the mixture, numbered in its name by its
     partition (and by a counter where a partition was cut), with its rows in order.
     """
-    rows = table.select("*", F.col("_metadata.file_path").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
-    number = lambda pattern: F.regexp_extract("mix_file", pattern, 1).cast("long")
-    order = Window.orderBy(number(r"/part-(\d+)-[^/]*$"), number(r"-c(\d+)\.[^/]*$"))
-    bases = rows.groupBy("mix_file").agg(F.count("*").alias("c")).select("mix_file", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("mix_base"))
-    return rows.join(F.broadcast(bases), "mix_file").select(*[F.col(f"`{c}`") for c in table.columns], (F.col("mix_base") + F.col("mix_row")).alias("mix_position"))
+    columns = F.struct(*[F.col(f"`{c}`") for c in table.columns])
+    rows = table.select(columns.alias("row"), F.col("_metadata.file_path").alias("mix_file"), F.col("_metadata.row_index").alias("mix_row"))
+    number = lambda pattern: F.coalesce(F.regexp_extract("mix_file", pattern, 1).try_cast("long"), F.lit(0))
+    part, cut = number(r"/part-(\d+)-[^/]*$"), number(r"-c(\d+)\.[^/]*$")
+    files = rows.groupBy("mix_file").agg(F.count("*").alias("c")).select("mix_file", "c", part.alias("mix_part"), F.struct(part.alias("part"), cut.alias("cut")).alias("mix_at"))
+    bases = _before(files.withColumn("mix_era", F.expr(f"mix_part div {CYCLES}")), [], "mix_era", "mix_at", "c", "mix_base").select("mix_file", "mix_base")
+    bases = written(bases, "files", narrow=True)  # a row for each file
+    joined = rows.join(F.broadcast(bases) if bases.count() <= BROADCAST_SLOTS else bases, "mix_file")
+    return joined.select(*[F.col(f"row.`{c}`").alias(c) for c in table.columns], (F.col("mix_base") + F.col("mix_row")).alias("mix_position"))
 
 
 def op9_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.piece_cache import PieceCache, distinct, gather
 from spanloom.llm.shared import shared_dir, written
 from spanloom.llm.words import chunks
+from spanloom.session import qualified
 
 CHUNK_BYTES = 8 << 20
 READ_TOKENS = 1 << 20
@@ -165,7 +166,8 @@ def encoder(tokenizer_file: str) -> WordEncoder:
 
 
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{os.path.abspath(folder)}")
+    """The store and path of a folder in its full form, scheme included, which is the same for every executor."""
+    return fs.FileSystem.from_uri(folder)
 
 
 MANIFEST = "shard string, width int, first_id long, n_docs long, n_tokens long"
@@ -174,6 +176,7 @@ MANIFEST = "shard string, width int, first_id long, n_docs long, n_tokens long"
 def write_token_files(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id_column: str = "doc_id", text_column: str = "text", shards: int | None = None) -> DataFrame:
     """Writes the files below folder and returns the manifest, with the base of each shard."""
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +245,7 @@ class Shard:
 
 def read_token_files(manifest: DataFrame, folder: str, id_type: str = "long") -> DataFrame:
     """doc_id, start (tokens of all documents before), n_tokens, ids_crc32 of the ids as 32-bit integers; from the files."""
+    folder = qualified(manifest.sparkSession, folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

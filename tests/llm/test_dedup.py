@@ -392,3 +392,31 @@ def test_many_rows_of_one_id_and_text(spark):
     assert out[0] == out[1] and [r[0] for r in out[0]] == [1, 3]
     twice = df.filter("doc_id = 2")
     assert near_dedup.one_of_each(twice).collect() == near_dedup.one_of_each(twice.repartition(3)).collect() and near_dedup.one_of_each(twice).count() == 1
+
+
+def test_pair_recall_on_whole_documents(spark):
+    """All pairs of the 1,000 documents of a test table that are alike by 0.8, found through a list of the texts of every shingle; how many share a class, and whether every class holds together."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    weights = {r.doc_id: weighted(r.text) for r in docs.collect()}
+    holders, common = {}, Counter()
+    for i, shingles in weights.items():
+        for s, n in shingles.items():
+            holders.setdefault(s, []).append((i, n))
+    for own in holders.values():
+        for a, (i, n) in enumerate(own):
+            for j, m in own[:a]:
+                common[i, j] += min(n, m)
+    total = {i: sum(w.values()) for i, w in weights.items()}
+    alike = [(i, j) for (i, j), both in common.items() if both >= 0.8 * (total[i] + total[j] - both)]
+    found = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    assert len(alike) > 50 and sum(found[i] == found[j] for i, j in alike) >= 0.999 * len(alike)
+    parent = {i: i for i in weights}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in alike:
+        parent[root(i)] = root(j)
+    assert len({(found[i], root(i)) for i in weights if total[i]}) == len({found[i] for i in weights if total[i]})  # no class joins what no links join

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import pfair_mix, quality_gam, secret_scan
+from spanloom.llm.shared import written
 
 WORDS = "time person year way day thing man world life hand part child eye woman place work week case point number".split()
 
@@ -133,8 +134,12 @@ def test_mixture_places_every_document_once(spark, documents, monkeypatch, small
     for r in sorted(found, key=lambda r: (r.mix_order, r.doc_id, r.mix_size)):
         assert r.mix_block == running.get(r.source, 0) // 500 + 1
         running[r.source] = running.get(r.source, 0) + r.mix_size
-    out = pfair_mix.mixed(docs, block_size=500)
-    assert out.columns == docs.columns and out.count() == len(rows)
+    named = docs.withColumns({"mix_file": F.lit("f"), "mix_row": F.lit(1)})  # names that the operator uses itself
+    out = pfair_mix.mixed(named, block_size=500)
+    assert out.columns == named.columns and out.count() == len(rows)
+    back = pfair_mix.in_mixture(written(out, "mixed"))
+    assert back.columns == [*named.columns, "mix_position"]
+    assert sorted((r.mix_position, str(r.doc_id)) for r in back.collect()) == [(i, str(r.doc_id)) for i, r in enumerate(found)]
     assert pfair_mix.mixed(documents([])).count() == 0
     given = pfair_mix.given_weights(docs, {"a": 3.0, "b": 1.0, "absent": 1.0})
     assert {r.mix_key: r.n for r in given.collect()} == {"sa": 600, "sb": 200, "n": 1}
