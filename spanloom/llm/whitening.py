@@ -52,8 +52,9 @@ def totals(rows: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
         )
 
     parts = rows.select("v").mapInArrow(run, "dim int, n long, s array<long>")
-    sums = parts.select("dim", F.posexplode("s").alias("at", "s")).groupBy("dim", "at").agg(F.sum("s").alias("s")).groupBy("dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"]).alias("s"))
-    found = parts.groupBy("dim").agg(F.sum("n").alias("n")).join(sums, "dim").collect()  # a row for each vector length
+    sums = parts.select("dim", "n", F.posexplode("s").alias("at", "s")).groupBy("dim", "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("at", "s"))), lambda x: x["s"])
+    found = sums.groupBy("dim").agg(F.max("n").alias("n"), each.alias("s")).collect()  # a row for each vector length
     return {r["dim"]: (r["n"], np.array(r["s"], np.int64)) for r in found}
 
 
