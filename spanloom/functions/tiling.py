@@ -83,12 +83,18 @@ def line_bounds(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
+#: Members of lists that are handled at once.
+MEMBERS = 1 << 18
+
+
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts take SLICE bytes, or one longer text."""
-    size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy()
-    ends, row = np.cumsum(size), 0
+    """Slices of a batch whose texts take SLICE bytes, or whose lists hold MEMBERS; or one longer text or list."""
+    values = batch.column(column)
+    lists = pa.types.is_list(values.type)
+    size = (values.value_lengths() if lists else pc.binary_length(values)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends, row, limit = np.cumsum(size, dtype=np.int64), 0, MEMBERS if lists else SLICE
     while row < batch.num_rows:
-        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + SLICE, side="right")))
+        stop = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + limit, side="right")))
         yield batch.slice(row, stop - row)
         row = stop
 
@@ -215,9 +221,10 @@ def with_alignment(records: DataFrame, tokens: str = "tokens", spans: str = "spa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, start, end, row, low, high = _places(batch, tokens, spans)
-            yes = np.ones(len(row), bool)
-            yield _replaced(batch, **{spans: _align(batch.column(spans), row, low, high, owner, start, end, yes, yes)})
+            for part in _slices(batch, tokens):
+                owner, start, end, row, low, high = _places(part, tokens, spans)
+                yes = np.ones(len(row), bool)
+                yield _replaced(part, **{spans: _align(part.column(spans), row, low, high, owner, start, end, yes, yes)})
 
     return records.mapInArrow(run, _schema(records, **{spans: _aligned_type(records, spans)}))
 
@@ -247,8 +254,9 @@ def with_labels(records: DataFrame, labels: dict[str, int], max_length: int, tok
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids = pa.array(list(labels), pa.string()), np.array(list(labels.values()), dtype=np.int64)
         for batch in batches:
-            row, pos, label = _labels(batch, tokens, spans, names, ids, max_length)
-            yield _replaced(batch, bio=_nested(row, batch.num_rows, pos=_int(pos), label_id=_int(label)))
+            for part in _slices(batch, tokens):
+                row, pos, label = _labels(part, tokens, spans, names, ids, max_length)
+                yield _replaced(part, bio=_nested(row, part.num_rows, pos=_int(pos), label_id=_int(label)))
 
     return records.mapInArrow(run, _schema(records, bio="array<struct<pos:int,label_id:int>>"))
 
@@ -265,18 +273,19 @@ def with_label_bits(records: DataFrame, labels: dict[str, int], lengths: Sequenc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids = pa.array(list(labels), pa.string()), np.array(list(labels.values()), dtype=np.int64)
         for batch in batches:
-            size, owner = _rows_of(batch.column(tokens))
-            padded = np.where(size > 0, steps[np.minimum(np.searchsorted(steps, size), len(steps) - 1)], 0)
-            begin = np.concatenate([[0], np.cumsum(padded)])
-            place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-            kept = (place < padded[owner]) & (_field(batch.column(tokens), "end") > _field(batch.column(tokens), "start"))
-            mask = np.zeros(begin[-1], dtype=np.int8)
-            mask[begin[owner[kept]] + place[kept]] = 1
-            row, pos, label = _labels(batch, tokens, spans, names, ids, int(steps[-1]))
-            bits = np.zeros(begin[-1] * words, dtype=np.uint64)
-            np.bitwise_or.at(bits, (begin[row] + pos) * words + label // 64, np.uint64(1) << (label % 64).astype(np.uint64))
-            lists = lambda values, wide=1: pa.ListArray.from_arrays(pa.array((begin * wide).astype(np.int32)), pa.array(values))  # noqa: B023, E731
-            yield _replaced(batch, padded_to=_int(padded), loss_mask=lists(mask), label_bits=lists(bits.view(np.int64), words))
+            for part in _slices(batch, tokens):
+                size, owner = _rows_of(part.column(tokens))
+                padded = np.where(size > 0, steps[np.minimum(np.searchsorted(steps, size), len(steps) - 1)], 0)
+                begin = np.concatenate([[0], np.cumsum(padded)])
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+                kept = (place < padded[owner]) & (_field(part.column(tokens), "end") > _field(part.column(tokens), "start"))
+                mask = np.zeros(begin[-1], dtype=np.int8)
+                mask[begin[owner[kept]] + place[kept]] = 1
+                row, pos, label = _labels(part, tokens, spans, names, ids, int(steps[-1]))
+                bits = np.zeros(begin[-1] * words, dtype=np.uint64)
+                np.bitwise_or.at(bits, (begin[row] + pos) * words + label // 64, np.uint64(1) << (label % 64).astype(np.uint64))
+                lists = lambda values, wide=1: pa.ListArray.from_arrays(pa.array((begin * wide).astype(np.int32)), pa.array(values))  # noqa: B023, E731
+                yield _replaced(part, padded_to=_int(padded), loss_mask=lists(mask), label_bits=lists(bits.view(np.int64), words))
 
     return records.mapInArrow(run, _schema(records, padded_to="int", loss_mask="array<tinyint>", label_bits="array<bigint>"))
 

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,6 +261,39 @@ def test_labels_equal_a_search_through_all_tokens(spark):
             assert i not in bits
 
 
+def test_slices_of_a_batch_are_worked_on_alone(monkeypatch):
+    """Lists in the middle of a batch, with nulls, give what they give by themselves."""
+    from spanloom.functions import tiling
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):
+        cuts = sorted(rng.sample(range(60), 2 * rng.randint(0, 9)))
+        tokens_ = [{"pos": k, "start": a, "end": b} for k, (a, b) in enumerate(zip(cuts[::2], cuts[1::2]))]
+        spans = [{"start": (a := rng.randint(0, 50)), "end": a + rng.randint(0, 12), "label": rng.choice("ab")} for _ in range(rng.randint(0, 4))]
+        rows.append({"i": i, "tokens": tokens_, "spans": None if i % 11 == 0 else spans})
+    kind = pa.schema([("i", pa.int32()), ("tokens", pa.list_(pa.struct([(n, pa.int32()) for n in ("pos", "start", "end")]))), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())])))])
+    batch = pa.RecordBatch.from_pylist(rows, schema=kind)
+    names, ids = pa.array(["a", "b"]), np.array([0, 1])
+
+    def labels(part):
+        row, pos, label = tiling._labels(part, "tokens", "spans", names, ids, 5)
+        return sorted(zip(part.column("i").to_numpy()[row].tolist(), pos.tolist(), label.tolist()))
+
+    def aligned(part):
+        owner, start, end, row, low, high = tiling._places(part, "tokens", "spans")
+        yes = np.ones(len(row), bool)
+        return tiling._align(part.column("spans"), row, low, high, owner, start, end, yes, yes).to_pylist()
+
+    monkeypatch.setattr(tiling, "MEMBERS", 20)
+    parts = list(tiling._slices(batch, "tokens"))
+    assert len(parts) > 5 and sum(p.num_rows for p in parts) == 60
+    assert sorted(x for p in parts for x in labels(p)) == labels(batch) and [x for p in parts for x in aligned(p)] == aligned(batch)
+    assert aligned(batch)[0] is None
+    for r, found in zip(rows, aligned(batch)):
+        assert [(s["first"], s["last"], s["n_tokens"], s["aligned"]) for s in found or []] == [plain_fit([(t["start"], t["end"]) for t in r["tokens"]], s["start"], s["end"]) for s in r["spans"] or []]
+
+
 def test_converted_records(spark):
     df = spark.createDataFrame([(1, "ab cd ef", [(3, 8, "Y"), (0, 2, "X")]), (2, "x", None), (3, " ", [])], SPANS)
     out = {r.id: (r.tokens, [(x["index"], x.type) for x in r.ner]) for r in tokens.converted(tokens.cut_at_spans(df), ["id"]).collect()}
