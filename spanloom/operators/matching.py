@@ -5,17 +5,18 @@ each reference mention in order of (start, label, ordinal) takes the shortest fr
 equal spans with different labels. What is left is missed or spurious.
 
 Choices where the rule is silent: overlap is strict and half open; a wrong label counts for the reference label; a spurious mention for the
-predicted label. Everything of a record is worked out after one shuffle by the record keys.
+predicted label. Everything of a record is worked out in its row (functions/mentions.py): mentions that stand beside their record are not shuffled at all,
+mentions in rows of their own once, by the record keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COUNTS = ("correct", "partial", "incorrect", "missed", "spurious")
+from spanloom.functions.mentions import COUNTS, gathered, with_exact, with_outcomes
 
 
 def both_sides(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -26,53 +27,17 @@ def both_sides(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFra
 
 def exact_matches(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All mentions of both sides with exact: whether it is among the first k of its (start, end, label), k the smaller count of both sides."""
-    mention = [*keys, "start", "end", "label"]
-    w = Window.partitionBy(*mention)
-    of = lambda side: F.count_if(F.col("side") == side).over(w)
-    nth = F.row_number().over(Window.partitionBy(*mention, "side").orderBy("ordinal"))
-    return sides.repartition(*keys).withColumn("exact", nth <= F.least(of("g"), of("p")))
-
-
-def _fold(golds: Column, preds: Column) -> Column:
-    """Greedy overlap within one label: what is left of both sides, and the number of matches."""
-
-    def step(state: Column, g: Column) -> Column:
-        free = F.filter(state["preds"], lambda p: (p["start"] < g["end"]) & (g["start"] < p["end"]))
-        best = F.array_min(free)
-        return F.when(
-            F.size(free) > 0,
-            F.struct(F.filter(state["preds"], lambda p: p["ordinal"] != best["ordinal"]).alias("preds"), state["golds"].alias("golds"), (state["hits"] + 1).alias("hits")),
-        ).otherwise(F.struct(state["preds"].alias("preds"), F.concat(state["golds"], F.array(g)).alias("golds"), state["hits"].alias("hits")))
-
-    start = F.struct(preds.alias("preds"), F.filter(golds, lambda g: F.lit(False)).alias("golds"), F.lit(0).alias("hits"))
-    return F.aggregate(golds, start, step)
+    return with_exact(gathered(sides, keys)).select(*keys, F.inline("mentions"))
 
 
 def outcomes(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, label and the five counts for each record and label."""
-    marked = exact_matches(sides, keys)
-    g = F.when((F.col("side") == "g") & ~F.col("exact"), F.struct("start", "ordinal", "end"))
-    p = F.when((F.col("side") == "p") & ~F.col("exact"), F.struct((F.col("end") - F.col("start")).alias("length"), "start", "ordinal", "end"))
-    per_label = marked.groupBy(*keys, "label").agg(
-        F.count_if((F.col("side") == "g") & F.col("exact")).cast("int").alias("correct"), F.array_sort(F.collect_list(g)).alias("golds"), F.collect_list(p).alias("preds")
-    )
-    folded = per_label.withColumn("fold", _fold(F.col("golds"), F.col("preds")))
-    # What is known of a label by now (side e) goes on beside its leftovers, so that nothing is worked out twice.
-    row = lambda side, x, correct, partial: F.struct(
-        F.lit(side).alias("side"), x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), x["ordinal"].cast("int").alias("ordinal"), correct.alias("correct"), partial.alias("partial")
-    )
-    zero, absent = F.lit(0), {c: F.lit(None) for c in ("start", "end", "ordinal")}
-    known = F.array(row("e", absent, F.col("correct"), F.col("fold.hits")))
-    rest = F.concat(known, F.transform("fold.golds", lambda x: row("g", x, zero, zero)), F.transform("fold.preds", lambda x: row("p", x, zero, zero)))
-    left = folded.select(*keys, "label", F.explode(rest).alias("m")).select(*keys, "label", "m.*")
-    span = Window.partitionBy(*keys, "start", "end")
-    of = lambda side: F.count_if(F.col("side") == side).over(span)
-    nth = F.row_number().over(Window.partitionBy(*keys, "start", "end", "side").orderBy("label", "ordinal"))
-    wrong = left.withColumn("taken", nth <= F.least(of("g"), of("p")))
-    gold, pred, taken = F.col("side") == "g", F.col("side") == "p", F.col("taken")
-    return wrong.groupBy(*keys, "label").agg(
-        F.sum("correct").alias("correct"), F.sum("partial").alias("partial"), F.count_if(gold & taken).alias("incorrect"), F.count_if(gold & ~taken).alias("missed"), F.count_if(pred & ~taken).alias("spurious")
-    )
+    return outcomes_in_row(gathered(sides.select(*keys, "start", "end", "label", "ordinal", "side"), keys), keys)
+
+
+def outcomes_in_row(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for records that hold their mentions as an array; each row is a record."""
+    return with_outcomes(records, keys).select(*keys, F.inline("outcomes"))
 
 
 def aligned_records(gold: DataFrame, pred: DataFrame, number: str = "record_no") -> DataFrame:

@@ -36,12 +36,10 @@ def median_of_minima(table: DataFrame) -> DataFrame:
     return table.agg(F.min("minimum").alias("lowest"), F.percentile("minimum", F.lit(0.5)).alias("median"))
 
 
-def split_totals(mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per split: documents, sentences, entities, labels, and sentences with same-span or nested mentions (flags of structure()).
-
-    A record without mentions is one row without a label, so that records and mentions come from one pass.
-    """
-    per = mentions.groupBy("split", *keys).agg(F.count("label").alias("n"), F.collect_set("label").alias("labels"), F.coalesce(F.max("same_span"), F.lit(False)).alias("s"), F.coalesce(F.max("nested"), F.lit(False)).alias("d"))
+def split_totals(records: DataFrame) -> DataFrame:
+    """Per split: documents, sentences, entities, labels, and sentences with same-span or nested mentions (flags of with_structure()). records: split, doc_id and mentions, in the row."""
+    some = lambda c: F.exists("mentions", lambda m: m[c])
+    per = records.select("split", "doc_id", F.size("mentions").cast("long").alias("n"), F.array_distinct(F.transform("mentions", lambda m: m["label"])).alias("labels"), some("same_span").alias("s"), some("nested").alias("d"))
     once = F.struct(F.lit(None).cast("string").alias("label"), F.lit(1).alias("one"), F.col("n").alias("n"), F.col("s").alias("s"), F.col("d").alias("d"))
     each = F.transform("labels", lambda x: F.struct(x.alias("label"), F.lit(0).alias("one"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("s"), F.lit(False).alias("d")))
     rows = per.select("split", "doc_id", F.inline(F.concat(F.array(once), each)))

@@ -4,28 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.mentions import gathered, with_structure
 
-def structure(mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The mentions with same_span (another label on the same span), nested (strictly inside another) and flat (neither).
 
-    Nesting is read off running maxima in span order, so no pairs are made and nothing is joined back: a span lies inside an earlier one (sorted by
-    start, longest first) exactly if the furthest end so far reaches its end. The first mention of a span asks, and the others of the span take its
-    answer. All windows share the partitions of the record keys.
-    """
-    span = Window.partitionBy(*keys, "start", "end")
-    before = Window.partitionBy(*keys).orderBy("start", F.desc("end"), "label").rowsBetween(Window.unboundedPreceding, -1)
-    asked = mentions.withColumns({"inside": F.coalesce(F.max("end").over(before) >= F.col("end"), F.lit(False)), "nth": F.row_number().over(Window.partitionBy(*keys).orderBy("start", F.desc("end"), "label"))})
-    marked = asked.withColumns({"same_span": F.min("label").over(span) != F.max("label").over(span), "nested": F.min_by("inside", "nth").over(span)}).drop("inside", "nth")
-    return marked.withColumn("flat", ~F.col("same_span") & ~F.col("nested"))
+def structure(mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The mentions with same_span (another label on the same span), nested (strictly inside another) and flat (neither), after one shuffle by the record keys."""
+    return with_structure(gathered(mentions, keys)).select(*keys, F.inline("mentions"))
 
 
-def recovery(marked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """kind, mentions, matched and share of reference mentions that an exact match recovers, for each kind of structure; marked are rows of exact_matches()."""
+def recovery(marked: DataFrame) -> DataFrame:
+    """kind, mentions, matched and share of reference mentions that an exact match recovers, for each kind of structure; marked: records with their mentions in the row, with exact (with_exact())."""
     kinds = F.explode(F.filter(F.array(F.when(F.col("flat"), "flat"), F.when(F.col("nested"), "nested"), F.when(F.col("same_span"), "same_span")), lambda x: x.isNotNull()))
-    rows = structure(marked.filter(F.col("side") == "g"), keys).select(kinds.alias("kind"), "exact")
+    golds = marked.select(F.filter("mentions", lambda m: m["side"] == "g").alias("mentions"))
+    rows = with_structure(golds).select(F.inline("mentions")).select(kinds.alias("kind"), "exact")
     return rows.groupBy("kind").agg(F.count("*").alias("mentions"), F.count_if("exact").alias("matched"), F.avg(F.col("exact").cast("double")).alias("share"))
 
 

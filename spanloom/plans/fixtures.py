@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.tiling import exploded, with_lines, with_tokens
+from spanloom.functions.tiling import _field, _nested, _rows_of, _slices, exploded, with_lines, with_tokens
 from spanloom.session import table
 
 KEYS = ["doc_id", "rec"]
@@ -13,10 +17,6 @@ TOKENS_PER_RECORD = 64
 N_LABELS = 5
 
 
-def _label(shift) -> F.Column:
-    return F.concat(F.lit("L"), (F.pmod(F.col("n") + F.col("pos") + shift, F.lit(N_LABELS))).cast("string"))
-
-
 def doc_tokens(spark: SparkSession, sf_dir: str, words: bool = False) -> DataFrame:
     """doc_id, rec, pos, start, end, n (length), ne (end of the next token), and token with words."""
     found = exploded(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=words), ["doc_id"], "tokens")
@@ -24,43 +24,61 @@ def doc_tokens(spark: SparkSession, sf_dir: str, words: bool = False) -> DataFra
     return found.select("doc_id", "pos", "start", "end", *made, *(["token"] if words else []))
 
 
-#: Mentions of a token by number: 0 its own, 1 a second label on the span, 2 over the next token too; 3 to 5 the predictions made of them, 6 a spurious one.
-N_KINDS = 3
+#: What is added to the number of a mention's label, by its kind: 0 a token's own, 1 a second label on the span, 2 over the next token too, 3 a spurious prediction.
+SHIFTS = (0, 2, 1, 0)
+
 
+def _mentions(pos: np.ndarray, start: np.ndarray, own_end: np.ndarray, next_end: np.ndarray, pred: bool) -> dict[str, np.ndarray]:
+    """The mentions of tokens by columns, in order of tokens. Predictions (side 1) are gold with some left out, relabelled or shortened, and spurious ones."""
+    golds = [(pos % 3 == 0, 0, own_end), (pos % 15 == 0, 1, own_end), ((pos % 6 == 0) & (next_end >= 0), 2, next_end)]
+    number, parts = own_end - start + pos, []
+    for there, kind, end in golds:
+        parts.append((there, end, number + SHIFTS[kind], kind, 0))
+        if pred:
+            parts.append((there & (pos % 7 != 0), np.where((pos % 5 == 0) & (end - start > 1), end - 1, end), number + np.where(pos % 11 == 0, kind + 3, SHIFTS[kind]), kind, 1))
+    if pred:
+        parts.append((pos % 13 == 1, own_end, number + SHIFTS[3], 3, 1))
+    rows = [np.flatnonzero(there) for there, *_ in parts]
+    token = np.concatenate(rows)
+    by = np.argsort(token, kind="stable")
+    joined = lambda of: np.concatenate([of(at, *part[1:]) for at, part in zip(rows, parts, strict=True)])[by]
+    token = token[by]
+    return {
+        "token": token, "start": start[token], "end": joined(lambda at, end, label, kind, side: end[at]), "label": joined(lambda at, end, label, kind, side: label[at] % N_LABELS),
+        "ordinal": joined(lambda at, end, label, kind, side: pos[at] * 4 + kind), "side": joined(lambda at, end, label, kind, side: np.full(len(at), side)),
+    }
 
-def _rules(pred: bool) -> list[F.Column]:
-    """For each mention of a token its number, or null where the token has none."""
-    pos = F.col("pos")
-    gold = [pos % 3 == 0, pos % 15 == 0, (pos % 6 == 0) & F.col("ne").isNotNull()]
-    rules = [*gold, *((g & (pos % 7 != 0)) for g in gold), pos % 13 == 1] if pred else gold
-    return [F.when(rule, F.lit(i)) for i, rule in enumerate(rules)]
 
+MENTIONS = "doc_id bigint, rec int, mentions array<struct<start:int,end:int,label:string,ordinal:int,side:string>>"
 
-def mentions_of(t: DataFrame, pred: bool = True, records: bool = False) -> DataFrame:
-    """doc_id, rec, start, end, label, ordinal, side of all mentions, of both sides from one pass over the tokens.
 
-    Predictions are gold with some left out, relabelled or shortened, and spurious ones. records: each record opens with a row without label.
+def mention_records(spark: SparkSession, sf_dir: str, pred: bool = True) -> DataFrame:
+    """doc_id, rec and mentions (start, end, label, ordinal, side; both sides with pred) of each record, a run of tokens of a document. A record without mentions has an empty array.
+
+    The rules are worked out for all tokens of a slice together; as lambdas over the array of a row they cost more than cutting and matching do.
     """
-    opening = [F.when(F.col("pos") % TOKENS_PER_RECORD == 0, F.lit(-1))] if records else []
-    rows = t.withColumn("m", F.explode(F.array(*opening, *_rules(pred)))).filter("m is not null")
-    made, pos = F.col("m") >= N_KINDS, F.col("pos")
-    kind = (F.col("m") % N_KINDS) + F.when(F.col("m") == 6, 3).otherwise(0)
-    shift = F.element_at(F.array(F.lit(0), F.lit(2), F.lit(1), F.lit(0)), kind + 1)
-    label = F.when(made & (kind < 3) & (pos % 11 == 0), _label(kind + 3)).when(F.col("m") >= 0, _label(shift))
-    end = F.when(kind == 2, F.col("ne")).otherwise(F.col("end"))
-    shorter = made & (kind < 3) & (pos % 5 == 0) & (end - F.col("start") > 1)
-    return rows.select(
-        "doc_id", "rec", F.when(F.col("m") >= 0, F.col("start")).alias("start"), F.when(F.col("m") >= 0, F.when(shorter, end - 1).otherwise(end)).alias("end"), label.alias("label"),
-        (pos * 4 + kind).alias("ordinal"), F.when(made, "p").otherwise("g").alias("side"),
-    )
+    docs = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=False).select("doc_id", "tokens")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, sides = pa.array([f"L{i}" for i in range(N_LABELS)]), pa.array(["g", "p"])
+        for batch in batches:
+            for part in _slices(batch, "tokens"):
+                tokens = part.column("tokens")
+                owner, pos = _rows_of(tokens)[1], _field(tokens, "pos")
+                made = _mentions(pos, *(_field(tokens, name) for name in ("start", "end", "next_end")), pred)
+                opening = pos % TOKENS_PER_RECORD == 0
+                record = (np.cumsum(opening) - 1)[made["token"]]
+                fields = {name: pa.array(made[name].astype(np.int32)) for name in ("start", "end", "ordinal")} | {"label": labels.take(pa.array(made["label"])), "side": sides.take(pa.array(made["side"]))}
+                lists = _nested(record, int(opening.sum()), **{name: fields[name] for name in ("start", "end", "label", "ordinal", "side")})
+                doc_id = part.column("doc_id").take(pa.array(owner[opening]))
+                yield pa.RecordBatch.from_arrays([doc_id, pa.array((pos[opening] // TOKENS_PER_RECORD).astype(np.int32)), lists], names=["doc_id", "rec", "mentions"])
 
-def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions_of(doc_tokens(spark, sf_dir))
+    return docs.mapInArrow(run, MENTIONS)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mentions_of(doc_tokens(spark, sf_dir), pred=False).drop("side")
+    """The reference mentions, a row each."""
+    return mention_records(spark, sf_dir, pred=False).select(*KEYS, F.inline("mentions")).drop("side")
 
 
 def with_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
