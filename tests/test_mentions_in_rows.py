@@ -29,6 +29,10 @@ def test_outcomes_are_made_without_a_shuffle(spark, tmp_path):
     assert "Exchange" not in plan(queries.QUERIES["match_outcomes"](spark, documents(spark, tmp_path)))
 
 
+def test_scores_per_label_shuffle_sums_only(spark, tmp_path):
+    assert "hashpartitioning(doc_id" not in plan(queries.QUERIES["score_overlap_per_label"](spark, documents(spark, tmp_path)))
+
+
 def random_mentions(rng, n):
     out = []
     for i in range(n):
