@@ -33,6 +33,10 @@ def test_scores_per_label_shuffle_sums_only(spark, tmp_path):
     assert "hashpartitioning(doc_id" not in plan(queries.QUERIES["score_overlap_per_label"](spark, documents(spark, tmp_path)))
 
 
+def test_exact_scores_shuffle_sums_only(spark, tmp_path):
+    assert "hashpartitioning(doc_id" not in plan(queries.QUERIES["score_exact"](spark, documents(spark, tmp_path)))
+
+
 def random_mentions(rng, n):
     out = []
     for i in range(n):
