@@ -37,6 +37,11 @@ def test_exact_scores_shuffle_sums_only(spark, tmp_path):
     assert "hashpartitioning(doc_id" not in plan(queries.QUERIES["score_exact"](spark, documents(spark, tmp_path)))
 
 
+def test_seeds_shuffle_sums_only(spark, tmp_path):
+    found = plan(queries.QUERIES["scores_over_seeds"](spark, documents(spark, tmp_path)))
+    assert "doc_id" not in "".join(x for x in found.splitlines() if "Exchange" in x) and "Window" not in found
+
+
 def random_mentions(rng, n):
     out = []
     for i in range(n):
