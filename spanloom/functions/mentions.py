@@ -46,6 +46,8 @@ class _Mentions:
         place[-1] = -1
         self.labels = self.labels.take(pa.array(order))
         self.label = place[pc.fill_null(coded.indices.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)]
+        # Record and start, and end and label, as one number each, in the same order: fewer columns to sort.
+        self.place, self.what = (self.rec << 35) + self.start, (self.end << len(self.labels).bit_length()) + self.label + 1
         self.side = np.where(pc.fill_null(pc.equal(flat.field("side"), "p"), False).to_numpy(zero_copy_only=False), PRED, GOLD) if "side" in names else np.zeros(len(self.rec), np.int64)
 
 
@@ -75,7 +77,7 @@ def _paired(m: _Mentions, of: np.ndarray, group: Sequence[np.ndarray], order: Se
 
 
 def _exact(m: _Mentions) -> np.ndarray:
-    return _paired(m, np.arange(len(m.rec)), (m.rec, m.start, m.end, m.label), (m.ordinal,))
+    return _paired(m, np.arange(len(m.rec)), (m.place, m.what), (m.ordinal,))
 
 
 def _overlapping(m: _Mentions, left: np.ndarray) -> np.ndarray:
@@ -141,7 +143,7 @@ def with_outcomes(records: DataFrame, keys: Sequence[str], mentions: str = "ment
                 overlap = _overlapping(m, np.flatnonzero(~exact))
                 left = np.flatnonzero(~exact & ~overlap)
                 wrong = np.zeros(len(exact), dtype=bool)
-                wrong[left] = _paired(m, left, (m.rec, m.start, m.end), (m.label, m.ordinal))
+                wrong[left] = _paired(m, left, (m.place, m.end), (m.label, m.ordinal))
                 rest, gold = ~exact & ~overlap & ~wrong, m.side == GOLD
                 wide = len(m.labels) + 1
                 group, number = np.unique(m.rec * wide + m.label + 1, return_inverse=True)
@@ -155,10 +157,11 @@ def with_outcomes(records: DataFrame, keys: Sequence[str], mentions: str = "ment
     return own.mapInArrow(run, schema)
 
 
-def with_structure(records: DataFrame, mentions: str = "mentions") -> DataFrame:
+def with_structure(records: DataFrame, mentions: str = "mentions", golds_only: bool = False) -> DataFrame:
     """records whose mentions (start, end, label) have same_span (another label on the same span), nested (strictly inside another) and flat (neither).
 
     In order of start, longest first, a span lies inside an earlier one exactly if the furthest end so far reaches its end; the first mention of a span asks for all of them.
+    golds_only: predictions count for nothing, and all their flags are false.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +169,8 @@ def with_structure(records: DataFrame, mentions: str = "mentions") -> DataFrame:
             for part in _slices(batch, mentions):
                 lists = part.column(mentions)
                 m = _Mentions(lists)
-                by = np.lexsort((m.label, -m.end, m.start, m.rec))
+                of = np.flatnonzero(m.side == GOLD) if golds_only else np.arange(len(m.rec))
+                by = of[np.lexsort((m.label[of], -m.end[of], m.start[of], m.rec[of]))]
                 rec, start, end, label = m.rec[by], m.start[by], m.end[by], m.label[by]
                 first = np.flatnonzero(_edges(rec, start, end)) if len(by) else np.zeros(0, np.int64)
                 size = np.diff(np.append(first, len(by)))
@@ -177,8 +181,8 @@ def with_structure(records: DataFrame, mentions: str = "mentions") -> DataFrame:
                 inside = np.zeros(len(first), dtype=bool)
                 inside[1:] = (rec[first[1:]] == rec[first[1:] - 1]) & (reach[first[1:] - 1] >= (rec[first[1:]] << 36) + end[first[1:]])
                 inside &= end[first] > -FAR
-                same, nested = (np.empty(len(by), dtype=bool) for _ in range(2))
-                same[by], nested[by] = np.repeat(several, size), np.repeat(inside, size)
-                yield _replaced(part, **{mentions: _fields_with(lists, same_span=pa.array(same), nested=pa.array(nested), flat=pa.array(~same & ~nested))})
+                same, nested, flat = (np.zeros(len(m.rec), dtype=bool) for _ in range(3))
+                same[by], nested[by], flat[by] = np.repeat(several, size), np.repeat(inside, size), np.repeat(~several & ~inside, size)
+                yield _replaced(part, **{mentions: _fields_with(lists, same_span=pa.array(same), nested=pa.array(nested), flat=pa.array(flat))})
 
     return records.mapInArrow(run, _flagged(records, mentions, "same_span", "nested", "flat"))

@@ -17,10 +17,11 @@ def structure(mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def recovery(marked: DataFrame) -> DataFrame:
     """kind, mentions, matched and share of reference mentions that an exact match recovers, for each kind of structure; marked: records with their mentions in the row, with exact (with_exact())."""
-    kinds = F.explode(F.filter(F.array(F.when(F.col("flat"), "flat"), F.when(F.col("nested"), "nested"), F.when(F.col("same_span"), "same_span")), lambda x: x.isNotNull()))
-    golds = marked.select(F.filter("mentions", lambda m: m["side"] == "g").alias("mentions"))
-    rows = with_structure(golds).select(F.inline("mentions")).select(kinds.alias("kind"), "exact")
-    return rows.groupBy("kind").agg(F.count("*").alias("mentions"), F.count_if("exact").alias("matched"), F.avg(F.col("exact").cast("double")).alias("share"))
+    golds = with_structure(marked, golds_only=True).select(F.inline("mentions")).filter("side = 'g'")
+    kinds = ("flat", "nested", "same_span")
+    counts = golds.agg(*[x for k in kinds for x in (F.count_if(k).alias(k), F.count_if(F.col(k) & F.col("exact")).alias(f"{k}_exact"))])
+    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("mentions"), F.col(f"{k}_exact").alias("matched")) for k in kinds])))
+    return rows.filter("mentions > 0").select("*", (F.col("matched") / F.col("mentions")).alias("share"))
 
 
 def to_document_offsets(mentions: DataFrame, sentences: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -1,22 +1,27 @@
-"""Matching and structure of mentions that stand beside their record: nothing is shuffled before rows are summed, and rows of mentions go the same way."""
+"""Work that grows no faster than its input: mentions matched beside their record, sweeps and reports worked out once, files read and written in parts."""
 
+import os
 import random
+import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import mentions as beside
 from spanloom.operators import matching, structure
-from spanloom.plans import queries
+from spanloom.plans import files, queries
+from spanloom.sources import jsonl, tables
 
 
 def plan(df):
+    """The final plan."""
     df.collect()
     return df._jdf.queryExecution().executedPlan().toString()
 
 
 def documents(spark, tmp_path, n=40):
     words = "ab c def, g hi\njk l. mno p"
-    spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit(words + " "), (F.col("id") % 9).cast("int")).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).select(F.col("id").alias("doc_id"), F.repeat(F.lit(words + " "), (F.col("id") % 9).cast("int")).alias("text"), F.lit("en").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path)
 
 
@@ -37,6 +42,11 @@ def test_exact_scores_shuffle_sums_only(spark, tmp_path):
     assert "hashpartitioning(doc_id" not in plan(queries.QUERIES["score_exact"](spark, documents(spark, tmp_path)))
 
 
+def test_recovery_shuffles_sums_only(spark, tmp_path):
+    found = plan(queries.QUERIES["structural_recovery"](spark, documents(spark, tmp_path)))
+    assert "hashpartitioning(doc_id" not in found and "Window" not in found
+
+
 def test_seeds_shuffle_sums_only(spark, tmp_path):
     found = plan(queries.QUERIES["scores_over_seeds"](spark, documents(spark, tmp_path)))
     assert "doc_id" not in "".join(x for x in found.splitlines() if "Exchange" in x) and "Window" not in found
@@ -69,3 +79,13 @@ def test_null_offsets_match_nothing_by_overlap(spark):
     arrays = spark.createDataFrame([(1, [(None, None, "A", 0, "g"), (0, 5, "A", 1, "p"), (None, None, "B", 2, "p"), (2, None, "A", 3, "g")])], "rec int, mentions array<struct<start:int,end:int,label:string,ordinal:int,side:string>>")
     found = {r.label: tuple(r[c] for c in matching.COUNTS) for r in matching.outcomes_in_row(arrays, ["rec"]).collect()}
     assert found == {"A": (0, 0, 1, 1, 1), "B": (0, 0, 0, 0, 0)}
+
+
+def counted(df, folder):
+    """df, with an empty file in folder for each time that a partition of it is worked out."""
+
+    def run(batches):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w"):
+            yield from batches
+
+    return df.coalesce(1).mapInArrow(run, df.schema)
