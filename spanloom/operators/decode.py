@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.mentions import gathered
 from spanloom.functions.text import count_scores
-from spanloom.operators.matching import COUNTS, both_sides, outcomes
+from spanloom.operators.matching import COUNTS, outcomes_in_row
 from spanloom.operators.metrics import with_scores
 
 NEXT = 1
@@ -244,9 +245,12 @@ def sweep(grid: DataFrame, gold: DataFrame, cells: DataFrame, keys: Sequence[str
 
 
 def flat_sweep(gold: DataFrame, pred: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """cell, thresholds, counts and scores: predicted mentions (with logit and prob) whose scores exceed both thresholds of a cell, against the reference. One job for all cells."""
-    keys = list(keys)
-    columns = ["cell", *keys, "start", "end", "label", "ordinal"]
-    passed = pred.join(F.broadcast(cells)).filter((F.col("logit") > F.col("logit_threshold")) & (F.col("prob") > F.col("prob_threshold")))
-    both = both_sides(gold.join(F.broadcast(cells.select("cell"))).select(*columns), passed.select(*columns), ["cell", *keys])
-    return _scored_cells(cells, outcomes(both, ["cell", *keys]))
+    """cell, thresholds, counts and scores: predicted mentions (with logit and prob) whose scores exceed both thresholds of a cell, against the reference.
+
+    Mentions are gathered by record once; each record is then matched in every cell where it is, and what goes on is a row for each cell and task.
+    """
+    mention = lambda df, side, *scores: df.select(*keys, "start", "end", "label", "ordinal", F.lit(side).alias("side"), *[F.col(c) if c in df.columns else F.lit(None).cast("double").alias(c) for c in scores])
+    records = gathered(mention(gold.drop("logit", "prob"), "g", "logit", "prob").unionByName(mention(pred, "p", "logit", "prob")), keys)
+    passing = F.filter("mentions", lambda m: (m["side"] == "g") | ((m["logit"] > F.col("logit_threshold")) & (m["prob"] > F.col("prob_threshold"))))
+    own = F.transform(passing, lambda m: F.struct(*[m[c].alias(c) for c in ("start", "end", "label", "ordinal", "side")]))
+    return _scored_cells(cells, outcomes_in_row(records.join(F.broadcast(cells)).select("cell", own.alias("mentions")), ["cell"]))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.tiling import _field, _nested, _rows_of, _slices, exploded, with_lines, with_tokens
+from spanloom.functions.tiling import _field, _nested, _replaced, _rows_of, _schema, _slices, exploded, with_lines, with_tokens
 from spanloom.session import table
 
 KEYS = ["doc_id", "rec"]
@@ -84,11 +84,17 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, tokens and spans (start, end, label): the mentions of gold() beside the tokens of their document, in one row."""
     docs = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=False).select("doc_id", "tokens")
-    name = lambda t, shift: F.concat(F.lit("L"), ((t["end"] - t["start"] + t["pos"] + shift) % N_LABELS).cast("string"))
-    span = lambda t, end, shift: F.struct(t["start"].alias("start"), end.alias("end"), name(t, shift).alias("label"))
-    every = lambda n, make: F.transform(F.filter("tokens", lambda t: t["pos"] % n == 0), make)
-    wide = F.filter(every(6, lambda t: span(t, t["next_end"], 1)), lambda s: s["end"].isNotNull())
-    return docs.withColumn("spans", F.concat(every(3, lambda t: span(t, t["end"], 0)), every(15, lambda t: span(t, t["end"], 2)), wide))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = pa.array([f"L{i}" for i in range(N_LABELS)])
+        for batch in batches:
+            for part in _slices(batch, "tokens"):
+                tokens = part.column("tokens")
+                made = _mentions(*(_field(tokens, name) for name in ("pos", "start", "end", "next_end")), pred=False)
+                fields = {name: pa.array(made[name].astype(np.int32)) for name in ("start", "end")} | {"label": labels.take(pa.array(made["label"]))}
+                yield _replaced(part, spans=_nested(_rows_of(tokens)[1][made["token"]], part.num_rows, **fields))
+
+    return docs.mapInArrow(run, _schema(docs, spans="array<struct<start:int,end:int,label:string>>"))
 
 
 def split_of(doc_id: str = "doc_id") -> F.Column:
@@ -119,15 +125,15 @@ def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical records, one for each document: every third token as an entity, with planted errors and leaks."""
-    docs = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    flag = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("out"))
+    own = table(spark, sf_dir, "documents").select("doc_id", "text").join(flag, "doc_id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    docs = with_tokens(own)
     shift, mark = F.when(F.col("doc_id") % 19 == 0, 100000).otherwise(0), F.when(F.col("doc_id") % 29 == 0, "?").otherwise("")
     entity = lambda t: F.struct(
         t["start"].alias("start"), (t["end"] + shift).cast("int").alias("end"), F.concat(F.lit("L"), (t["pos"] % N_LABELS).cast("string")).alias("label"),
         F.concat(t["token"], mark).alias("text"), F.lit(None).cast("array<array<int>>").alias("spans"),
     )
-    found = docs.select("doc_id", "text", F.transform(F.filter("tokens", lambda t: t["pos"] % 3 == 0), entity).alias("entities"))
-    flag = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("out"))
-    joined = found.join(flag, "doc_id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
+    joined = docs.select("doc_id", "text", "out", F.transform(F.filter("tokens", lambda t: t["pos"] % 3 == 0), entity).alias("entities"))
     leak = F.col("doc_id") % 17 == 0
     hidden = F.col("out") & ~leak
     bare = F.transform("entities", lambda e: e.withField("text", F.lit(None).cast("string")))
