@@ -95,3 +95,8 @@ def test_flat_sweep_shuffles_mentions_once_for_all_cells(spark, tmp_path):
     spark.range(50).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
     found = plan(queries.QUERIES["flat_sweep"](spark, str(tmp_path)))
     assert "hashpartitioning(cell#" in found and not [x for x in found.splitlines() if "Exchange hashpartitioning(cell" in x and "doc_id" in x]
+
+
+def test_best_flat_threshold_is_made_of_records(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert "Window" not in plan(queries.QUERIES["best_flat_threshold"](spark, str(tmp_path)))
