@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators.release import COLUMNS
-from spanloom.session import qualified
+from spanloom.session import kept, qualified
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -46,7 +46,8 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_sweep(df: DataFrame, path: str) -> None:
-    """A sweep as CSV and as JSON lines."""
+    """A sweep as CSV and as JSON lines, worked out once."""
+    df = kept(df, "sweep")
     df.write.csv(f"{path}/csv", header=True)
     df.write.option("ignoreNullFields", False).json(f"{path}/json")
 
@@ -57,10 +58,10 @@ def write_by_split(df: DataFrame, path: str) -> None:
 
 
 def error_report(errors: DataFrame, shown: int = 200) -> tuple[list[str], int]:
-    """The first lines of a report (shown at most, then a line on the rest) and how many errors there are."""
-    total = errors.count()
-    line = F.concat_ws(": ", *[F.col(c).cast("string") for c in errors.columns])
-    lines = [r[0] for r in errors.select(line).orderBy(line).limit(shown).collect()]
+    """The first lines of a report (shown at most, then a line on the rest) and how many errors there are. Errors are worked out once, and their lines written and read for both."""
+    made = kept(errors.select(F.concat_ws(": ", *[F.col(c).cast("string") for c in errors.columns]).alias("line")), "errors")
+    total = made.count()
+    lines = [r[0] for r in made.orderBy("line").limit(shown).collect()]
     return lines + ([f"... {total - shown} additional errors"] if total > shown else []), total
 
 

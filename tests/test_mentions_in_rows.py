@@ -91,6 +91,13 @@ def counted(df, folder):
     return df.coalesce(1).mapInArrow(run, df.schema)
 
 
+def test_sweep_files_come_from_one_run(spark, tmp_path):
+    (tmp_path / "runs").mkdir()
+    tables.write_sweep(counted(spark.range(3).selectExpr("cast(id as int) as cell", "0.5D as f1"), tmp_path / "runs"), f"{tmp_path}/sweep")
+    assert len(os.listdir(tmp_path / "runs")) == 1
+    assert spark.read.json(f"{tmp_path}/sweep/json").count() == spark.read.csv(f"{tmp_path}/sweep/csv", header=True).count() == 3
+
+
 def test_flat_sweep_shuffles_mentions_once_for_all_cells(spark, tmp_path):
     spark.range(50).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
     found = plan(queries.QUERIES["flat_sweep"](spark, str(tmp_path)))
