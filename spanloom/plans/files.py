@@ -38,9 +38,14 @@ def _lines(items: DataFrame) -> DataFrame:
     return items.select("item_id", F.to_json(F.struct("item_id", "text")).alias("value"))
 
 
+#: Bytes of rows in a file, about.
+FILE = 64 << 20
+
+
 def _several(rows: DataFrame, by: str, files: int) -> DataFrame:
-    """rows in as many partitions, in order, so that a writer makes as many files in order of their names."""
-    return rows.repartitionByRange(files, by).sortWithinPartitions(by)
+    """rows in as many partitions, in order, so that a writer makes as many files in order of their names; in more where rows take over FILE bytes a file, so that no task has a fixed share of all rows."""
+    size = rows.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in rows.columns), F.lit(0)).cast("long"))).first()[0] or 0
+    return rows.repartitionByRange(max(files, -(-size // FILE)), by).sortWithinPartitions(by)
 
 
 ITEM = "item_id long, text string"
@@ -48,7 +53,7 @@ ITEM = "item_id long, text string"
 
 @query
 def read_strict_jsonl(spark, sf_dir):
-    """Numbers of records through a folder of four files."""
+    """Numbers of records through a folder of four files, or of more at scale."""
     path = _folder(spark, "strict")
     tables.write_jsonl(_several(_items(spark, sf_dir), "item_id", 4), path)
     return jsonl.strict_jsonl(spark, path, ITEM).select("record_no", "item_id", F.sha2("text", 256).alias("text_sha256"))
@@ -56,7 +61,7 @@ def read_strict_jsonl(spark, sf_dir):
 
 @query
 def aligned_files(spark, sf_dir):
-    """Two folders of records, of four and of three files, paired by their numbers; the longer one's rest is cut off."""
+    """Two folders of records, of four and of three files (or of more at scale), paired by their numbers; the longer one's rest is cut off."""
     path = _folder(spark, "paired")
     tables.write_jsonl(_several(_items(spark, sf_dir), "item_id", 4), f"{path}/gold")
     tables.write_jsonl(_several(table(spark, sf_dir, "labels"), "doc_id", 3), f"{path}/pred")
@@ -266,7 +271,7 @@ def read_split_arrays(spark, sf_dir):
     """One JSON array a split and their summary."""
     path = _folder(spark, "arrays")
     tables.write_split_arrays(_items(spark, sf_dir).withColumn("split", fx.split_of("item_id")), "item_id", path)
-    read = lambda name: spark.read.schema(ITEM).option("multiLine", True).json(f"{path}/{name}.json").withColumn("split", F.lit(name))
+    read = lambda name: jsonl.array_records(spark, f"{path}/{name}.json", ITEM).withColumn("split", F.lit(name))
     whole = read("train").unionByName(read("eval")).unionByName(read("test"))
     summary = spark.read.json(f"{path}/summary.json").select(F.explode(F.create_map(*[x for s in ("train", "eval", "test") for x in (F.lit(s), F.col(s))])).alias("split", "in_summary"))
     return whole.groupBy("split").agg(F.count("*").alias("records"), F.sum(F.length("text")).alias("characters"), F.min("item_id").alias("first_id")).join(summary, "split")

@@ -50,6 +50,17 @@ def lenient_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def array_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a JSON array whose records and brackets have a line each, as write_split_arrays() makes it. Files are read split by split; a line that is no such record is an error."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter(~F.col("line").isin("", "[", "]"))
+    bare = F.regexp_replace("line", ",$", "")
+    parsed = F.from_json("line", schema + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    rows = lines.select(bare.alias("line")).withColumn("record", parsed)
+    bad = ~F.startswith("line", F.lit("{")) | F.col("record").isNull() | F.col("record._corrupt").isNotNull()
+    ok = F.when(bad, F.raise_error(F.concat(F.lit("no record on a line of its own: "), F.substring("line", 1, 80))).cast("boolean")).otherwise(True)
+    return rows.filter(ok).select("record.*").drop("_corrupt")
+
+
 def json_dataset(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Records of JSON lines, with an inferred schema where none is given (one more pass over the input)."""
     return spark.read.json(path) if schema is None else spark.read.schema(schema).json(path)

@@ -107,3 +107,20 @@ def test_flat_sweep_shuffles_mentions_once_for_all_cells(spark, tmp_path):
 def test_best_flat_threshold_is_made_of_records(spark, tmp_path):
     spark.range(50).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/documents.parquet")
     assert "Window" not in plan(queries.QUERIES["best_flat_threshold"](spark, str(tmp_path)))
+
+
+def test_arrays_are_read_in_splits(spark, tmp_path):
+    records = spark.range(400).select("id", F.concat(F.lit('é,]\n"['), F.repeat(F.lit("x"), 200)).alias("text"), F.lit("train").alias("split"))
+    tables.write_split_arrays(records, "id", f"{tmp_path}/arrays")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        read = jsonl.array_records(spark, f"{tmp_path}/arrays/train.json", "id long, text string")
+        assert read.rdd.getNumPartitions() > 4
+        assert read.orderBy("id").collect() == records.drop("split").orderBy("id").collect()
+        assert jsonl.array_records(spark, f"{tmp_path}/arrays/eval.json", "id long, text string").count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "other.json").write_text('[\n{"id": 1,\n"text": "a"}\n]\n')
+    with pytest.raises(Exception, match="no record on a line of its own"):
+        jsonl.array_records(spark, f"{tmp_path}/other.json", "id long, text string").collect()
