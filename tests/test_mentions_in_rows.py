@@ -124,3 +124,11 @@ def test_arrays_are_read_in_splits(spark, tmp_path):
     (tmp_path / "other.json").write_text('[\n{"id": 1,\n"text": "a"}\n]\n')
     with pytest.raises(Exception, match="no record on a line of its own"):
         jsonl.array_records(spark, f"{tmp_path}/other.json", "id long, text string").collect()
+
+
+def test_folders_of_records_have_files_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILE", 2000)
+    rows = spark.range(100).select(F.col("id").alias("item_id"), F.repeat(F.lit("y"), 100).alias("text"))
+    dealt = files._several(rows, "item_id", 4)
+    sizes = [len(p) for p in dealt.rdd.glom().collect()]
+    assert len(sizes) >= 5 and max(sizes) < 40 and files._several(rows.limit(8), "item_id", 4).rdd.getNumPartitions() == 4
