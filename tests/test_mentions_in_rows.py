@@ -132,3 +132,9 @@ def test_folders_of_records_have_files_by_size(spark, tmp_path, monkeypatch):
     dealt = files._several(rows, "item_id", 4)
     sizes = [len(p) for p in dealt.rdd.glom().collect()]
     assert len(sizes) >= 5 and max(sizes) < 40 and files._several(rows.limit(8), "item_id", 4).rdd.getNumPartitions() == 4
+
+
+def test_paired_folders_of_numbers_have_files_by_size(spark, monkeypatch):
+    monkeypatch.setattr(files, "FILE", 100)
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert files._several(rows, "doc_id", 3).rdd.getNumPartitions() > 3
