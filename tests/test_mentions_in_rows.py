@@ -91,6 +91,12 @@ def counted(df, folder):
     return df.coalesce(1).mapInArrow(run, df.schema)
 
 
+def test_report_works_errors_out_once(spark, tmp_path):
+    errors = counted(spark.range(7).selectExpr("'f' as path", "cast(id as string) as error"), tmp_path)
+    assert tables.error_report(errors, 2) == (["f: 0", "f: 1", "... 5 additional errors"], 7)
+    assert len(os.listdir(tmp_path)) == 1
+
+
 def test_sweep_files_come_from_one_run(spark, tmp_path):
     (tmp_path / "runs").mkdir()
     tables.write_sweep(counted(spark.range(3).selectExpr("cast(id as int) as cell", "0.5D as f1"), tmp_path / "runs"), f"{tmp_path}/sweep")
