@@ -144,3 +144,8 @@ def test_paired_folders_of_numbers_have_files_by_size(spark, monkeypatch):
     monkeypatch.setattr(files, "FILE", 100)
     rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
     assert files._several(rows, "doc_id", 3).rdd.getNumPartitions() > 3
+
+
+def test_weights_of_run_files_cut_texts_in_batches(spark, tmp_path):
+    found = plan(queries.QUERIES["positive_weights"](spark, documents(spark, tmp_path)))
+    assert "transform(" not in found and "doc_id" not in "".join(x for x in found.splitlines() if "Exchange" in x)
