@@ -146,6 +146,11 @@ def test_paired_folders_of_numbers_have_files_by_size(spark, monkeypatch):
     assert files._several(rows, "doc_id", 3).rdd.getNumPartitions() > 3
 
 
+def test_split_search_ranks_records_without_a_shuffle_of_mentions(spark, tmp_path):
+    assert "Window" not in plan(queries._structured(spark, documents(spark, tmp_path)))
+    assert "Exchange" not in plan(queries._structured(spark, documents(spark, tmp_path / "again")))
+
+
 def test_weights_of_run_files_cut_texts_in_batches(spark, tmp_path):
     found = plan(queries.QUERIES["positive_weights"](spark, documents(spark, tmp_path)))
     assert "transform(" not in found and "doc_id" not in "".join(x for x in found.splitlines() if "Exchange" in x)
