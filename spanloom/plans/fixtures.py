@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.tiling import _field, _nested, _replaced, _rows_of, _schema, _slices, exploded, with_lines, with_tokens
+from spanloom.functions.tiling import TOKEN, _field, _nested, _rows_of, exploded, with_lines, with_tokens
 from spanloom.session import table
 
 KEYS = ["doc_id", "rec"]
@@ -57,23 +55,21 @@ def mention_records(spark: SparkSession, sf_dir: str, pred: bool = True) -> Data
 
     The rules are worked out for all tokens of a slice together; as lambdas over the array of a row they cost more than cutting and matching do.
     """
-    docs = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=False).select("doc_id", "tokens")
+    labels, sides = [f"L{i}" for i in range(N_LABELS)], ["g", "p"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, sides = pa.array([f"L{i}" for i in range(N_LABELS)]), pa.array(["g", "p"])
-        for batch in batches:
-            for part in _slices(batch, "tokens"):
-                tokens = part.column("tokens")
-                owner, pos = _rows_of(tokens)[1], _field(tokens, "pos")
-                made = _mentions(pos, *(_field(tokens, name) for name in ("start", "end", "next_end")), pred)
-                opening = pos % TOKENS_PER_RECORD == 0
-                record = (np.cumsum(opening) - 1)[made["token"]]
-                fields = {name: pa.array(made[name].astype(np.int32)) for name in ("start", "end", "ordinal")} | {"label": labels.take(pa.array(made["label"])), "side": sides.take(pa.array(made["side"]))}
-                lists = _nested(record, int(opening.sum()), **{name: fields[name] for name in ("start", "end", "label", "ordinal", "side")})
-                doc_id = part.column("doc_id").take(pa.array(owner[opening]))
-                yield pa.RecordBatch.from_arrays([doc_id, pa.array((pos[opening] // TOKENS_PER_RECORD).astype(np.int32)), lists], names=["doc_id", "rec", "mentions"])
+    def records(part: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = part.column("tokens")
+        owner, pos = _rows_of(tokens)[1], _field(tokens, "pos")
+        made = _mentions(pos, *(_field(tokens, name) for name in ("start", "end", "next_end")), pred)
+        opening = pos % TOKENS_PER_RECORD == 0
+        record = (np.cumsum(opening) - 1)[made["token"]]
+        named = {"label": pa.array(labels).take(pa.array(made["label"])), "side": pa.array(sides).take(pa.array(made["side"]))}
+        fields = {name: pa.array(made[name].astype(np.int32)) for name in ("start", "end", "ordinal")} | named
+        lists = _nested(record, int(opening.sum()), **{name: fields[name] for name in ("start", "end", "label", "ordinal", "side")})
+        doc_id = part.column("doc_id").take(pa.array(owner[opening]))
+        return pa.RecordBatch.from_arrays([doc_id, pa.array((pos[opening] // TOKENS_PER_RECORD).astype(np.int32)), lists], names=["doc_id", "rec", "mentions"])
 
-    return docs.mapInArrow(run, MENTIONS)
+    return with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=False, then=(records, MENTIONS))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,18 +79,17 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, tokens and spans (start, end, label): the mentions of gold() beside the tokens of their document, in one row."""
-    docs = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=False).select("doc_id", "tokens")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels = pa.array([f"L{i}" for i in range(N_LABELS)])
-        for batch in batches:
-            for part in _slices(batch, "tokens"):
-                tokens = part.column("tokens")
-                made = _mentions(*(_field(tokens, name) for name in ("pos", "start", "end", "next_end")), pred=False)
-                fields = {name: pa.array(made[name].astype(np.int32)) for name in ("start", "end")} | {"label": labels.take(pa.array(made["label"]))}
-                yield _replaced(part, spans=_nested(_rows_of(tokens)[1][made["token"]], part.num_rows, **fields))
-
-    return docs.mapInArrow(run, _schema(docs, spans="array<struct<start:int,end:int,label:string>>"))
+    labels = [f"L{i}" for i in range(N_LABELS)]
+
+    def spans(part: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = part.column("tokens")
+        made = _mentions(*(_field(tokens, name) for name in ("pos", "start", "end", "next_end")), pred=False)
+        fields = {name: pa.array(made[name].astype(np.int32)) for name in ("start", "end")} | {"label": pa.array(labels).take(pa.array(made["label"]))}
+        lists = _nested(_rows_of(tokens)[1][made["token"]], part.num_rows, **fields)
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), tokens, lists], names=["doc_id", "tokens", "spans"])
+
+    kind = f"doc_id bigint, tokens array<{TOKEN}>>, spans array<struct<start:int,end:int,label:string>>"
+    return with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=False, then=(spans, kind))
 
 
 def split_of(doc_id: str = "doc_id") -> F.Column:
