@@ -1,12 +1,13 @@
 """Mentions beside their record, matched and flagged within the row, over Arrow batches.
 
 A record is a row with an array of its mentions. All mentions of a slice of records are sorted together, and groups are read off the edges of the sorted
-columns, so a record stays where it was read: nothing is shuffled, and no mention becomes a row of its own.
+columns, so a record stays where it was read: nothing is shuffled, and no mention becomes a row of its own. A step works on one slice of records; where
+the records are made over Arrow batches too, it runs in that pass, so that only its rows or sums leave the worker.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
-from spanloom.functions.tiling import _fields_with, _replaced, _rows_of, _schema, _slices
+from spanloom.functions.tiling import _fields_with, _int, _replaced, _rows_of, _schema, _slices
 
 GOLD, PRED = 0, 1
 COUNTS = ("correct", "partial", "incorrect", "missed", "spurious")
@@ -46,9 +47,10 @@ class _Mentions:
         place[-1] = -1
         self.labels = self.labels.take(pa.array(order))
         self.label = place[pc.fill_null(coded.indices.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)]
-        # Record and start, and end and label, as one number each, in the same order: fewer columns to sort.
-        self.place, self.what = (self.rec << 35) + self.start, (self.end << len(self.labels).bit_length()) + self.label + 1
         self.side = np.where(pc.fill_null(pc.equal(flat.field("side"), "p"), False).to_numpy(zero_copy_only=False), PRED, GOLD) if "side" in names else np.zeros(len(self.rec), np.int64)
+        # Record and start, and end, label and side, as one number each, in the same order: fewer columns to sort.
+        self.place, self.what = (self.rec << 35) + self.start, (self.end << len(self.labels).bit_length()) + self.label + 1
+        self.by_span = np.lexsort((self.ordinal, (self.what << 1) | self.side, self.place))
 
 
 def _edges(*columns: np.ndarray) -> np.ndarray:
@@ -60,24 +62,21 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def _paired(m: _Mentions, of: np.ndarray, group: Sequence[np.ndarray], order: Sequence[np.ndarray]) -> np.ndarray:
-    """For the mentions at of: whether each is among the first k of its side of its group, in order, k the smaller count of both sides."""
-    keys = [c[of] for c in (*group, m.side, *order)]
-    by = np.lexsort(keys[::-1])
-    ordered = [k[by] for k in keys]
-    number = np.cumsum(_edges(*ordered[: len(group)])) - 1
-    side = ordered[len(group)]
+def _paired(m: _Mentions, by: np.ndarray, *group: np.ndarray) -> np.ndarray:
+    """Whether each mention is at by and among the first k of its side of its group, k the smaller count of both sides; by is in order of group and side."""
+    number, side = np.cumsum(_edges(*[c[by] for c in group])) - 1, m.side[by]
     n = number[-1] + 1 if len(number) else 0
-    golds, preds = np.bincount(number[side == GOLD], minlength=n), np.bincount(number[side == PRED], minlength=n)
+    preds = np.bincount(number[side == PRED], minlength=n)
+    golds = np.bincount(number, minlength=n) - preds
     first = np.cumsum(golds + preds) - golds - preds
     nth = np.arange(len(by)) - first[number] - np.where(side == PRED, golds[number], 0)
-    out = np.zeros(len(by), dtype=bool)
+    out = np.zeros(len(m.rec), dtype=bool)
     out[by] = nth < np.minimum(golds, preds)[number]
     return out
 
 
-def _exact(m: _Mentions) -> np.ndarray:
-    return _paired(m, np.arange(len(m.rec)), (m.place, m.what), (m.ordinal,))
+def _exact(m: _Mentions, own: np.ndarray | None = None) -> np.ndarray:
+    return _paired(m, m.by_span if own is None else m.by_span[own[m.by_span]], m.place, m.what)
 
 
 def _overlapping(m: _Mentions, left: np.ndarray) -> np.ndarray:
@@ -112,77 +111,147 @@ def _overlapping(m: _Mentions, left: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_exact(records: DataFrame, mentions: str = "mentions") -> DataFrame:
-    """records whose mentions (start, end, label, ordinal, side) have exact: whether one is among the first k of its (start, end, label), k the smaller count of both sides."""
+def _matched(m: _Mentions, own: np.ndarray | None = None) -> list[np.ndarray]:
+    """Which mentions count as each of the five outcomes; own: which take part at all."""
+    there = np.ones(len(m.rec), dtype=bool) if own is None else own
+    exact = _exact(m, own)
+    overlap = _overlapping(m, np.flatnonzero(there & ~exact))
+    left = np.flatnonzero(there & ~exact & ~overlap)
+    wrong = _paired(m, left[np.lexsort((m.ordinal[left], m.label[left], m.side[left], m.end[left], m.place[left]))], m.place, m.end)
+    rest, gold = there & ~exact & ~overlap & ~wrong, m.side == GOLD
+    return [exact & gold, overlap & gold, wrong & gold, rest & gold, rest & ~gold]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, mentions):
-                lists = part.column(mentions)
-                yield _replaced(part, **{mentions: _fields_with(lists, exact=pa.array(_exact(_Mentions(lists))))})
 
-    return records.mapInArrow(run, _flagged(records, mentions, "exact"))
+def _by_label(m: _Mentions, keys: dict[str, pa.Array], group: np.ndarray, label: np.ndarray, counts: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """keys, label and counts of groups; a label is its place and one more, 0 for null."""
+    named = m.labels.take(pa.array(label - 1, mask=label == 0))
+    return pa.RecordBatch.from_arrays([*(k.take(pa.array(group)) for k in keys.values()), named, *(pa.array(c.astype(np.int64)) for c in counts.values())], names=[*keys, "label", *counts])
 
 
-def _flagged(records: DataFrame, mentions: str, *flags: str) -> StructType:
-    old = [f for f in records.schema[mentions].dataType.elementType if f.name not in flags]
-    return _schema(records, **{mentions: ArrayType(StructType([*old, *(StructField(name, BooleanType()) for name in flags)]))})
+# --- steps: what is made of a slice of records, here or in the pass that makes them --------------------------------------
 
 
-def with_outcomes(records: DataFrame, keys: Sequence[str], mentions: str = "mentions") -> DataFrame:
-    """keys and outcomes: array<struct<label, the five counts>>, one for each label that either side of a record has. Keys may stand in several rows, each a record of its own."""
-    own = records.select(*keys, mentions)
-    kind = "array<struct<label:string," + ",".join(f"{c}:bigint" for c in COUNTS) + ">>"
-    schema = StructType([f for f in _schema(own, outcomes=kind) if f.name != mentions])
+def exact_in(part: pa.RecordBatch, mentions: str = "mentions") -> pa.RecordBatch:
+    """The slice; its mentions (start, end, label, ordinal, side) have exact: whether one is among the first k of its (start, end, label), k the smaller count of both sides."""
+    lists = part.column(mentions)
+    return _replaced(part, **{mentions: _fields_with(lists, exact=pa.array(_exact(_Mentions(lists))))})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, mentions):
-                m = _Mentions(part.column(mentions))
-                exact = _exact(m)
-                overlap = _overlapping(m, np.flatnonzero(~exact))
-                left = np.flatnonzero(~exact & ~overlap)
-                wrong = np.zeros(len(exact), dtype=bool)
-                wrong[left] = _paired(m, left, (m.place, m.end), (m.label, m.ordinal))
-                rest, gold = ~exact & ~overlap & ~wrong, m.side == GOLD
-                wide = len(m.labels) + 1
-                group, number = np.unique(m.rec * wide + m.label + 1, return_inverse=True)
-                counts = [np.bincount(number[x], minlength=len(group)) for x in (exact & gold, overlap & gold, wrong & gold, rest & gold, rest & ~gold)]
-                label = m.labels.take(pa.array(group % wide - 1, mask=group % wide == 0))
-                items = pa.StructArray.from_arrays([label, *(pa.array(c.astype(np.int64)) for c in counts)], names=["label", *COUNTS])
-                offsets = np.searchsorted(group // wide, np.arange(part.num_rows + 1)).astype(np.int32)
-                columns = [part.column(k) for k in keys]
-                yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), items)], names=[*keys, "outcomes"])
-
-    return own.mapInArrow(run, schema)
 
+SUMS = "label string, " + ", ".join(f"{c} bigint" for c in COUNTS)
+EXACT_SUMS = "label string, side string, matched bigint, mentions bigint"
 
-def with_structure(records: DataFrame, mentions: str = "mentions", golds_only: bool = False) -> DataFrame:
-    """records whose mentions (start, end, label) have same_span (another label on the same span), nested (strictly inside another) and flat (neither).
+
+def exact_sums_in(part: pa.RecordBatch, mentions: str = "mentions") -> pa.RecordBatch:
+    """label, side, matched and mentions, added up over the slice: for each label of each side how many mentions there are, and how many of them are exact."""
+    m = _Mentions(part.column(mentions))
+    group, exact = m.label * 2 + 2 + m.side, _exact(m)
+    n, matched = np.bincount(group), np.bincount(group[exact], minlength=int(group.max(initial=0)) + 1)
+    some = np.flatnonzero(n)
+    out = _by_label(m, {}, some, some // 2, {"matched": matched[some], "mentions": n[some]})
+    return pa.RecordBatch.from_arrays([out.column(0), pa.array(["g", "p"]).take(pa.array(some % 2)), out.column(1), out.column(2)], names=["label", "side", "matched", "mentions"])
+
+
+def outcomes_in(part: pa.RecordBatch, keys: Sequence[str], mentions: str = "mentions") -> pa.RecordBatch:
+    """keys, label and the five counts for each label that either side of a record has."""
+    m = _Mentions(part.column(mentions))
+    wide = len(m.labels) + 1
+    group, number = np.unique(m.rec * wide + m.label + 1, return_inverse=True)
+    counts = {c: np.bincount(number[x], minlength=len(group)) for c, x in zip(COUNTS, _matched(m), strict=True)}
+    return _by_label(m, {k: part.column(k) for k in keys}, group // wide, group % wide, counts)
+
+
+def outcome_sums_in(part: pa.RecordBatch, mentions: str = "mentions") -> pa.RecordBatch:
+    """label and the five counts, added up over the slice, for each label that either side has."""
+    m = _Mentions(part.column(mentions))
+    some = np.unique(m.label) + 1
+    counts = {c: np.bincount(m.label[x] + 1, minlength=len(m.labels) + 1)[some] for c, x in zip(COUNTS, _matched(m), strict=True)}
+    return _by_label(m, {}, some, some, counts)
+
+
+RUN_SUMS = "run int, " + ", ".join(f"{c} bigint" for c in COUNTS)
+
+
+def run_sums_in(part: pa.RecordBatch, runs: Sequence[Callable[[np.ndarray], np.ndarray]], mentions: str = "mentions") -> pa.RecordBatch:
+    """run (from 0) and the five counts, added up over the slice, for several runs of predictions against one reference: each says by their ordinals which predictions it has.
+
+    The mentions are read and sorted once for all runs.
+    """
+    m = _Mentions(part.column(mentions))
+    sums = np.array([[x.sum() for x in _matched(m, (m.side == GOLD) | run(m.ordinal))] for run in runs], dtype=np.int64).reshape(-1, len(COUNTS))
+    return pa.RecordBatch.from_arrays([_int(np.arange(len(sums))), *map(pa.array, sums.T)], names=["run", *COUNTS])
+
+
+def _flags(m: _Mentions, golds_only: bool) -> dict[str, np.ndarray]:
+    """same_span, nested and flat of mentions.
 
     In order of start, longest first, a span lies inside an earlier one exactly if the furthest end so far reaches its end; the first mention of a span asks for all of them.
-    golds_only: predictions count for nothing, and all their flags are false.
     """
+    of = np.flatnonzero(m.side == GOLD) if golds_only else np.arange(len(m.rec))
+    by = of[np.lexsort((m.label[of], -m.end[of], m.place[of]))]
+    rec, start, end, label = m.rec[by], m.start[by], m.end[by], m.label[by]
+    first = np.flatnonzero(_edges(rec, start, end)) if len(by) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(by)))
+    known = np.where(label < 0, len(m.labels), label)
+    lowest, highest = (f.reduceat(x, first) if len(first) else first for f, x in ((np.minimum, known), (np.maximum, label)))
+    several = (lowest < highest) & (highest >= 0)
+    reach = np.maximum.accumulate((rec << 36) + end) if len(by) else end
+    inside = np.zeros(len(first), dtype=bool)
+    inside[1:] = (rec[first[1:]] == rec[first[1:] - 1]) & (reach[first[1:] - 1] >= (rec[first[1:]] << 36) + end[first[1:]])
+    inside &= end[first] > -FAR
+    same, nested, flat = (np.zeros(len(m.rec), dtype=bool) for _ in range(3))
+    same[by], nested[by], flat[by] = np.repeat(several, size), np.repeat(inside, size), np.repeat(~several & ~inside, size)
+    return {"same_span": same, "nested": nested, "flat": flat}
+
+
+def structure_in(part: pa.RecordBatch, mentions: str = "mentions", golds_only: bool = False) -> pa.RecordBatch:
+    """The slice; its mentions (start, end, label) have same_span (another label on the same span), nested (strictly inside another) and flat (neither)."""
+    lists = part.column(mentions)
+    return _replaced(part, **{mentions: _fields_with(lists, **{name: pa.array(x) for name, x in _flags(_Mentions(lists), golds_only).items()})})
+
+
+STRUCTURE = "mentions bigint, same_span bigint, nested bigint, flat bigint, labels array<string>"
+
 
+def structure_counts_in(part: pa.RecordBatch, keys: Sequence[str], mentions: str = "mentions") -> pa.RecordBatch:
+    """keys, how many mentions a record has and how many with each flag, and its distinct labels in order, null last."""
+    m = _Mentions(part.column(mentions))
+    counts = {"mentions": np.bincount(m.rec, minlength=part.num_rows), **{name: np.bincount(m.rec[x], minlength=part.num_rows) for name, x in _flags(m, False).items()}}
+    wide = len(m.labels) + 1
+    held = np.unique(m.rec * wide + np.where(m.label < 0, len(m.labels), m.label))
+    labels = m.labels.take(pa.array(held % wide, mask=held % wide == len(m.labels)))
+    offsets = np.searchsorted(held // wide, np.arange(part.num_rows + 1)).astype(np.int32)
+    names = ["mentions", "same_span", "nested", "flat"]
+    return pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(counts[n].astype(np.int64)) for n in names), pa.ListArray.from_arrays(pa.array(offsets), labels)], names=[*keys, *names, "labels"])
+
+
+# --- the same over tables --------------------------------------------------------------------------------------------
+
+
+def _in_slices(records: DataFrame, mentions: str, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: StructType | str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, mentions):
-                lists = part.column(mentions)
-                m = _Mentions(lists)
-                of = np.flatnonzero(m.side == GOLD) if golds_only else np.arange(len(m.rec))
-                by = of[np.lexsort((m.label[of], -m.end[of], m.start[of], m.rec[of]))]
-                rec, start, end, label = m.rec[by], m.start[by], m.end[by], m.label[by]
-                first = np.flatnonzero(_edges(rec, start, end)) if len(by) else np.zeros(0, np.int64)
-                size = np.diff(np.append(first, len(by)))
-                known = np.where(label < 0, len(m.labels), label)
-                lowest, highest = (f.reduceat(x, first) if len(first) else first for f, x in ((np.minimum, known), (np.maximum, label)))
-                several = (lowest < highest) & (highest >= 0)
-                reach = np.maximum.accumulate((rec << 36) + end) if len(by) else end
-                inside = np.zeros(len(first), dtype=bool)
-                inside[1:] = (rec[first[1:]] == rec[first[1:] - 1]) & (reach[first[1:] - 1] >= (rec[first[1:]] << 36) + end[first[1:]])
-                inside &= end[first] > -FAR
-                same, nested, flat = (np.zeros(len(m.rec), dtype=bool) for _ in range(3))
-                same[by], nested[by], flat[by] = np.repeat(several, size), np.repeat(inside, size), np.repeat(~several & ~inside, size)
-                yield _replaced(part, **{mentions: _fields_with(lists, same_span=pa.array(same), nested=pa.array(nested), flat=pa.array(flat))})
-
-    return records.mapInArrow(run, _flagged(records, mentions, "same_span", "nested", "flat"))
+            yield from map(step, _slices(batch, mentions))
+
+    return records.mapInArrow(run, schema)
+
+
+def _flagged(records: DataFrame, mentions: str, *flags: str) -> StructType:
+    old = [f for f in records.schema[mentions].dataType.elementType if f.name not in flags]
+    return _schema(records, **{mentions: ArrayType(StructType([*old, *(StructField(name, BooleanType()) for name in flags)]))})
+
+
+def with_exact(records: DataFrame, mentions: str = "mentions") -> DataFrame:
+    """records whose mentions have exact, as in exact_in()."""
+    return _in_slices(records, mentions, lambda part: exact_in(part, mentions), _flagged(records, mentions, "exact"))
+
+
+def outcomes_of(records: DataFrame, keys: Sequence[str], mentions: str = "mentions") -> DataFrame:
+    """keys, label and the five counts, one row for each label that either side of a record has. Keys may stand in several rows, each a record of its own."""
+    own, keys = records.select(*keys, mentions), list(keys)
+    schema = StructType([*(own.schema[k] for k in keys), *StructType.fromDDL(SUMS)])
+    return _in_slices(own, mentions, lambda part: outcomes_in(part, keys, mentions), schema)
+
+
+def with_structure(records: DataFrame, mentions: str = "mentions", golds_only: bool = False) -> DataFrame:
+    """records whose mentions have the flags of structure_in(). golds_only: predictions count for nothing, and all their flags are false."""
+    return _in_slices(records, mentions, lambda part: structure_in(part, mentions, golds_only), _flagged(records, mentions, "same_span", "nested", "flat"))

@@ -165,13 +165,13 @@ def _replaced(part: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 TOKEN = "struct<pos:int,start:int,end:int,next_end:int"
 
 
-def with_tokens(records: DataFrame, text: str = "text", edges: str | None = None, words: bool = True, spans: str | None = None, then: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], str] | None = None) -> DataFrame:
+def with_tokens(records: DataFrame, text: str = "text", edges: str | None = None, words: bool = True, spans: str | None = None, then: tuple[Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], str] | None = None) -> DataFrame:
     """records with tokens: array<struct<pos, start, end, next_end (of the next token, or null), token>>, cut at the edges of an array<int> column too.
 
     spans: an array<struct<start, end, ...>> at whose edges tokens are cut as well. Its structs come out with first and last (positions of the tokens inside), n_tokens and
     aligned (whether those tokens begin and end where the span does). All in the pass that cuts the text.
     words: whether tokens hold their texts. A null text has no tokens.
-    then: what is made of each slice of these rows in the same pass, and the columns that come out.
+    then: what is made of each slice of these rows in the same pass (batches, some or none), and the columns that come out.
     """
     kind = f"array<{TOKEN}" + (",token:string>>" if words else ">>")
     schema = _schema(records, **({spans: _aligned_type(records, spans)} if spans else {}), tokens=kind)
@@ -202,7 +202,10 @@ def with_tokens(records: DataFrame, text: str = "text", edges: str | None = None
                 if spans is not None:
                     new[spans] = _align(part.column(spans), row, low, high, owner, start, end, *(texts.ptr[row] + at == x for at, x in zip(own, (low, high), strict=True)))
                 out = _replaced(part, **new)
-                yield then[0](out) if then else out
+                if then:
+                    yield from then[0](out)
+                else:
+                    yield out
 
     return records.mapInArrow(run, then[1] if then else schema)
 

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.mentions import COUNTS, gathered, with_exact, with_outcomes
+from spanloom.functions.mentions import COUNTS, gathered, outcomes_of, with_exact
 
 
 def both_sides(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -37,7 +37,7 @@ def outcomes(sides: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def outcomes_in_row(records: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The same for records that hold their mentions as an array; each row is a record."""
-    return with_outcomes(records, keys).select(*keys, F.inline("outcomes"))
+    return outcomes_of(records, keys)
 
 
 def aligned_records(gold: DataFrame, pred: DataFrame, number: str = "record_no") -> DataFrame:

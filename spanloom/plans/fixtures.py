@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.tiling import TOKEN, _field, _nested, _rows_of, exploded, with_lines, with_tokens
+from spanloom.functions.tiling import TOKEN, _field, _nested, _rows_of, _slices, exploded, with_lines, with_tokens
 from spanloom.session import table
 
 KEYS = ["doc_id", "rec"]
@@ -50,14 +52,15 @@ def _mentions(pos: np.ndarray, start: np.ndarray, own_end: np.ndarray, next_end:
 MENTIONS = "doc_id bigint, rec int, mentions array<struct<start:int,end:int,label:string,ordinal:int,side:string>>"
 
 
-def mention_records(spark: SparkSession, sf_dir: str, pred: bool = True) -> DataFrame:
+def mention_records(spark: SparkSession, sf_dir: str, pred: bool = True, then: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], str] | None = None) -> DataFrame:
     """doc_id, rec and mentions (start, end, label, ordinal, side; both sides with pred) of each record, a run of tokens of a document. A record without mentions has an empty array.
 
     The rules are worked out for all tokens of a slice together; as lambdas over the array of a row they cost more than cutting and matching do.
+    then: what is made of each slice of these records in the same pass (a step of functions/mentions.py), and the columns that come out; mentions then never leave the worker.
     """
     labels, sides = [f"L{i}" for i in range(N_LABELS)], ["g", "p"]
 
-    def records(part: pa.RecordBatch) -> pa.RecordBatch:
+    def records(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tokens = part.column("tokens")
         owner, pos = _rows_of(tokens)[1], _field(tokens, "pos")
         made = _mentions(pos, *(_field(tokens, name) for name in ("start", "end", "next_end")), pred)
@@ -67,9 +70,10 @@ def mention_records(spark: SparkSession, sf_dir: str, pred: bool = True) -> Data
         fields = {name: pa.array(made[name].astype(np.int32)) for name in ("start", "end", "ordinal")} | named
         lists = _nested(record, int(opening.sum()), **{name: fields[name] for name in ("start", "end", "label", "ordinal", "side")})
         doc_id = part.column("doc_id").take(pa.array(owner[opening]))
-        return pa.RecordBatch.from_arrays([doc_id, pa.array((pos[opening] // TOKENS_PER_RECORD).astype(np.int32)), lists], names=["doc_id", "rec", "mentions"])
+        out = pa.RecordBatch.from_arrays([doc_id, pa.array((pos[opening] // TOKENS_PER_RECORD).astype(np.int32)), lists], names=["doc_id", "rec", "mentions"])
+        yield from map(then[0], _slices(out, "mentions")) if then else [out]
 
-    return with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=False, then=(records, MENTIONS))
+    return with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=False, then=(records, then[1] if then else MENTIONS))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,12 +85,12 @@ def with_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, tokens and spans (start, end, label): the mentions of gold() beside the tokens of their document, in one row."""
     labels = [f"L{i}" for i in range(N_LABELS)]
 
-    def spans(part: pa.RecordBatch) -> pa.RecordBatch:
+    def spans(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tokens = part.column("tokens")
         made = _mentions(*(_field(tokens, name) for name in ("pos", "start", "end", "next_end")), pred=False)
         fields = {name: pa.array(made[name].astype(np.int32)) for name in ("start", "end")} | {"label": pa.array(labels).take(pa.array(made["label"]))}
         lists = _nested(_rows_of(tokens)[1][made["token"]], part.num_rows, **fields)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), tokens, lists], names=["doc_id", "tokens", "spans"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), tokens, lists], names=["doc_id", "tokens", "spans"])
 
     kind = f"doc_id bigint, tokens array<{TOKEN}>>, spans array<struct<start:int,end:int,label:string>>"
     return with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), words=False, then=(spans, kind))

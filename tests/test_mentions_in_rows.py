@@ -154,3 +154,35 @@ def test_split_search_ranks_records_without_a_shuffle_of_mentions(spark, tmp_pat
 def test_weights_of_run_files_cut_texts_in_batches(spark, tmp_path):
     found = plan(queries.QUERIES["positive_weights"](spark, documents(spark, tmp_path)))
     assert "transform(" not in found and "doc_id" not in "".join(x for x in found.splitlines() if "Exchange" in x)
+
+
+def passes(found):
+    """How many times a plan hands rows to Python."""
+    return sum("MapInArrow" in x for x in found.split("+- == Initial Plan ==")[0].splitlines())
+
+
+def test_seeds_are_matched_in_the_pass_that_cuts_texts(spark, tmp_path):
+    found = plan(queries.QUERIES["scores_over_seeds"](spark, documents(spark, tmp_path)))
+    assert passes(found) == 1 and "Generate" not in found
+
+
+def test_sums_of_steps_are_those_of_rows(spark):
+    rng = random.Random(5)
+    records = [(r, random_mentions(rng, rng.randint(0, 9))) for r in range(300)]
+    arrays = spark.createDataFrame(records, "rec int, mentions array<struct<start:int,end:int,label:string,ordinal:int,side:string>>")
+    (part,) = arrays.coalesce(1).toArrow().combine_chunks().to_batches()
+    rows = lambda batch: sorted(map(repr, (tuple(r.values()) for r in batch.to_pylist())))
+    listed = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    sums = [F.sum(c) for c in matching.COUNTS]
+    assert rows(beside.outcome_sums_in(part)) == listed(matching.outcomes_in_row(arrays, ["rec"]).groupBy("label").agg(*sums))
+    marked = beside.with_exact(arrays).select(F.inline("mentions"))
+    assert rows(beside.exact_sums_in(part)) == listed(marked.groupBy("label", "side").agg(F.count_if("exact"), F.count("*")))
+    found = [tuple(r.values()) for r in beside.run_sums_in(part, [lambda ordinal, n=n: ordinal % n != 0 for n in (2, 3)]).to_pylist()]
+    for run, n in enumerate((2, 3)):
+        own = arrays.withColumn("mentions", F.filter("mentions", lambda m: (m["side"] == "g") | (m["ordinal"] % n != 0)))
+        assert found[run] == (run, *matching.outcomes_in_row(own, ["rec"]).agg(*sums).first())
+    n = lambda c: F.size(F.filter("mentions", lambda m: m[c]))
+    flags = beside.with_structure(arrays).select("rec", F.size("mentions"), n("same_span"), n("nested"), n("flat"), F.array_sort(F.array_distinct(F.transform("mentions", lambda m: m["label"]))))
+    assert rows(beside.structure_counts_in(part, ["rec"])) == listed(flags)
+    empty = part.slice(0, 0)
+    assert beside.outcome_sums_in(empty).num_rows == beside.exact_sums_in(empty).num_rows == beside.structure_counts_in(empty, ["rec"]).num_rows == beside.outcomes_in(empty, ["rec"]).num_rows == 0
