@@ -27,9 +27,13 @@ def label_scores(outcomes: DataFrame) -> DataFrame:
 
 def exact_scores(marked: DataFrame) -> DataFrame:
     """micro and macro precision, recall and f1 of exact matches (rows of exact_matches()); macro is the mean over labels that either side has."""
-    per = marked.groupBy("label").agg(
-        F.count_if((F.col("side") == "g") & F.col("exact")).alias("c"), F.count_if(F.col("side") == "p").alias("p"), F.count_if(F.col("side") == "g").alias("r")
-    )
+    return exact_scores_of_sums(marked.groupBy("label", "side").agg(F.count_if("exact").alias("matched"), F.count("*").alias("mentions")))
+
+
+def exact_scores_of_sums(sums: DataFrame) -> DataFrame:
+    """The same from label, side, matched and mentions, in any number of parts that add up."""
+    of = lambda n, side: F.coalesce(F.sum(F.when(F.col("side") == side, F.col(n))), F.lit(0))
+    per = sums.groupBy("label").agg(of("matched", "g").alias("c"), of("mentions", "p").alias("p"), of("mentions", "g").alias("r"))
     scored = per.select("c", "p", "r", *[v.alias(k) for k, v in count_scores(F.col("c"), F.col("p"), F.col("r")).items()])
     total = scored.agg(F.sum("c").alias("c"), F.sum("p").alias("p"), F.sum("r").alias("r"), *[F.avg(k).alias(f"macro_{k}") for k in ("precision", "recall", "f1")])
     return total.select(*[v.alias(f"micro_{k}") for k, v in count_scores(F.col("c"), F.col("p"), F.col("r")).items()], "macro_precision", "macro_recall", "macro_f1")

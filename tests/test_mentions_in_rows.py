@@ -166,7 +166,7 @@ def test_seeds_are_matched_in_the_pass_that_cuts_texts(spark, tmp_path):
     assert passes(found) == 1 and "Generate" not in found
 
 
-@pytest.mark.parametrize("name", ["match_outcomes", "score_overlap_per_label"])
+@pytest.mark.parametrize("name", ["match_outcomes", "score_overlap_per_label", "score_exact", "exact_matches"])
 def test_mentions_stay_in_the_pass_that_cuts_texts(spark, tmp_path, name):
     found = plan(queries.QUERIES[name](spark, documents(spark, tmp_path)))
     assert passes(found) == 1 and "Generate" not in found
