@@ -50,6 +50,8 @@ def split_totals(records: DataFrame) -> DataFrame:
 
 #: Ranks of the hash that orders the documents of a candidate.
 RANKS, RANGE = 1_000_003, 1024
+#: Rows of a document and a candidate that a task ranks, about.
+RANKED = 8_000_000
 #: Labels in one whole number.
 WORD = 63
 #: Counts of a document that a split should share out.
@@ -65,20 +67,22 @@ def split_search(documents: DataFrame, targets: Mapping[str, float], candidates:
     The rule is our own; a published score cannot be reproduced from it.
 
     Documents are read once for all candidates: each sends its tallies to one range of ranks of each candidate, where they are summed before they
-    are shuffled, so what moves is a row for each candidate and range. Only ranges in which a split ends are looked at document by document. Labels are an
+    are shuffled, so what moves is a row for each candidate and range. A document takes few bytes and as many steps as there are candidates, so documents are dealt
+    out by their number and not by the size of their files. Only ranges in which a split ends are looked at document by document. Labels are an
     inventory (a list that the driver reads); those of rows are bits of whole numbers.
     """
     documents = kept(documents.select("doc_id", *TALLIES, "labels"), "documents")  # a few numbers a document, used for ranking and for the result
     inventory = sorted(r[0] for r in documents.select(F.explode("labels")).distinct().collect())
     words = [inventory[i : i + WORD] for i in range(0, len(inventory), WORD)]
     bits = {f"labels_{w}": reduce(Column.bitwiseOR, [F.when(F.array_contains("labels", x), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, x in enumerate(word)]) for w, word in enumerate(words)}
-    masked = documents.select("doc_id", *TALLIES, *[c.alias(n) for n, c in bits.items()])
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, -(-documents.count() * candidates // RANKED))
+    masked = documents.select("doc_id", *TALLIES, *[c.alias(n) for n, c in bits.items()]).repartition(tasks)
     sets = [F.bit_or(n).alias(n) for n in bits]
     # Integer arithmetic, so that any engine can follow it: a different permutation of ids for each candidate.
     order = (F.col("doc_id") * (2 * F.col("candidate") + 1) * 7919 + F.col("candidate") * 104729) % RANKS
     every = F.explode(F.sequence(F.lit(0), F.lit(candidates - 1)))
     ranked = masked.select("*", every.alias("candidate")).withColumn("rank", order.cast("int")).withColumn("range", F.expr(f"rank div {RANGE}").cast("int"))
-    sums = ranked.groupBy("candidate", "range").agg(*[F.sum(c).alias(c) for c in TALLIES], *sets)
+    sums = kept(ranked.groupBy("candidate", "range").agg(*[F.sum(c).alias(c) for c in TALLIES], *sets), "ranges")  # at most as many rows as candidates times ranges, used three times
     earlier = Window.partitionBy("candidate").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("candidate")
     based = sums.withColumns({"base": F.coalesce(F.sum("sentences").over(earlier), F.lit(0)), **{f"all_{c}": F.sum(c).over(whole) for c in TALLIES}})

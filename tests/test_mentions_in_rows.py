@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import mentions as beside
-from spanloom.operators import matching, structure
+from spanloom.operators import matching, splits, structure
 from spanloom.plans import files, queries
 from spanloom.sources import jsonl, tables
 
@@ -192,3 +192,18 @@ def test_sums_of_steps_are_those_of_rows(spark):
     assert rows(beside.structure_counts_in(part, ["rec"])) == listed(flags)
     empty = part.slice(0, 0)
     assert beside.outcome_sums_in(empty).num_rows == beside.exact_sums_in(empty).num_rows == beside.structure_counts_in(empty, ["rec"]).num_rows == beside.outcomes_in(empty, ["rec"]).num_rows == 0
+
+
+def test_split_search_deals_documents_out_by_their_number(spark, tmp_path, monkeypatch):
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), *[F.lit(n).cast("long").alias(c) for n, c in ((3, "sentences"), (2, "nested"), (1, "same_span"))], F.array(F.lit("A")).alias("labels")).coalesce(1)
+    targets = {"train": 0.7, "eval": 0.1, "test": 0.2}
+    few = splits.split_search(docs, targets, 20)
+    monkeypatch.setattr(splits, "RANKED", 200)
+    many = splits.split_search(docs, targets, 20)
+    assert "RoundRobinPartitioning(4)" in plan(few) and "RoundRobinPartitioning(10)" in plan(many)
+    assert sorted(few.collect()) == sorted(many.collect())
+
+
+def test_split_search_leaves_mentions_in_the_pass_that_cuts_texts(spark, tmp_path):
+    found = plan(queries._structure_counts(spark, documents(spark, tmp_path)))
+    assert passes(found) == 1 and "same_span:boolean" not in found and "array<struct" not in queries._structure_counts(spark, str(tmp_path)).schema.simpleString()
