@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,14 +126,23 @@ def excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical records, one for each document: every third token as an entity, with planted errors and leaks."""
     flag = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("out"))
-    own = table(spark, sf_dir, "documents").select("doc_id", "text").join(flag, "doc_id", "left").withColumn("out", F.coalesce("out", F.lit(False)))
-    docs = with_tokens(own)
-    shift, mark = F.when(F.col("doc_id") % 19 == 0, 100000).otherwise(0), F.when(F.col("doc_id") % 29 == 0, "?").otherwise("")
-    entity = lambda t: F.struct(
-        t["start"].alias("start"), (t["end"] + shift).cast("int").alias("end"), F.concat(F.lit("L"), (t["pos"] % N_LABELS).cast("string")).alias("label"),
-        F.concat(t["token"], mark).alias("text"), F.lit(None).cast("array<array<int>>").alias("spans"),
-    )
-    joined = docs.select("doc_id", "text", "out", F.transform(F.filter("tokens", lambda t: t["pos"] % 3 == 0), entity).alias("entities"))
+    own = table(spark, sf_dir, "documents").select("doc_id", "text").join(flag, "doc_id", "left").select("doc_id", "text", F.coalesce("out", F.lit(False)).alias("out"))
+
+    def entities(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        tokens, doc_id = part.column("tokens"), part.column("doc_id").to_numpy(zero_copy_only=False)
+        pos = _field(tokens, "pos")
+        at = np.flatnonzero(pos % 3 == 0)
+        owner, kept = _rows_of(tokens)[1][at], tokens.flatten().take(pa.array(at))
+        shift, mark = np.where(doc_id % 19 == 0, 100000, 0), pa.array(np.where(doc_id % 29 == 0, "?", ""), pa.string())
+        fields = {
+            "start": kept.field("start"), "end": pa.array((kept.field("end").to_numpy(zero_copy_only=False) + shift[owner]).astype(np.int32)),
+            "label": pa.array([f"L{i}" for i in range(N_LABELS)]).take(pa.array(pos[at] % N_LABELS)), "text": pc.binary_join_element_wise(kept.field("token"), mark.take(pa.array(owner)), ""),
+            "spans": pa.nulls(len(at), pa.list_(pa.list_(pa.int32()))),
+        }
+        lists = _nested(owner, part.num_rows, **fields)
+        yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], names=["doc_id", "text", "out", "entities"])
+
+    joined = with_tokens(own, then=(entities, "doc_id bigint, text string, out boolean, entities array<struct<start:int,end:int,label:string,text:string,spans:array<array<int>>>>"))
     leak = F.col("doc_id") % 17 == 0
     hidden = F.col("out") & ~leak
     bare = F.transform("entities", lambda e: e.withField("text", F.lit(None).cast("string")))

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import uuid
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import mentions as beside
 from spanloom.operators import matching, splits, structure
-from spanloom.plans import files, queries
+from spanloom.plans import files, fixtures, queries
 from spanloom.sources import jsonl, tables
 
 
@@ -207,3 +208,17 @@ def test_split_search_deals_documents_out_by_their_number(spark, tmp_path, monke
 def test_split_search_leaves_mentions_in_the_pass_that_cuts_texts(spark, tmp_path):
     found = plan(queries._structure_counts(spark, documents(spark, tmp_path)))
     assert passes(found) == 1 and "same_span:boolean" not in found and "array<struct" not in queries._structure_counts(spark, str(tmp_path)).schema.simpleString()
+
+
+def test_report_makes_entities_in_the_pass_that_cuts_texts(spark, tmp_path):
+    at = documents(spark, tmp_path)
+    spark.range(40).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), (F.col("id") % 5 == 0).cast("int").alias("toxic")).write.parquet(f"{at}/labels.parquet")
+    made = fixtures.records(spark, at)
+    assert "tokens" not in plan(made)
+    texts = {f"{r.doc_id}_0": r.text for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    for r in made.collect():
+        doc_id, whole = int(r.meta.doc_id), texts[r.id]
+        shift, mark, hidden = 100000 * (doc_id % 19 == 0), "?" * (doc_id % 29 == 0), doc_id % 5 == 0 and doc_id % 17 != 0
+        cut = [m for i, m in enumerate(re.finditer(r"\w+|[^\w\s]", whole)) if i % 3 == 0]
+        expected = [(m.start(), m.end() + shift, f"L{3 * i % 5}", None if hidden else m.group() + mark, None) for i, m in enumerate(cut)]
+        assert [tuple(e) for e in r.entities] == expected
