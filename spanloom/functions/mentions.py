@@ -8,6 +8,7 @@ the records are made over Arrow batches too, it runs in that pass, so that only
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,27 @@ def gathered(rows: DataFrame, keys: Sequence[str], into: str = "mentions") -> Da
     return rows.groupBy(*keys).agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in keys])).alias(into))
 
 
+def _order(*columns: np.ndarray) -> np.ndarray:
+    """The order of rows by columns of whole numbers, the first one foremost; equal rows keep theirs.
+
+    Columns are packed into one number, or as few as hold 63 bits each: mentions nearly stand in order as they come, and one stable sort finds that where a sort for
+    each column, the last one first, undoes it.
+    """
+    if not len(columns[0]):
+        return np.zeros(0, dtype=np.int64)
+    packed, bits = [], 0
+    for c in columns:
+        low = int(c.min())
+        width = (int(c.max()) - low).bit_length()
+        if not packed or width + bits > 63:
+            packed.append(c - low if width < 64 else c)
+            bits = width
+        else:
+            packed[-1] = (packed[-1] << width) | (c - low)
+            bits += width
+    return np.argsort(packed[0], kind="stable") if len(packed) == 1 else np.lexsort(packed[::-1])
+
+
 class _Mentions:
     """The mentions of some records as columns of whole numbers; a label is its place among the sorted labels, null is -1."""
 
@@ -48,9 +70,23 @@ class _Mentions:
         self.labels = self.labels.take(pa.array(order))
         self.label = place[pc.fill_null(coded.indices.cast(pa.int64()), -1).to_numpy(zero_copy_only=False)]
         self.side = np.where(pc.fill_null(pc.equal(flat.field("side"), "p"), False).to_numpy(zero_copy_only=False), PRED, GOLD) if "side" in names else np.zeros(len(self.rec), np.int64)
-        # Record and start, and end, label and side, as one number each, in the same order: fewer columns to sort.
+        # Record and start, and end and label, as one number each: fewer columns to compare.
         self.place, self.what = (self.rec << 35) + self.start, (self.end << len(self.labels).bit_length()) + self.label + 1
-        self.by_span = np.lexsort((self.ordinal, (self.what << 1) | self.side, self.place))
+        self.length = self.end - self.start
+
+    # Orders of all mentions; those of some are read off them, so that several runs need no sort of their own.
+
+    @cached_property
+    def by_span(self) -> np.ndarray:
+        return _order(self.rec, self.start, self.length, self.label, self.side, self.ordinal)
+
+    @cached_property
+    def by_side(self) -> np.ndarray:
+        return _order(self.rec, self.start, self.length, self.side, self.label, self.ordinal)
+
+    @cached_property
+    def by_label(self) -> np.ndarray:
+        return _order(self.rec, self.label, self.start, self.ordinal, self.end)
 
 
 def _edges(*columns: np.ndarray) -> np.ndarray:
@@ -62,29 +98,37 @@ def _edges(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _grouped(m: _Mentions, by: np.ndarray, *group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where in by each group begins, and its mentions of either side; by is in order of group."""
+    first = np.flatnonzero(_edges(*[c[by] for c in group]))
+    preds = np.add.reduceat(m.side[by], first) if len(first) else first
+    return first, np.diff(np.append(first, len(by))) - preds, preds
+
+
 def _paired(m: _Mentions, by: np.ndarray, *group: np.ndarray) -> np.ndarray:
     """Whether each mention is at by and among the first k of its side of its group, k the smaller count of both sides; by is in order of group and side."""
-    number, side = np.cumsum(_edges(*[c[by] for c in group])) - 1, m.side[by]
-    n = number[-1] + 1 if len(number) else 0
-    preds = np.bincount(number[side == PRED], minlength=n)
-    golds = np.bincount(number, minlength=n) - preds
-    first = np.cumsum(golds + preds) - golds - preds
+    first, golds, preds = _grouped(m, by, *group)
+    number, side = np.repeat(np.arange(len(first)), golds + preds), m.side[by]
     nth = np.arange(len(by)) - first[number] - np.where(side == PRED, golds[number], 0)
     out = np.zeros(len(m.rec), dtype=bool)
     out[by] = nth < np.minimum(golds, preds)[number]
     return out
 
 
+def _those(by: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    return by if own is None else by[own[by]]
+
+
 def _exact(m: _Mentions, own: np.ndarray | None = None) -> np.ndarray:
-    return _paired(m, m.by_span if own is None else m.by_span[own[m.by_span]], m.place, m.what)
+    return _paired(m, _those(m.by_span, own), m.place, m.what)
 
 
 def _overlapping(m: _Mentions, left: np.ndarray) -> np.ndarray:
-    """Which of the mentions at left are matched by overlap within their label.
+    """Which of the mentions left over are matched by overlap within their label.
 
     Mentions that reach each other form runs. In one of a reference mention and a prediction there is nothing to choose; longer ones are gone through in order.
     """
-    by = left[np.lexsort((m.end[left], m.ordinal[left], m.start[left], m.label[left], m.rec[left]))]
+    by = _those(m.by_label, left)
     start, end, side = m.start[by], m.end[by], m.side[by]
     label = _edges(m.rec[by], m.label[by])
     reach = np.maximum.accumulate((np.cumsum(label) << 36) + end) if len(by) else end
@@ -111,14 +155,12 @@ def _overlapping(m: _Mentions, left: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matched(m: _Mentions, own: np.ndarray | None = None) -> list[np.ndarray]:
-    """Which mentions count as each of the five outcomes; own: which take part at all."""
-    there = np.ones(len(m.rec), dtype=bool) if own is None else own
-    exact = _exact(m, own)
-    overlap = _overlapping(m, np.flatnonzero(there & ~exact))
-    left = np.flatnonzero(there & ~exact & ~overlap)
-    wrong = _paired(m, left[np.lexsort((m.ordinal[left], m.label[left], m.side[left], m.end[left], m.place[left]))], m.place, m.end)
-    rest, gold = there & ~exact & ~overlap & ~wrong, m.side == GOLD
+def _matched(m: _Mentions) -> list[np.ndarray]:
+    """Which mentions count as each of the five outcomes."""
+    exact = _exact(m)
+    overlap = _overlapping(m, ~exact)
+    wrong = _paired(m, _those(m.by_side, ~exact & ~overlap), m.place, m.end)
+    rest, gold = ~exact & ~overlap & ~wrong, m.side == GOLD
     return [exact & gold, overlap & gold, wrong & gold, rest & gold, rest & ~gold]
 
 
@@ -174,10 +216,18 @@ RUN_SUMS = "run int, " + ", ".join(f"{c} bigint" for c in COUNTS)
 def run_sums_in(part: pa.RecordBatch, runs: Sequence[Callable[[np.ndarray], np.ndarray]], mentions: str = "mentions") -> pa.RecordBatch:
     """run (from 0) and the five counts, added up over the slice, for several runs of predictions against one reference: each says by their ordinals which predictions it has.
 
-    The mentions are read and sorted once for all runs.
+    The mentions are read and sorted once for all runs. How many labels of a span are wrong is the smaller count of both sides there; which ones makes no difference to sums over all labels.
     """
     m = _Mentions(part.column(mentions))
-    sums = np.array([[x.sum() for x in _matched(m, (m.side == GOLD) | run(m.ordinal))] for run in runs], dtype=np.int64).reshape(-1, len(COUNTS))
+    gold, sums = m.side == GOLD, []
+    for run in runs:
+        own = gold | run(m.ordinal)
+        exact = _exact(m, own)
+        overlap = _overlapping(m, own & ~exact)
+        rest = own & ~exact & ~overlap
+        wrong = np.minimum(*_grouped(m, _those(m.by_span, rest), m.place, m.end)[1:]).sum()
+        sums.append([(exact & gold).sum(), (overlap & gold).sum(), wrong, (rest & gold).sum() - wrong, (rest & ~gold).sum() - wrong])
+    sums = np.array(sums, dtype=np.int64).reshape(-1, len(COUNTS))
     return pa.RecordBatch.from_arrays([_int(np.arange(len(sums))), *map(pa.array, sums.T)], names=["run", *COUNTS])
 
 
@@ -187,7 +237,7 @@ def _flags(m: _Mentions, golds_only: bool) -> dict[str, np.ndarray]:
     In order of start, longest first, a span lies inside an earlier one exactly if the furthest end so far reaches its end; the first mention of a span asks for all of them.
     """
     of = np.flatnonzero(m.side == GOLD) if golds_only else np.arange(len(m.rec))
-    by = of[np.lexsort((m.label[of], -m.end[of], m.place[of]))]
+    by = of[_order(m.rec[of], m.start[of], -m.length[of], m.label[of])]
     rec, start, end, label = m.rec[by], m.start[by], m.end[by], m.label[by]
     first = np.flatnonzero(_edges(rec, start, end)) if len(by) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(by)))

@@ -5,6 +5,8 @@ import random
 import re
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -222,3 +224,36 @@ def test_report_makes_entities_in_the_pass_that_cuts_texts(spark, tmp_path):
         cut = [m for i, m in enumerate(re.finditer(r"\w+|[^\w\s]", whole)) if i % 3 == 0]
         expected = [(m.start(), m.end() + shift, f"L{3 * i % 5}", None if hidden else m.group() + mark, None) for i, m in enumerate(cut)]
         assert [tuple(e) for e in r.entities] == expected
+
+
+MENTION = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("ordinal", pa.int32()), ("side", pa.string())]))
+
+
+def a_slice(records):
+    named = [[dict(zip(("start", "end", "label", "ordinal", "side"), m, strict=True)) for m in record] for record in records]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(named)), pa.int64()), pa.array(named, MENTION)], names=["doc_id", "mentions"])
+
+
+def sorts_of(monkeypatch, work):
+    """How often work sorts."""
+    found = []
+    with monkeypatch.context() as patch:
+        for name in ("lexsort", "argsort"):
+            patch.setattr(np, name, lambda *a, f=getattr(np, name), **k: found.append(1) or f(*a, **k))
+        work()
+    return len(found)
+
+
+def test_more_runs_need_no_more_sorts(monkeypatch):
+    rng = random.Random(7)
+    part = a_slice([random_mentions(rng, rng.randint(0, 9)) for _ in range(200)])
+    runs = [lambda ordinal, n=n: ordinal % n != 0 for n in range(2, 8)]
+    assert 0 < sorts_of(monkeypatch, lambda: beside.run_sums_in(part, runs[:1])) == sorts_of(monkeypatch, lambda: beside.run_sums_in(part, runs))
+
+
+@pytest.mark.parametrize("wide", [0, 1, 1 << 20, 1 << 33, 1 << 62])
+def test_packed_columns_are_in_the_order_of_a_sort_for_each(wide):
+    rng = np.random.default_rng(2)
+    columns = [rng.integers(-wide, wide + 1, 500) // max(1, wide // 3) * max(1, wide // 3) for _ in range(2)] + [rng.integers(0, 3, 500) for _ in range(3)]
+    assert beside._order(*columns).tolist() == np.lexsort(columns[::-1]).tolist()
+    assert beside._order(*(c[:0] for c in columns)).tolist() == []
