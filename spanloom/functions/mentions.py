@@ -184,12 +184,15 @@ EXACT_SUMS = "label string, side string, matched bigint, mentions bigint"
 
 
 def exact_sums_in(part: pa.RecordBatch, mentions: str = "mentions") -> pa.RecordBatch:
-    """label, side, matched and mentions, added up over the slice: for each label of each side how many mentions there are, and how many of them are exact."""
+    """label, side, matched and mentions, added up over the slice: for each label of each side how many mentions there are, and how many of them are exact.
+
+    Of the copies of a mention as many are exact on each side as the other side lets, so they are counted and not marked.
+    """
     m = _Mentions(part.column(mentions))
-    group, exact = m.label * 2 + 2 + m.side, _exact(m)
-    n, matched = np.bincount(group), np.bincount(group[exact], minlength=int(group.max(initial=0)) + 1)
+    first, golds, preds = _grouped(m, m.by_span, m.place, m.what)
+    n, matched = np.bincount(m.label * 2 + 2 + m.side), np.bincount(m.label[m.by_span[first]] + 1, np.minimum(golds, preds))
     some = np.flatnonzero(n)
-    out = _by_label(m, {}, some, some // 2, {"matched": matched[some], "mentions": n[some]})
+    out = _by_label(m, {}, some, some // 2, {"matched": matched[some // 2], "mentions": n[some]})
     return pa.RecordBatch.from_arrays([out.column(0), pa.array(["g", "p"]).take(pa.array(some % 2)), out.column(1), out.column(2)], names=["label", "side", "matched", "mentions"])
 
 

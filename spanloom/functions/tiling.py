@@ -190,12 +190,13 @@ def with_tokens(records: DataFrame, text: str = "text", edges: str | None = None
                     low, high = (inside(row, at) for at in own)
                     cuts += [low, high]
                 start, end = token_bounds(texts, np.concatenate(cuts) if cuts else None)
-                owner = texts.owner(start)
+                # Tokens stand in order, so those of a text begin where its first code point would go among them.
+                opens = np.searchsorted(start, texts.ptr)
+                owner = np.repeat(np.arange(part.num_rows), np.diff(opens))
                 base = texts.ptr[owner]
                 same = np.append(owner[1:] == owner[:-1], False) if len(owner) else np.zeros(0, bool)
                 following = np.append(end[1:], 0) - base if len(end) else end
-                first = np.searchsorted(owner, owner)
-                fields = {"pos": _int(np.arange(len(owner)) - first), "start": _int(start - base), "end": _int(end - base), "next_end": pa.array(following.astype(np.int32), mask=~same)}
+                fields = {"pos": _int(np.arange(len(owner)) - opens[owner]), "start": _int(start - base), "end": _int(end - base), "next_end": pa.array(following.astype(np.int32), mask=~same)}
                 if words:
                     fields["token"] = texts.strings(start, end)
                 new = {"tokens": _nested(owner, part.num_rows, **fields)}

@@ -31,23 +31,25 @@ SHIFTS = (0, 2, 1, 0)
 
 def _mentions(pos: np.ndarray, start: np.ndarray, own_end: np.ndarray, next_end: np.ndarray, pred: bool) -> dict[str, np.ndarray]:
     """The mentions of tokens by columns, in order of tokens. Predictions (side 1) are gold with some left out, relabelled or shortened, and spurious ones."""
-    golds = [(pos % 3 == 0, 0, own_end), (pos % 15 == 0, 1, own_end), ((pos % 6 == 0) & (next_end >= 0), 2, next_end)]
-    number, parts = own_end - start + pos, []
-    for there, kind, end in golds:
-        parts.append((there, end, number + SHIFTS[kind], kind, 0))
+    third = np.flatnonzero(pos % 3 == 0)
+    golds = [(third, own_end), (third[pos[third] % 5 == 0], own_end), (third[(pos[third] % 2 == 0) & (next_end[third] >= 0)], next_end)]
+    parts = []
+    for kind, (at, ends) in enumerate(golds):
+        n, end, number = pos[at], ends[at], own_end[at] - start[at] + pos[at]
+        parts.append((at, end, number + SHIFTS[kind], kind, 0))
         if pred:
-            parts.append((there & (pos % 7 != 0), np.where((pos % 5 == 0) & (end - start > 1), end - 1, end), number + np.where(pos % 11 == 0, kind + 3, SHIFTS[kind]), kind, 1))
+            kept, cut = n % 7 != 0, (n % 5 == 0) & (end - start[at] > 1)
+            parts.append(tuple(x[kept] for x in (at, end - cut, number + np.where(n % 11 == 0, kind + 3, SHIFTS[kind]))) + (kind, 1))
     if pred:
-        parts.append((pos % 13 == 1, own_end, number + SHIFTS[3], 3, 1))
-    rows = [np.flatnonzero(there) for there, *_ in parts]
-    token = np.concatenate(rows)
+        at = np.flatnonzero(pos % 13 == 1)
+        parts.append((at, own_end[at], own_end[at] - start[at] + pos[at] + SHIFTS[3], 3, 1))
+    tokens, ends, numbers, kinds, sides = zip(*parts, strict=True)
+    token = np.concatenate(tokens)
     by = np.argsort(token, kind="stable")
-    joined = lambda of: np.concatenate([of(at, *part[1:]) for at, part in zip(rows, parts, strict=True)])[by]
+    joined = lambda of: np.concatenate(of)[by]
+    each = lambda of: joined([np.full(len(at), x) for at, x in zip(tokens, of, strict=True)])
     token = token[by]
-    return {
-        "token": token, "start": start[token], "end": joined(lambda at, end, label, kind, side: end[at]), "label": joined(lambda at, end, label, kind, side: label[at] % N_LABELS),
-        "ordinal": joined(lambda at, end, label, kind, side: pos[at] * 4 + kind), "side": joined(lambda at, end, label, kind, side: np.full(len(at), side)),
-    }
+    return {"token": token, "start": start[token], "end": joined(ends), "label": joined(numbers) % N_LABELS, "ordinal": pos[token] * 4 + each(kinds), "side": each(sides)}
 
 
 MENTIONS = "doc_id bigint, rec int, mentions array<struct<start:int,end:int,label:string,ordinal:int,side:string>>"

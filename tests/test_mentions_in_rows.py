@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import mentions as beside
+from spanloom.functions import tiling
 from spanloom.operators import matching, splits, structure
 from spanloom.plans import files, fixtures, queries
 from spanloom.sources import jsonl, tables
@@ -257,3 +258,33 @@ def test_packed_columns_are_in_the_order_of_a_sort_for_each(wide):
     columns = [rng.integers(-wide, wide + 1, 500) // max(1, wide // 3) * max(1, wide // 3) for _ in range(2)] + [rng.integers(0, 3, 500) for _ in range(3)]
     assert beside._order(*columns).tolist() == np.lexsort(columns[::-1]).tolist()
     assert beside._order(*(c[:0] for c in columns)).tolist() == []
+
+
+def test_exact_sums_are_counted_without_marking_mentions(monkeypatch):
+    copies = [(0, 2, "A", 0, "g"), (0, 2, "A", 1, "g"), (0, 2, "A", 2, "p"), (0, 2, None, 3, "p"), (0, 2, None, 4, "g"), (1, 2, "B", 5, "p")]
+    monkeypatch.setattr(beside, "_paired", None)
+    found = beside.exact_sums_in(a_slice([copies, [(1, 2, "B", 0, "g")], []])).to_pylist()
+    assert sorted(map(repr, (tuple(r.values()) for r in found))) == sorted(map(repr, [("A", "g", 1, 2), ("A", "p", 1, 1), ("B", "g", 0, 1), ("B", "p", 0, 1), (None, "g", 1, 1), (None, "p", 1, 1)]))
+
+
+class Given:
+    """Stands for a table of texts: the step that is handed to it runs here."""
+
+    def __init__(self, texts):
+        self.part = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter([self.part])))
+
+
+def test_mentions_are_made_with_searches_by_text_and_not_by_token(monkeypatch):
+    texts, searched = ["ab, c " * 1000, None, "", " \n", "x"], []
+    monkeypatch.setattr(tiling, "_schema", lambda *a, **k: None)
+    monkeypatch.setattr(fixtures, "table", lambda *a: Given(texts))
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *b, f=np.searchsorted, **k: searched.append(np.size(v)) or f(a, v, *b, **k))
+    (made,) = fixtures.mention_records(None, "")
+    assert sum(searched) < 200 and made.num_rows == 48 and made.column("doc_id").to_pylist() == [0] * 47 + [4]
+    assert made.column("mentions").to_pylist()[-1] == [{"start": 0, "end": 1, "label": label, "ordinal": kind, "side": "g"} for kind, label in enumerate(("L1", "L3"))]
