@@ -234,12 +234,11 @@ def run_sums_in(part: pa.RecordBatch, runs: Sequence[Callable[[np.ndarray], np.n
     return pa.RecordBatch.from_arrays([_int(np.arange(len(sums))), *map(pa.array, sums.T)], names=["run", *COUNTS])
 
 
-def _flags(m: _Mentions, golds_only: bool) -> dict[str, np.ndarray]:
-    """same_span, nested and flat of mentions.
+def _flags(m: _Mentions, of: np.ndarray) -> dict[str, np.ndarray]:
+    """same_span, nested and flat of the mentions at of, among themselves; those of all others are false.
 
     In order of start, longest first, a span lies inside an earlier one exactly if the furthest end so far reaches its end; the first mention of a span asks for all of them.
     """
-    of = np.flatnonzero(m.side == GOLD) if golds_only else np.arange(len(m.rec))
     by = of[_order(m.rec[of], m.start[of], -m.length[of], m.label[of])]
     rec, start, end, label = m.rec[by], m.start[by], m.end[by], m.label[by]
     first = np.flatnonzero(_edges(rec, start, end)) if len(by) else np.zeros(0, np.int64)
@@ -256,10 +255,11 @@ def _flags(m: _Mentions, golds_only: bool) -> dict[str, np.ndarray]:
     return {"same_span": same, "nested": nested, "flat": flat}
 
 
-def structure_in(part: pa.RecordBatch, mentions: str = "mentions", golds_only: bool = False) -> pa.RecordBatch:
+def structure_in(part: pa.RecordBatch, mentions: str = "mentions") -> pa.RecordBatch:
     """The slice; its mentions (start, end, label) have same_span (another label on the same span), nested (strictly inside another) and flat (neither)."""
     lists = part.column(mentions)
-    return _replaced(part, **{mentions: _fields_with(lists, **{name: pa.array(x) for name, x in _flags(_Mentions(lists), golds_only).items()})})
+    m = _Mentions(lists)
+    return _replaced(part, **{mentions: _fields_with(lists, **{name: pa.array(x) for name, x in _flags(m, np.arange(len(m.rec))).items()})})
 
 
 STRUCTURE = "mentions bigint, same_span bigint, nested bigint, flat bigint, labels array<string>"
@@ -268,7 +268,7 @@ STRUCTURE = "mentions bigint, same_span bigint, nested bigint, flat bigint, labe
 def structure_counts_in(part: pa.RecordBatch, keys: Sequence[str], mentions: str = "mentions") -> pa.RecordBatch:
     """keys, how many mentions a record has and how many with each flag, and its distinct labels in order, null last."""
     m = _Mentions(part.column(mentions))
-    counts = {"mentions": np.bincount(m.rec, minlength=part.num_rows), **{name: np.bincount(m.rec[x], minlength=part.num_rows) for name, x in _flags(m, False).items()}}
+    counts = {"mentions": np.bincount(m.rec, minlength=part.num_rows), **{name: np.bincount(m.rec[x], minlength=part.num_rows) for name, x in _flags(m, np.arange(len(m.rec))).items()}}
     wide = len(m.labels) + 1
     held = np.unique(m.rec * wide + np.where(m.label < 0, len(m.labels), m.label))
     labels = m.labels.take(pa.array(held % wide, mask=held % wide == len(m.labels)))
@@ -277,6 +277,24 @@ def structure_counts_in(part: pa.RecordBatch, keys: Sequence[str], mentions: str
     return pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *(pa.array(counts[n].astype(np.int64)) for n in names), pa.ListArray.from_arrays(pa.array(offsets), labels)], names=[*keys, *names, "labels"])
 
 
+KINDS = ("flat", "nested", "same_span")
+RECOVERY_SUMS = "kind string, mentions bigint, matched bigint"
+
+
+def recovery_sums_in(part: pa.RecordBatch, mentions: str = "mentions") -> pa.RecordBatch:
+    """kind, mentions and matched, added up over the slice: how many reference mentions (start, end, label, ordinal, side) have each flag of their structure, and how many of them are exact.
+
+    Copies of a mention have the same flags, and as many of them are exact as the other side lets, so one of each is flagged and none is marked.
+    """
+    m = _Mentions(part.column(mentions))
+    first, golds, preds = _grouped(m, m.by_span, m.place, m.what)
+    some = np.flatnonzero(golds)
+    of, golds, matched = m.by_span[first[some]], golds[some], np.minimum(golds, preds)[some]
+    flags = _flags(m, of)
+    having = [flags[kind][of] for kind in KINDS]
+    return pa.RecordBatch.from_arrays([pa.array(KINDS), *(pa.array([int(n[x].sum()) for x in having], pa.int64()) for n in (golds, matched))], names=["kind", "mentions", "matched"])
+
+
 # --- the same over tables --------------------------------------------------------------------------------------------
 
 
@@ -305,6 +323,11 @@ def outcomes_of(records: DataFrame, keys: Sequence[str], mentions: str = "mentio
     return _in_slices(own, mentions, lambda part: outcomes_in(part, keys, mentions), schema)
 
 
-def with_structure(records: DataFrame, mentions: str = "mentions", golds_only: bool = False) -> DataFrame:
-    """records whose mentions have the flags of structure_in(). golds_only: predictions count for nothing, and all their flags are false."""
-    return _in_slices(records, mentions, lambda part: structure_in(part, mentions, golds_only), _flagged(records, mentions, "same_span", "nested", "flat"))
+def with_structure(records: DataFrame, mentions: str = "mentions") -> DataFrame:
+    """records whose mentions have the flags of structure_in()."""
+    return _in_slices(records, mentions, lambda part: structure_in(part, mentions), _flagged(records, mentions, "same_span", "nested", "flat"))
+
+
+def recovery_sums(records: DataFrame, mentions: str = "mentions") -> DataFrame:
+    """kind, mentions and matched of recovery_sums_in(), in parts that add up."""
+    return _in_slices(records.select(mentions), mentions, lambda part: recovery_sums_in(part, mentions), RECOVERY_SUMS)

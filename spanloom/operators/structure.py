@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.mentions import gathered, with_structure
+from spanloom.functions.mentions import gathered, recovery_sums, with_structure
 
 
 def structure(mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -15,13 +15,15 @@ def structure(mentions: DataFrame, keys: Sequence[str]) -> DataFrame:
     return with_structure(gathered(mentions, keys)).select(*keys, F.inline("mentions"))
 
 
-def recovery(marked: DataFrame) -> DataFrame:
-    """kind, mentions, matched and share of reference mentions that an exact match recovers, for each kind of structure; marked: records with their mentions in the row, with exact (with_exact())."""
-    golds = with_structure(marked, golds_only=True).select(F.inline("mentions")).filter("side = 'g'")
-    kinds = ("flat", "nested", "same_span")
-    counts = golds.agg(*[x for k in kinds for x in (F.count_if(k).alias(k), F.count_if(F.col(k) & F.col("exact")).alias(f"{k}_exact"))])
-    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("mentions"), F.col(f"{k}_exact").alias("matched")) for k in kinds])))
-    return rows.filter("mentions > 0").select("*", (F.col("matched") / F.col("mentions")).alias("share"))
+def recovery(records: DataFrame) -> DataFrame:
+    """kind, mentions, matched and share of reference mentions that an exact match recovers, for each kind of structure; records: with their mentions of both sides in the row."""
+    return recovery_of_sums(recovery_sums(records))
+
+
+def recovery_of_sums(sums: DataFrame) -> DataFrame:
+    """The same from kind, mentions and matched, in any number of parts that add up."""
+    counts = sums.groupBy("kind").agg(F.sum("mentions").alias("mentions"), F.sum("matched").alias("matched"))
+    return counts.filter("mentions > 0").select("*", (F.col("matched") / F.col("mentions")).alias("share"))
 
 
 def to_document_offsets(mentions: DataFrame, sentences: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -267,6 +267,32 @@ def test_exact_sums_are_counted_without_marking_mentions(monkeypatch):
     assert sorted(map(repr, (tuple(r.values()) for r in found))) == sorted(map(repr, [("A", "g", 1, 2), ("A", "p", 1, 1), ("B", "g", 0, 1), ("B", "p", 0, 1), (None, "g", 1, 1), (None, "p", 1, 1)]))
 
 
+def test_recovery_is_counted_in_the_pass_that_cuts_texts(spark, tmp_path):
+    found = plan(queries.QUERIES["structural_recovery"](spark, documents(spark, tmp_path)))
+    assert passes(found) == 1 and "Generate" not in found and "array<struct" not in found
+
+
+def test_recovery_counts_reference_mentions_by_their_structure(spark):
+    rng = random.Random(11)
+    records = [(r, random_mentions(rng, rng.randint(0, 30))) for r in range(300)]
+    expected = {kind: [0, 0] for kind in ("flat", "nested", "same_span")}
+    for _, mentions in records:
+        golds, left = [m for m in mentions if m[4] == "g"], [m[:3] for m in mentions if m[4] == "p"]
+        for m in golds:
+            same = len({x[2] for x in golds if x[:2] == m[:2]} - {None}) > 1
+            inside = any(x[:2] != m[:2] and x[0] <= m[0] and x[1] >= m[1] for x in golds)
+            exact = m[:3] in left
+            if exact:
+                left.remove(m[:3])
+            for kind, holds in (("flat", not same and not inside), ("nested", inside), ("same_span", same)):
+                expected[kind][0] += holds
+                expected[kind][1] += holds and exact
+    arrays = spark.createDataFrame(records, "rec int, mentions array<struct<start:int,end:int,label:string,ordinal:int,side:string>>").repartition(3)
+    assert all(0 < matched < n for n, matched in expected.values())
+    assert {tuple(r) for r in structure.recovery(arrays).collect()} == {(kind, n, matched, matched / n) for kind, (n, matched) in expected.items()}
+    assert structure.recovery(arrays.filter("rec < 0")).collect() == [] == structure.recovery(arrays.withColumn("mentions", F.filter("mentions", lambda m: m["side"] == "p"))).collect()
+
+
 class Given:
     """Stands for a table of texts: the step that is handed to it runs here."""
 
